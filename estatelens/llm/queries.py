@@ -8,9 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import encoding, flatids, media, tokencounts
-from estatelens.llm.common import shared_dir, table
+from estatelens.llm import encoding, flatids, media, simhash, tokencounts
+from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
+from estatelens.storage import shared_dir
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/flat-ids-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -35,7 +40,7 @@ def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op7_token_counts, op10_flat_ids)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op7_token_counts, op9_simhash, op10_flat_ids)
 }
 
 
