@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import encoding, flatids, media, simhash, tokencounts
+from estatelens.llm import decontam, encoding, flatids, media, simhash, tokencounts
 from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
 from estatelens.storage import shared_dir
@@ -22,6 +22,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -40,7 +44,7 @@ def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op7_token_counts, op9_simhash, op10_flat_ids)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op7_token_counts, op9_simhash, op10_flat_ids)
 }
 
 
