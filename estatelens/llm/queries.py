@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import decontam, encoding, flatids, linededup, media, simhash, tokencounts
+from estatelens.llm import decontam, encoding, flatids, linededup, media, simhash, tokencounts, toxicity
 from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
 from estatelens.storage import shared_dir
@@ -26,6 +26,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,7 +53,7 @@ def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op6_line_dedup, op7_token_counts, op9_simhash, op10_flat_ids)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op9_simhash, op10_flat_ids)
 }
 
 
