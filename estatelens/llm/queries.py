@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import decontam, encoding, flatids, linededup, media, simhash, tokencounts, toxicity
+from estatelens.llm import decontam, encoding, flatids, licenses, linededup, media, pii, simhash, tokencounts, toxicity
 from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
 from estatelens.storage import shared_dir
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "matches")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -40,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op5_toxicity, op6_line_dedup, op7_token_counts, op9_simhash, op10_flat_ids)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op4_license_templates, op5_toxicity, op6_line_dedup, op7_token_counts, op8_personal_data, op9_simhash, op10_flat_ids)
 }
 
 

@@ -1,0 +1,187 @@
+"""Operators 1, 2, 4, 7, 8 and 10 against the libraries and plain Python."""
+
+import base64
+import hashlib
+import io
+import json
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from estatelens.llm import bpe, encoding, flatids, licenses, media, pii, tokencounts
+from texts import documents, rows
+from tokenizers import Tokenizer
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def by_key(found, *names):
+    return sorted((tuple(r[n] for n in names) for r in found.collect()), key=repr)
+
+
+def test_round_trip_as_tiktoken(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = []
+    for i, t in rows():
+        ids = library.encode_ordinary(t or "")
+        wanted.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert by_key(encoding.round_trip_digests(documents(spark), path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(wanted, key=repr)
+    coded = encoding.encode_texts(documents(spark).selectExpr("*", "'x' as token_ids", "1 as decoded"), path)
+    back = encoding.decode_ids(coded, path)
+    assert by_key(back, "doc_id", "decoded") == sorted(((i, bytearray((t or "").encode())) for i, t in rows()), key=repr)
+    assert not encoding.round_trip_digests(documents(spark, []), path).collect()
+
+
+def test_rank_queue_keeps_order_where_ranks_fall():
+    # "ab" merges last but starts "abc", which has a lower rank than the second "ab" of the word
+    vocab = [b"a", b"b", b"c", b"abc", b"ab", b"bc"]
+    table = bpe.from_tiktoken(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(vocab)))
+    library = tiktoken.Encoding("own", pat_str=r"[a-c]+", mergeable_ranks={t: i for i, t in enumerate(vocab)}, special_tokens={})
+    words = ["abcab", "ababcabab", "bcabcbc", "abab", "cba", "aabbcc" * 50]
+    assert [x.tolist() for x in table.encode_many([w.encode() for w in words])] == [library.encode_ordinary(w) for w in words]
+
+
+def test_rank_bitmap():
+    bits = bpe.RankBitmap(50_000)
+    for n in (49_999, 4096, 63, 64):
+        bits.add(n)
+    found = []
+    while (n := bits.first()) >= 0:
+        found.append(n)
+        bits.discard(n)
+    assert found == [63, 64, 4096, 49_999]
+
+
+def test_token_counts_as_tokenizers(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    wanted = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in rows()]
+    found = tokencounts.count_tokens(documents(spark).selectExpr("*", "'x' as n_tokens"), P.path("byte_bpe_50k.json"))
+    assert by_key(found, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(wanted, key=repr)
+
+
+def test_flat_ids_as_tokenizers(spark, tmp_path):
+    library, data = Tokenizer.from_file(P.path("word_bpe_49k.json")), [r for r in rows() if r[0] is not None]
+    flatids.write_ids(documents(spark, data), str(tmp_path), P.path("word_bpe_49k.json"), 1, shards=3)
+    found = flatids.read_ids(spark, str(tmp_path), with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == sorted(i for i, _ in data)
+    at, texts = 0, dict(data)
+    for r in found:
+        ids = [*library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+        assert (r["start"], r["n_tokens"], r["token_ids"]) == (at, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    index = json.loads((tmp_path / "index.json").read_text())
+    assert sum((tmp_path / f"ids-{s['shard']}.bin").stat().st_size for s in index["shards"]) == 2 * at
+
+
+def test_flat_ids_of_null_ids_and_of_nothing(spark, tmp_path):
+    flatids.write_ids(documents(spark, [(None, "b"), (3, None), (None, "b")]), str(tmp_path / "a"), P.path("word_bpe_49k.json"), 1, shards=2)
+    assert [r["doc_id"] for r in flatids.read_ids(spark, str(tmp_path / "a")).orderBy("start").collect()] == [None, None, 3]
+    flatids.write_ids(documents(spark, []), str(tmp_path / "b"), P.path("word_bpe_49k.json"), 1, shards=2)
+    assert not flatids.read_ids(spark, str(tmp_path / "b")).collect()
+
+
+def test_text_media(spark):
+    wanted = []
+    for i, t in rows():
+        data = (t or "").encode()
+        payload = data + b"\0" * (-len(data) % 64 if data else 64)
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        wanted.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
+    found = media.text_media(documents(spark))
+    assert by_key(found, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256") == sorted(wanted, key=repr)
+
+
+def test_media_formats(spark):
+    grey = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
+    colour = np.stack([grey, grey // 2, 255 - grey], axis=2)
+    rows24 = b"".join(line[:, ::-1].tobytes().ljust(12, b"\0") for line in colour[::-1])
+    bmp24 = b"BM" + struct.pack("<IHHI", 54 + len(rows24), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 4, 3, 1, 24, 0, len(rows24), 0, 0, 0, 0) + rows24
+    palette = b"".join(bytes([i, 255 - i, 7, 0]) for i in range(256))
+    bmp8 = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 1024) + struct.pack("<IiiHHIIiiII", 40, 4, -3, 1, 8, 0, 12, 0, 0, 0, 0) + palette + grey.tobytes()
+    files = {
+        "p5": (b"P5 # note\n4 3\n255\n" + grey.tobytes(), grey), "p2": (b"P2\n4 3\n255\n" + b" ".join(b"%d" % x for x in grey.ravel()), grey),
+        "p6": (b"P6\n4 3\n255\n" + colour.tobytes(), colour), "p4": (b"P4\n3 2\n" + bytes([0b10100000, 0b01000000]), np.array([[0, 255, 0], [255, 0, 255]])),
+        "p1": (b"P1\n3 2\n101\n010", np.array([[0, 255, 0], [255, 0, 255]])), "wide": (b"P5\n1 1\n65535\n\x01\x02", np.array([[258]])),
+        "bmp24": (bmp24, colour), "bmp8": (bmp8, np.stack([np.full_like(grey, 7), 255 - grey, grey], axis=2)),
+    }
+    for name, (data, image) in files.items():
+        assert np.array_equal(media.decode_media(data), image), name
+    df = spark.createDataFrame([(n, bytearray(d)) for n, (d, _) in files.items()] + [("none", None), ("junk", bytearray(b"P9 junk")), ("cut", bytearray(b"P5\n9 9\n255\n12"))], "name string, image binary")
+    got = {r["name"]: r for r in media.add_tiles(df, "image", side=4).collect()}
+    assert (got["none"]["tile"], got["none"]["media_error"]) == (None, None) and got["junk"]["media_error"] and got["cut"]["media_error"]
+    assert np.load(io.BytesIO(got["p6"]["tile"])).shape == (4, 4, 3) and got["bmp24"]["difference_hash"] == got["p6"]["difference_hash"]
+
+
+def test_area_resize_is_the_mean_of_the_area():
+    image = np.random.default_rng(1).integers(0, 255, (6, 10))
+    assert np.allclose(media.area_resize(image, 3, 5), image.reshape(3, 2, 5, 2).mean(axis=(1, 3)))
+    fine = np.repeat(np.repeat(image, 7, axis=0), 9, axis=1)  # 42 x 90 divides by both sizes
+    assert np.allclose(media.area_resize(image, 7, 9), fine.reshape(7, 6, 9, 10).mean(axis=(1, 3)))
+
+
+def test_license_base(spark):
+    wanted = []
+    for i, t in rows():
+        w = WORD.findall((t or "").translate(LOWER))
+        places, labels = [], set()
+        for phrase, label in {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}.items():
+            p = phrase.split()
+            at = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        wanted.append((i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
+    found = licenses.scan_licenses(documents(spark).selectExpr("*", "1 as score"))
+    assert by_key(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(wanted, key=repr)
+    assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in found.collect())
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("licensed under the gnu general public license v3", ""),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc,cc-by-nc-4.0"), ("licensed under a Creative Commons Attribution 4.0", "cc-by-4.0"),
+        ("The tool is made available under the terms of the MIT License", "mit"), ("made under the MIT licence", ""), ("all rights reserved by us. unauthorized copying", "proprietary"),
+        ("all rights reserved a b c d e f g h i unauthorized copying", ""), ("", ""),
+    ],
+)
+def test_license_templates(text, labels):
+    assert licenses.Scanner(licenses.TEMPLATES).scan(text)["labels"] == labels
+
+
+def brute_spans(text):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found = []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            odd = sum(d * 2 - 9 * (d > 4) if k % 2 else d for k, d in enumerate(digits[::-1]))
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and odd % 10 == 0, "phone": 8 <= len(digits) <= 15}
+            if good[kind]:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_personal_data_base(spark):
+    wanted = []
+    for i, t in rows():
+        found = brute_spans(t or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        wanted.append((i, *(sum(k == n for k, _, _ in found) for n in ("email", "ip", "card", "phone")), hashlib.sha256(listed.encode()).hexdigest()))
+    found = pii.find_personal_data(documents(spark))
+    assert by_key(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(wanted, key=repr)
+    assert not pii.find_personal_data(documents(spark, [])).collect()
+
+
+def test_personal_data_discovers_by_context(spark):
+    data = [(i, f"please write to mailbox: user{i}@mail.example.com thanks") for i in range(30)]
+    data += [(100, "please write to mailbox: user77-at-example thanks"), (101, "version of tool: user77-at-sample thanks")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, data)).collect()}
+    assert found[100] == "email:25:42" and found[101] == "" and found[3] == "email:25:47"
