@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,38 +54,59 @@ def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, toxic, n_words, counts: map of feature to occurrences) of the sampled documents."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, toxic, text) of the sampled documents."""
     chosen = F.broadcast(sample_labels(labels, rows))  # at most `rows` rows of two integers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+
+
+def choose_features(texts: DataFrame, most: int = MAX_FEATURES) -> tuple[list[str], np.ndarray, list[int]]:
+    """The features whose document frequencies differ most between the classes, by the log odds' z score, with their two
+    frequencies, and the two classes' sizes."""
+    classes = [0, 0]
+    for r in texts.groupBy("toxic").count().collect():
+        classes[r["toxic"]] = r["count"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words(t.as_py()) for t in batch["text"]]
-            counts = [list(Counter(f for w in ws for f in features(w)).items()) for ws in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([len(ws) for ws in found], pa.int64()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "toxic", "n_words", "counts"])
+            seen: tuple[Counter, Counter] = Counter(), Counter()
+            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+                seen[toxic].update({f for w in set(words(text.as_py())) for f in features(w)})
+            names = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], names=["feature", "b", "a"])
 
-    return texts.mapInArrow(work, "doc_id long, toxic int, n_words long, counts map<string,long>")
+    counts = texts.select("text", "toxic").mapInArrow(work, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 5")
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (classes[1] + 1.0)) - F.log(b / (classes[0] + 1.0))
+    best = counts.withColumn("z", F.abs(odds / F.sqrt(1 / a + 1 / b))).orderBy(F.desc("z"), "feature").limit(most).collect()
+    return [r["feature"] for r in best], np.array([[r["b"], r["a"]] for r in best], dtype=float).reshape(-1, 2).T, classes
 
 
-def choose_features(counts: DataFrame, most: int = MAX_FEATURES) -> list[str]:
-    """The features whose document frequencies differ most between the classes, by the log odds' z score."""
-    sizes = {r["toxic"]: r["count"] for r in counts.groupBy("toxic").count().collect()}
-    each = counts.select("toxic", F.explode(F.map_keys("counts")).alias("feature"))
-    seen = each.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 5")
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (sizes.get(1, 0) + 1.0)) - F.log(b / (sizes.get(0, 0) + 1.0))
-    return [r[0] for r in seen.select("feature", F.abs(odds / F.sqrt(1 / a + 1 / b)).alias("z")).orderBy(F.desc("z"), "feature").limit(most).collect()]
+def sparse_counts(texts: DataFrame, chosen: list[str]) -> pa.Table:
+    """doc_id, toxic, n_words, at and n (indexes and occurrences of the chosen features) of the sample, by doc_id."""
+    held = texts.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        for batch in batches:
+            sizes, at, n = [], [], []
+            for text in batch["text"]:
+                found = words(text.as_py())
+                counts = Counter(index[f] for w in found for f in features(w) if f in index)
+                sizes.append(len(found))
+                at.append(list(counts))
+                n.append(list(counts.values()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(sizes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "toxic", "n_words", "at", "n"])
+
+    return texts.mapInArrow(work, "doc_id long, toxic int, n_words long, at array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n_words", "ascending")])
 
 
-def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, width: int, steps: int = 600, penalty: float = 5e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(owner: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray, width: int, steps: int = 600, penalty: float = 5e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the proportional-odds model, by full-batch Adam on the mean likelihood.
 
-    Thresholds are a first one and positive gaps, so they stay ordered. `rows` are sparse rows of (feature, value).
+    Thresholds are a first one and positive gaps, so they stay ordered. The sparse features are (row, feature, value).
     """
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.array([c for r in rows for c, _ in r], dtype=np.int64)
-    value = np.array([v for r in rows for _, v in r])
+    rows = len(grades)
     counts = np.maximum(np.bincount(grades, minlength=GRADES), 0.5)
     share = np.cumsum(counts / counts.sum())[:-1]
     start = np.log(share / (1 - share))
@@ -96,16 +118,16 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, width:
 
     for step in range(1, steps + 1):
         w, cuts = theta[:width], np.cumsum(np.concatenate((theta[width : width + 1], np.exp(theta[width + 1 :]))))
-        score = np.bincount(owner, weights=value * w[column], minlength=len(rows))
+        score = np.bincount(owner, weights=value * w[column], minlength=rows)
         edges = np.concatenate(([-np.inf], cuts, [np.inf]))
         low, high = logistic(edges[grades] - score), logistic(edges[grades + 1] - score)
         low[grades == 0], high[grades == GRADES - 1] = 0, 1
         chance = np.maximum(high - low, 1e-9)
         d_low, d_high = low * (1 - low), high * (1 - high)
-        by_score = (d_high - d_low) / chance / len(rows)  # of the negative log likelihood
+        by_score = (d_high - d_low) / chance / rows  # of the negative log likelihood
         by_cut = np.zeros(GRADES + 1)
-        np.add.at(by_cut, grades + 1, -d_high / chance / len(rows))
-        np.add.at(by_cut, grades, d_low / chance / len(rows))
+        np.add.at(by_cut, grades + 1, -d_high / chance / rows)
+        np.add.at(by_cut, grades, d_low / chance / rows)
         inner = by_cut[1:GRADES]
         gaps = np.cumsum(inner[::-1])[::-1]
         grad = np.concatenate((np.bincount(column, weights=value * by_score[owner], minlength=width) + penalty * w, gaps[:1], gaps[1:] * np.exp(theta[width + 1 :])))
@@ -114,7 +136,7 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, width:
     return theta[:width], np.cumsum(np.concatenate((theta[width : width + 1], np.exp(theta[width + 1 :]))))
 
 
-def rate(count: float, n_words: int) -> float:
+def rate(count, n_words):
     """Occurrences per 100 words; 20 words more keep short texts from extremes."""
     return 100 * count / (n_words + 20)
 
@@ -126,26 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
     toxic documents have ten times as often as others. Without both classes among the labels the model has no
     weights, and every document gets grade 0.
     """
-    counts = labelled_counts(docs, labels, rows)
-    chosen = choose_features(counts, most)
-    at = {f: i for i, f in enumerate(chosen)}
-    held = docs.sparkSession.sparkContext.broadcast(at)  # at most `most` strings
-    pick = F.udf(lambda keys: [held.value.get(k, -1) for k in keys], "array<int>")
-    pairs = F.arrays_zip(pick(F.map_keys("counts")).alias("at"), F.map_values("counts").alias("n"))
-    sparse = counts.select("doc_id", "toxic", "n_words", F.filter(pairs, lambda x: x["at"] >= 0).alias("found")).orderBy("doc_id", "n_words").collect()
-    toxic = np.array([r["toxic"] for r in sparse], dtype=np.int64)
-    if not 0 < toxic.sum() < len(toxic):
+    texts = labelled_texts(docs, labels, rows)
+    chosen, seen, classes = choose_features(texts, most)
+    if not all(classes) or not chosen:
         return Model({}, (1e3, 1e3 + 1, 1e3 + 2))
-    table = [[(x["at"], rate(x["n"], r["n_words"])) for x in r["found"]] for r in sparse]
-    seen = np.zeros((2, len(chosen)))
-    for y, row in zip(toxic, table, strict=True):
-        seen[y, [c for c, _ in row]] += 1
-    share = (seen + 0.5) / (np.bincount(toxic, minlength=2)[:, None] + 1)
+    sparse = sparse_counts(texts, chosen)
+    toxic, sizes = sparse["toxic"].to_numpy(), sparse["n_words"].to_numpy()
+    at, n = sparse["at"].combine_chunks(), sparse["n"].combine_chunks()
+    column = at.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(toxic)), pc.list_value_length(at).to_numpy())
+    value = rate(n.flatten().to_numpy(), sizes[owner])
+    share = (seen + 0.5) / (np.array(classes)[:, None] + 1)
     strong = share[1] > 10 * share[0]
-    intensity = np.array([sum(v for c, v in row if strong[c]) for row in table])
+    intensity = np.bincount(owner, weights=value * strong[column], minlength=len(toxic))
     bounds = np.quantile(intensity[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + (intensity[:, None] > bounds).sum(axis=1), 0)
-    weights, thresholds = fit_ordinal(table, grades, len(chosen))
+    weights, thresholds = fit_ordinal(owner, column, value, grades, len(chosen))
     return Model({f: float(w) for f, w in zip(chosen, weights, strict=True)}, tuple(map(float, thresholds)))
 
 
