@@ -1,4 +1,9 @@
 """The library's queries over the driver's tables, with the SQL of each."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from estatelens.plans import changes, core, dashboard, evidence, graphs, texts
+
+_MODULES = (core, dashboard, changes, evidence, graphs, texts)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1,10 +1,12 @@
-"""Graph jobs: connected components by alternating stars."""
+"""Graph jobs: connected components by alternating stars, and what stands on them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.functions.text import canonical_key, normalize_rule_text
 from estatelens.storage import checkpointed
 
 
@@ -44,3 +46,124 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     labels = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def resolve_dependencies(deps: DataFrame, objects: DataFrame) -> DataFrame:
+    """Dependencies with target_id: by canonical key if the target is typed, else the smallest id of that upper-case name
+    in the assessment. Unresolved and self dependencies go.
+
+    deps: id, assessment_id, source_object_id, target_name, target_type; objects: id, assessment_id, object_name, canonical_key.
+    """
+    by_key = objects.groupBy(F.col("assessment_id").alias("_a1"), F.col("canonical_key").alias("_key")).agg(F.min("id").alias("_by_key"))
+    by_name = objects.groupBy(F.col("assessment_id").alias("_a2"), F.upper("object_name").alias("_name")).agg(F.min("id").alias("_by_name"))
+    keyed = deps.withColumn("_target_key", canonical_key(F.col("target_type"), F.col("target_name")))
+    joined = keyed.join(by_key, (F.col("assessment_id") == F.col("_a1")) & (F.col("_target_key") == F.col("_key")), "left").join(by_name, (F.col("assessment_id") == F.col("_a2")) & (F.upper("target_name") == F.col("_name")), "left")
+    found = joined.withColumn("target_id", F.coalesce("_by_key", "_by_name")).where("target_id is not null and target_id <> source_object_id")
+    return found.select(*deps.columns, "target_id")
+
+
+def package_links(objects: DataFrame, findings: DataFrame, correlations: DataFrame, records: DataFrame) -> DataFrame:
+    """(src, dst, package_name) stars: the smallest object of each package with every other one.
+
+    Packages come from findings and from matched records; a star has one edge fewer than the package has objects, so a
+    large package never becomes all its pairs.
+    """
+    of_findings = findings.where("target_id is not null").select(F.col("target_id").alias("id"), "package_name")
+    matched = correlations.where("status in ('MATCHED_EXACT', 'MATCHED_HEURISTIC')").select("record_id", F.col("target_id").alias("id"))
+    of_records = matched.join(records.select(F.col("id").alias("record_id"), "package_name"), "record_id").select("id", "package_name")
+    members = of_findings.unionByName(of_records).where("package_name is not null and package_name <> ''").distinct().join(objects.select("id", "assessment_id"), "id")
+    anchors = members.groupBy("assessment_id", "package_name").agg(F.min("id").alias("src"))
+    return members.join(anchors, ["assessment_id", "package_name"]).where("id <> src").select("src", F.col("id").alias("dst"), "package_name")
+
+
+def build_clusters(objects: DataFrame, deps: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, signals): id, cluster_id of every object, and every link inside a cluster.
+
+    Links are the resolved dependencies and the package stars; a cluster's id is its smallest object. Signals keep
+    parallel links and are numbered pair by pair in the order in which a pair was first linked, dependencies before packages.
+    """
+    resolved = resolve_dependencies(deps, objects).select(F.col("source_object_id").alias("src"), F.col("target_id").alias("dst"), F.lit("DEPENDENCY").alias("signal_type"), F.concat_ws(" ", "dep_type", "target_name").alias("description"), F.col("id").alias("dependency_id"))
+    stars = packages.select("src", "dst", F.lit("SHARED_PACKAGE").alias("signal_type"), F.col("package_name").alias("description"), F.lit(None).cast("long").alias("dependency_id"))
+    links = resolved.unionByName(stars)
+    parts = connected_components(objects.select(F.col("id").alias("node")), links).select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+    inside = links.join(parts.withColumnRenamed("id", "src"), "src")
+    pair = [F.least("src", "dst"), F.greatest("src", "dst")]
+    turn = F.struct((F.col("signal_type") != "DEPENDENCY").alias("late"), F.coalesce("dependency_id", F.lit(0).cast("long")).alias("d"), F.col("description").alias("p"))
+    placed = inside.withColumns({"_a": pair[0], "_b": pair[1], "_turn": turn})
+    firsts = placed.groupBy("_a", "_b").agg(F.min("_turn").alias("_first"))
+    order = Window.partitionBy("cluster_id").orderBy("_first", "_a", "_b", "_turn")
+    signals = placed.join(firsts, ["_a", "_b"]).withColumn("position", F.row_number().over(order))
+    return parts, signals.select("cluster_id", "position", "signal_type", "src", "dst", "description", "dependency_id")
+
+
+def assign_applications(clusters: DataFrame, objects: DataFrame, apps: DataFrame) -> DataFrame:
+    """(assessment_id, cluster_id, application_id, is_new): old applications carried over to clusters.
+
+    A cluster that touches a USER_RENAMED or MERGED application is left out. The others, by ascending id, take the
+    application with which they share most members (ties: smaller id) if that is at least half of them and no
+    earlier cluster took it; else they are new, with an id made from the cluster. clusters: id, cluster_id; objects:
+    id, assessment_id, application_id. Only clusters that want the same applications depend on each other, so
+    the claims are settled one connected group of them at a time, over counts and not over members.
+    """
+    members = clusters.join(objects.select("id", "assessment_id", "application_id"), "id")
+    kept = apps.where("status in ('USER_RENAMED', 'MERGED')").select(F.col("id").alias("application_id"))
+    touched = members.join(kept, "application_id", "left_semi").select("assessment_id", "cluster_id").distinct()
+    free = members.join(touched, ["assessment_id", "cluster_id"], "left_anti")
+    sizes = free.groupBy("assessment_id", "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    known = apps.where("status not in ('USER_RENAMED', 'MERGED')").select(F.col("id").alias("application_id"))
+    shared = free.join(known, "application_id", "left_semi").groupBy("assessment_id", "cluster_id", "application_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = checkpointed(shared.join(sizes, ["assessment_id", "cluster_id"]).where("n * 2 >= size"))  # two a cluster at most
+    ends = wanted.select((F.col("cluster_id") * 2).alias("src"), (F.col("application_id") * 2 + 1).alias("dst"))
+    groups = connected_components(ends.select(F.explode(F.array("src", "dst")).alias("node")), ends)
+    grouped = wanted.join(groups.where("node % 2 = 0").select(F.expr("node div 2").alias("cluster_id"), "component"), "cluster_id")
+
+    def claim(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, found = set(), []
+        for (assessment, cluster), own in rows.sort_values(["cluster_id", "n", "application_id"], ascending=[True, False, True]).groupby(["assessment_id", "cluster_id"], sort=False):
+            left = [a for a in own["application_id"] if a not in taken]
+            if left:
+                taken.add(left[0])
+                found.append((assessment, cluster, left[0]))
+        return pd.DataFrame(found, columns=["assessment_id", "cluster_id", "application_id"])
+
+    claims = grouped.groupBy("component").applyInPandas(claim, "assessment_id long, cluster_id long, application_id long")
+    every = sizes.join(claims, ["assessment_id", "cluster_id"], "left")
+    return every.select("assessment_id", "cluster_id", F.coalesce("application_id", F.xxhash64("assessment_id", "cluster_id")).alias("application_id"), F.col("application_id").isNull().alias("is_new"))
+
+
+def drop_empty_applications(apps: DataFrame, objects: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applications, embeddings) without applications that have no members and are neither renamed nor merged."""
+    used = objects.where("application_id is not null").select(F.col("application_id").alias("id")).distinct()
+    empty = apps.where("status not in ('USER_RENAMED', 'MERGED')").join(used, "id", "left_anti").select("id")
+    gone = empty.select(F.col("id").alias("entity_id"), F.lit("APPLICATION").alias("entity_type"))
+    return apps.join(empty, "id", "left_anti").select(*apps.columns), embeddings.join(gone, ["entity_id", "entity_type"], "left_anti").select(*embeddings.columns)
+
+
+def consolidate_rules(rules: DataFrame) -> DataFrame:
+    """Rules with duplicates merged: same assessment, type and normalised condition and action.
+
+    The survivor is the first user-validated rule, else the one with the smallest id; it takes over the others' refs.
+    Other rules become MERGED with consolidated_into_id, but validated ones stay as they are. Merged rules are not
+    looked at again.
+    """
+    from estatelens.operators.changes import fold_refs
+
+    live = rules.where("status <> 'MERGED'")
+    keys = ["assessment_id", "rule_type", normalize_rule_text(F.col("condition")), normalize_rule_text(F.col("action"))]
+    order = Window.partitionBy(*keys).orderBy(F.desc("user_validated"), F.asc("id"))
+    ranked = live.withColumns({"_survivor": F.first("id").over(order), "_rank": F.row_number().over(order)})
+    merged = ranked.where("_rank > 1").withColumn("survivor", F.col("_survivor"))
+    folded = fold_refs(live, merged).withColumnsRenamed({"id": "_id", "evidence_refs": "_refs"})
+    out = ranked.join(folded, F.col("id") == F.col("_id"), "left")
+    loses = (F.col("_rank") > 1) & ~F.coalesce("user_validated", F.lit(False))
+    changed = out.withColumns({
+        "status": F.when(loses, "MERGED").otherwise(F.col("status")), "consolidated_into_id": F.when(loses, F.col("_survivor")).otherwise(F.col("consolidated_into_id")),
+        "evidence_refs": F.when(F.col("_rank") == 1, F.coalesce("_refs", "evidence_refs")).otherwise(F.col("evidence_refs")),
+    })
+    return changed.select(*rules.columns).unionByName(rules.where("status = 'MERGED'"))
+
+
+def inbound_counts(objects: DataFrame, deps: DataFrame) -> DataFrame:
+    """(id, n_inbound) of every object: resolved dependencies that point at it; 0 means unreferenced."""
+    counts = resolve_dependencies(deps, objects).groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_inbound"))
+    return objects.select("id").join(counts, "id", "left").select("id", F.coalesce("n_inbound", F.lit(0).cast("long")).alias("n_inbound"))
