@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from estatelens.functions.text import strip_all
 
 #: Where lines end: all of Unicode's line ends, as the parsers' line numbers count them.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 ATTRIBUTES = "struct<methods:array<string>,superclass:string,importing:array<string>,exporting:array<string>,tables:array<string>,select_options:array<string>,parameters:array<string>,fields:array<string>,fixed_values:array<string>,table_type:string,delivery_class:string,data_type:string,length:string>"
 FIELDS = [f.split(":") for f in ATTRIBUTES[7:-1].split(",")]
 CLASS_DEF, METHOD, ENDCLASS, INHERITS = r"(?iU)^\s*CLASS\s+(\w+)\s+DEFINITION", r"(?iU)^\s*METHODS?\s*:?\s*(\w+)", r"(?iU)^\s*ENDCLASS\s*\.", r"(?iU)INHERITING\s+FROM\s+(\w+)"
@@ -310,7 +310,7 @@ def listing_blocks(raw: Column) -> Column:
 def strip_listing_html(df: DataFrame, raw: str = "content", out: str = "code") -> DataFrame:
     """Add the plain text of an HTML code listing; a page without code blocks gives the empty text."""
     marked = df.withColumn("_joined", F.array_join(listing_blocks(F.col(raw)), "\x02"))
-    clean = F.replace(unescape_html(F.col("_joined")), F.lit(" "), F.lit(" "))
+    clean = F.replace(unescape_html(F.col("_joined")), F.lit("\xa0"), F.lit(" "))
     return marked.withColumn("_joined", clean).withColumn(out, strip_all(F.array_join(F.transform(F.split("_joined", "\x02", -1), lambda b: F.regexp_replace(b, r"^\n+|\n+$", "")), "\n"))).drop("_joined")
 
 

@@ -62,10 +62,10 @@ def u7_changed_files(i):
     return C.changed_files(new, old).select("rel_path")
 
 
-@query("SELECT l_orderkey AS id, string_agg(ref_id, ',' ORDER BY first) AS refs FROM (SELECT l_orderkey, l_suppkey % 7 AS ref_id, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT l_orderkey AS id, string_agg(ref_id, ',' ORDER BY first) AS refs FROM (SELECT l_orderkey, l_suppkey % 7 AS ref_id, min((l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey) AS first FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def u9_fold_refs(i):
     # every line is a rule with one ref; the order's first line survives
-    lines = i.sql("SELECT l_orderkey AS survivor, l_linenumber * 1000000 + l_partkey AS id, CAST(l_suppkey % 7 AS STRING) AS ref FROM lineitem").withColumn("evidence_refs", F.array(F.struct(F.col("ref").alias("ref_id"), F.lit("X").alias("source_type"), F.lit(1).cast("long").alias("entity_id"))))
+    lines = i.sql("SELECT l_orderkey AS survivor, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS id, CAST(l_suppkey % 7 AS STRING) AS ref FROM lineitem").withColumn("evidence_refs", F.array(F.struct(F.col("ref").alias("ref_id"), F.lit("X").alias("source_type"), F.lit(1).cast("long").alias("entity_id"))))
     empty = lines.select(F.col("survivor").alias("id"), F.filter("evidence_refs", lambda r: F.lit(False)).alias("evidence_refs")).dropDuplicates(["id"])
     return C.fold_refs(empty, lines).select("id", F.array_join(F.transform("evidence_refs", lambda r: r["ref_id"]), ",").alias("refs"))
 

@@ -64,10 +64,10 @@ def j8_object_evidence(i):
     return found.select("record_id", "target_id", "status", "method", "dataset_id", "dataset_name")
 
 
-@query("SELECT d.dataset_id, d.id AS detail_id, p.id AS issue_id FROM (SELECT dataset_id, id, capability FROM records WHERE id % 10 = 2) d JOIN (SELECT dataset_id, id FROM records WHERE id % 10 = 1) p ON d.dataset_id = p.dataset_id AND d.id // 10 = p.id // 10", "records")
+@query("SELECT d.dataset_id, d.id AS detail_id, p.id AS issue_id FROM (SELECT * FROM records WHERE line = 2) d JOIN (SELECT * FROM records WHERE line = 1) p ON d.dataset_id = p.dataset_id AND d.order_id = p.order_id", "records")
 def j10_details_to_parent(i):
-    rows = i.records.select("dataset_id", "id", F.create_map(F.lit("DETAILS_REF"), F.expr("cast(id div 10 as string)")).alias("payload"))
-    return C.details_to_parent(rows.where("id % 10 = 2"), rows.where("id % 10 = 1")).select("dataset_id", "detail_id", "issue_id")
+    rows = i.records.select("dataset_id", "id", "line", F.create_map(F.lit("DETAILS_REF"), F.col("order_id").cast("string")).alias("payload"))
+    return C.details_to_parent(rows.where("line = 2"), rows.where("line = 1")).select("dataset_id", "detail_id", "issue_id")
 
 
 @query(_EVIDENCE + "SELECT usage_level, count(DISTINCT target_id) AS n FROM matched WHERE capability = 'USAGE_SIGNAL' AND usage_level IS NOT NULL AND status LIKE 'MATCHED%' GROUP BY 1", "objects records")

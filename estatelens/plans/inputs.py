@@ -6,7 +6,7 @@ INPUTS = {
         UNION ALL SELECT 1, s_suppkey + 1000000, s_name, 'CUSTOMER' FROM supplier WHERE s_suppkey % 10 = 0
         UNION ALL SELECT 1, s_suppkey + 2000000, s_name, 'SUPPLIER' FROM supplier WHERE s_suppkey % 25 = 0""",
     "records": """
-        SELECT 1 AS assessment_id, l_orderkey * 10 + l_linenumber AS id, l_orderkey % 20 AS dataset_id,
+        SELECT 1 AS assessment_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_orderkey % 20 AS dataset_id, l_orderkey AS order_id, l_linenumber AS line,
                CASE WHEN l_linenumber = 7 THEN NULL WHEN l_quantity < 3 THEN '  ' WHEN l_linenumber = 6 THEN concat('Part#', CAST(l_partkey AS VARCHAR(20)))
                     ELSE concat(' supplier#', lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0'), ' ') END AS object_name,
                CASE WHEN l_returnflag = 'R' THEN 'supplier' WHEN l_returnflag = 'A' THEN 'report' ELSE '' END AS object_type,
@@ -41,7 +41,7 @@ INPUTS = {
         SELECT CAST(1 AS INT) AS assessment_id, conv_id * 100 + turn AS id, conv_id AS sap_object_id, role AS rule_type, CASE WHEN turn % 2 = 0 THEN concat('  ', upper(substring(text, 1, 6))) ELSE concat(lower(substring(text, 1, 6)), ' ') END AS condition,
                CAST('stop' AS VARCHAR(10)) AS action, CASE WHEN conv_id % 17 = 0 THEN 'MERGED' ELSE 'CANDIDATE' END AS status, conv_id % 5 = 0 AS user_validated, CAST(NULL AS BIGINT) AS consolidated_into_id, CAST(turn AS DOUBLE) / 10 AS confidence
         FROM conversations WHERE text IS NOT NULL""",
-    "cited": "SELECT l_orderkey AS id, l_linenumber AS pos, concat('EVD-', CAST(l_suppkey % 30 AS VARCHAR(20))) AS ref_id, l_suppkey % 30 < 20 AS known, l_returnflag FROM lineitem",
+    "cited": "SELECT l_orderkey AS id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS pos, concat('EVD-', CAST(l_suppkey % 30 AS VARCHAR(20))) AS ref_id, l_suppkey % 30 < 20 AS known, l_returnflag FROM lineitem",
 }
 
 

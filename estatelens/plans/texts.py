@@ -10,7 +10,7 @@ query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\.html?$') THEN 'abap_source' ELSE 'other' END AS category FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat(split_part(url, '?', 1), '.html') ELSE concat('/x/', CAST(page_id AS VARCHAR)) END AS url FROM pages)")
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '[^/]\\.html?$') THEN 'abap_source' ELSE 'other' END AS category FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat(split_part(url, '?', 1), '.html') ELSE concat('/x/', CAST(page_id AS VARCHAR)) END AS url FROM pages)")
 def x1_classify_path(i):
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.substring_index("url", "?", 1), F.lit(".html"))).otherwise(F.concat(F.lit("/x/"), F.col("page_id").cast("string")))
     return i.table("pages").select("page_id", T.classify_path(url).alias("category"))

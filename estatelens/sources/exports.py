@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import record_fingerprint, strip_all
+from estatelens.operators.extract import lines_of
 from estatelens.sources.files import decoded
 
 CHUNK = "dataSet struct<serviceName:string,serviceDescr:string,serviceType:string,keyFigureId:string,timestamp:string,completed:string,header:array<string>,data:array<array<string>>>"
@@ -79,12 +80,12 @@ def _columns(row: Column) -> Column:
 
 
 RULE = "^-{10,}$"
-LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+
 
 
 def _boxed_lines(files: DataFrame) -> DataFrame:
     """file, pos, line, n_rules (rule lines up to here); a box lies between an odd and the following even rule line."""
-    lines = files.select("file", F.posexplode(F.split("text", LINES)).alias("pos", "line")).withColumn("line", strip_all(F.col("line")))
+    lines = files.select("file", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("line", strip_all(F.col("line")))
     rules = F.sum(F.col("line").rlike(RULE).cast("int")).over(Window.partitionBy("file").orderBy("pos"))
     return lines.withColumn("n_rules", rules)
 
