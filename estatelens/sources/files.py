@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     An empty tree gives no rows. Spark reads a file whole, so files of more than 2 GB are for the readers of their format.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit("/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/")
-    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), r"\+", "%2B"))
+    base = "/" + re.sub(r"^[a-z]+:(//[^/]*)?", "", root).strip("/") + "/"
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), r"\+", "%2B")
+    path = F.coalesce(F.try_url_decode(path), path)
     rel = F.replace(F.substring_index(path, base, -1), F.lit("\\"), F.lit("/"))
     return raw.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), classify_path(rel).alias("category"), "content")
 
