@@ -126,12 +126,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
 
     A text without hits (or null) stays as it is.
     """
-    hits = find_hits(docs, benchmark, size).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
+    hits = find_hits(docs, benchmark, size).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     cased = WORD.replace(r"\x60", r"\x40\x5B-\x60")  # the word pattern before lower-casing
-    words = F.regexp_extract_all(F.col("text"), F.lit(cased), F.lit(0))
-    gaps = F.split(F.col("text"), cased, -1)
-    kept = F.zip_with(gaps, words, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
-    inside = F.transform(kept, lambda pair, i: F.when(pair["word"].isNull(), pair["gap"]).when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(F.concat(pair["gap"], pair["word"])))
-    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(inside, ""))
-    return joined.withColumn("text", text).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("words_of"))
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    words = F.regexp_extract_all(F.col("words_of"), F.lit(cased), F.lit(0))
+    pairs = F.zip_with(F.split("words_of", cased, -1), words, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+
+    def hit(i: Column) -> Column:
+        return F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+
+    inside = F.transform(pairs, lambda pair, i: F.when(pair["word"].isNull(), pair["gap"]).when(hit(i), F.lit("")).otherwise(F.concat(pair["gap"], pair["word"])))
+    text = F.when(F.col("_spans").isNull(), F.col("words_of")).otherwise(F.array_join(inside, ""))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -151,22 +151,26 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     docs = df.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _unit_rows(docs, with_text=False).join(repeated_units(docs), "hash")
     spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("hash", "first", "last", "first_doc")).alias("_spans"))
-    joined = df.select(*kept).withColumn("_key", key).join(spans, F.col("_key") == F.col("_id"), "left").drop("_id")
-    schema = joined.select(*kept, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
+    # the row travels as one struct, so no column of df can clash with a helper's
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), key.alias("key"))
+    joined = rows.join(spans, F.col("key") == F.col("_id"), "left").select("row", "key", "_spans")
+    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
+    at = kept.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, own, found in zip(batch["text"], batch["_key"].to_pylist(), batch["_spans"], strict=True):
+            fields = batch["row"].flatten()
+            made = []
+            for text, own, found in zip(fields[at], batch["key"].to_pylist(), batch["_spans"], strict=True):
                 text = text.as_py()
                 if text is None:
-                    rows.append((None, 0, 0))
+                    made.append((None, 0, 0))
                 elif not found.is_valid:
-                    rows.append((text, text.count("\n") + 1, 0))
+                    made.append((text, text.count("\n") + 1, 0))
                 else:
-                    rows.append(kept_lines(text, own, found.as_py()))
-            texts, lines, removed = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
+                    made.append(kept_lines(text, own, found.as_py()))
+            texts, lines, removed = zip(*made, strict=True) if made else ((), (), ())
+            fields[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*fields, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
 
     return joined.mapInArrow(work, schema)
