@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression (operator 5).
 
 One weight vector over sparse text features serves all ordered thresholds:
-P(grade <= k) = sigmoid(threshold_k - w x). Features are words and word beginnings, in occurrences per 100 words.
+P(grade <= k) = sigmoid(threshold_k - w x). Features are words and word beginnings, by the logarithm of their counts.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def sparse_counts(texts: DataFrame, chosen: list[str]) -> pa.Table:
     return texts.mapInArrow(work, "doc_id long, toxic int, n_words long, at array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n_words", "ascending")])
 
 
-def fit_ordinal(owner: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray, width: int, steps: int = 600, penalty: float = 5e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(owner: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray, width: int, steps: int = 600, penalty: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the proportional-odds model, by full-batch Adam on the mean likelihood.
 
     Thresholds are a first one and positive gaps, so they stay ordered. The sparse features are (row, feature, value).
@@ -136,9 +136,10 @@ def fit_ordinal(owner: np.ndarray, column: np.ndarray, value: np.ndarray, grades
     return theta[:width], np.cumsum(np.concatenate((theta[width : width + 1], np.exp(theta[width + 1 :]))))
 
 
-def rate(count, n_words):
-    """Occurrences per 100 words; 20 words more keep short texts from extremes."""
-    return 100 * count / (n_words + 20)
+def strength(count, n_words):
+    """A feature's value: growing with the logarithm of its count, so junk repeats add little, and falling slowly with
+    the length of the text."""
+    return 4 * np.log1p(count) / (n_words + 20) ** 0.3
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = MAX_FEATURES) -> Model:
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
     at, n = sparse["at"].combine_chunks(), sparse["n"].combine_chunks()
     column = at.flatten().to_numpy()
     owner = np.repeat(np.arange(len(toxic)), pc.list_value_length(at).to_numpy())
-    value = rate(n.flatten().to_numpy(), sizes[owner])
+    value = strength(n.flatten().to_numpy(), sizes[owner])
     share = (seen + 0.5) / (np.array(classes)[:, None] + 1)
     strong = share[1] > 10 * share[0]
     intensity = np.bincount(owner, weights=value * strong[column], minlength=len(toxic))
@@ -180,14 +181,19 @@ def score(df: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = held.value, {}
-        weight_of = model.weights.get
+        weights = model.weights
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 found = words(text.as_py())
-                for w in set(found).difference(memo):
-                    memo[w] = sum(weight_of(f, 0.0) for f in features(w))
-                chances = model.grade(rate(sum(map(memo.__getitem__, found)), len(found)))
+                counts: Counter = Counter()
+                for w, n in Counter(found).items():
+                    if w not in memo:
+                        memo[w] = [f for f in features(w) if f in weights]
+                    for f in memo[w]:
+                        counts[f] += n
+                each = strength(np.fromiter(counts.values(), float, len(counts)), len(found))
+                chances = model.grade(float(each @ np.fromiter(map(weights.__getitem__, counts), float, len(counts))))
                 severity = sum(k * p for k, p in enumerate(chances))
                 p_toxic = 1 - chances[0]
                 rows.append((int(np.argmax(chances)), round(float(severity), 9), round(float(p_toxic), 9), bool(p_toxic >= reject_at)))
