@@ -312,3 +312,36 @@ def dataset_status(manifest: DataFrame) -> DataFrame:
         "status": F.when(F.col("error").isNotNull(), "FAILED").when(full, "FULL").otherwise("PARTIAL"),
         "warnings": F.when(F.col("error").isNull() & hollow, F.concat("warnings", F.array(F.lit("capabilities were found but no rows")))).otherwise(F.col("warnings")),
     })
+
+
+def assessment_catalog(summary: DataFrame, drilldown: DataFrame, apps: DataFrame, findings: DataFrame, runs: DataFrame, technical: DataFrame, full_limit: int = 1500, with_objects: bool = True, assessment_id: int | None = None) -> DataFrame:
+    """assessment_id, ref_id, source_type, entity_id, summary: the table of all that an answer about an assessment may cite.
+
+    One row for the KPIs (dashboard_summary), one for each recommendation's objects, one for the current findings by
+    priority, one for each application that is not merged (with its first members), the newest HIGH findings, and the object list or
+    its groups. Every ref_id occurs once in an assessment.
+    """
+    none = F.lit(None).cast("long")
+
+    def shaped(df: DataFrame, ref, kind: str, entity, text) -> DataFrame:
+        return df.select("assessment_id", ref.alias("ref_id"), F.lit(kind).alias("source_type"), entity.alias("entity_id"), text.alias("summary"))
+
+    figures = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in summary.columns if c != "assessment_id"]
+    out = shaped(of(summary, assessment_id), F.lit("SUMMARY"), "DASHBOARD", none, F.concat_ws(", ", *figures))
+    shares = _by_recommendation(of(drilldown, assessment_id))
+    out = out.unionByName(shaped(shares, F.concat(F.lit("CATEGORY-"), "recommendation"), "CATEGORY", none, F.concat_ws(": ", "recommendation", F.col("n").cast("string"))))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("priority", "n"))), lambda x: F.concat_ws("=", x["priority"], x["n"].cast("string")))
+    priorities = atc_by_priority(findings, runs, assessment_id).groupBy("assessment_id").agg(F.array_join(listed, ", ").alias("s"))
+    out = out.unionByName(shaped(priorities, F.lit("ATC"), "ATC_SUMMARY", none, F.col("s")))
+    members = application_members(apps, drilldown, assessment_id=assessment_id).withColumnRenamed("application_id", "id")
+    named = of(apps, assessment_id).where("status <> 'MERGED'").join(members, "id", "left")
+    more = F.when(F.col("n_more") > 0, F.concat(F.lit("+"), F.col("n_more").cast("string")))
+    out = out.unionByName(shaped(named, F.concat(F.lit("APP-"), F.col("id").cast("string")), "APPLICATION", F.col("id"), F.concat_ws(" | ", "name", F.array_join("members", ", "), more)))
+    worst = critical_sample(technical, assessment_id=assessment_id)
+    out = out.unionByName(shaped(worst, F.concat(F.lit("TF-"), F.col("id").cast("string")), "TECHNICAL_FINDING", F.col("id"), F.col("title")))
+    if with_objects:
+        objects = object_catalog(drilldown, full_limit, assessment_id=assessment_id)
+        text = F.when(F.col("kind") == "object", F.col("label")).otherwise(F.concat_ws(": ", "label", F.concat_ws(" of ", F.array_join("names", ", "), F.col("n").cast("string"))))
+        listed_objects = shaped(objects, F.concat(F.upper("kind"), F.lit("-"), F.col("label")), "OBJECT_LIST", none, text)
+        out = out.unionByName(listed_objects.dropDuplicates(["assessment_id", "ref_id"]))
+    return out

@@ -197,3 +197,15 @@ def r7_objects_with_checks(i):
 @query("SELECT assessment_id, target_id AS object_id, count(*) AS n FROM findings WHERE priority = 1 AND change_category = 'F' AND target_id IS NOT NULL GROUP BY 1, 2", "findings")
 def r8_upgrade_risk(i):
     return R.upgrade_risk(i.findings, "F")
+
+
+@query(_RUN + """, own1 AS (SELECT 1 AS assessment_id, p.id, p.object_name, p.application_id, a.recommendation FROM parts p LEFT JOIN assessments a ON p.application_id = a.application_id)
+SELECT concat('CATEGORY-', coalesce(recommendation, 'UNCLASSIFIED')) AS ref_id, concat(coalesce(recommendation, 'UNCLASSIFIED'), ': ', CAST(count(*) AS VARCHAR)) AS summary FROM own1 GROUP BY recommendation
+UNION ALL SELECT 'ATC', string_agg(concat(p, '=', CAST(n AS VARCHAR)), ', ' ORDER BY p) FROM (SELECT coalesce(CAST(priority AS VARCHAR), 'none') AS p, count(*) AS n FROM cur GROUP BY 1)
+UNION ALL SELECT concat('TF-', CAST(id AS VARCHAR)), concat_ws(': ', check_title, check_message) FROM (SELECT * FROM findings WHERE priority = 1 ORDER BY id DESC LIMIT 5)""", "findings parts assessments")
+def a16_assessment_catalog(i):
+    rows = drilldown(i).withColumn("assessment_id", F.lit(1))
+    technical = D.derive_technical_findings(i.findings).withColumn("id", F.col("atc_finding_id"))
+    summary = D.count_custom(rows)
+    found = D.assessment_catalog(summary, rows, i.apps, i.findings, i.runs, technical, with_objects=False)
+    return found.where("source_type in ('CATEGORY', 'ATC_SUMMARY', 'TECHNICAL_FINDING')").select("ref_id", "summary")
