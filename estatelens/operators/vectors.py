@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import short_payload
@@ -61,32 +61,42 @@ def hash_embedder(dims: int = 32) -> Callable[[list[str]], list[list[float]]]:
     return model
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, types: list[str] | None = None, block: int = 256) -> DataFrame:
+def _parts(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """(assessment_id, name): how many blocks of about `block` rows an assessment's rows make."""
+    return rows.groupBy("assessment_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, types: list[str] | None = None, query_block: int = 1024, vector_block: int = 4096) -> DataFrame:
     """query_id, entity_type, entity_id, score, rank: the k nearest of each query among its assessment's vectors.
 
-    queries: query_id, assessment_id, vector; vectors: assessment_id, entity_type, entity_id, vector. Exact: queries are
-    packed into matrices of `block` rows and every batch of vectors is multiplied with each matrix of its assessment, so a
-    batch hands on at most k rows a query. Ties go to the smaller entity_id; zero vectors score NaN and come last.
+    queries: query_id, assessment_id, vector; vectors: assessment_id, entity_type, entity_id, vector. Exact: queries and
+    vectors are dealt into blocks by hash and every pair of blocks of an assessment is one matrix product in a group of
+    bounded size, which hands on at most k rows a query. Ties go to the smaller entity_id; zero vectors score
+    NaN and come last. A null vector is no vector; an assessment without queries or vectors gives no rows.
     """
-    own = vectors if types is None else vectors.where(F.col("entity_type").isin(*types))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("assessment_id")) / block)))
-    packed = packed.groupBy("assessment_id", "block").agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    joined = own.select("assessment_id", "entity_type", "entity_id", "vector").join(packed, "assessment_id")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for _, part in rows.groupby(["assessment_id", "block"], sort=False):
-                asked = part["queries"].iloc[0]
-                q = np.stack([np.asarray(x["vector"], dtype=np.float64) for x in asked])
-                v = np.stack(part["vector"].map(lambda x: np.asarray(x, dtype=np.float64)).tolist())
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    scores = (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :]
-                ids = part["entity_id"].to_numpy()
-                kinds = part["entity_type"].to_numpy()
-                for x, line in zip(asked, scores, strict=True):
-                    best = np.lexsort((ids, -np.nan_to_num(line, nan=-2.0)))[:k]
-                    yield pd.DataFrame({"query_id": x["query_id"], "entity_type": kinds[best], "entity_id": ids[best], "score": line[best]})
-
-    found = joined.mapInPandas(nearest, "query_id long, entity_type string, entity_id long, score double")
+    own = (vectors if types is None else vectors.where(F.col("entity_type").isin(*types))).where("vector is not null").select("assessment_id", "entity_type", "entity_id", "vector")
+    asked = queries.where("vector is not null").select("assessment_id", "query_id", "vector")
+    parts = _parts(asked, query_block, "q_parts").join(_parts(own, vector_block, "v_parts"), "assessment_id")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = own.join(parts, "assessment_id").withColumn("v", F.pmod(F.xxhash64("entity_type", "entity_id"), F.col("v_parts")).cast("int")).withColumn("q", every("q_parts")).drop("q_parts", "v_parts")
+    right = asked.join(parts, "assessment_id").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")).withColumn("v", every("v_parts")).drop("q_parts", "v_parts")
+
+    def nearest(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or found.empty:
+            return pd.DataFrame(columns=["query_id", "entity_type", "entity_id", "score"])
+        q, v = (np.stack(x["vector"].map(lambda y: np.asarray(y, dtype=np.float64)).tolist()) for x in (found, rows))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :]
+        ids, kinds = rows["entity_id"].to_numpy(), rows["entity_type"].to_numpy()
+        best = [np.lexsort((ids, -np.nan_to_num(line, nan=-2.0)))[:k] for line in scores]
+        taken = np.concatenate(best)
+        return pd.DataFrame({"query_id": np.repeat(found["query_id"].to_numpy(), [len(b) for b in best]), "entity_type": kinds[taken], "entity_id": ids[taken], "score": np.concatenate([line[b] for line, b in zip(scores, best, strict=True)])})
+
+    keys = ["assessment_id", "v", "q"]
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, entity_type string, entity_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.when(F.isnan("score"), 1).otherwise(0), F.desc("score"), "entity_id", "entity_type")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -89,17 +89,17 @@ def read_sectioned_xml(spark: SparkSession, path: str, sections: list[str] | Non
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = tags.groupBy("file", "block").agg(F.sum("delta").alias("d")).select("file", "block", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file", "block").orderBy("pos")
-    depth = tags.withColumn("run", F.sum("delta").over(inside)).join(F.broadcast(bases), ["file", "block"]).withColumn("depth", F.col("base") + F.col("run") - F.col("delta"))
+    depth = tags.withColumn("run", F.sum("delta").over(inside)).join(bases, ["file", "block"]).withColumn("depth", F.col("base") + F.col("run") - F.col("delta"))
     opened = F.when((F.col("depth") == 1) & ~F.col("tag").startswith("/"), F.struct("block", "pos", "name"))
     lined = depth.withColumn("own", F.last(opened, ignorenulls=True).over(inside))
     carried = lined.groupBy("file", "block").agg(F.max_by("own", "pos").alias("last"))
     carried = carried.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    rows = lined.join(F.broadcast(carried), ["file", "block"]).withColumn("at", F.coalesce("own", "carried")).where((F.col("depth") == 2) & ~F.col("tag").startswith("/"))
+    rows = lined.join(carried, ["file", "block"]).withColumn("at", F.coalesce("own", "carried")).where((F.col("depth") == 2) & ~F.col("tag").startswith("/"))
     if sections is not None:
         rows = rows.where(F.col("at.name").isin(*sections))
     counts = rows.groupBy("file", "at", "block").agg(F.count(F.lit(1)).alias("c"))
     offsets = counts.select("file", "at", "block", F.coalesce(F.sum("c").over(Window.partitionBy("file", "at").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "block", "at").orderBy("pos"))).join(F.broadcast(offsets), ["file", "at", "block"])
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "block", "at").orderBy("pos"))).join(offsets, ["file", "at", "block"])
     out = placed.select("file", F.col("at.name").alias("section"), (F.col("offset") + F.col("n") - 1).alias("row_index"), _attributes(F.col("tag")).alias("attrs"))
     return out if max_per_section is None else out.where(F.col("row_index") < max_per_section)
 
