@@ -37,24 +37,29 @@ def read_kpi_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kpi_chunks(members: DataFrame) -> DataFrame:
-    """member, row_index, key_figure_id, service_name, payload (map of header to value), warning.
+    """member, row_index, key_figure_id, service_name, service_descr, service_type, timestamp, header, cells, payload (map of
+    header to value), warning.
 
     One row for each data row of a chunk; a JSON member without a data set gives one row with a warning.
     """
     parsed = members.where(F.lower("member").endswith(".json")).select("member", F.from_json("text", CHUNK).alias("c")).select("member", "c.dataSet")
-    good = parsed.where("dataSet is not null").select("member", "dataSet.keyFigureId", "dataSet.serviceName", "dataSet.header", F.posexplode("dataSet.data").alias("row_index", "cells"))
+    texts = {"key_figure_id": "keyFigureId", "service_name": "serviceName", "service_descr": "serviceDescr", "service_type": "serviceType", "timestamp": "timestamp"}
+    good = parsed.where("dataSet is not null").select("member", *(F.col(f"dataSet.{c}").alias(n) for n, c in texts.items()), "dataSet.header", F.posexplode("dataSet.data").alias("row_index", "cells"))
     cells = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.size("header"))), 1, F.size("header"))
-    rows = good.select("member", "row_index", F.col("keyFigureId").alias("key_figure_id"), F.col("serviceName").alias("service_name"), F.map_from_arrays("header", cells).alias("payload"), F.lit(None).cast("string").alias("warning"))
-    bad = parsed.where("dataSet is null").select("member", F.lit(None).cast("int").alias("row_index"), F.lit(None).cast("string").alias("key_figure_id"), F.lit(None).cast("string").alias("service_name"), F.lit(None).cast("map<string,string>").alias("payload"), F.concat(F.lit("no dataSet in "), "member").alias("warning"))
+    rows = good.select("member", "row_index", *texts, "header", "cells", F.map_from_arrays("header", cells).alias("payload"), F.lit(None).cast("string").alias("warning"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("member", "warning")]
+    bad = parsed.where("dataSet is null").select("member", *empty, F.concat(F.lit("no dataSet in "), "member").alias("warning"))
     return rows.unionByName(bad)
 
 
 def kpi_records(chunks: DataFrame, assessment_id: int | None = None, dataset_id: int | None = None) -> DataFrame:
     """Evidence records of KPI rows; they name no object."""
-    key = F.concat_ws(":", "member", F.concat(F.lit("row-"), F.col("row_index").cast("string")))
+    key = F.concat_ws(":", "member", F.col("row_index").cast("string"))
+    kept = ("key_figure_id", "service_name", "service_descr", "service_type", "timestamp")
+    payload = F.create_map(*(x for c in kept for x in (F.lit(c), F.col(c))), F.lit("header"), F.to_json("header"), F.lit("row"), F.to_json("cells"))
     return chunks.where("warning is null").select(
-        F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("signavio_kpi_row").alias("record_type"), F.lit("PROCESS_KPI").alias("capability"),
-        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), F.lit(None).cast("string").alias("object_name"), F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("string").alias("package_name"), "payload",
+        F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("signavio_kpi_observation").alias("record_type"), F.lit("PROCESS_KPI").alias("capability"),
+        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), F.lit(None).cast("string").alias("object_name"), F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("string").alias("package_name"), payload.alias("payload"),
     )
 
 

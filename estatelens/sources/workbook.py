@@ -162,14 +162,14 @@ def _usage_payload(rows: DataFrame) -> DataFrame:
 def read_usage_report(rows: DataFrame, assessment_id: int | None = None, dataset_id: int | None = None) -> DataFrame:
     """One USAGE_SIGNAL record for each row of a usage report; blank cells are left out of the payload."""
     based = _usage_payload(rows)
-    key = F.concat(F.lit("row-"), F.col("row_number").cast("string"))
+    key = F.concat(F.lit("usage_row:"), (F.col("row_number") - 2).cast("string"))  # the first row after the header is 0
     payload = F.map_filter("payload", lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))
 
     def cell(name: str) -> Column:
         return blank_to_null(F.try_element_at("payload", F.lit(name)))
 
     return based.select(
-        F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("panaya_usage").alias("record_type"), F.lit("USAGE_SIGNAL").alias("capability"),
+        F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("panaya_usage_object").alias("record_type"), F.lit("USAGE_SIGNAL").alias("capability"),
         key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), cell("OBJECT NAME").alias("object_name"), cell("OBJECT TYPE").alias("object_type"), cell("PACKAGE").alias("package_name"), payload.alias("payload"),
     )
 

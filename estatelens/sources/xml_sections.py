@@ -115,7 +115,7 @@ def curate_sections(rows: DataFrame, assessment_id: int | None = None, dataset_i
     def attr(column: str) -> Column:
         return F.nullif(F.try_element_at("attrs", F.col(column)), F.lit(""))
 
-    key = F.concat_ws(":", "section", F.concat(F.lit("row-"), F.col("row_index").cast("string")))
+    key = F.concat_ws(":", "section", F.col("row_index").cast("string"))
     return known.select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), "record_type", "capability", key.alias("source_key"),
         record_fingerprint(key).alias("record_fingerprint"), attr("name_attr").alias("object_name"), attr("type_attr").alias("object_type"), attr("package_attr").alias("package_name"), F.col("attrs").alias("payload"),

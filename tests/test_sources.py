@@ -33,8 +33,8 @@ def test_curated_sections_and_zip(spark, tmp_path):
         box.writestr("big.xml", XML)
     rows = xml_sections.read_sectioned_xml(spark, str(tmp_path / "e.zip"))
     curated = {r["source_key"]: r for r in xml_sections.curate_sections(rows).collect()}
-    assert len(curated) == 51 and curated["WHERE_USED_TABLE:row-0"]["object_name"] == "ZPROG"
-    first = curated["REPOSITORY_OBJECTS:row-0"]
+    assert len(curated) == 51 and curated["WHERE_USED_TABLE:0"]["object_name"] == "ZPROG"
+    first = curated["REPOSITORY_OBJECTS:0"]
     assert (first["object_type"], first["package_name"], first["capability"], len(first["record_fingerprint"])) == ("CLAS", None, "TECHNICAL_OBJECT_METADATA", 32)
     manifest = {r["section"]: (r["n_rows"], r["capability"]) for r in xml_sections.section_manifest(rows).collect()}
     assert manifest == {"REPOSITORY_OBJECTS": (50, "TECHNICAL_OBJECT_METADATA"), "WHERE_USED_TABLE": (1, "DEPENDENCY_SIGNAL"), "OTHER": (1, None)}
@@ -84,7 +84,8 @@ def test_kpi_chunks(spark, tmp_path):
     members = exports.read_kpi_members(spark, str(tmp_path / "k.zip"))
     rows = {(r["member"], r["row_index"]): r for r in exports.read_kpi_chunks(members).collect()}
     assert rows[("a.json", 0)]["payload"] == {"BELNR": "0400004156", "BUZEI": "001", "VALUE": "42"} and rows[("a.json", 1)]["payload"]["VALUE"] is None and rows[("b.json", None)]["warning"]
-    assert exports.kpi_records(exports.read_kpi_chunks(members)).count() == 2
+    records = {r["source_key"]: r for r in exports.kpi_records(exports.read_kpi_chunks(members)).collect()}
+    assert set(records) == {"a.json:0", "a.json:1"} and records["a.json:0"]["payload"]["row"] == '["0400004156","001","42"]'
     assert tuple(exports.kpi_manifest(members).first()) == (1, 1, 1, {"UsageSystem": "QAS"})
 
 
