@@ -6,7 +6,7 @@ INPUTS = {
         UNION ALL SELECT 1, s_suppkey + 1000000, s_name, 'CUSTOMER' FROM supplier WHERE s_suppkey % 10 = 0
         UNION ALL SELECT 1, s_suppkey + 2000000, s_name, 'SUPPLIER' FROM supplier WHERE s_suppkey % 25 = 0""",
     "records": """
-        SELECT 1 AS assessment_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_orderkey % 20 AS dataset_id, l_orderkey AS order_id, l_linenumber AS line,
+        SELECT 1 AS assessment_id, ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey % 20000) * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000 AS id, l_orderkey % 20 AS dataset_id, l_orderkey AS order_id, l_linenumber AS line,
                CASE WHEN l_linenumber = 7 THEN NULL WHEN l_quantity < 3 THEN '  ' WHEN l_linenumber = 6 THEN concat('Part#', CAST(l_partkey AS VARCHAR(20)))
                     ELSE concat(' supplier#', lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0'), ' ') END AS object_name,
                CASE WHEN l_returnflag = 'R' THEN 'supplier' WHEN l_returnflag = 'A' THEN 'report' ELSE '' END AS object_type,
