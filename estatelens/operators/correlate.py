@@ -25,7 +25,7 @@ def correlate(records: DataFrame, objects: DataFrame, empty_status: str = "NOT_A
     records: assessment_id, object_name, object_type and any others; objects: assessment_id, id, object_name,
     object_type. With a type, one object of that name and type is MATCHED_EXACT, several are AMBIGUOUS; else the name
     alone decides: one MATCHED_HEURISTIC, several AMBIGUOUS, none UNMATCHED. Records without a name get
-    `empty_status` and never reach a join key, so their number skews nothing. `type_codes` maps record types to object
+    `empty_status` and are spread over keys that match nothing, so their number skews nothing. `type_codes` maps record types to object
     types first. Records are trimmed, objects are not; case does not count.
     """
     names = [c for c in records.columns if c not in ("target_id", "status", "method", "rationale")]
@@ -35,10 +35,11 @@ def correlate(records: DataFrame, objects: DataFrame, empty_status: str = "NOT_A
     keyed = records.select(*names).withColumns({"_name": F.nullif(F.upper(strip_all(F.col("object_name"))), F.lit("")), "_type": F.nullif(record_type, F.lit(""))})
     exact = object_lookup(objects, "object_type").select(F.col("assessment_id").alias("_a1"), F.col("key_name").alias("_n1"), F.col("key_object_type").alias("_t1"), F.col("n").alias("_exact"), F.col("target_id").alias("_exact_id"))
     by_name = object_lookup(objects).select(F.col("assessment_id").alias("_a2"), F.col("key_name").alias("_n2"), F.col("n").alias("_named"), F.col("target_id").alias("_named_id"))
-    named = keyed.where("_name is not null")
-    matched = named.join(exact, (F.col("assessment_id") == F.col("_a1")) & (F.col("_name") == F.col("_n1")) & (F.col("_type") == F.col("_t1")), "left").join(by_name, (F.col("assessment_id") == F.col("_a2")) & (F.col("_name") == F.col("_n2")), "left")
-    blank = keyed.where("_name is null").select("*", *(F.lit(None).cast("long").alias(c) for c in ("_exact", "_exact_id", "_named", "_named_id")))
-    both = matched.select(*blank.columns).unionByName(blank)
+    # rows without a name get one of many keys that no object has, so they neither match nor meet in one task
+    spread = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))
+    keyed = keyed.withColumn("_key", F.coalesce("_name", spread))
+    both = keyed.join(exact, (F.col("assessment_id") == F.col("_a1")) & (F.col("_key") == F.col("_n1")) & (F.col("_type") == F.col("_t1")), "left")
+    both = both.join(by_name, (F.col("assessment_id") == F.col("_a2")) & (F.col("_key") == F.col("_n2")), "left")
     empty = F.col("_name").isNull()
     status = (
         F.when(empty, empty_status).when(F.col("_exact") == 1, "MATCHED_EXACT").when(F.col("_exact") > 1, "AMBIGUOUS")
