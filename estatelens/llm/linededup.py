@@ -80,16 +80,16 @@ def units(text: str) -> Iterator[tuple[int, int, int, str]]:
 
 
 def _unit_rows(docs: DataFrame, with_text: bool) -> DataFrame:
-    names = ["hash", "doc_id", "first", "last", "unit"][: 4 + with_text]
-    schema = "hash long, doc_id long, first int, last int" + ", unit string" * with_text
+    names = ["hash", "doc_id", "mark", "first", "last", "unit"][: 5 + with_text]
+    schema = "hash long, doc_id long, mark long, first int, last int" + ", unit string" * with_text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, size = [[] for _ in names], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own, text = doc_id.as_py(), text.as_py() or ""
+            for doc_id, mark, text in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
+                text = text.as_py() or ""
                 for h, a, b, unit in units(text):
-                    for column, value in zip(columns, (h - (1 << 64) if h >> 63 else h, own, a, b, unit), strict=False):
+                    for column, value in zip(columns, (h - (1 << 64) if h >> 63 else h, doc_id, mark, a, b, unit), strict=False):
                         column.append(value)
                 size += len(text)
                 if size > 8_000_000:
@@ -100,29 +100,29 @@ def _unit_rows(docs: DataFrame, with_text: bool) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(hash, first_doc) of the units with more than one occurrence.
+    """(hash, first_doc) of the units with more than one occurrence; first_doc is the (doc_id, mark) that comes first.
 
     Units are grouped by their hash and their bytes; a hash that stands for different bytes is left out, so nothing is
     removed on the word of a hash alone.
     """
-    alike = _unit_rows(docs, with_text=True).groupBy("hash", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    alike = _unit_rows(docs, with_text=True).groupBy("hash", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark")).alias("first_doc"))
     by_hash = alike.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first_doc").alias("first_doc"))
     return by_hash.where("n > 1 and texts = 1").select("hash", "first_doc")
 
 
-def kept_lines(text: str, own: int, spans: list[dict]) -> tuple[str, int, int]:
+def kept_lines(text: str, spans: list[dict]) -> tuple[str, int, int]:
     """The text without its repeated units, the number of its lines, and how many went.
 
-    A unit's smallest place in its first document stays; removed runs of fewer than LONG_WORDS words stay too.
+    A unit's smallest place in its first document (`own`) stays; removed runs of fewer than LONG_WORDS words stay too.
     """
     lines = text.split("\n")
     stays: dict[int, int] = {}
     for s in spans:
-        if s["first_doc"] == own:
+        if s["own"]:
             stays[s["hash"]] = min(s["first"], stays.get(s["hash"], s["first"]))
     gone = bytearray(len(lines))
     for s in spans:
@@ -142,18 +142,21 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     """df with repeated multi-line chunks cut out of `text`, and the counts n_lines and n_removed.
 
     Of all occurrences of a chunk the one in the smallest doc_id stays (null before all others), and there the first.
-    Rows that share a doc_id count as one document: they keep what their first occurrence keeps. Null text stays null
+    Rows that share a doc_id and the text count as one document: they keep what their first occurrence keeps. Different
+    texts with one doc_id (or none) are different documents, ordered by the hash of the text. Null text stays null
     with 0 lines; an empty text is one line. Columns named n_lines or n_removed are replaced, others pass through,
     rows are neither added nor removed; a text whose chunks all stand elsewhere becomes empty.
     """
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    docs = df.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = F.xxhash64(F.col("text").cast("string"))
+    docs = df.select(key.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
+    own = (F.struct("doc_id", "mark") == F.col("first_doc")).alias("own")
     found = _unit_rows(docs, with_text=False).join(repeated_units(docs), "hash")
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("hash", "first", "last", "first_doc")).alias("_spans"))
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("hash", "first", "last", own)).alias("_spans"))
     # the row travels as one struct, so no column of df can clash with a helper's
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), key.alias("key"))
-    joined = rows.join(spans, F.col("key") == F.col("_id"), "left").select("row", "key", "_spans")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), key.alias("key"), mark.alias("mark"))
+    joined = rows.join(spans, (F.col("key") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("row", "_spans")
     schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
     at = kept.index("text")
 
@@ -161,14 +164,14 @@ def dedup_lines(df: DataFrame) -> DataFrame:
         for batch in batches:
             fields = batch["row"].flatten()
             made = []
-            for text, own, found in zip(fields[at], batch["key"].to_pylist(), batch["_spans"], strict=True):
+            for text, found in zip(fields[at], batch["_spans"], strict=True):
                 text = text.as_py()
                 if text is None:
                     made.append((None, 0, 0))
                 elif not found.is_valid:
                     made.append((text, text.count("\n") + 1, 0))
                 else:
-                    made.append(kept_lines(text, own, found.as_py()))
+                    made.append(kept_lines(text, found.as_py()))
             texts, lines, removed = zip(*made, strict=True) if made else ((), (), ())
             fields[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*fields, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])

@@ -196,6 +196,21 @@ def test_line_dedup(spark):
     assert not linededup.dedup_lines(documents(spark, [])).collect()
 
 
+def test_line_dedup_of_shared_and_null_ids(spark):
+    """Rows that share an id (or have none) but not the text are documents of their own."""
+    r = random.Random(5)
+    passage = [line(r, 30) for _ in range(3)]
+    for own in (None, 9):
+        unique = [[line(r, 25) for _ in range(6)], [line(r, 25)]]
+        longer = [*unique[0][:5], *passage, unique[0][5]]
+        data = [(1, "\n".join(passage)), (own, "\n".join(longer)), (own, "\n".join(unique[0])), (own, unique[1][0]), (own, unique[1][0])]
+        found = sorted((x["doc_id"] is not None, x["doc_id"] or 0, x["text"], x["n_lines"], x["n_removed"]) for x in linededup.dedup_lines(documents(spark, data)).collect())
+        texts = [x[2] for x in found]
+        lines = Counter(x for t in texts for x in t.split("\n"))
+        assert all(lines[x] == 1 for x in [*passage, *unique[0]]) and lines[unique[1][0]] == 2
+        assert sorted(x[3] for x in found) == [1, 1, 3, 6, 9] and sum(x[4] for x in found) == 9
+
+
 def test_chunks_are_cut_alike_wherever_they_stand():
     r = random.Random(4)
     passage = [r.getrandbits(64) for _ in range(12)]
