@@ -196,6 +196,38 @@ def test_line_dedup(spark):
     assert not linededup.dedup_lines(documents(spark, [])).collect()
 
 
+def test_line_dedup_finds_passages_of_short_lines(spark):
+    """Passages of 20 words or more go whole at any place among short lines, whatever the cuts."""
+    r = random.Random(6)
+    data, passages = [], []
+    for k in range(300):
+        n = r.choice([3, 4, 6, 10, 12])
+        passages.append([line(r, {3: 18, 4: 13, 6: 10, 10: 6, 12: 5}[n]) for _ in range(n)])
+        for i in (k, 1000 + k):
+            body = [line(r, 8) for _ in range(12)]
+            at = r.randrange(13)
+            data.append((i, "\n".join([*body[:at], *passages[k], *body[at:]])))
+    found = {x["doc_id"]: x for x in linededup.dedup_lines(documents(spark, data)).collect()}
+    for k, passage in enumerate(passages):
+        assert found[k]["n_removed"] == 0 and found[1000 + k]["n_removed"] == len(passage), k
+        assert not set(passage) & set(found[1000 + k]["text"].split("\n"))
+
+
+def test_line_dedup_keeps_every_line_somewhere(spark):
+    """Of overlapping passages, with blank lines between and around, no line vanishes and copies end up empty."""
+    r = random.Random(7)
+    pool = [line(r, n) for n in (3, 7, 11, 19, 25) for _ in range(6)]
+    data = []
+    for i in range(120):
+        at, n = r.randrange(len(pool)), r.randrange(2, 12)
+        data.append((i, "\n".join(x for y in (pool + pool)[at : at + n] for x in [y, *[""] * r.randrange(2)])))
+    data += [(900, "\n\n" + "\n\n".join(pool[-6:]) + "\n"), (901, "\n" + "\n\n\n".join(pool[-6:]) + "\n\n")]
+    found = linededup.dedup_lines(documents(spark, data)).collect()
+    left = {x for row in found for x in row["text"].split("\n")}
+    assert {x for _, t in data for x in t.split("\n") if x} <= left
+    assert {x["doc_id"]: x["text"] for x in found}[901] == ""
+
+
 def test_line_dedup_of_shared_and_null_ids(spark):
     """Rows that share an id (or have none) but not the text are documents of their own."""
     r = random.Random(5)
