@@ -117,6 +117,44 @@ def test_near_duplicates(spark):
     assert not simhash.near_duplicates(documents(spark, [])).collect()
 
 
+def test_near_duplicate_stage_keeps_one_of_similar_texts(spark):
+    """The pipeline's stage agrees with all pairs of five-word shingle sets at 0.8, chains and crowds with it."""
+    r = random.Random(13)
+    data = [(i, t) for i, t in near_texts() if i is not None]
+    for d in range(40):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([40, 120, 500]))]
+        for k in range(6):
+            data.append((5000 + 10 * d + k, " ".join(base)))
+            for at in r.sample(range(len(base)), r.randrange(1, len(base) // 30 + 2)):
+                base[at] = f"w{r.randrange(400)}"
+    crowd = [f"w{r.randrange(400)}" for _ in range(200)]
+    data += [(8000 + k, " ".join(f"x{k}" if j in (k % 200, 3 * k % 200) else w for j, w in enumerate(crowd))) for k in range(80)]
+    data = list(dict(data).items())
+    def cut(t):
+        w = (t or "").translate(LOWER).replace("\x0b", " ").encode().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [cut(t) for _, t in data], list(range(len(data)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(data):
+        least[find(k)] = min(i, least.get(find(k), i))
+    docs = documents(spark, data).selectExpr("*", "'k' as node")
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(least.values())
+    nulls = documents(spark, [(None, "a b c"), (None, "a  B c"), (7, "A b c"), (7, "other text"), (None, "alone")])
+    assert sorted(map(str, (x["text"] for x in corpus_pipeline.one_of_near_duplicates(spark, nulls, "").collect()))) == ["A b c", "alone", "other text"]
+
+
 def test_dense_fingerprints_lose_no_link(spark):
     """One crowd of fingerprints around a centre, where most buckets are hot, and a chain that only goes by hops of four."""
     r = random.Random(11)
