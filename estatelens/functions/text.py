@@ -93,6 +93,12 @@ def short_payload(payload: Column, n: int = 5, most: int = 200) -> Column:
     return F.substring(F.array_join(shown, ", "), 1, most)
 
 
+def last_wins(entries: Column) -> Column:
+    """Map of an array of (key, value); of equal keys the last wins, null keys are left out."""
+    last = F.filter(entries, lambda e, i: e["key"].isNotNull() & ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def map_literal(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
 

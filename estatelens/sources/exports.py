@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.functions.text import record_fingerprint, strip_all
+from estatelens.functions.text import last_wins, record_fingerprint, strip_all
 from estatelens.operators.extract import lines_of
 from estatelens.sources.files import decoded
 
@@ -19,37 +20,54 @@ CHUNK = "dataSet struct<serviceName:string,serviceDescr:string,serviceType:strin
 
 
 def read_kpi_members(spark: SparkSession, path: str) -> DataFrame:
-    """member, text of every JSON and XML file: members of ZIPs, or files of a directory."""
+    """member, text, error of every JSON and XML file: members of ZIPs, or files of a directory.
+
+    A ZIP that can't be read gives one row with its name and the error, a damaged member one with its own.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for file, content in zip(rows["path"], rows["content"], strict=True):
                 name = file.rsplit("/", 1)[-1]
                 if content[:4] == b"PK\x03\x04":
-                    with zipfile.ZipFile(io.BytesIO(content)) as box:
-                        for inside in box.infolist():
-                            if inside.filename.lower().endswith((".json", ".xml")):
-                                yield pd.DataFrame({"member": [inside.filename], "text": [box.read(inside).decode("utf-8", "replace")]})
+                    yield from (pd.DataFrame({"member": [m], "text": [t], "error": [e]}) for m, t, e in _zip_members(name, content))
                 elif name.lower().endswith((".json", ".xml")):
-                    yield pd.DataFrame({"member": [name], "text": [content.decode("utf-8", "replace")]})
+                    yield pd.DataFrame({"member": [name], "text": [content.decode("utf-8", "replace")], "error": [None]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "member string, text string, error string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "member string, text string")
+
+def _zip_members(name: str, content: bytes) -> Iterator[tuple[str, str | None, str | None]]:
+    """(member, text, error) of a ZIP's JSON and XML members."""
+    try:
+        box = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as error:
+        yield name, None, f"not a ZIP: {error}"
+        return
+    with box:
+        for inside in box.infolist():
+            if inside.filename.lower().endswith((".json", ".xml")):
+                try:
+                    yield inside.filename, box.read(inside).decode("utf-8", "replace"), None
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as error:
+                    yield inside.filename, None, f"unreadable member: {error}"
 
 
 def read_kpi_chunks(members: DataFrame) -> DataFrame:
     """member, row_index, key_figure_id, service_name, service_descr, service_type, timestamp, header, cells, payload (map of
     header to value), warning.
 
-    One row for each data row of a chunk; a JSON member without a data set gives one row with a warning.
+    One row for each data row of a chunk; a JSON member without a data set, and a file or member that can't be read, gives
+    one row with a warning. Of equal header names the last wins in the payload.
     """
-    parsed = members.where(F.lower("member").endswith(".json")).select("member", F.from_json("text", CHUNK).alias("c")).select("member", "c.dataSet")
+    parsed = members.where(F.lower("member").endswith(".json") & F.col("error").isNull()).select("member", F.from_json("text", CHUNK).alias("c")).select("member", "c.dataSet")
     texts = {"key_figure_id": "keyFigureId", "service_name": "serviceName", "service_descr": "serviceDescr", "service_type": "serviceType", "timestamp": "timestamp"}
     good = parsed.where("dataSet is not null").select("member", *(F.col(f"dataSet.{c}").alias(n) for n, c in texts.items()), "dataSet.header", F.posexplode("dataSet.data").alias("row_index", "cells"))
-    cells = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.size("header"))), 1, F.size("header"))
-    rows = good.select("member", "row_index", *texts, "header", "cells", F.map_from_arrays("header", cells).alias("payload"), F.lit(None).cast("string").alias("warning"))
+    rows = good.select("member", "row_index", *texts, "header", "cells", last_wins(F.transform("header", lambda h, i: F.struct(h.alias("key"), F.get(F.col("cells"), i).alias("value")))).alias("payload"), F.lit(None).cast("string").alias("warning"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("member", "warning")]
     bad = parsed.where("dataSet is null").select("member", *empty, F.concat(F.lit("no dataSet in "), "member").alias("warning"))
-    return rows.unionByName(bad)
+    broken = members.where("error is not null").select("member", *empty, F.concat_ws(": ", "member", "error").alias("warning"))
+    return rows.unionByName(bad).unionByName(broken)
 
 
 def kpi_records(chunks: DataFrame, assessment_id: int | None = None, dataset_id: int | None = None) -> DataFrame:
@@ -64,15 +82,19 @@ def kpi_records(chunks: DataFrame, assessment_id: int | None = None, dataset_id:
 
 
 def kpi_manifest(members: DataFrame) -> DataFrame:
-    """One row: n_chunks, n_key_figures, n_warnings, and the <KEY>/<VALUE> pairs of the XML members as metadata."""
-    chunks = members.where(F.lower("member").endswith(".json")).select(F.from_json("text", CHUNK).alias("c"))
+    """One row: n_chunks, n_key_figures, n_warnings (unreadable files among them), and the <KEY>/<VALUE> pairs of the XML
+    members as metadata."""
+    chunks = members.where(F.lower("member").endswith(".json") & F.col("error").isNull()).select(F.from_json("text", CHUNK).alias("c"))
     counts = chunks.agg(F.count_if(F.col("c.dataSet").isNotNull()).alias("n_chunks"), F.count_distinct("c.dataSet.keyFigureId").alias("n_key_figures"), F.count_if(F.col("c.dataSet").isNull()).alias("n_warnings"))
     pattern = r"<KEY>([^<]*)</KEY>\s*<VALUE>([^<]*)</VALUE>"
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("value"))
     listed = members.where(F.lower("member").endswith(".xml")).select(F.explode(pairs).alias("p")).select(F.col("p.key").alias("key"), F.col("p.value").alias("value"))
-    first = listed.groupBy("key").agg(F.min("value").alias("value"))
-    meta = first.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
-    return counts.join(meta)
+    # a system describes itself in a few dozen pairs, so their map is a small row
+    meta = listed.groupBy("key").agg(F.min("value").alias("value")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+    broken = members.agg(F.count_if(F.col("error").isNotNull()).alias("n_broken"))
+    one = [x.withColumn("_one", F.lit(1)) for x in (counts, meta, broken)]  # three aggregates of a row each
+    joined = one[0].join(one[1], "_one").join(one[2], "_one")
+    return joined.select("n_chunks", "n_key_figures", (F.col("n_warnings") + F.col("n_broken")).alias("n_warnings"), "metadata")
 
 
 def parsed_number(text: Column) -> Column:
@@ -133,21 +155,30 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_document_tables(spark: SparkSession, path: str) -> DataFrame:
-    """file, table_index, row_index (-1 for the header row), cells of every table of word-processor documents."""
+    """file, table_index, row_index (-1 for the header row), cells, error of every table of word-processor documents.
+
+    A file that is no such document gives one row with its error and nothing else; one without tables gives none.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for file, content in zip(rows["path"], rows["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as box:
-                    body = ElementTree.fromstring(box.read("word/document.xml"))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as box:
+                        root = ElementTree.fromstring(box.read("word/document.xml")).find(f"{_W}body")
+                    found, error = ([] if root is None else root.findall(f"{_W}tbl")), None
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, NotImplementedError, RuntimeError, EOFError) as problem:
+                    found, error = [], f"not a document: {problem}"
                 out = []
-                for t, table in enumerate(body.find(f"{_W}body").findall(f"{_W}tbl")):
+                for t, table in enumerate(found):
                     for r, row in enumerate(table.findall(f"{_W}tr")):
                         texts = ["\n".join("".join(x.text or "" for x in p.iter(f"{_W}t")) for p in cell.findall(f"{_W}p")).strip() for cell in row.findall(f"{_W}tc")]
-                        out.append((file, t, r - 1, texts))
-                yield pd.DataFrame(out, columns=["file", "table_index", "row_index", "cells"])
+                        out.append((file, t, r - 1, texts, None))
+                if error:
+                    out.append((file, None, None, None, error))
+                yield pd.DataFrame(out, columns=["file", "table_index", "row_index", "cells", "error"]).astype({"table_index": "Int32", "row_index": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, table_index int, row_index int, cells array<string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, table_index int, row_index int, cells array<string>, error string")
 
 
 def table_kind(headers: Column) -> Column:
@@ -170,13 +201,12 @@ def parse_readiness_tables(tables: DataFrame, assessment_id: int | None = None,
     heads = tables.where("row_index = -1").select("file", "table_index", F.col("cells").alias("headers"), table_kind(F.col("cells")).alias("kind")).where("kind is not null and kind <> 'system_metadata'")
     rows = tables.where("row_index >= 0").join(heads, ["file", "table_index"]).where(F.exists("cells", lambda c: c != ""))
     entries = F.transform("cells", lambda c, i: F.struct(F.coalesce(F.get("headers", i), F.concat(F.lit("col_"), i.cast("string"))).alias("key"), c.alias("value")))
-    last = F.filter(F.transform(entries, lambda e, i: F.when(~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]), e)), lambda e: e.isNotNull())
     first = F.get("cells", 0)
     key = F.concat(F.lit("table-"), F.col("table_index").cast("string"), F.lit(":row-"), F.col("row_index").cast("string"))
     return rows.select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.concat(F.lit("readiness_check_"), "kind").alias("record_type"),
         F.when(F.col("kind") == "table_volume", "USAGE_SIGNAL").otherwise("S4_CONVERSION_SIGNAL").alias("capability"), key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"),
-        F.when((F.col("kind") == "table_volume") & first.rlike("^[A-Z0-9_/]{2,30}$"), first).alias("object_name"), F.lit(None).cast("string").alias("object_type"), F.map_from_entries(last).alias("payload"),
+        F.when((F.col("kind") == "table_volume") & first.rlike("^[A-Z0-9_/]{2,30}$"), first).alias("object_name"), F.lit(None).cast("string").alias("object_type"), last_wins(entries).alias("payload"),
     )
 
 

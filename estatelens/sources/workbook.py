@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.functions.text import blank_to_null, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint
+from estatelens.functions.text import blank_to_null, last_wins, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint
 
 #: Known headers and their fields (fixed values).
 ALIASES = {
@@ -110,13 +110,13 @@ def read_findings_sheet(spark: SparkSession, path: str, sheet: str | None = None
 
 def map_headers(rows: DataFrame) -> DataFrame:
     """file, recognized (map of header to field), unknown, missing, status: FULL with an object name, PARTIAL without,
-    REJECTED for unreadable files and such without rows."""
+    REJECTED for unreadable files and such without rows. Several headers may mean one field; a null header is unknown."""
     spark = rows.sparkSession
     known = spark.createDataFrame(list(ALIASES.items()), "alias string, field string")
     each = rows.where("headers is not null").select("file", F.explode("headers").alias("header")).distinct()
-    joined = each.join(F.broadcast(known), normalize_header(F.col("header")) == F.col("alias"), "left")
+    joined = each.withColumn("header", F.coalesce("header", F.lit(""))).distinct().join(F.broadcast(known), normalize_header(F.col("header")) == F.col("alias"), "left")
     found = joined.groupBy("file").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("header", "field"))))).alias("recognized"),
+        F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("field").isNotNull(), F.struct("header", "field"))))).alias("recognized"),
         F.array_sort(F.collect_list(F.when(F.col("field").isNull(), F.col("header")))).alias("unknown"), F.collect_set("field").alias("_found"),
     )
     found = found.withColumn("missing", F.array_sort(F.array_except(F.array(*map(F.lit, sorted(ALIASES.values()))), "_found")))
@@ -126,20 +126,19 @@ def map_headers(rows: DataFrame) -> DataFrame:
 
 
 def row_payload(headers: Column, cells: Column) -> Column:
-    """Header to cell; of equal headers the last wins."""
-    pairs = F.arrays_zip(headers.alias("key"), cells.alias("value"))
-    last = F.filter(F.transform(pairs, lambda p, i: F.when(F.array_position(F.slice(headers, i + 2, F.greatest(F.size(headers), F.lit(1))), F.get(headers, i)) == 0, F.struct(F.get(headers, i).alias("key"), F.get(cells, i).alias("value")))), lambda p: p.isNotNull())
-    return F.map_from_entries(last)
+    """Header to cell; of equal headers the last wins, and a cell under a null header is left out."""
+    return last_wins(F.transform(headers, lambda h, i: F.struct(h.alias("key"), F.get(cells, i).alias("value"))))
 
 
 def normalize_finding_rows(rows: DataFrame) -> DataFrame:
     """Findings: source_row_number, payload, row_fingerprint, the known fields trimmed (empty: null), warnings.
 
-    priority is an integer or null with a warning; first_found_on is a date. Rows without headers (errors) give none.
+    priority is an integer or null with a warning; first_found_on is a date. Of several headers of one field the last
+    wins. Rows without headers (errors) give none.
     """
     payload = row_payload(F.col("headers"), F.col("cells"))
     based = rows.where("headers is not null").select("file", F.col("row_number").alias("source_row_number"), payload.alias("payload"))
-    by_field = F.transform_keys(F.map_filter("payload", lambda k, v: normalize_header(k).isin(*ALIASES)), lambda k, v: normalize_header(k))
+    by_field = last_wins(F.transform(F.arrays_zip(F.map_keys("payload").alias("k"), F.map_values("payload").alias("v")), lambda e: F.struct(normalize_header(e["k"]).alias("key"), e["v"].alias("value"))))
     named = based.withColumn("_fields", by_field)
     fields = {field: blank_to_null(F.try_element_at("_fields", F.lit(alias))) for alias, field in ALIASES.items()}
     out = named.withColumns(fields)
