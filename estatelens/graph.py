@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +90,37 @@ def build_clusters(objects: DataFrame, deps: DataFrame, packages: DataFrame) ->
     turn = F.struct((F.col("signal_type") != "DEPENDENCY").alias("late"), F.coalesce("dependency_id", F.lit(0).cast("long")).alias("d"), F.col("description").alias("p"))
     placed = inside.withColumns({"_a": pair[0], "_b": pair[1], "_turn": turn})
     firsts = placed.groupBy("_a", "_b").agg(F.min("_turn").alias("_first"))
-    order = Window.partitionBy("cluster_id").orderBy("_first", "_a", "_b", "_turn")
-    signals = placed.join(firsts, ["_a", "_b"]).withColumn("position", F.row_number().over(order))
+    signals = numbered(placed.join(firsts, ["_a", "_b"]), "cluster_id", ["_first", "_a", "_b", "_turn"])
     return parts, signals.select("cluster_id", "position", "signal_type", "src", "dst", "description", "dependency_id")
 
 
+def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with `position`, counted from 1 within each group by the order, which should be total.
+
+    The rows are sorted over ranges of group and order; a range's base is the sum of the ranges before it and a group's the
+    smallest number in it, so a group of any size is dealt over many tasks.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = checkpointed(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumns({"_part": F.spark_partition_id(), "_row": row}))
+    bases, total = [], 0
+    for part, n in sorted(map(tuple, dealt.groupBy("_part").agg(F.count(F.lit(1))).collect())):  # a row for each partition
+        bases.append((part, total))
+        total += n
+    placed = dealt.join(df.sparkSession.createDataFrame(bases, "_part int, _base long"), "_part").withColumn("_row", F.col("_row") + F.col("_base"))
+    starts = checkpointed(placed.groupBy(F.col(group).alias("_group")).agg(F.min("_row").alias("_start")))
+    joined = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn("position", F.col("_row") - F.col("_start") + 1).drop("_part", "_row", "_base", "_group", "_start")
+
+
 def assign_applications(clusters: DataFrame, objects: DataFrame, apps: DataFrame) -> DataFrame:
     """(assessment_id, cluster_id, application_id, is_new): old applications carried over to clusters.
 
     A cluster that touches a USER_RENAMED or MERGED application is left out. The others, by ascending id, take the
     application with which they share most members (ties: smaller id) if that is at least half of them and no
     earlier cluster took it; else they are new, with an id made from the cluster. clusters: id, cluster_id; objects:
-    id, assessment_id, application_id. Only clusters that want the same applications depend on each other, so
-    the claims are settled one connected group of them at a time, over counts and not over members.
+    id, assessment_id, application_id. At most two applications can be wanted by a cluster, and settling them in rounds
+    gives what one cluster after another would take: each asks for its best wish left, an application keeps the first
+    cluster that asks, and the others go on to their next wish, until nobody is sent away.
     """
     members = clusters.join(objects.select("id", "assessment_id", "application_id"), "id")
     kept = apps.where("status in ('USER_RENAMED', 'MERGED')").select(F.col("id").alias("application_id"))
@@ -113,20 +130,19 @@ def assign_applications(clusters: DataFrame, objects: DataFrame, apps: DataFrame
     known = apps.where("status not in ('USER_RENAMED', 'MERGED')").select(F.col("id").alias("application_id"))
     shared = free.join(known, "application_id", "left_semi").groupBy("assessment_id", "cluster_id", "application_id").agg(F.count(F.lit(1)).alias("n"))
     wanted = checkpointed(shared.join(sizes, ["assessment_id", "cluster_id"]).where("n * 2 >= size"))  # two a cluster at most
-    ends = wanted.select((F.col("cluster_id") * 2).alias("src"), (F.col("application_id") * 2 + 1).alias("dst"))
-    groups = connected_components(ends.select(F.explode(F.array("src", "dst")).alias("node")), ends)
-    grouped = wanted.join(groups.where("node % 2 = 0").select(F.expr("node div 2").alias("cluster_id"), "component"), "cluster_id")
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, found = set(), []
-        for (assessment, cluster), own in rows.sort_values(["cluster_id", "n", "application_id"], ascending=[True, False, True]).groupby(["assessment_id", "cluster_id"], sort=False):
-            left = [a for a in own["application_id"] if a not in taken]
-            if left:
-                taken.add(left[0])
-                found.append((assessment, cluster, left[0]))
-        return pd.DataFrame(found, columns=["assessment_id", "cluster_id", "application_id"])
-
-    claims = grouped.groupBy("component").applyInPandas(claim, "assessment_id long, cluster_id long, application_id long")
+    choice = Window.partitionBy("assessment_id", "cluster_id").orderBy(F.desc("n"), "application_id")
+    wishes = checkpointed(wanted.withColumn("wish", F.row_number().over(choice)).select("assessment_id", "cluster_id", "application_id", "wish"))
+    asking = wishes.where("wish = 1")
+    while True:
+        first = checkpointed(asking.groupBy("application_id").agg(F.min(F.struct("cluster_id", "assessment_id")).alias("taker")))
+        settled = checkpointed(asking.join(first, "application_id").withColumn("_stays", F.struct("cluster_id", "assessment_id") == F.col("taker")))
+        claims = settled.where("_stays").select("assessment_id", "cluster_id", "application_id", "wish")
+        sent_away = settled.where("not _stays").select("assessment_id", "cluster_id", F.col("wish").alias("_last"))
+        if sent_away.isEmpty():
+            break
+        further = wishes.join(sent_away, ["assessment_id", "cluster_id"]).where("wish = _last + 1").drop("_last")
+        asking = claims.unionByName(further)
+    claims = claims.drop("wish")
     every = sizes.join(claims, ["assessment_id", "cluster_id"], "left")
     return every.select("assessment_id", "cluster_id", F.coalesce("application_id", F.xxhash64("assessment_id", "cluster_id")).alias("application_id"), F.col("application_id").isNull().alias("is_new"))
 
@@ -142,24 +158,40 @@ def drop_empty_applications(apps: DataFrame, objects: DataFrame, embeddings: Dat
 def consolidate_rules(rules: DataFrame) -> DataFrame:
     """Rules with duplicates merged: same assessment, type and normalised condition and action.
 
-    The survivor is the first user-validated rule, else the one with the smallest id; it takes over the others' refs.
-    Other rules become MERGED with consolidated_into_id, but validated ones stay as they are. Merged rules are not
-    looked at again.
+    The survivor is the first user-validated rule, else the one with the smallest id; it takes over the others' refs
+    (consolidated_refs has them as rows). Other rules become MERGED with consolidated_into_id, but validated ones stay as
+    they are. Merged rules are not looked at again.
     """
-    from estatelens.operators.changes import fold_refs
-
-    live = rules.where("status <> 'MERGED'")
-    keys = ["assessment_id", "rule_type", normalize_rule_text(F.col("condition")), normalize_rule_text(F.col("action"))]
-    order = Window.partitionBy(*keys).orderBy(F.desc("user_validated"), F.asc("id"))
-    ranked = live.withColumns({"_survivor": F.first("id").over(order), "_rank": F.row_number().over(order)})
-    merged = ranked.where("_rank > 1").withColumn("survivor", F.col("_survivor"))
-    folded = fold_refs(live, merged).withColumnsRenamed({"id": "_id", "evidence_refs": "_refs"})
-    out = ranked.join(folded, F.col("id") == F.col("_id"), "left")
-    loses = (F.col("_rank") > 1) & ~F.coalesce("user_validated", F.lit(False))
-    changed = out.withColumns({
-        "status": F.when(loses, "MERGED").otherwise(F.col("status")), "consolidated_into_id": F.when(loses, F.col("_survivor")).otherwise(F.col("consolidated_into_id")),
-        "evidence_refs": F.when(F.col("_rank") == 1, F.coalesce("_refs", "evidence_refs")).otherwise(F.col("evidence_refs")),
-    })
+    placed = _survivors(rules)
+    refs = consolidated_refs(rules, placed)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seen", "ref_id", "source_type", "entity_id"))), lambda x: F.struct(x["ref_id"].alias("ref_id"), x["source_type"].alias("source_type"), x["entity_id"].alias("entity_id")))
+    folded = refs.groupBy(F.col("id").alias("_id")).agg(listed.alias("_refs"))
+    return _pointed(rules, placed.join(folded, F.col("id") == F.col("_id"), "left").withColumn("evidence_refs", F.when(F.col("id") == F.col("_survivor"), F.coalesce("_refs", "evidence_refs")).otherwise(F.col("evidence_refs"))))
+
+
+def consolidated_status(rules: DataFrame) -> DataFrame:
+    """consolidate_rules without folding: refs stay where they are, and no row grows with its group."""
+    return _pointed(rules, _survivors(rules))
+
+
+def consolidated_refs(rules: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """(id, ref_id, source_type, entity_id, seen): the refs of every survivor, one row each; `seen` orders them, its own first."""
+    placed = _survivors(rules) if placed is None else placed
+    each = placed.select(F.col("_survivor").alias("id"), (F.col("id") != F.col("_survivor")).alias("turn"), F.col("id").alias("by"), F.posexplode("evidence_refs").alias("pos", "ref"))
+    return each.groupBy("id", "ref.ref_id", "ref.source_type", "ref.entity_id").agg(F.min(F.struct("turn", "by", "pos")).alias("seen"))
+
+
+def _survivors(rules: DataFrame) -> DataFrame:
+    """The rules that are not merged with `_survivor`: the smallest of each group is aggregated before it is joined back."""
+    text = F.sha2(F.concat_ws("\0", "rule_type", normalize_rule_text(F.col("condition")), normalize_rule_text(F.col("action"))), 256)
+    live = rules.where("status <> 'MERGED'").withColumn("_same", F.concat_ws(":", F.col("assessment_id").cast("string"), text))
+    first = checkpointed(live.groupBy("_same").agg(F.min(F.struct((~F.coalesce("user_validated", F.lit(False))).alias("open"), "id")).alias("_first")))
+    return live.join(first, "_same").withColumn("_survivor", F.col("_first.id")).drop("_same", "_first")
+
+
+def _pointed(rules: DataFrame, placed: DataFrame) -> DataFrame:
+    loses = (F.col("id") != F.col("_survivor")) & ~F.coalesce("user_validated", F.lit(False))
+    changed = placed.withColumns({"status": F.when(loses, "MERGED").otherwise(F.col("status")), "consolidated_into_id": F.when(loses, F.col("_survivor")).otherwise(F.col("consolidated_into_id"))})
     return changed.select(*rules.columns).unionByName(rules.where("status = 'MERGED'"))
 
 

@@ -229,14 +229,14 @@ def top_names(objects: DataFrame, keys: list[str], shown: int, name: str) -> Dat
 
 
 def object_catalog(drilldown: DataFrame, full_limit: int = 1500, sample: int = 15, assessment_id: int | None = None) -> DataFrame:
-    """kind, label, n, names: one row per object for assessments of at most `full_limit` objects, else one for each
-    application and recommendation with its size and first names."""
+    """kind, label, n, names, entity_id: one row per object for assessments of at most `full_limit` objects, else one for each
+    application and recommendation with its size and first names (and no entity_id)."""
     rows = of(drilldown, assessment_id)
     small = rows.groupBy("assessment_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= full_limit).select("assessment_id")
-    single = rows.join(small, "assessment_id", "left_semi").select("assessment_id", F.lit("object").alias("kind"), F.col("object_name").alias("label"), F.lit(1).cast("long").alias("n"), F.array("object_name").alias("names"))
+    single = rows.join(small, "assessment_id", "left_semi").select("assessment_id", F.lit("object").alias("kind"), F.col("object_name").alias("label"), F.lit(1).cast("long").alias("n"), F.array("object_name").alias("names"), F.col("id").alias("entity_id"))
     label = F.concat_ws(" — ", F.coalesce("application_name", F.lit("-")), F.coalesce("recommendation", F.lit("UNCLASSIFIED")))
     grouped = top_names(rows.join(small, "assessment_id", "left_anti").withColumn("label", label), ["assessment_id", "label"], sample, "names")
-    return single.unionByName(grouped.select("assessment_id", F.lit("group").alias("kind"), "label", F.col("n_names").alias("n"), "names"))
+    return single.unionByName(grouped.select("assessment_id", F.lit("group").alias("kind"), "label", F.col("n_names").alias("n"), "names", F.lit(None).cast("long").alias("entity_id")))
 
 
 def object_drilldown(objects: DataFrame, apps: DataFrame, assessments: DataFrame, findings: DataFrame, usage: DataFrame, files: DataFrame | None = None, scans: DataFrame | None = None, runs: DataFrame | None = None, assessment_id: int | None = None) -> DataFrame:
@@ -319,7 +319,7 @@ def assessment_catalog(summary: DataFrame, drilldown: DataFrame, apps: DataFrame
 
     One row for the KPIs (dashboard_summary), one for each recommendation's objects, one for the current findings by
     priority, one for each application that is not merged (with its first members), the newest HIGH findings, and the object list or
-    its groups. Every ref_id occurs once in an assessment.
+    its groups. Every ref_id occurs once in an assessment; objects have theirs from their id, so equal names stay apart.
     """
     none = F.lit(None).cast("long")
 
@@ -342,6 +342,6 @@ def assessment_catalog(summary: DataFrame, drilldown: DataFrame, apps: DataFrame
     if with_objects:
         objects = object_catalog(drilldown, full_limit, assessment_id=assessment_id)
         text = F.when(F.col("kind") == "object", F.col("label")).otherwise(F.concat_ws(": ", "label", F.concat_ws(" of ", F.array_join("names", ", "), F.col("n").cast("string"))))
-        listed_objects = shaped(objects, F.concat(F.upper("kind"), F.lit("-"), F.col("label")), "OBJECT_LIST", none, text)
-        out = out.unionByName(listed_objects.dropDuplicates(["assessment_id", "ref_id"]))
+        ref = F.concat(F.upper("kind"), F.lit("-"), F.coalesce(F.col("entity_id").cast("string"), F.col("label")))
+        out = out.unionByName(shaped(objects, ref, "OBJECT_LIST", F.col("entity_id"), text))
     return out

@@ -6,14 +6,17 @@ Only marker lines leave a file's row: its text is never shuffled.
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.functions.arrays import let, running
 from estatelens.functions.text import strip_all
 
 #: Where lines end: all of Unicode's line ends, as the parsers' line numbers count them.
@@ -177,9 +180,13 @@ def text_dependencies(files: DataFrame, patterns: dict[str, tuple[str, str | Non
         def breaks(x: Column) -> Column:
             return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
-        steps = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(breaks(g).alias("g"), breaks(h).alias("h"))), names, lambda s, n: F.struct(s["g"].alias("g"), s["h"].alias("h"), n.alias("n")))
-        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<name:string,line:int>>").alias("out"))
-        walked = F.aggregate(steps, start, lambda acc, s: F.struct((acc["line"] + s["g"] + F.coalesce(s["h"], F.lit(0))).alias("line"), F.when(s["n"].isNotNull(), F.concat(acc["out"], F.array(F.struct(F.upper(s["n"]).alias("name"), (acc["line"] + s["g"]).alias("line"))))).otherwise(acc["out"]).alias("out")), lambda acc: acc["out"])
+        pieces = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(breaks(g).alias("g"), F.coalesce(breaks(h), F.lit(0)).alias("h"))), names, lambda s, n: F.struct(s["g"].alias("g"), s["h"].alias("h"), n.alias("n")))
+
+        def placed(steps: Column) -> Column:
+            found = let(running(F.transform(steps, lambda s: s["g"] + s["h"])), lambda before: F.zip_with(steps, before, lambda s, b: F.struct(F.upper(s["n"]).alias("name"), (b + s["g"] + 1).alias("line"))))
+            return F.filter(found, lambda x: x["name"].isNotNull())
+
+        walked = let(pieces, placed)
         rows = files.select(F.col("id").alias("file_id"), F.posexplode(walked).alias("pos", "d"))
         rows = rows.select("file_id", F.lit(k).alias("turn"), "pos", F.lit(kind).alias("dep_type"), F.col("d.name").alias("target_name"), F.lit(target).cast("string").alias("target_type"), F.col("d.line").alias("source_line"))
         out = rows if out is None else out.unionByName(rows)
@@ -228,19 +235,25 @@ def chunk_source(content: Column, most: int = 6000) -> Column:
 
 
 def code_excerpt(objects: DataFrame, files: DataFrame, budget: int = 12_000, most: int = 6000) -> DataFrame:
-    """object_id, excerpt, is_truncated: the object's own lines in whole chunks until the budget; the first one always."""
-    text = files.select(F.col("id").alias("source_file_id"), "content")
-    own = objects.select(F.col("id").alias("object_id"), "source_file_id", "line_start", "line_end").join(text, "source_file_id")
-    lines = lines_of(F.col("content"))
-    start = F.coalesce("line_start", F.lit(1))
-    part = F.array_join(F.slice(lines, start, F.greatest(F.coalesce("line_end", F.size(lines)) - start + 1, F.lit(0))), "\n")
+    """object_id, excerpt, is_truncated: the object's own lines in whole chunks until the budget; the first one always.
+
+    A file's text meets the ranges of all its objects in one row and is cut there; only the objects' own lines go on.
+    Objects without a file give no row, a null text an empty excerpt.
+    """
+    ranges = objects.groupBy(F.col("source_file_id").alias("_file")).agg(F.collect_list(F.struct(F.col("id").alias("object_id"), F.col("line_start").cast("int").alias("a"), F.col("line_end").cast("int").alias("b"))).alias("own"))
+
+    def part(lines: Column) -> Column:
+        return F.transform("own", lambda o: F.struct(o["object_id"].alias("object_id"), F.array_join(F.slice(lines, F.greatest(F.coalesce(o["a"], F.lit(1)), F.lit(1)), F.greatest(F.coalesce(o["b"], F.size(lines)) - F.coalesce(o["a"], F.lit(1)) + 1, F.lit(0))), "\n").alias("text")))
+
+    held = files.select(F.col("id").alias("_file"), "content").join(ranges, "_file")
+    cut = held.select(F.explode(let(lines_of(F.coalesce("content", F.lit(""))), part)).alias("o")).select("o.object_id", "o.text")
 
     @F.pandas_udf("struct<excerpt:string,is_truncated:boolean>")
     def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
-                kept, size, pieces = [], 0, chunks_of(t or "", most)
+                kept, size, pieces = [], 0, chunks_of(t, most)
                 for piece in pieces:
                     if kept and size + len(piece) > budget:
                         break
@@ -249,18 +262,29 @@ def code_excerpt(objects: DataFrame, files: DataFrame, budget: int = 12_000, mos
                 rows.append(("".join(kept), len(kept) < len(pieces)))
             yield pd.DataFrame(rows, columns=["excerpt", "is_truncated"])
 
-    return own.select("object_id", fit(part).alias("x")).select("object_id", "x.excerpt", "x.is_truncated")
+    return cut.select("object_id", fit("text").alias("x")).select("object_id", "x.excerpt", "x.is_truncated")
 
 
-def fold_accents(c: Column) -> Column:
-    """Lower case without accents, white space collapsed, one space at the end."""
+def _folded_letters() -> tuple[str, str]:
+    """Characters of the basic plane that are one other character once lowered, decomposed and rid of their marks."""
+    pairs = []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            pairs.append((c, plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-    @F.pandas_udf("string")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: re.sub(r"\s+", " ", "".join(x for x in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(x))) + " ")
 
-    return fold(c)
+#: Ligatures that stand for several letters (fixed values).
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij"}
+
+
+def fold_accents(c: Column) -> Column:
+    """Lower case without accents, white space collapsed, one space at the end; null counts as empty."""
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\p{M}+", ""), *_folded_letters())
+    for sign, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(letters))
+    return F.concat(F.regexp_replace(plain, r"(?U)\s+", " "), F.lit(" "))
 
 
 #: Word stems of questions (fixed values).
@@ -290,15 +314,34 @@ def question_intent(df: DataFrame, question: str = "question") -> DataFrame:
     return out.withColumn("wants_applications", any_of(APPLICATION_STEMS) | (F.size("categories") > 0) | F.col("wants_unclassified")).drop("_q")
 
 
-def unescape_html(c: Column) -> Column:
-    """HTML entities decoded."""
+#: A reference: decimal, hexadecimal or by name, with or without its semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else html.unescape(t))
 
-    return decode(c)
+def unescape_html(c: Column) -> Column:
+    """HTML references decoded as browsers do: names with a semicolon, the older ones also without, numbers with the
+    replacements for control and impossible ones; what is no reference stays."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    low = F.from_json(F.lit(json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160)})), "map<string,string>")
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+
+    def number(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "^#[xX]?0*(?=.)|;$", "")
+        value = F.when(F.length(digits) > 8, None).when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("long")
+        sign = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+        none = value.between(0xFDD0, 0xFDEF) | (value.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        impossible = value.isNull() | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)
+        return F.when(impossible, "\ufffd").when(value < 160, F.element_at(low, value.cast("string"))).when(none, "").otherwise(sign)
+
+    def named(ref: Column) -> Column:
+        starts = [F.concat(F.try_element_at(names, F.left(ref, F.lit(n))), F.substr(ref, F.lit(n + 1))) for n in range(longest, 1, -1)]
+        return F.coalesce(F.try_element_at(names, ref), *starts, F.concat(F.lit("&"), ref))
+
+    def decoded(gaps: Column) -> Column:
+        refs = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
+        return F.array_join(F.zip_with(gaps, refs, lambda g, r: F.concat(g, F.when(r.isNull(), "").when(r.startswith("#"), number(r)).otherwise(named(r)))), "")
+
+    return F.when(c.contains("&"), let(F.split(c, REFERENCE, -1), decoded)).otherwise(c)
 
 
 def listing_blocks(raw: Column) -> Column:
