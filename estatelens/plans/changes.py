@@ -100,3 +100,67 @@ def j12_plan_guidance(i):
     cache = i.sql("SELECT CAST(1 AS INT) AS assessment_id, 'APPLICATION' AS target_type, s_suppkey AS id, s_suppkey AS target_id, 'a' AS provider, CASE WHEN s_suppkey % 2 = 0 THEN ' Furniture ' ELSE 'other' END AS text FROM supplier")
     cache = cache.withColumn("query_fingerprint", T.query_fingerprint(F.col("provider"), F.col("text")))
     return E.plan_guidance(targets, cache, ["a", "b"]).select("target_id", "provider", "action", "reuse_id")
+
+
+@query("""SELECT l_orderkey AS record_id, l_suppkey % 5 AS dataset_id, CASE WHEN l_suppkey % 5 IN (1, 3) THEN 'new' ELSE 'old' END AS status FROM lineitem WHERE l_suppkey % 5 NOT IN (1, 3) OR l_linenumber > 2""")
+def u4_replace_correlations(i):
+    old = i.sql("SELECT l_orderkey AS record_id, l_suppkey % 5 AS dataset_id, 'old' AS status FROM lineitem")
+    new = i.sql("SELECT l_orderkey AS record_id, l_suppkey % 5 AS dataset_id, 'new' AS status FROM lineitem WHERE l_linenumber > 2 AND l_suppkey % 5 IN (1, 3)")
+    once = C.replace_partition(old, new, "dataset_id")
+    return C.replace_partition(once, new, "dataset_id")
+
+
+_VERDICTS = """SELECT conv_id * 100 + turn AS rule_id, turn AS moment, 'fine' AS notes FROM conversations WHERE text IS NOT NULL AND turn % 2 = 1
+UNION ALL SELECT conv_id * 100 + turn, turn + 10, concat('seen ', conv_id) FROM conversations WHERE text IS NOT NULL AND turn % 4 = 1"""
+
+
+@query(f""", last AS (SELECT rule_id, max(moment) AS moment, arg_max(notes, moment) AS notes FROM ({_VERDICTS}) GROUP BY 1)
+SELECT r.id, r.user_validated OR l.rule_id IS NOT NULL AS user_validated, l.notes AS validation_notes, l.moment AS validated_at FROM rules r LEFT JOIN last l ON l.rule_id = r.id""", "rules")
+def u11_apply_validation(i):
+    log = i.sql(_VERDICTS).withColumnRenamed("moment", "at")
+    return C.apply_validation(i.rules, log).select("id", "user_validated", "validation_notes", "validated_at")
+
+
+@query("""SELECT 'dataset' AS kind, s_suppkey AS id FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT 'record', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_suppkey <> 3
+UNION ALL SELECT 'artifact', p_partkey FROM part WHERE p_partkey % 10 <> 3
+UNION ALL SELECT 'correlation', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey * 10 + l_linenumber NOT IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_suppkey = 3)""")
+def u12_cascade_delete(i):
+    tables = {
+        "evidence_dataset": i.table("supplier").select(F.col("s_suppkey").alias("id")), "evidence_record": i.sql("SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS dataset_id FROM lineitem"),
+        "evidence_artifact": i.sql("SELECT p_partkey AS id, p_partkey % 10 AS dataset_id FROM part"), "evidence_correlation": i.sql("SELECT l_orderkey * 10 + l_linenumber AS record_id FROM lineitem WHERE l_linenumber % 2 = 0"),
+    }
+    left = C.cascade_delete(tables, 3)
+    out = left["evidence_dataset"].select(F.lit("dataset").alias("kind"), "id")
+    for name, kind, column in (("evidence_record", "record", "id"), ("evidence_artifact", "artifact", "id"), ("evidence_correlation", "correlation", "record_id")):
+        out = out.unionByName(left[name].select(F.lit(kind).alias("kind"), F.col(column).alias("id")))
+    return out
+
+
+_CURATED = """WITH apps AS (SELECT c_custkey AS id FROM customer),
+merges AS (SELECT id, id - id % 10 + 1 AS into_id FROM apps WHERE id % 10 IN (4, 7) AND id - id % 10 + 1 IN (SELECT id FROM apps)),
+moved AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN o_custkey - o_custkey % 10 + 4 ELSE o_custkey END AS application_id FROM orders)
+"""
+
+
+@query(_CURATED + """SELECT 'app' AS kind, a.id, m.into_id AS application_id, CASE WHEN m.id IS NOT NULL THEN 'MERGED' WHEN a.id % 3 = 0 THEN 'USER_RENAMED' ELSE 'CANDIDATE' END AS status, CASE WHEN a.id % 3 = 0 THEN concat('late ', a.id) ELSE concat('app ', a.id) END AS name FROM apps a LEFT JOIN merges m ON m.id = a.id
+UNION ALL SELECT 'object', o.id, coalesce(m.into_id, o.application_id), NULL, NULL FROM moved o LEFT JOIN merges m ON m.id = o.application_id""")
+def u8_apply_curation(i):
+    empty = F.array().cast("array<struct<ref_id:string,source_type:string,entity_id:bigint>>")
+    apps = i.table("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("app "), F.col("c_custkey").cast("string")).alias("name"), F.lit("CANDIDATE").alias("status"), F.lit(None).cast("long").alias("merged_into_id"), empty.alias("evidence_refs"))
+    objects = i.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("application_id"))
+    log = i.sql("""
+        SELECT 10 AS seq, 'rename' AS action, c_custkey AS application_id, CAST(NULL AS BIGINT) AS object_id, CAST(NULL AS BIGINT) AS target_id, 'early' AS name FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT 20, 'rename', c_custkey, NULL, NULL, concat('late ', CAST(c_custkey AS STRING)) FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT 30, 'move', CASE WHEN o_orderkey % 5 = 1 THEN o_custkey - o_custkey % 10 + 4 END, o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 5 < 2
+        UNION ALL SELECT 40, 'merge', a.c_custkey, NULL, b.c_custkey, NULL FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - a.c_custkey % 10 + 1 WHERE a.c_custkey % 10 IN (4, 7)
+        UNION ALL SELECT 50, 'merge', c_custkey, NULL, c_custkey, NULL FROM customer
+        UNION ALL SELECT 60, 'rename', c_custkey, NULL, NULL, 'too late' FROM customer a WHERE c_custkey % 10 IN (4, 7) AND EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey - a.c_custkey % 10 + 1)""".replace(" customer b", " {customer} b").replace(" customer a", " {customer} a"))
+    kept, placed = C.apply_curation(apps, objects, log)
+    of_apps = kept.select(F.lit("app").alias("kind"), "id", F.col("merged_into_id").alias("application_id"), "status", "name")
+    return of_apps.unionByName(placed.select(F.lit("object").alias("kind"), "id", "application_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("name")))
+
+
+@query("""SELECT canonical_key, id, description FROM (SELECT upper(concat('part::', p_name)) AS canonical_key, p_partkey AS id, p_type AS description, row_number() OVER (PARTITION BY upper(p_name) ORDER BY p_size DESC, p_partkey DESC) AS rn FROM part) WHERE rn = 1""")
+def w9_last_parsed(i):
+    rows = i.sql("SELECT CAST(1 AS INT) AS assessment_id, p_partkey AS id, p_name AS object_name, p_type AS description, p_size AS source_file_id, p_partkey AS line_start FROM part").withColumn("canonical_key", T.canonical_key(F.lit("part"), F.col("object_name")))
+    return C.last_parsed(rows).select("canonical_key", "id", "description")

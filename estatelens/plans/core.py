@@ -19,7 +19,8 @@ matched AS (
          CASE WHEN k.n IS NULL THEN 'no_object_identity' WHEN e.c IS NOT NULL THEN 'object_name_type_exact' ELSE 'object_name_only' END AS method
   FROM keyed k LEFT JOIN exact e ON k.assessment_id = e.assessment_id AND k.n = e.n AND k.t = e.t LEFT JOIN named m ON k.assessment_id = m.assessment_id AND k.n = m.n)
 """
-_EVIDENCE, _FINDING = _MATCH.replace("{empty}", "NOT_APPLICABLE"), _MATCH.replace("{empty}", "UNMATCHED")
+EVIDENCE_SQL = _EVIDENCE = _MATCH.replace("{empty}", "NOT_APPLICABLE")
+_FINDING = _MATCH.replace("{empty}", "UNMATCHED")
 
 
 def matched(i: Inputs):

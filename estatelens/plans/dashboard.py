@@ -107,7 +107,7 @@ def a14_check_catalog(i):
 r AS (SELECT *, row_number() OVER (PARTITION BY assessment_id, label ORDER BY object_name, id) AS rn FROM g)
 SELECT assessment_id, 'group' AS kind, label, count(*) AS n, string_agg(object_name, ',' ORDER BY rn) FILTER (WHERE rn <= 15) AS names FROM r GROUP BY 1, 3""", "parts assessments apps")
 def a13_object_catalog(i):
-    return D.object_catalog(drilldown(i), full_limit=0).withColumn("names", F.array_join("names", ","))
+    return D.object_catalog(drilldown(i), full_limit=0).drop("entity_id").withColumn("names", F.array_join("names", ","))
 
 
 def drilldown(i):
@@ -199,13 +199,89 @@ def r8_upgrade_risk(i):
     return R.upgrade_risk(i.findings, "F")
 
 
-@query(_RUN + """, own1 AS (SELECT 1 AS assessment_id, p.id, p.object_name, p.application_id, a.recommendation FROM parts p LEFT JOIN assessments a ON p.application_id = a.application_id)
-SELECT concat('CATEGORY-', coalesce(recommendation, 'UNCLASSIFIED')) AS ref_id, concat(coalesce(recommendation, 'UNCLASSIFIED'), ': ', CAST(count(*) AS VARCHAR)) AS summary FROM own1 GROUP BY recommendation
-UNION ALL SELECT 'ATC', string_agg(concat(p, '=', CAST(n AS VARCHAR)), ', ' ORDER BY p) FROM (SELECT coalesce(CAST(priority AS VARCHAR), 'none') AS p, count(*) AS n FROM cur GROUP BY 1)
-UNION ALL SELECT concat('TF-', CAST(id AS VARCHAR)), concat_ws(': ', check_title, check_message) FROM (SELECT * FROM findings WHERE priority = 1 ORDER BY id DESC LIMIT 5)""", "findings parts assessments")
+@query(_RUN + """, own1 AS (SELECT 1 AS assessment_id, p.id, p.object_name, p.application_id, a.recommendation, b.name FROM parts p LEFT JOIN assessments a ON p.application_id = a.application_id LEFT JOIN (SELECT id, name FROM apps) b ON b.id = p.application_id),
+m AS (SELECT application_id, object_name, row_number() OVER (PARTITION BY application_id ORDER BY object_name, id) AS rn FROM own1 WHERE application_id IS NOT NULL),
+g AS (SELECT concat_ws(' — ', coalesce(name, '-'), coalesce(recommendation, 'UNCLASSIFIED')) AS label, object_name, id FROM own1),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY object_name, id) AS rn FROM g)
+SELECT 'SUMMARY' AS ref_id, 'DASHBOARD' AS source_type, CAST(NULL AS BIGINT) AS entity_id, concat('objects_total=', count(*), ', objects_custom=', count(*) FILTER (WHERE regexp_matches(upper(object_name), '^[ZY/]'))) AS summary FROM own1
+UNION ALL SELECT concat('CATEGORY-', coalesce(recommendation, 'UNCLASSIFIED')), 'CATEGORY', NULL, concat(coalesce(recommendation, 'UNCLASSIFIED'), ': ', CAST(count(*) AS VARCHAR)) FROM own1 GROUP BY recommendation
+UNION ALL SELECT 'ATC', 'ATC_SUMMARY', NULL, string_agg(concat(p, '=', CAST(n AS VARCHAR)), ', ' ORDER BY p) FROM (SELECT coalesce(CAST(priority AS VARCHAR), 'none') AS p, count(*) AS n FROM cur GROUP BY 1)
+UNION ALL SELECT concat('APP-', a.id), 'APPLICATION', a.id, concat_ws(' | ', a.name, max(x.names), CASE WHEN max(x.n) > 40 THEN concat('+', max(x.n) - 40) END) FROM apps a LEFT JOIN (SELECT application_id, count(*) AS n, string_agg(object_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 40) AS names FROM m GROUP BY 1) x ON x.application_id = a.id WHERE a.status <> 'MERGED' GROUP BY a.id, a.name
+UNION ALL SELECT concat('TF-', CAST(id AS VARCHAR)), 'TECHNICAL_FINDING', id, concat_ws(': ', check_title, check_message) FROM (SELECT * FROM findings WHERE priority = 1 ORDER BY id DESC LIMIT 5)
+UNION ALL SELECT concat('OBJECT-', id), 'OBJECT_LIST', id, object_name FROM own1 WHERE (SELECT count(*) FROM own1) <= 1500
+UNION ALL SELECT concat('GROUP-', label), 'OBJECT_LIST', NULL, concat(label, ': ', string_agg(object_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 15), ' of ', count(*)) FROM r WHERE (SELECT count(*) FROM own1) > 1500 GROUP BY label""", "findings parts assessments apps")
 def a16_assessment_catalog(i):
     rows = drilldown(i).withColumn("assessment_id", F.lit(1))
     technical = D.derive_technical_findings(i.findings).withColumn("id", F.col("atc_finding_id"))
-    summary = D.count_custom(rows)
-    found = D.assessment_catalog(summary, rows, i.apps, i.findings, i.runs, technical, with_objects=False)
-    return found.where("source_type in ('CATEGORY', 'ATC_SUMMARY', 'TECHNICAL_FINDING')").select("ref_id", "summary")
+    return D.assessment_catalog(D.count_custom(rows), rows, i.apps, i.findings, i.runs, technical).select("ref_id", "source_type", "entity_id", "summary")
+
+
+@query("SELECT s_suppkey AS id, n_name AS client_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey = 3 OR s_name ILIKE '%07%'")
+def f10_list_assessments(i):
+    own = i.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("client_id"), F.col("s_name").alias("name"))
+    clients = i.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    found = D.list_assessments(own, clients, client_id=3).unionByName(D.list_assessments(own, clients, name="07").where("client_id <> 3"))
+    return found.select("id", "client_name")
+
+
+@query("SELECT p_partkey AS id, p_size % 4 AS scan_id FROM part WHERE p_size % 4 = 2")
+def f10_list_files(i):
+    files = i.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("scan_id"), F.col("p_name").alias("rel_path"))
+    return D.list_files(files, 2).select("id", "scan_id")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber, l_shipdate FROM lineitem WHERE l_partkey = 7")
+def f10_object_dependencies(i):
+    deps = i.table("lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_shipdate", F.col("l_partkey").alias("source_object_id"), F.col("l_returnflag").alias("dep_type"), F.col("l_linestatus").alias("target_name"))
+    return D.object_dependencies(deps, 7).select("id", "l_linenumber", "l_shipdate")
+
+
+@query("""SELECT 'member' AS kind, id FROM parts WHERE application_id = 11
+UNION ALL SELECT 'rule', r.id FROM rules r WHERE r.status = 'CANDIDATE' AND r.sap_object_id IN (SELECT id FROM parts WHERE application_id = 11)
+UNION ALL SELECT 'finding', f.id FROM findings f WHERE f.target_id IN (SELECT id FROM parts WHERE application_id = 11)""", "parts rules findings")
+def j9_application_detail(i):
+    found = D.application_detail(11, i.parts, i.rules, i.findings)
+    out = None
+    for kind, rows in (("member", found["members"]), ("rule", found["rules"]), ("finding", found["findings"])):
+        part = rows.select(F.lit(kind).alias("kind"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT user_id, CASE WHEN bad > 0 THEN 'FAILED' WHEN caps > 0 AND rows > 0 AND warned = 0 THEN 'FULL' ELSE 'PARTIAL' END AS status, warned + CASE WHEN bad = 0 AND caps > 0 AND rows = 0 THEN 1 ELSE 0 END AS n_warnings
+FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error' AND event_id % 50 = 0) AS bad, count(DISTINCT event_type) AS caps, count(*) FILTER (WHERE event_id % 7 = 0) AS rows, CASE WHEN min(event_id) % 3 = 0 THEN 1 ELSE 0 END AS warned FROM events GROUP BY 1)""")
+def p13_dataset_status(i):
+    counted = i.table("events").groupBy("user_id").agg(
+        F.count_if((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0)).alias("bad"), F.count_distinct("event_type").alias("n_capabilities"), F.count_if(F.col("event_id") % 7 == 0).alias("n_rows"), (F.min("event_id") % 3 == 0).alias("warned"),
+    )
+    none = F.array().cast("array<string>")
+    manifest = counted.select("user_id", F.when(F.col("bad") > 0, "broken").alias("error"), "n_capabilities", "n_rows", F.when(F.col("warned"), F.array(F.lit("odd"))).otherwise(none).alias("warnings"))
+    return D.dataset_status(manifest).select("user_id", "status", F.size("warnings").alias("n_warnings"))
+
+
+_BY = "SELECT assessment_id, {c}, count(*) AS n, count(DISTINCT target_id) AS n_objects FROM (SELECT *, concat('NOTE', id % 21) AS sap_note_number, concat('P', id % 8) AS package_name, CASE WHEN id % 6 = 0 THEN NULL ELSE check_title END AS component FROM findings) GROUP BY 1, 2"
+
+
+def noted(i):
+    return i.findings.withColumns({"sap_note_number": F.concat(F.lit("NOTE"), (F.col("id") % 21).cast("string")), "package_name": F.concat(F.lit("P"), (F.col("id") % 8).cast("string")), "component": F.when(F.col("id") % 6 != 0, F.col("check_title"))})
+
+
+@query(_BY.format(c="sap_note_number"), "findings")
+def r1_findings_by_note(i):
+    return R.findings_by(noted(i), "sap_note_number")
+
+
+@query(_BY.format(c="package_name"), "findings")
+def r3_findings_by_package(i):
+    return R.findings_by(noted(i), "package_name")
+
+
+@query(_BY.format(c="component"), "findings")
+def r4_findings_by_component(i):
+    return R.findings_by(noted(i), "component")
+
+
+@query("SELECT DISTINCT l_suppkey AS source_object_id, l_returnflag AS dep_type FROM lineitem WHERE l_partkey % 100 = 42")
+def r10_users_of(i):
+    deps = i.table("lineitem").select(F.lit(1).alias("assessment_id"), F.col("l_suppkey").alias("source_object_id"), F.concat(F.lit("Tab"), (F.col("l_partkey") % 100).cast("string")).alias("target_name"), F.col("l_returnflag").alias("dep_type"))
+    return R.users_of(deps, "tab42").select("source_object_id", "dep_type")

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from estatelens.operators import dashboard as D
 from estatelens.operators import evidence as E
 from estatelens.operators import validate as V
 from estatelens.operators import vectors
 from estatelens.plans.base import Registry
+from estatelens.plans.core import EVIDENCE_SQL as _EVIDENCE
+from estatelens.plans.core import matched
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -109,9 +112,95 @@ def v3_cosine_topk(i):
     return vectors.cosine_topk(asked, rows, 5).select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT entity_type, count(*) AS n FROM (SELECT 'APPLICATION' AS entity_type FROM apps WHERE status <> 'MERGED' UNION ALL SELECT 'BUSINESS_RULE' FROM rules WHERE status = 'CANDIDATE') GROUP BY 1", "apps rules")
+def understandings(i):
+    return i.sql("SELECT CAST(1 AS INT) AS assessment_id, p_partkey AS sap_object_id, p_name AS purpose, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS description, CASE WHEN p_size % 4 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM part")
+
+
+def observed(i):
+    """Records with the payload that says how often their object is used."""
+    payload = F.create_map(F.lit("LEVEL"), F.coalesce("usage_level", F.lit("")), F.lit("LINE"), F.col("line").cast("string"))
+    return i.records.withColumns({"record_type": F.lit("usage"), "payload": payload})
+
+
+_ENTITIES = _EVIDENCE + """, e AS (
+  SELECT 'OBJECT' AS entity_type, p_partkey AS entity_id, concat_ws(chr(10), nullif(p_name, ''), CASE WHEN p_partkey % 3 <> 0 THEN p_type END) AS content_text FROM part WHERE p_size % 4 <> 0
+  UNION ALL SELECT 'APPLICATION', id, concat_ws(chr(10), nullif(name, ''), nullif(domain, ''), nullif(description, '')) FROM apps WHERE status <> 'MERGED'
+  UNION ALL SELECT 'BUSINESS_RULE', id, concat_ws(chr(10), nullif(condition, ''), nullif(action, '')) FROM rules WHERE status = 'CANDIDATE'
+  UNION ALL SELECT 'EVIDENCE_RECORD', r.id, concat_ws(chr(10), 'usage', r.object_name, concat('LINE=', r.line, ', LEVEL=', coalesce(r.usage_level, ''))) FROM records r WHERE r.capability IN ('USAGE_SIGNAL', 'PROCESS_KPI') AND r.id IN (SELECT id FROM matched WHERE status LIKE 'MATCHED%'))
+"""
+
+
+@query(_ENTITIES + "SELECT entity_type, entity_id, sha256(content_text) AS content_hash FROM e", "objects records apps rules")
 def v1_embeddable_entities(i):
-    none = i.spark.createDataFrame([], "assessment_id int, sap_object_id long, purpose string, description string, status string")
-    records = i.records.where("false").withColumns({"record_type": F.lit("x"), "payload": F.create_map(F.lit("a"), F.lit("b"))})
-    links = i.records.where("false").select(F.col("id").alias("record_id"), F.lit("UNMATCHED").alias("status"))
-    return vectors.embeddable_entities(none, i.apps, i.rules, records, links).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    links = matched(i).select(F.col("id").alias("record_id"), "status")
+    return vectors.embeddable_entities(understandings(i), i.apps, i.rules, observed(i), links).select("entity_type", "entity_id", "content_hash")
+
+
+@query(_ENTITIES + """, o AS (SELECT entity_id, content_text FROM e WHERE entity_type = 'OBJECT')
+SELECT entity_id, CAST(length(content_text) AS DOUBLE) AS first, CAST(length(replace(content_text, ' ', '')) AS DOUBLE) AS second FROM o""", "objects records apps rules")
+def v2_embed(i):
+    def model(texts):
+        return [[float(len(t)), float(len(t.replace(" ", "")))] for t in texts]
+
+    entities = vectors.embeddable_entities(understandings(i), i.apps.where("false"), i.rules.where("false"), observed(i).where("false"), matched(i).select(F.col("id").alias("record_id"), "status"))
+    return vectors.embed(entities, model).select("entity_id", F.get("vector", 0).cast("double").alias("first"), F.get("vector", 1).cast("double").alias("second"))
+
+
+_CLUSTERED = _EVIDENCE + """, member AS (SELECT s_suppkey AS object_id, CAST(s_suppkey % 9 AS BIGINT) AS cluster_id FROM supplier),
+sig AS (SELECT CAST(l_suppkey % 9 AS BIGINT) AS cluster_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey END AS dependency_id FROM lineitem),
+f AS (SELECT event_id AS id, user_id AS target_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 4 AS INT) END AS priority FROM events),
+items AS (
+  SELECT DISTINCT cluster_id, 'DEP' AS pool, 0 AS severity_rank, dependency_id AS entity_id FROM sig WHERE dependency_id IS NOT NULL
+  UNION ALL SELECT cluster_id, 'ATC', coalesce(priority, 99), f.id FROM f JOIN member ON member.object_id = f.target_id
+  UNION ALL SELECT cluster_id, 'EVD', 0, m.id FROM matched m JOIN member ON member.object_id = m.target_id WHERE m.status LIKE 'MATCHED%'
+  UNION ALL SELECT cluster_id, 'SIGNALS', 0, pos FROM sig)
+"""
+
+
+def clustered(i):
+    objects = i.table("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 9).cast("long").alias("cluster_id"))
+    signals = i.sql("SELECT CAST(l_suppkey % 9 AS BIGINT) AS cluster_id, l_orderkey * 10 + l_linenumber AS position, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey END AS dependency_id FROM lineitem")
+    findings = i.sql("SELECT event_id AS id, user_id AS target_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 4 AS INT) END AS priority FROM events")
+    return E.discovery_package(objects, signals, findings, matched(i).withColumnRenamed("id", "record_id"), i.records)
+
+
+_CAP = "CASE pool WHEN 'EVD' THEN 60 ELSE 80 END"
+
+
+@query(_CLUSTERED + f", r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, pool ORDER BY severity_rank, entity_id) AS rn FROM items) SELECT cluster_id, pool, severity_rank, entity_id FROM r WHERE rn <= {_CAP}", "objects records")
+def w2_discovery_package(i):
+    return clustered(i)[0].select("cluster_id", "pool", "severity_rank", "entity_id")
+
+
+@query(_CLUSTERED + f" SELECT cluster_id, pool, count(*) AS total, greatest(count(*) - {_CAP}, 0) AS omitted FROM items GROUP BY 1, 2", "objects records")
+def w2_discovery_omitted(i):
+    return clustered(i)[1]
+
+
+@query(_EVIDENCE + """, own AS (SELECT id AS object_id, object_name FROM objects),
+each AS (SELECT object_id, 'SRC' AS kind, 0 AS o, object_id AS entity_id, object_name AS summary FROM own
+  UNION ALL SELECT f.target_id, 'ATC', 1, f.id, concat_ws(': ', check_title, check_message) FROM findings f WHERE f.target_id IN (SELECT object_id FROM own)
+  UNION ALL SELECT m.target_id, 'EVD', 2, m.id, concat_ws(' | ', concat('set ', m.dataset_id), 'usage', concat('LINE=', r.line, ', LEVEL=', coalesce(r.usage_level, ''))) FROM matched m JOIN records r ON r.id = m.id WHERE m.status LIKE 'MATCHED%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY object_id, kind ORDER BY entity_id) AS n FROM each)
+SELECT object_id, kind || '-' || n AS ref_id, entity_id, summary FROM r""", "objects records findings")
+def w4_object_package(i):
+    records = observed(i)
+    datasets = records.select(F.col("dataset_id").alias("id"), F.concat(F.lit("set "), F.col("dataset_id").cast("string")).alias("name")).distinct()
+    found = E.object_package(i.objects, i.findings, matched(i).withColumnRenamed("id", "record_id"), records, datasets)
+    return found.select("object_id", F.explode("items").alias("x")).select("object_id", "x.ref_id", "x.entity_id", "x.summary")
+
+
+@query(_EVIDENCE + """, member AS (SELECT id AS object_id, object_name, id % 13 AS application_id FROM objects),
+items AS (SELECT application_id, 'OBJ' AS pool, 0 AS severity_rank, object_id AS entity_id, object_name AS summary FROM member
+  UNION ALL SELECT application_id, 'DEP', 0, ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey % 20000) * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000, concat_ws(' ', object_name, 'INCLUDE', concat('P', l_partkey)) FROM lineitem JOIN member ON member.object_id = l_suppkey
+  UNION ALL SELECT application_id, 'ATC', coalesce(priority, 99), f.id, check_title FROM findings f JOIN member ON member.object_id = f.target_id
+  UNION ALL SELECT application_id, 'TF', CASE priority WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END, f.id, concat_ws(': ', check_title, check_message) FROM findings f JOIN member ON member.object_id = f.target_id
+  UNION ALL SELECT application_id, CASE WHEN r.capability = 'SOURCE_CODE' THEN 'EVD_TECHNICAL' ELSE 'EVD_BUSINESS' END, 0, m.id, concat_ws(': ', 'usage', concat('LINE=', r.line, ', LEVEL=', coalesce(r.usage_level, ''))) FROM matched m JOIN records r ON r.id = m.id JOIN member ON member.object_id = m.target_id WHERE m.status LIKE 'MATCHED%' AND r.capability <> 'OTHER'),
+r AS (SELECT *, row_number() OVER (PARTITION BY application_id, pool ORDER BY severity_rank, entity_id) AS rn FROM items)
+SELECT application_id, pool, concat(split_part(pool, '_', 1), '-', rn) AS ref_id, entity_id, summary FROM r WHERE rn <= CASE pool WHEN 'DEP' THEN 80 WHEN 'ATC' THEN 80 WHEN 'TF' THEN 60 WHEN 'OBJ' THEN 1000000000 ELSE 40 END""", "objects records findings")
+def w1_application_package(i):
+    objects = i.objects.withColumn("application_id", F.col("id") % 13)
+    deps = i.sql("SELECT ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey % 20000) * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000 AS id, l_suppkey AS source_object_id, 'INCLUDE' AS dep_type, concat('P', l_partkey) AS target_name FROM lineitem")
+    technical = D.derive_technical_findings(i.findings).withColumn("id", F.col("atc_finding_id"))
+    items = E.application_items(objects, deps, i.findings, technical, matched(i).withColumnRenamed("id", "record_id"), observed(i))
+    return E.with_ref_ids(E.bounded_evidence(items, E.CAPS)[0]).select("application_id", "pool", "ref_id", "entity_id", "summary")

@@ -38,9 +38,22 @@ INPUTS = {
     "runs": "SELECT 1 AS id, CAST(1 AS INT) AS assessment_id, TIMESTAMP '2024-01-15 00:00:00' AS imported_at UNION ALL SELECT 2, 1, TIMESTAMP '2024-02-15 00:00:00'",
     "edges": "SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 7 <> 6 AND p_partkey + 1 IN (SELECT p_partkey FROM part)",
     "rules": """
-        SELECT CAST(1 AS INT) AS assessment_id, conv_id * 100 + turn AS id, conv_id AS sap_object_id, role AS rule_type, CASE WHEN turn % 2 = 0 THEN concat('  ', upper(substring(text, 1, 6))) ELSE concat(lower(substring(text, 1, 6)), ' ') END AS condition,
+        SELECT CAST(1 AS INT) AS assessment_id, conv_id * 100 + turn AS id, conv_id AS sap_object_id, role AS rule_type, CASE WHEN turn % 2 = 0 THEN concat('  ', text) ELSE concat(text, ' ') END AS condition,
                CAST('stop' AS VARCHAR(10)) AS action, CASE WHEN conv_id % 17 = 0 THEN 'MERGED' ELSE 'CANDIDATE' END AS status, conv_id % 5 = 0 AS user_validated, CAST(NULL AS BIGINT) AS consolidated_into_id, CAST(turn AS DOUBLE) / 10 AS confidence
-        FROM conversations WHERE text IS NOT NULL""",
+        FROM conversations WHERE text IS NOT NULL
+        UNION ALL
+        SELECT CAST(1 AS INT), conv_id * 100 + 50 + turn, conv_id + 1000000, role, translate(replace(text, ' ', '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'STOP ', 'CANDIDATE', conv_id % 4 = 0, CAST(NULL AS BIGINT), CAST(0.5 AS DOUBLE)
+        FROM conversations WHERE text IS NOT NULL AND (conv_id + turn) % 3 = 0""",
+    "sources": """
+        SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN concat('src/', p_partkey, '.abap') WHEN p_partkey % 8 = 3 THEN concat('src/t', p_partkey, '.tabl') ELSE concat('src/d', p_partkey, '.doma') END AS rel_path,
+               CASE WHEN p_partkey % 4 = 0 THEN concat('* head', chr(10), 'CLASS zcl_', p_partkey, ' DEFINITION INHERITING FROM zcl_base', p_size, '.', chr(10), '  METHODS: run_', p_size, ', x.', chr(10), '  methods stop_', p_partkey % 7, '.', chr(10), 'ENDCLASS.', chr(10),
+                                                       repeat(concat('  CALL FUNCTION ', chr(39), 'Z_F', p_partkey % 50, chr(39), '.', chr(10)), CAST(1 + p_size % 3 AS INT)), 'INCLUDE zinc_', p_size, '.')
+                    WHEN p_partkey % 4 = 1 THEN concat('FUNCTION z_f', p_partkey % 50, '.', chr(10), '*"  IMPORTING', chr(10), '*"     VALUE(IV_', p_size, ') TYPE  STRING', chr(10), '*"  EXPORTING', chr(10), '*"     VALUE(EV_', p_partkey % 9, ') TYPE i', chr(10), 'ENDFUNCTION.')
+                    WHEN p_partkey % 4 = 2 THEN concat('* c', chr(10), 'REPORT zrep_', p_partkey, '.', chr(10), 'TABLES: mara, t', p_size, '.', chr(10), 'so_m', p_size, ' p_date so_m', p_size, '.', chr(10), repeat(concat('call function ', chr(39), 'z_f', p_partkey % 50, chr(39), '.', chr(10)), CAST(p_size % 3 AS INT)), '* end')
+                    WHEN p_partkey % 8 = 3 THEN concat('DDIC Table Definition: ZT_', p_partkey, chr(10), 'Table Type: TRANSP', chr(10), 'Delivery Class: A', chr(10), 'Fields:', chr(10), '  MANDT CLNT 3 Client', chr(10), '  F', p_size, ' CHAR 10 The ', p_brand)
+                    ELSE concat('DDIC Domain: ZD_', p_partkey, chr(10), 'Data Type: CHAR', chr(10), 'Length: ', p_size, chr(10), 'Fixed Values:', chr(10), '  OP Open', chr(10), '  C', p_size, ' Closed ', p_brand) END AS content,
+               p_size, p_brand
+        FROM part""",
     "cited": "SELECT l_orderkey AS id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS pos, concat('EVD-', CAST(l_suppkey % 30 AS VARCHAR(20))) AS ref_id, l_suppkey % 30 < 20 AS known, l_returnflag FROM lineitem",
 }
 
