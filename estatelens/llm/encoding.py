@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from estatelens.llm import bpe
 
 #: Texts are worked on in blocks of about this many bytes, so a batch of long texts stays small in memory.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 _LOADED: dict[tuple, object] = {}
 
 
@@ -25,13 +25,13 @@ def once(key: tuple, make: Callable[[], object]) -> object:
     return _LOADED[key]
 
 
-def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[pa.Array]:
     """The texts in order, null as empty, in blocks of bounded size (a longer text is a block of its own)."""
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
         yield texts.slice(at, end - at)
         at = end
 
@@ -43,11 +43,13 @@ class Encoder:
         with open(path, "rb") as file:
             self.table = bpe.from_tiktoken(file.read())
         self.dtype = np.dtype("<u2" if self.table.sentinel <= 65536 else "<u4")
-        self.memo = bpe.PretokenMemo(self._values, b"".join)
+        self.memo = bpe.PretokenMemo(self._values)
         self.decimal = [str(i) for i in range(self.table.sentinel)]
 
     def _values(self, words: list[str]) -> list[bytes]:
-        return [ids.astype(self.dtype).tobytes() for ids in self.table.encode_many([w.encode() for w in words])]
+        ids, starts = self.table.encode_many([w.encode() for w in words])
+        data, cuts = ids.astype(self.dtype).tobytes(), (starts * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's ids start."""

@@ -6,8 +6,6 @@ P(grade <= k) = sigmoid(threshold_k - w x). Features are words and word beginnin
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,24 +15,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import UPPER, WORD
+from estatelens.llm.common import cut_words, spaced_words
+from estatelens.llm.encoding import blocks
+from estatelens.storage import checkpointed
 
 #: The model is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
+#: It has at most so many features, each in LEAST_TEXTS documents of the sample or more.
 MAX_FEATURES = 4_000
+LEAST_TEXTS = 5
 #: Grades: 0 not toxic, 1 to 3 mild to severe.
 GRADES = 4
-_words = re.compile(WORD).findall
-_lower = str.maketrans(UPPER, UPPER.lower())
+#: Lengths of the word beginnings that are features beside the word itself.
+HEADS = (4, 5)
+#: Texts are worked on in blocks of about this many bytes.
+BLOCK_BYTES = 4_000_000
 
 
-def words(text: str | None) -> list[str]:
-    return _words((text or "").translate(_lower))
+def occurrences(texts: pa.Array, chosen: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, owner, code, count, sizes): the count of every feature in every text that has it, and the texts' words.
 
-
-def features(word: str) -> list[str]:
-    """The word and, marked, its first four and five characters."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+    Features are the words and, marked, their first four and five characters if they are longer; those in `chosen`, or all
+    that occur. owner and code are the places of the text and of the feature, in ascending order.
+    """
+    words, owner, sizes = cut_words(spaced_words(texts))
+    coded = pc.dictionary_encode(words)
+    distinct, length = coded.dictionary, np.asarray(pc.utf8_length(coded.dictionary))
+    slots = np.full((len(distinct), 1 + len(HEADS)), -1, np.int64)
+    longer = [np.flatnonzero(length > n) for n in HEADS]
+    heads = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(distinct.take(pa.array(at)), 0, n), "*", "") for n, at in zip(HEADS, longer, strict=True)]
+    names = pa.concat_arrays([distinct, *heads])
+    if chosen is None:
+        found = pc.dictionary_encode(names)
+        chosen, codes = found.dictionary, np.asarray(found.indices)
+    else:
+        codes = np.asarray(pc.fill_null(pc.index_in(names, value_set=chosen), -1))
+    at = 0
+    for k, rows in enumerate((np.arange(len(distinct)), *longer)):
+        slots[rows, k] = codes[at : at + len(rows)]
+        at += len(rows)
+    words_at = np.asarray(coded.indices)
+    held = (slots >= 0).any(axis=1)[words_at]
+    slots, owner = slots[words_at[held]], owner[held]
+    keys = (owner[:, None] * max(1, len(chosen)) + slots)[slots >= 0]
+    keys, counts = np.unique(keys, return_counts=True)
+    return chosen, keys // max(1, len(chosen)), keys % max(1, len(chosen)), counts, sizes
 
 
 @dataclass(frozen=True)
@@ -42,15 +67,17 @@ class Model:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
-    def grade(self, score: float) -> tuple[float, ...]:
-        """Probability of every grade."""
-        below = [1 / (1 + np.exp(-np.clip(t - score, -500, 500))) for t in self.thresholds]
-        return tuple(np.diff([0.0, *below, 1.0]))
+    def grades(self, scores: np.ndarray) -> np.ndarray:
+        """Probability of every grade, a row for each score."""
+        below = 1 / (1 + np.exp(-np.clip(np.array(self.thresholds) - scores[:, None], -500, 500)))
+        ends = np.zeros((len(scores), 1))
+        return np.diff(np.concatenate((ends, below, ends + 1), axis=1), axis=1)
 
 
 def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled ids (a document with several labels counts as toxic if one says so)."""
-    given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    """At most `rows` labelled ids (a document with several labels counts as toxic if one says so); labels other than 0
+    and 1 are none."""
+    given = labels.where("doc_id is not null and cast(toxic as int) in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     return given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
@@ -69,13 +96,15 @@ def choose_features(texts: DataFrame, most: int = MAX_FEATURES) -> tuple[list[st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-                seen[toxic].update({f for w in set(words(text.as_py())) for f in features(w)})
-            names = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], names=["feature", "b", "a"])
-
-    counts = texts.select("text", "toxic").mapInArrow(work, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 5")
+            toxic = np.asarray(batch["toxic"])
+            at = 0
+            for block in blocks(batch["text"], BLOCK_BYTES):
+                names, owner, code, _, _ = occurrences(block)
+                bad = toxic[at : at + len(block)][owner] == 1
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([names, *(pa.array(np.bincount(code[part], minlength=len(names))) for part in (~bad, bad))], names=["feature", "b", "a"])
+
+    counts = texts.select("text", "toxic").mapInArrow(work, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (classes[1] + 1.0)) - F.log(b / (classes[0] + 1.0))
     best = counts.withColumn("z", F.abs(odds / F.sqrt(1 / a + 1 / b))).orderBy(F.desc("z"), "feature").limit(most).collect()
@@ -84,19 +113,19 @@ def choose_features(texts: DataFrame, most: int = MAX_FEATURES) -> tuple[list[st
 
 def sparse_counts(texts: DataFrame, chosen: list[str]) -> pa.Table:
     """doc_id, toxic, n_words, at and n (indexes and occurrences of the chosen features) of the sample, by doc_id."""
-    held = texts.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+    held = texts.sparkSession.sparkContext.broadcast(chosen)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        index = pa.array(held.value, pa.string())
         for batch in batches:
-            sizes, at, n = [], [], []
-            for text in batch["text"]:
-                found = words(text.as_py())
-                counts = Counter(index[f] for w in found for f in features(w) if f in index)
-                sizes.append(len(found))
-                at.append(list(counts))
-                n.append(list(counts.values()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(sizes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "toxic", "n_words", "at", "n"])
+            at = 0
+            for block in blocks(batch["text"], BLOCK_BYTES):
+                _, owner, code, n, sizes = occurrences(block, index)
+                ends = pa.array(np.searchsorted(owner, np.arange(len(block) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, n)]
+                part = batch.slice(at, len(block))
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], pa.array(sizes), *lists], names=["doc_id", "toxic", "n_words", "at", "n"])
 
     return texts.mapInArrow(work, "doc_id long, toxic int, n_words long, at array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n_words", "ascending")])
 
@@ -149,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int =
     toxic documents have ten times as often as others. Without both classes among the labels the model has no
     weights, and every document gets grade 0.
     """
-    texts = labelled_texts(docs, labels, rows)
+    texts = checkpointed(labelled_texts(docs, labels, rows))  # at most `rows` texts, read three times
     chosen, seen, classes = choose_features(texts, most)
     if not all(classes) or not chosen:
         return Model({}, (1e3, 1e3 + 1, 1e3 + 2))
@@ -180,27 +209,17 @@ def score(df: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = held.value, {}
-        weights = model.weights
+        model = held.value
+        index, weights = pa.array(model.weights, pa.string()), np.fromiter(model.weights.values(), float, len(model.weights))
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = words(text.as_py())
-                counts: Counter = Counter()
-                for w, n in Counter(found).items():
-                    if w not in memo:
-                        memo[w] = [f for f in features(w) if f in weights]
-                    for f in memo[w]:
-                        counts[f] += n
-                each = strength(np.fromiter(counts.values(), float, len(counts)), len(found))
-                chances = model.grade(float(each @ np.fromiter(map(weights.__getitem__, counts), float, len(counts))))
-                severity = sum(k * p for k, p in enumerate(chances))
-                p_toxic = 1 - chances[0]
-                rows.append((int(np.argmax(chances)), round(float(severity), 9), round(float(p_toxic), 9), bool(p_toxic >= reject_at)))
-                if len(memo) > 500_000:
-                    memo.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept, *new])
+            at = 0
+            for block in blocks(batch["text"].cast(pa.string()), BLOCK_BYTES):
+                _, owner, code, n, sizes = occurrences(block, index)
+                chances = model.grades(np.bincount(owner, weights=strength(n, sizes[owner]) * weights[code], minlength=len(block)))
+                p_toxic = 1 - chances[:, 0]
+                columns = [np.argmax(chances, axis=1).astype(np.int32), np.round(chances @ np.arange(GRADES), 9), np.round(p_toxic, 9), p_toxic >= reject_at]
+                part = batch.slice(at, len(block))
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, columns)], names=[*kept, *new])
 
     return df.select(*kept).mapInArrow(work, schema)
