@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,32 @@ NONE = np.int32(2**31 - 1)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _known(kind: str) -> set[str]:
+    """The characters of a Unicode class as the tokenizer libraries know it; both are of one Unicode version."""
+    import tiktoken
+
+    found = tiktoken.Encoding(kind, pat_str=rf"\p{{{kind}}}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return set(found.decode(found.encode_ordinary(_EVERY)))
+
+
+_EVERY = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+
+@cache
+def splitter() -> Callable[[str], list[str]]:
+    """Finder of the pre-tokens of a text by PATTERN, letters and numbers being those of the libraries' Unicode version and
+    not those that a later one has added."""
+    pattern = PATTERN
+    for kind in "LN":
+        newer = sorted(map(ord, set(regex.findall(rf"\p{{{kind}}}", _EVERY)) - _known(kind)))
+        firsts = [c for k, c in enumerate(newer) if not k or newer[k - 1] != c - 1]
+        lasts = [c for k, c in enumerate(newer) if k + 1 == len(newer) or newer[k + 1] != c + 1]
+        if newer:
+            out = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{out}]]")
+    return regex.compile(pattern, regex.V1).findall
+
+
 class RankBitmap:
     """Set of small integers with find-first-set over three levels of 64-bit words."""
 
@@ -82,10 +109,10 @@ class MergeTable:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.rank_of[at], NONE)
 
-    def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of every word, each merged on its own."""
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, each merged on its own, end to end, and where each word's ids start (and the last end)."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.concatenate(([0], np.cumsum(lengths + 1)))
         total = int(starts[-1])
@@ -148,9 +175,7 @@ class MergeTable:
             rank[touched] = self.pair_ranks(token[touched], token[after[touched]])
             rank[total] = NONE
             push(touched)
-        ids = token[alive]
-        ends = np.searchsorted(np.flatnonzero(alive), starts)
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return token[alive], np.searchsorted(np.flatnonzero(alive), starts)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -189,15 +214,22 @@ def from_json(data: str) -> tuple[MergeTable, dict[str, int]]:
 UNEVEN = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\A | \z"
 
 
-def gather(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of `values` (of the given lengths, end to end) that the codes name, end to end, and their lengths."""
-    starts = np.cumsum(lengths) - lengths
+#: Latin characters but white space and controls; letters and digits among them (fixed by Unicode).
+LATIN = r"!-~\x{a1}-\x{24f}"
+LETTERS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+DIGITS = r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+
+
+def gather(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `values` (of the given lengths, end to end unless they have other starts) that the codes name, end to
+    end, and their lengths."""
+    starts = np.cumsum(lengths) - lengths if starts is None else starts
     taken = lengths[codes]
     ends = np.cumsum(taken)
     return values[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)], taken
 
 
-def split_cuts(texts: pa.Array, whole: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+def split_cuts(texts: pa.Array, whole: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
     """Cut texts at single spaces, those marked `whole` not at all.
 
     Returns the distinct later cuts, the distinct first cuts (or whole texts), the code of every cut in order (first
@@ -211,36 +243,49 @@ def split_cuts(texts: pa.Array, whole: pa.Array) -> tuple[list[str], list[str],
     firsts = pc.dictionary_encode(pc.if_else(whole, texts, cuts.take(pa.array(offsets[:-1]))))
     codes = np.array(coded.indices, dtype=np.int64)
     codes[offsets[:-1]] = np.asarray(firsts.indices) + len(coded.dictionary)
-    return coded.dictionary.to_pylist(), firsts.dictionary.to_pylist(), codes, offsets
+    return coded.dictionary, firsts.dictionary, codes, offsets
 
 
 class PretokenMemo:
     """Values of pre-tokens, kept for the texts that follow.
 
-    A single space between two other characters always starts a pre-token, so texts are cut there first and distinct
-    cuts are looked up; only a cut not seen before is matched against the pattern. `value` maps the new
-    pre-tokens of a batch to their values, `join` makes one value of several. The memo holds at most `limit` cuts
-    and as many pre-tokens, besides those of the batch in hand, and starts anew when it is full.
+    A single space between two other characters always starts a pre-token, so texts are cut there first and only the
+    distinct cuts of a block are matched against the pattern: those of Latin characters all at once, the others one by
+    one. `value` maps the new pre-tokens of a block to their values. The memo holds at most `limit` pre-tokens besides
+    those of the block in hand, and starts anew when it is full.
     """
 
-    def __init__(self, value: Callable[[list[str]], list], join: Callable[[list], object], limit: int = 500_000):
-        self.value, self.join, self.limit = value, join, limit
-        self.find = regex.compile(PATTERN).findall
-        self.cuts: dict[str, object] = {}
-        self.pieces: dict[str, object] = {}
+    PLAIN = f"^ ?[{LATIN}]*$"
+    #: The pattern for cuts without inner white space, with the classes written out for Latin characters.
+    PARTS = f"('s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^ {LETTERS}{DIGITS}]+)"
+
+    def __init__(self, value: Callable[[list[str]], list], limit: int = 300_000):
+        self.value, self.limit = value, limit
+        self.find = splitter()
+        self.held: dict[str, object] = {}
 
     def values(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
-        """Values of the distinct cuts, the code of every cut, and where each text's codes start."""
-        if len(self.cuts) > self.limit:
-            self.cuts.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
+        """Values of the distinct pre-tokens, the code of every pre-token in order, and where each text's codes start."""
+        if len(self.held) > self.limit:
+            self.held.clear()
         later, firsts, codes, offsets = split_cuts(texts, pc.match_substring_regex(texts, UNEVEN))
-        found = {c: self.find(" " + c) for c in later if c not in self.cuts}
-        heads = [self.find(c) for c in firsts]
-        pieces = self.pieces
-        fresh = [p for p in {p for parts in (*found.values(), *heads) for p in parts} if p not in pieces]
-        pieces.update(zip(fresh, self.value(fresh), strict=True))
-        self.cuts.update((c, self.join([pieces[p] for p in parts])) for c, parts in found.items())
-        known = [*map(self.cuts.__getitem__, later), *(self.join([pieces[p] for p in parts]) for parts in heads)]
-        return known, codes, offsets
+        cuts = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), later, ""), firsts])
+        plain = pc.match_substring_regex(cuts, self.PLAIN)
+        marked = pc.utf8_rtrim(pc.replace_substring_regex(pc.if_else(plain, cuts, ""), self.PARTS, r"\1" + "\n"), "\n")
+        lists = pc.split_pattern(marked, "\n")
+        starts = np.array(lists.offsets, dtype=np.int64)[: len(cuts) + 1]
+        lengths, starts = np.diff(starts), starts[:-1].copy()
+        coded = pc.dictionary_encode(lists.flatten())
+        pieces = {p: k for k, p in enumerate(coded.dictionary.to_pylist())}
+        parts = [np.asarray(coded.indices)]
+        at = len(parts[0])
+        for row, cut in zip(np.flatnonzero(~np.asarray(plain)).tolist(), cuts.filter(pc.invert(plain)).to_pylist(), strict=True):
+            own = [pieces.setdefault(p, len(pieces)) for p in self.find(cut)]
+            starts[row], lengths[row] = at, len(own)
+            at += len(own)
+            parts.append(own)
+        pool = np.concatenate(parts).astype(np.int64)
+        new = [p for p in pieces if p not in self.held]
+        self.held.update(zip(new, self.value(new), strict=True))
+        found, taken = gather(pool, lengths, codes, starts)
+        return [self.held[p] for p in pieces], found, np.concatenate(([0], np.cumsum(taken)))[offsets]

@@ -25,8 +25,8 @@ def load(path: str) -> tuple[bpe.MergeTable, dict[str, int]]:
 
 def prove_whole(table: bpe.MergeTable) -> frozenset[str]:
     """The vocabulary's strings that come out as one token when they are merged alone; at most the vocabulary."""
-    alone = table.encode_many(table.vocab)
-    return frozenset(token.decode() for token, ids in zip(table.vocab, alone, strict=True) if len(ids) == 1 and valid(token))
+    counts = np.diff(table.encode_many(table.vocab)[1]).tolist()
+    return frozenset(token.decode() for token, n in zip(table.vocab, counts, strict=True) if n == 1 and valid(token))
 
 
 class Counter:
@@ -34,13 +34,13 @@ class Counter:
         self.table, added = load(path)
         self.added = sorted(added, key=lambda s: (-len(s), s))
         self.whole = whole
-        self.memo = bpe.PretokenMemo(self._values, sum)
+        self.memo = bpe.PretokenMemo(self._values)
 
     def _values(self, words: list[str]) -> list[int]:
         counts = [int(w in self.whole) for w in words]
         rest = [i for i, n in enumerate(counts) if not n]
-        for i, ids in zip(rest, self.table.encode_many([words[i].encode() for i in rest]), strict=True):
-            counts[i] = len(ids)
+        for i, n in zip(rest, np.diff(self.table.encode_many([words[i].encode() for i in rest])[1]).tolist(), strict=True):
+            counts[i] = n
         return counts
 
     def count(self, texts: pa.Array) -> np.ndarray:
