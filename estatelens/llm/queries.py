@@ -55,8 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/flat-ids-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flatids.write_ids(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, shards=shards)
+    flatids.write_ids(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return flatids.read_ids(spark, folder)
 
 
