@@ -12,38 +12,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import UPPER, WORD
+from estatelens.llm.common import UPPER, WORD, count_words, spaced_words
+from estatelens.llm.encoding import blocks
+from estatelens.llm.license_texts import TEMPLATES
 
 #: Contract: phrases and the labels they give (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-_VERB = '<<var;match="licensed|released|distributed|made available|available|published|provided">>'
-_WORK = '<<beginOptional>><<var;match="this|the">> <<var;match=".{1,3}">> is<<endOptional>>'
-TEMPLATES = [
-    ("mit", f"{_WORK} {_VERB} under <<beginOptional>>the terms of<<endOptional>> the <<var;match=\"mit|expat|x11\">> license"),
-    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software <<beginOptional>>and
-        associated documentation files (the "Software")<<endOptional>>, to deal in the Software without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
-        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-        this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
-        substantial portions of the Software."""),
-    ("apache-2.0", f"{_WORK} {_VERB} under <<beginOptional>>the terms of<<endOptional>> the apache <<beginOptional>>software<<endOptional>> license <<beginOptional>>version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>"),
-    ("gpl-2.0", f"{_WORK} {_VERB} under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>version<<endOptional>> 2"),
-    ("gpl-3.0", f"{_WORK} {_VERB} under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>version<<endOptional>> 3"),
-    ("lgpl-3.0", f"{_WORK} {_VERB} under <<beginOptional>>the terms of<<endOptional>> the gnu lesser general public license <<beginOptional>>version<<endOptional>> 3"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license <<beginOptional>>v|version<<endOptional>> 2 0"),
-    ("cc-by-nc-4.0", f'{_WORK} {_VERB} under <<beginOptional>>a|the<<endOptional>> <<var;match="cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial">> 4 0'),
-    ("cc-by-4.0", f'{_WORK} {_VERB} under <<beginOptional>>a|the<<endOptional>> <<var;match="cc by|creative commons attribution">> 4 0'),
-    ("isc", """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-        that the above copyright notice and this permission notice appear in all copies"""),
-    ("bsd", """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met"""),
-    ("proprietary", 'all rights reserved <<beginOptional>><<var;match=".{0,8}">><<endOptional>> unauthorized copying'),
-]
 _words = re.compile(WORD).findall
 _lower = str.maketrans(UPPER, UPPER.lower())
 _MARKUP = re.compile(r'<<(beginOptional|endOptional|var;match="([^"]*)")>>')
@@ -106,6 +87,10 @@ class Automaton:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
+    """The automaton of a template. Raises ValueError for markup that does not balance or that it does not know, and for
+    a template without mandatory wording or that may start with any word."""
+    if "<<" in _MARKUP.sub("", markup) or ">>" in _MARKUP.sub("", markup):
+        raise ValueError(f"template {label} has unknown markup")
     auto, at, opened, mandatory, last = Automaton(label), 0, [], [], 0
 
     def wording(text: str) -> int:
@@ -125,6 +110,8 @@ def compile_template(label: str, markup: str) -> Automaton:
         if mark[1] == "beginOptional":
             opened.append(at)
         elif mark[1] == "endOptional":
+            if not opened:
+                raise ValueError(f"template {label} closes an option that is not open")
             end = auto.state()
             auto.free[at].append(end)
             auto.free[opened.pop()].append(end)
@@ -149,6 +136,8 @@ def compile_template(label: str, markup: str) -> Automaton:
                 auto.free[auto.line(at, words(choice))].append(end)
             at = end
     at = wording(markup[last:])
+    if opened or not mandatory:
+        raise ValueError(f"template {label} leaves an option open" if opened else f"template {label} has no mandatory wording")
     end = auto.state()
     auto.free[at].append(end)
     auto.key = max(mandatory, key=len)
@@ -161,10 +150,17 @@ class Scanner:
         self.automata = [compile_template(label, markup) for label, markup in templates]
         self.phrases = [(phrase.split(" "), label) for phrase, label in PHRASES.items()]
 
+    def candidates(self, spaced: pa.Array) -> np.ndarray:
+        """Places of the texts (from spaced_words) that hold all words of a phrase or the longest mandatory word of a template."""
+        wanted = [phrase for phrase, _ in self.phrases] + [[key] for key in sorted({auto.key for auto in self.automata})]
+        held = {w: np.asarray(pc.match_substring(spaced, w)) for w in {w for each in wanted for w in each}}
+        return np.flatnonzero(np.any([np.all([held[w] for w in each], axis=0) for each in wanted], axis=0))
+
     def scan(self, text: str) -> dict:
+        """What is found in one text; A-Z count as lower case."""
         lowered = text.translate(_lower)
         found = _words(lowered)
-        starts, base, labels, covered = [], set(), set(), set()
+        starts, base, labels, covered = [], set(), set(), np.zeros(len(found), dtype=bool)
         for phrase, label in self.phrases:
             if not all(w in lowered for w in phrase):
                 continue
@@ -172,7 +168,7 @@ class Scanner:
                 if found[i] == phrase[0] and found[i : i + len(phrase)] == phrase:
                     starts.append(i)
                     base.add(label)
-                    covered.update(range(i, i + len(phrase)))
+                    covered[i : i + len(phrase)] = True
         matches = []
         for auto in self.automata:
             if auto.key not in lowered:
@@ -182,16 +178,17 @@ class Scanner:
                 end = auto.longest(found, at) if found[at] in auto.first else -1
                 if end > 0:
                     labels.add(auto.label)
-                    covered.update(range(at, end))
+                    covered[at:end] = True
                     matches.append({"label": auto.label, "start": at, "end": end})
                 at = max(end, at + 1)
         return {
             "n_words": len(found), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)),
-            "score": round(len(covered) / len(found), 9) if found else 0.0, "matches": matches,
+            "score": round(int(covered.sum()) / len(found), 9) if found else 0.0, "matches": matches,
         }
 
 
+NOTHING = {"n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "matches": []}
 FIELDS = [("n_words", "long", pa.int64()), ("n_base", "long", pa.int64()), ("first_word", "long", pa.int64()), ("last_word", "long", pa.int64()), ("base_labels", "string", pa.string()), ("labels", "string", pa.string()), ("score", "double", pa.float64()), ("matches", "array<struct<label:string,start:long,end:long>>", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
 
 
@@ -211,8 +208,14 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(given)
         for batch in batches:
-            rows = [scanner.scan(t.as_py() or "") for t in batch[text]]
-            columns = [pa.array([r[n] for r in rows], t) for n, _, t in FIELDS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *new])
+            at = 0
+            for block in blocks(batch[text].cast(pa.string())):
+                spaced = spaced_words(block)
+                rows = [{**NOTHING, "n_words": n} for n in count_words(spaced).tolist()]
+                for k in scanner.candidates(spaced).tolist():
+                    rows[k] = scanner.scan(block[k].as_py())
+                part = batch.slice(at, len(block))
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r[n] for r in rows], t) for n, _, t in FIELDS)], names=[*kept, *new])
 
     return df.select(*kept).mapInArrow(work, schema)
