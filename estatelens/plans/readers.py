@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import text as T
 from estatelens.operators import extract as X
 from estatelens.plans.base import Inputs, Registry
-from estatelens.sources import exports, files, workbook, xml_sections
+from estatelens.sources import adapters, exports, files, workbook, xml_sections
 from estatelens.storage import shared_dir
 from estatelens.streaming.intake import stream_intake
 
@@ -350,3 +350,43 @@ def st1_stream_intake(i):
         made.where((F.col("batch") % 2 == 1) == late).drop("batch").write.mode("append").json(f"{folder}/landing")
         stream_intake(i.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", schema, lambda: objects)
     return i.spark.read.parquet(f"{folder}/out/correlations").select("record_fingerprint", "status")
+
+
+def mixed_folder(i: Inputs) -> str:
+    """Sizing reports and JSON chunks of a hundred parts each, and notes that nobody reads, in one folder."""
+    part = i.table("part")
+    rows = joined(part, blocks("p_partkey", 100), "p_partkey", F.concat(F.lit("| TAB_"), F.col("p_partkey").cast("string"), F.lit("   1,5 |")))
+    text = F.concat(F.lit("-" * 20 + "\n| Table  Size |\n| " + "-" * 12 + " |\n"), "body", F.lit("\n" + "-" * 20))
+    k = F.col("k").cast("string")
+    sizing = rows.select(F.concat(F.lit("s/sizing"), k, F.lit(".txt")).alias("name"), text.alias("content"))
+    chunk = rows.select(F.concat(F.lit("k/c"), k, F.lit(".json")).alias("name"), F.concat(F.lit('{"dataSet": {"keyFigureId": "F", "header": ["A"], "data": [["'), k, F.lit('"], ["2"]]}}')).alias("content"))
+    notes = rows.select(F.concat(F.lit("n/note"), k, F.lit(".txt")).alias("name"), F.lit("nothing").alias("content"))
+    return written(i, sizing.unionByName(chunk).unionByName(notes))
+
+
+@query("SELECT format, count(*) AS n FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest(['sizing_report', 'kpi_chunks', NULL]) AS format FROM part) GROUP BY 1")
+def e1_detect(i):
+    return adapters.detect(i.spark, mixed_folder(i)).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT format, count(*) AS n_files, count(*) AS n_distinct FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest(['sizing_report', 'kpi_chunks']) AS format FROM part) GROUP BY 1")
+def e1_plan_batches(i):
+    planned = adapters.plan_batches(i.spark, mixed_folder(i), 2)
+    each = planned.select("format", F.explode("files").alias("file"))
+    return each.groupBy("format").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("file").alias("n_distinct"))
+
+
+@query("""SELECT 'first' AS run, 'signavio_kpi_observation' AS record_type, concat('c', k, '.json:', n) AS source_key FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest([0, 1]) AS n FROM part) WHERE k % 2 = 0
+UNION ALL SELECT 'second', 'signavio_kpi_observation', concat('c', k, '.json:', n) FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest([0, 1]) AS n FROM part) WHERE k % 2 = 1""")
+def e1_import_batch(i):
+    folder = mixed_folder(i)
+    empty = i.spark.createDataFrame([], ", ".join(f"{c} string" for c in adapters.RECORD))
+    every = adapters.import_batch(i.spark, f"{folder}/k", "kpi_chunks", empty)
+    first = every.where(F.regexp_extract("source_key", r"^c(\d+)", 1).cast("long") % 2 == 0)
+    second = adapters.import_batch(i.spark, f"{folder}/k", "kpi_chunks", first)
+    return first.select(F.lit("first").alias("run"), "record_type", "source_key").unionByName(second.select(F.lit("second").alias("run"), "record_type", "source_key"))
+
+
+@query("SELECT 'hana_sizing_table_metric' AS record_type, count(*) AS n FROM part")
+def e1_inspect(i):
+    return adapters.inspect(i.spark, f"{mixed_folder(i)}/s", "sizing_report")

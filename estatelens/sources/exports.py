@@ -208,18 +208,3 @@ def parse_readiness_tables(tables: DataFrame, assessment_id: int | None = None,
         F.when(F.col("kind") == "table_volume", "USAGE_SIGNAL").otherwise("S4_CONVERSION_SIGNAL").alias("capability"), key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"),
         F.when((F.col("kind") == "table_volume") & first.rlike("^[A-Z0-9_/]{2,30}$"), first).alias("object_name"), F.lit(None).cast("string").alias("object_type"), last_wins(entries).alias("payload"),
     )
-
-
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded(F.col("content")).alias("text"))
-
-
-def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Reader of each format that detect_format names: (spark, path) to evidence records. Callers may add their own."""
-    from estatelens.sources import workbook, xml_sections
-
-    return {
-        "sectioned_xml": lambda spark, path: xml_sections.curate_sections(xml_sections.read_sectioned_xml(spark, path)), "usage_sheet": lambda spark, path: workbook.read_usage_report(workbook.read_findings_sheet(spark, path)),
-        "kpi_chunks": lambda spark, path: kpi_records(read_kpi_chunks(read_kpi_members(spark, path))), "sizing_report": lambda spark, path: parse_sizing_report(_texts(spark, path)),
-        "readiness_docx": lambda spark, path: parse_readiness_tables(read_document_tables(spark, path)),
-    }

@@ -1,6 +1,7 @@
 import random
 
 from estatelens import graph
+from estatelens.operators import dashboard
 
 
 def union_find(nodes, edges):
@@ -54,6 +55,48 @@ def test_assign_applications(spark):
     assert set(rows) == {1, 3, 7, 8} and rows[1] == (10, False) and rows[8] == (11, False) and rows[3][1] and rows[7][1]
 
 
+def test_claims_in_rounds_as_one_after_another(spark):
+    """Random wishes, one application wanted by most: the rounds give what clusters in turn would take."""
+    r = random.Random(4)
+    objects, clusters, old = [], [], {}
+    for c in range(60):
+        for k in range(r.randrange(1, 7)):
+            n = len(objects)
+            old[n] = r.choice([None, 0, 0, 0, r.randrange(8), r.randrange(40)])
+            objects.append((n, 1, old[n]))
+            clusters.append((n, c))
+    apps = [(a, "CANDIDATE" if a % 9 else "MERGED") for a in range(1, 40)] + [(0, "CANDIDATE")]
+    status, members = dict(apps), {}
+    for n, c in clusters:
+        members.setdefault(c, []).append(old[n])
+    taken, wanted = set(), {}
+    for c in sorted(members):
+        if any(a is not None and status[a] == "MERGED" for a in members[c]):
+            continue
+        counts = sorted((-members[c].count(a), a) for a in set(members[c]) if a is not None)
+        left = [a for n, a in counts if -n * 2 >= len(members[c]) and a not in taken]
+        wanted[c] = left[0] if left else None
+        taken |= set(left[:1])
+    found = graph.assign_applications(spark.createDataFrame(clusters, "id long, cluster_id long"), spark.createDataFrame(objects, "id long, assessment_id long, application_id long"), spark.createDataFrame(apps, "id long, status string"))
+    assert {x["cluster_id"]: None if x["is_new"] else x["application_id"] for x in found.collect()} == wanted
+
+
+def test_numbered_counts_within_groups(spark):
+    rows = [(k % 3 if k % 50 else None, (k * 37) % 500) for k in range(500)]
+    found = graph.numbered(spark.createDataFrame(rows, "g int, o int"), "g", ["o"]).collect()
+    groups = {}
+    for g, o in rows:
+        groups.setdefault(g, []).append(o)
+    assert {(x["g"], x["o"], x["position"]) for x in found} == {(g, o, n) for g, own in groups.items() for n, o in enumerate(sorted(own), 1)}
+    assert graph.numbered(spark.createDataFrame([], "g int, o int"), "g", ["o"]).count() == 0
+
+
+def test_catalog_keeps_objects_of_one_name(spark):
+    rows = spark.createDataFrame([(1, 10, "SAME", None, None, None), (1, 11, "SAME", None, None, None)], "assessment_id int, id long, object_name string, application_id long, application_name string, recommendation string")
+    single = dashboard.object_catalog(rows)
+    assert sorted((x["label"], x["entity_id"]) for x in single.collect()) == [("SAME", 10), ("SAME", 11)]
+
+
 def test_consolidate_rules(spark):
     ref = lambda n: [(f"R{n}", "E", n)]
     rules = spark.createDataFrame(

@@ -1,10 +1,14 @@
+import html
 import json
+import re
+import unicodedata
 import zipfile
 
 import pytest
 from estatelens.functions import text
+from estatelens.functions.arrays import running
 from estatelens.operators import extract
-from estatelens.sources import exports, files, workbook, xml_sections
+from estatelens.sources import adapters, exports, files, workbook, xml_sections
 from estatelens.streaming.intake import stream_intake
 from pyspark.sql import functions as F
 
@@ -89,6 +93,66 @@ def test_kpi_chunks(spark, tmp_path):
     assert tuple(exports.kpi_manifest(members).first()) == (1, 1, 1, {"UsageSystem": "QAS"})
 
 
+def test_repeated_and_null_headers(spark, tmp_path):
+    """Headers that are equal, or mean one field, or are missing neither fail nor hide the last value."""
+    book(tmp_path / "a.xlsx", {"data": [["Package", "package ", "Object name", "Object name", None], ["P1", "P2", "Z1", "Z2", "x"]]})
+    rows = workbook.read_findings_sheet(spark, str(tmp_path / "a.xlsx"))
+    mapped = workbook.map_headers(rows).first()
+    assert mapped["status"] == "FULL" and mapped["recognized"] == {"Package": "package_name_raw", "package ": "package_name_raw", "Object name": "object_name_raw"} and mapped["unknown"] == []
+    found = workbook.normalize_finding_rows(rows).first()
+    assert (found["package_name_raw"], found["object_name_raw"]) == ("P2", "Z2")
+    nulls = spark.createDataFrame([("f", 2, [None, "Object name"], ["a", "b"], None)], rows.schema)
+    assert workbook.map_headers(nulls).first()["unknown"] == [""] and workbook.normalize_finding_rows(nulls).first()["object_name_raw"] == "b"
+    assert workbook.map_headers(rows.where("false")).collect() == []
+
+
+def test_damaged_exports_give_error_rows(spark, tmp_path):
+    chunk = json.dumps({"dataSet": {"keyFigureId": "F", "header": ["A", "A"], "data": [["1", "2"]]}})
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as box:
+        box.writestr("a.json", chunk)
+    (tmp_path / "cut.zip").write_bytes((tmp_path / "good.zip").read_bytes()[:60])
+    members = exports.read_kpi_members(spark, str(tmp_path / "*.zip"))
+    rows = {r["member"]: r for r in exports.read_kpi_chunks(members).collect()}
+    assert rows["a.json"]["payload"] == {"A": "2"} and "not a ZIP" in rows["cut.zip"]["warning"]
+    assert tuple(exports.kpi_manifest(members).first())[:3] == (1, 1, 1)
+    for name, data in (("a.docx", b"junk"), ("b.docx", (tmp_path / "good.zip").read_bytes())):
+        (tmp_path / name).write_bytes(data)
+    tables = exports.read_document_tables(spark, str(tmp_path / "*.docx"))
+    assert [bool(r["error"]) for r in tables.collect()] == [True, True] and exports.parse_readiness_tables(tables).count() == 0 and exports.readiness_manifest(tables).count() == 0
+
+
+def test_adapters(spark, tmp_path):
+    (tmp_path / "k.json").write_text(json.dumps({"dataSet": {"keyFigureId": "F", "header": ["A"], "data": [["1"], ["2"]]}}))
+    assert [r["format"] for r in adapters.detect(spark, str(tmp_path)).collect()] == ["kpi_chunks"]
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in adapters.RECORD))
+    first = adapters.import_batch(spark, str(tmp_path), "kpi_chunks", empty)
+    assert first.count() == 2 and adapters.import_batch(spark, str(tmp_path), "kpi_chunks", first).count() == 0
+    own = {"mine": adapters.Adapter(lambda s, p: s.createDataFrame([("r", "c", "k", "f", "o")], empty.schema), lambda s, p: s.range(1))}
+    assert adapters.import_batch(spark, "", "mine", empty, own).count() == 1 and adapters.inspect(spark, "", "mine", own).count() == 1
+    with pytest.raises(ValueError, match="no adapter"):
+        adapters.inspect(spark, "", "other")
+
+
+def test_references_and_accents(spark):
+    texts = ["a &lt;b&gt; &amp;amp; &nbsp;x", "&#65;&#x41;&#128;&#xD800;&#x110000;&#99999999999999999999;&#0;&#13;", "&notit; &notin; &ltx &foo; &", "&&lt", "&Aacute&Aacute;&frac14x", "&#xFFFE;&#xFDD0;é&#8364;&#x1F600;", "&NotEqualTilde;&AMP&AMP;", "no", None]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", extract.unescape_html(F.col("t")).alias("u"), extract.fold_accents(F.col("t")).alias("f")).collect()
+    assert {r["i"]: r["u"] for r in found} == {i: t and html.unescape(t) for i, t in enumerate(texts)}
+    for q in ("Quais objetos não classificados?", "AÇÃO  İx", "ﬁn ǆ"):
+        got = spark.createDataFrame([(q,)], "q string").select(extract.fold_accents(F.col("q")).alias("f")).first()["f"]
+        assert q[0] == "ﬁ" or got == re.sub(r"\s+", " ", "".join(x for x in unicodedata.normalize("NFKD", q.lower()) if not unicodedata.combining(x))) + " "
+
+
+def test_running_sums_and_long_texts(spark):
+    for n in (0, 1, 255, 256, 257, 5000):
+        values = [k % 7 for k in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<int>").select(running(F.col("v")).alias("s")).first()["s"]
+        assert got == [sum(values[:k]) for k in range(n)] if n < 300 else got[-1] == sum(values[:-1])
+    source = "".join(f"x\nCALL FUNCTION 'Z{k}'.\n" for k in range(20_000))
+    files_ = spark.createDataFrame([(1, source)], "id long, content string")
+    found = {r["target_name"]: r["source_line"] for r in extract.text_dependencies(files_).collect()}
+    assert len(found) == 20_000 and all(found[f"Z{k}"] == 2 * k + 2 for k in range(20_000))
+
+
 def test_sizing_report(spark):
     body = "SID  QAS\nHost:  h1\n" + "-" * 20 + "\n| SIZING RESULTS IN GiB |\n|" + "-" * 18 + "|\n| - Memory requirement   3.765,0 |\n" + "-" * 20 + "\n" + "-" * 20 + "\n| Table  Size  Rows |\n| " + "-" * 12 + " |\n| DBTABLOG   230,0   651.620.305 |\n|  |\n| ACDOCA   77,6   x |\n" + "-" * 20
     df = spark.createDataFrame([("f", body)], "file string, text string")
