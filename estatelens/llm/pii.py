@@ -29,7 +29,7 @@ KINDS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Kinds of spans: credentials come after the base kinds.
 ALL_KINDS = [*KINDS, "secret"]
-TOKEN = r"(?<!\S)\S*[0-9]\S*"
+TOKEN = r"(?<!\S)\S*(?:[0-9]|(?:AKIA|ASIA)[A-Z]{16})\S*"
 #: Seeds of credentials (fixed values): what is assigned to such a name, and key ids of such a form.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api[_-]?key")
 SECRET_FORMS = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"
@@ -113,7 +113,7 @@ def _masked(text: Column, kind: str) -> Column:
 
 
 def _tokens(pieces: Column, names: tuple[str, ...]) -> Column:
-    """Mentions of the tokens with a digit and at least six characters without the name that they are assigned to and the
+    """Mentions of the tokens with a digit (or of a key id's form) and at least six characters without the name that they are assigned to and the
     punctuation around them; credentials of known form, or assigned to one of the names, are seeds."""
     assigned = rf"(?i)(?:{'|'.join(names) or '(?!)'})[\"']?\s*[=:]+\s*[\"']?$"
 
@@ -127,7 +127,7 @@ def _tokens(pieces: Column, names: tuple[str, ...]) -> Column:
             seed = (before.rlike(assigned) & letters) | value.rlike(SECRET_FORMS)
             return _described(F.when(seed, "secret"), value, x["start"] + F.length(lead), F.regexp_replace(before, r"[\"'(\[{<]+$", ""), F.concat(F.substr(rest, F.length(value) + 1), x["after"]))
 
-        return F.when((F.length(value) >= 6) & value.rlike("[0-9]"), let(F.concat(x["before"], lead), named))
+        return F.when((F.length(value) >= 6) & (value.rlike("[0-9]") | value.rlike(SECRET_FORMS)), let(F.concat(x["before"], lead), named))
 
     return F.array_compact(F.transform(_contexts(pieces), one))
 
@@ -161,8 +161,8 @@ def discover(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
     found: column `found` of mentions(). A pattern's confidence for a kind is the sum of its distinct instances'
     scores over their number plus one; an unseen instance scores 1 - product of (1 - confidence) over its patterns. The
     rounds are fixed. Instances are accepted at `accept` if two patterns at least are confident (0.5) and surround two seeds
-    each; for credentials one such pattern is enough beside a confident one of three instances or more that ends in
-    an assignment (`token =`), seeds or none.
+    each; for credentials one of the two has to stand before them, or has to be a confident one of three instances or more
+    that ends in an assignment (`token =`), seeds or none.
     """
     each = found.select(F.explode("found").alias("m")).select("m.instance", "m.kind", F.explode("m.patterns").alias("pattern"))
     edges = checkpointed(each.groupBy("instance", "pattern").agg(*(F.max(F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0))).alias(k) for k in ALL_KINDS)).withColumn("seed", F.greatest(*ALL_KINDS) > 0))
@@ -173,10 +173,11 @@ def discover(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
         scored = open_edges.join(confidence, "pattern")
         seeded = [F.count_if((F.col("seeds") >= 2) & (F.col(f"c_{k}") >= 0.5)).alias(f"b_{k}") for k in ALL_KINDS]
         assigned = F.count_if(F.col("pattern").rlike("^[lk]:.*[=:]$") & (F.col("n") >= 3) & (F.col("c_secret") >= 0.5)).alias("assigned")
-        doubt = checkpointed(scored.groupBy("instance").agg(*((1 - F.exp(F.sum(F.log1p(-F.least(F.col(f"c_{k}"), F.lit(0.999)))))).alias(k) for k in ALL_KINDS), *seeded, assigned))
+        before = F.count_if(F.col("pattern").rlike("^[lk]:") & (F.col("seeds") >= 2) & (F.col("c_secret") >= 0.5)).alias("before")
+        doubt = checkpointed(scored.groupBy("instance").agg(*((1 - F.exp(F.sum(F.log1p(-F.least(F.col(f"c_{k}"), F.lit(0.999)))))).alias(k) for k in ALL_KINDS), *seeded, assigned, before))
         linked = edges.where("seed").unionByName(edges.where("not seed").select("instance", "pattern", "seed").join(doubt.select("instance", *ALL_KINDS), "instance"))
     backed = {k: F.col(f"b_{k}") >= 2 for k in ALL_KINDS}
-    backed["secret"] = backed["secret"] | ((F.col("b_secret") >= 1) & (F.col("assigned") >= 1))
+    backed["secret"] = (backed["secret"] & (F.col("before") >= 1)) | ((F.col("b_secret") >= 1) & (F.col("assigned") >= 1))
     best = F.array_max(F.array_compact(F.array(*(F.when(backed[k], F.struct(F.round(k, 9).alias("score"), F.lit(k).alias("kind"))) for k in ALL_KINDS))))
     return doubt.select("instance", best.alias("best")).select("instance", "best.kind", "best.score").where(F.col("score") >= accept)
 
