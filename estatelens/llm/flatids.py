@@ -11,6 +11,7 @@ or twice at once, leaves whole files.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import uuid
@@ -29,10 +30,9 @@ from pyspark.sql import functions as F
 from estatelens.llm.bpe import gather, split_cuts
 from estatelens.llm.encoding import blocks, once
 
-#: A shard holds about this many bytes of text at most (a longer text is one shard's all the same), and, where that leaves
-#: tasks without work, not less than SMALL_SHARD.
-SHARD_BYTES = 1 << 28
-SMALL_SHARD = 1 << 22
+#: The shards' number and size both grow with the root of the bytes, from UNIT bytes on, until a shard holds SHARD_BYTES.
+UNIT = 1 << 16
+SHARD_BYTES = 1 << 30
 #: Documents that the reader takes at a time.
 WINDOW = 4096
 
@@ -141,10 +141,9 @@ class WordEncoder:
 
 
 def shards_for(df: DataFrame) -> int:
-    """How many shards the texts of df make: by their bytes, and for small tables by the session's parallelism."""
+    """How many shards the texts of df make, by their bytes: 1,000 of 64 MB for 64 GB, 100,000 of 1 GB for 100 TB."""
     total = df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")) + 8), F.lit(0))).first()[0]
-    least = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-total // SHARD_BYTES), min(least, -(-total // SMALL_SHARD)))
+    return max(1, -(-total // SHARD_BYTES), math.isqrt(total // UNIT))
 
 
 def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int | None = None) -> dict:
