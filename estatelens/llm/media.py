@@ -37,8 +37,19 @@ def netpbm_fields(data: bytes, count: int) -> tuple[list[int], int]:
     return found, at + 1
 
 
+def scaled(samples: np.ndarray, most: int) -> np.ndarray:
+    """Samples of 0 to `most` as uint8 of 0 to 255 or, if they need more than eight bits, uint16 of 0 to 65535."""
+    top, dtype = (255, np.uint8) if most < 256 else (65535, np.uint16)
+    if most == top:
+        return samples.astype(dtype, copy=False)
+    if samples.size and samples.max() > most:
+        raise ValueError("sample above the maximum value")
+    return ((samples.astype(np.uint64) * (2 * top) + most) // (2 * most)).astype(dtype)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3), uint8 or uint16; bitmaps give 0 for black, 255 for white."""
+    """P1 to P6 as (height, width) or (height, width, 3), uint8 or uint16, scaled to the whole range; bitmaps give 0 for
+    black, 255 for white."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not a Netpbm file")
@@ -48,6 +59,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     shape = (height, width, 3) if depth == 3 else (height, width)
     if kind == b"P1":
         bits = np.frombuffer(data[at - 1 :].translate(None, b" \t\r\n\v\f"), np.uint8)[: width * height] - 48
+        if bits.size and bits.max() > 1:
+            raise ValueError("not a bit")
         return ((1 - bits) * 255).astype(np.uint8).reshape(shape)
     if kind == b"P4":
         row = (width + 7) // 8
@@ -56,27 +69,44 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     most = fields[2]
     if not 0 < most < 65536:
         raise ValueError("bad maximum value")
-    dtype = np.dtype(np.uint8 if most < 256 else ">u2")
     if kind in (b"P2", b"P3"):
-        return np.array(data[at:].split()[: width * height * depth], dtype=np.int64).astype(dtype.newbyteorder("=")).reshape(shape)
-    return np.frombuffer(data, dtype, width * height * depth, at).reshape(shape).astype(dtype.newbyteorder("="), copy=False)
+        samples = np.array(data[at:].split()[: width * height * depth], dtype=np.int64)
+        if samples.size and samples.min() < 0:
+            raise ValueError("negative sample")
+        if samples.size and samples.max() > most:
+            raise ValueError("sample above the maximum value")
+    else:
+        samples = np.frombuffer(data, np.uint8 if most < 256 else ">u2", width * height * depth, at)
+    return scaled(samples, most).reshape(shape)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits a pixel as (height, width, 3) RGB."""
+    """Uncompressed BMP as (height, width, 3) RGB: 1, 4 or 8 bits a pixel by palette, 16 or 32 by bit fields (5-5-5 and
+    8-8-8 where none are given), 24."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP file")
     start, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (8, 24, 32):
+    if header < 40 or packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or height == 0:
         raise ValueError("unsupported BMP")
-    row = (width * bits // 8 + 3) // 4 * 4
-    lines = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
-    lines = lines if height < 0 else lines[::-1]
-    if bits == 8:
-        used = struct.unpack_from("<I", data, 46)[0] or 256
+    row, lines = (width * bits + 31) // 32 * 4, abs(height)
+    raw = np.frombuffer(data, np.uint8, row * lines, start).reshape(lines, row)
+    raw = raw if height < 0 else raw[::-1]
+    if bits <= 8:
+        used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(used, 4)
-        return palette[lines][:, :, 2::-1]
-    return lines.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+        parts = np.unpackbits(np.ascontiguousarray(raw), axis=1).reshape(lines, -1, bits)[:, :width] if bits < 8 else raw[:, :width]
+        index = parts @ (1 << np.arange(bits)[::-1]) if bits < 8 else parts
+        return palette[:, 2::-1][index]
+    if bits == 24:
+        return raw[:, : width * 3].reshape(lines, width, 3)[:, :, ::-1]
+    pixels = np.ascontiguousarray(raw).view(f"<u{bits // 8}")[:, :width].astype(np.uint64)
+    masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F) if bits == 16 else (0xFF0000, 0xFF00, 0xFF)
+    channels = []
+    for mask in masks:
+        shift = (mask & -mask).bit_length() - 1 if mask else 0
+        most = max(mask >> shift, 1)
+        channels.append((((pixels & mask) >> shift) * 510 + most) // (2 * most))
+    return np.stack(channels, axis=2).astype(np.uint8)
 
 
 def decode_media(data: bytes) -> np.ndarray:
@@ -88,38 +118,51 @@ def encode_grey(payload: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, len(payload) // width) + payload
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each output pixel covers, from an integral image read at fractional edges."""
-    total = image.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        shape = list(total.shape)
-        shape[axis] = 1
-        total = np.concatenate((np.zeros(shape), np.cumsum(total, axis=axis)), axis=axis)
-        edges = np.arange(size + 1) * (total.shape[axis] - 1) / size
-        low = np.minimum(edges.astype(np.int64), total.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if a == axis else 1 for a in range(total.ndim)])
-        total = np.diff(np.take(total, low, axis) * (1 - part) + np.take(total, low + 1, axis) * part, axis=axis)
-    return total / (image.shape[0] / height * (image.shape[1] / width))
+def encode_bmp(payload: bytes, width: int = WIDTH) -> bytes:
+    """BMP of 8-bit samples with a grey palette, top line first; the width is a multiple of 4, the payload's length of the width."""
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4).copy()
+    palette[:, 3] = 0
+    head = struct.pack("<2sIHHI", b"BM", (54 + 1024 + len(payload)) & 0xFFFFFFFF, 0, 0, 54 + 1024)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, -(len(payload) // width), 1, 8, 0, 0, 2835, 2835, 256, 0) + palette.tobytes() + payload
+
 
+def _between(image: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the lines between `size` + 1 even, fractional edges: differences of the integral image along the first axis,
+    which is only kept at the edges."""
+    edges = np.arange(size + 1) * image.shape[0] / size
+    low = np.minimum(edges.astype(np.int64), image.shape[0] - 1)
+    at, place = np.unique(low, return_inverse=True)
+    sums = np.cumsum(np.add.reduceat(image, at, axis=0, dtype=np.float64), axis=0)
+    integral = np.concatenate((np.zeros_like(sums[:1]), sums[:-1]))[place]
+    part = (edges - low).reshape([-1] + [1] * (image.ndim - 1))
+    return np.diff(integral + image[low] * part, axis=0)
 
-def grey(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the area that each output pixel covers, from integral images read at fractional edges, one axis at a time."""
+    total = np.swapaxes(_between(np.swapaxes(_between(image, height), 0, 1), width), 0, 1)
+    return total / (image.shape[0] / height * (image.shape[1] / width))
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits, 16 hexadecimal digits: whether each of 8 x 8 pixels is darker than its right neighbour."""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
-    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+    small = area_resize(image, 8, 9)
+    small = small if small.ndim == 2 else small @ np.array([0.299, 0.587, 0.114])
+    return np.packbits(small[:, :-1] + 1e-6 < small[:, 1:]).tobytes().hex()  # equal areas may differ in their last bits
 
 
 def npy_tile(image: np.ndarray, side: int) -> bytes:
     """The image resized to side x side as the bytes of an NPY file of uint8 samples."""
     top = 65535 if image.dtype.itemsize == 2 else 255
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side) * (255 / top)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(np.round(area_resize(image, side, side) * (255 / top), 6)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+def read_tile(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
 MEDIA_FIELDS = [("height", pa.int32(), "int"), ("width", pa.int32(), "int"), ("channels", pa.int32(), "int"), ("tile", pa.binary(), "binary"), ("difference_hash", pa.string(), "string"), ("media_error", pa.string(), "string")]
 
 
@@ -141,7 +184,7 @@ def add_tiles(df: DataFrame, media: str, side: int = 32) -> DataFrame:
             if not image.size:
                 raise ValueError("no pixels")
             return (*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, npy_tile(image, side), difference_hash(image), None)
-        except (ValueError, IndexError, struct.error) as error:
+        except (ValueError, ArithmeticError, IndexError, MemoryError, struct.error) as error:
             return (None,) * 5 + (str(error) or "unreadable",)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +196,35 @@ def add_tiles(df: DataFrame, media: str, side: int = 32) -> DataFrame:
     return df.select(*kept).mapInArrow(work, schema)
 
 
-def text_media(df: DataFrame) -> DataFrame:
-    """Store every text as a grey Netpbm image, read it back and describe what was read.
+def text_media(df: DataFrame, side: int = 32) -> DataFrame:
+    """Store every text as a grey Netpbm image and as a BMP, read both back, write a tile of each and describe the tiles.
 
     Null counts as the empty text. The payload is the UTF-8 bytes with zero bytes up to a positive multiple of 64, so
-    an empty text is one row of 64 black pixels. Equal texts give equal rows but for doc_id; repeated rows repeat.
+    an empty text is one row of 64 black pixels; it is read back from the Netpbm file, whose bytes media_bytes and
+    media_sha256 tell of. feature is the difference hash of the NPY tile of side x side pixels as it is read back, and
+    tile_sha256 the tile's; bmp_bytes, bmp_sha256 and bmp_feature are the BMP's. Equal texts give equal rows but for
+    doc_id; repeated rows repeat.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    fields = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tile_sha256": "string", "bmp_bytes": "long", "bmp_sha256": "string", "bmp_feature": "string"}
 
     def row(text: str | None) -> tuple:
         data = (text or "").encode()
-        media = encode_grey(data + b"\0" * (-len(data) % WIDTH if data else WIDTH))
+        padded = data + b"\0" * (-len(data) % WIDTH if data else WIDTH)
+        media, bmp = encode_grey(padded), encode_bmp(padded)
         image = decode_media(media)
+        tiles = [npy_tile(x, side) for x in (image, decode_media(bmp))]
+        marks = [difference_hash(read_tile(x)) for x in tiles]
         payload = image.tobytes()
-        return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)
+        return (
+            len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), marks[0],
+            hashlib.sha256(tiles[0]).hexdigest(), len(bmp), hashlib.sha256(bmp).hexdigest(), marks[1],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*(row(x.as_py()) for x in batch["text"]), strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+            columns = list(zip(*(row(x.as_py()) for x in batch["text"]), strict=True)) or [()] * len(fields)
+            types = [pa.int64() if t == "long" else pa.string() for t in fields.values()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *fields])
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = ", ".join(f"{n} {t}" for n, t in {"doc_id": "long", **fields}.items())
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)

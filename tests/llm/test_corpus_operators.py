@@ -1,6 +1,7 @@
 """Operators 3, 5, 6 and 9 and the pipeline against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import xxhash
 from estatelens.llm import decontam, linededup, simhash, toxicity
+from pyspark.sql import functions as F
 from texts import documents, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +119,38 @@ def test_near_duplicates(spark):
     assert not simhash.near_duplicates(documents(spark, [])).collect()
 
 
+def test_keep_one_of_null_ids(spark):
+    """A null id stays only in a component of nothing but null ids."""
+    near = "w1 w2 w3 w4 w5 w6"
+    for data, wanted in (
+        ([(1, "A"), (None, "A"), (None, "B")], ["1A", "NoneB"]), ([(None, near), (None, near), (3, "else")], ["3else", f"None{near}", f"None{near}"]),
+        ([(5, "A"), (2, "A"), (2, "A"), (2, "B")], ["2A", "2A", "2B"]), ([(None, None), (None, ""), (4, " ")], ["4 "]),
+    ):
+        assert sorted(f"{r['doc_id']}{r['text']}" for r in simhash.keep_one(documents(spark, data)).collect()) == wanted
+
+
+def test_pigeonring_filter_loses_no_pair(spark):
+    """`within` is the Hamming check, and every pair within 4 bits meets under a key, short or long."""
+    r = random.Random(12)
+    pairs = []
+    for _ in range(3000):
+        a, x = r.getrandbits(64), 0
+        for b in r.sample(range(64), r.randrange(36)):
+            x |= 1 << b
+        pairs.append((a, a ^ x))
+    signed = [[p - (1 << 64) if p >> 63 else p for p in pair] for pair in pairs]
+    frame = spark.createDataFrame(signed, "a long, b long")
+    for distance in (0, 4, 7, 28):
+        found = frame.where(simhash.within(F.col("a"), F.col("b"), distance))
+        assert sorted(map(tuple, found.collect())) == sorted(tuple(s) for s, (a, b) in zip(signed, pairs, strict=True) if (a ^ b).bit_count() <= distance)
+    for span in (2, 3):
+        masks = simhash.key_masks(span)
+        assert len(masks) == {2: 20, 3: 110}[span]
+        for _ in range(5000):
+            x = sum(1 << b for b in r.sample(range(64), r.randrange(5)))
+            assert any(not x & mask for _, mask in masks)
+
+
 def test_near_duplicate_stage_keeps_one_of_similar_texts(spark):
     """The pipeline's stage agrees with all pairs of five-word shingle sets at 0.8, chains and crowds with it."""
     r = random.Random(13)
@@ -171,8 +205,8 @@ def test_dense_fingerprints_lose_no_link(spark):
             x ^= 1 << (4 * k + b)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.link(spark.createDataFrame([(s,) for s in signed], "fp long"))
-    found = {(a, b) for a, b in map(tuple, edges.collect())}
+    nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
+    short, found = ({(a, b) for a, b in map(tuple, simhash.link(nodes, span).collect())} for span in (2, 3))
     place = {s: k for k, s in enumerate(signed)}
 
     def components(pairs):
@@ -192,8 +226,9 @@ def test_dense_fingerprints_lose_no_link(spark):
         return sorted(map(sorted, groups.values()))
 
     near = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
-    assert all((prints[place[a]] ^ prints[place[b]]).bit_count() <= 4 for a, b in found)
-    assert components([(place[a], place[b]) for a, b in found]) == components(near)
+    for edges in (short, found):
+        assert all((prints[place[a]] ^ prints[place[b]]).bit_count() <= 4 for a, b in edges)
+        assert components([(place[a], place[b]) for a, b in edges]) == components(near)
 
 
 def line(r, n):
@@ -322,6 +357,38 @@ def test_toxicity_on_held_out_documents(spark):
     assert severe(5) > severe(2)
 
 
+def test_toxicity_scores_as_plain_python(spark):
+    """Probabilities, expected severity and grades recomputed from the model; the fit's gradient against differences."""
+    data, labels = toxic_corpus()
+    model = toxicity.fit(documents(spark, data), spark.createDataFrame([*labels, (7, 9), (8, -1)], "doc_id long, toxic int"))
+    docs = documents(spark, data[:60] + rows())
+    found = Counter((x["doc_id"], x["text"], x["grade"], x["expected_severity"], x["p_toxic"], x["rejected"]) for x in toxicity.score(docs, model).collect())
+    wanted = Counter()
+    for i, t in data[:60] + rows():
+        w = words(t)
+        counts = Counter(f for x in w for f in [x, *(x[:n] + "*" for n in (4, 5) if len(x) > n)] if f in model.weights)
+        z = sum(4 * math.log1p(n) / (len(w) + 20) ** 0.3 * model.weights[f] for f, n in sorted(counts.items()))
+        below = [1 / (1 + math.exp(-max(min(c - z, 500), -500))) for c in model.thresholds]
+        chances = [b - a for a, b in zip([0, *below], [*below, 1], strict=True)]
+        wanted[i, t, chances.index(max(chances)), round(sum(k * p for k, p in enumerate(chances)), 6), round(1 - chances[0], 6), 1 - chances[0] >= 0.5] += 1
+    assert Counter((i, t, g, round(e, 6), round(p, 6), x) for (i, t, g, e, p, x), n in found.items() for _ in range(n)) == wanted
+
+    r = np.random.default_rng(3)
+    owner, column, value, grades = np.repeat(np.arange(50), 3), r.integers(0, 4, 150), r.normal(size=150), r.integers(0, 4, 50)
+
+    def loss(weights, cuts):
+        z = np.bincount(owner, weights=value * weights[column], minlength=50)
+        below = 1 / (1 + np.exp(-(np.concatenate(([-np.inf], cuts, [np.inf]))[None, :] - z[:, None])))
+        return -np.log(below[np.arange(50), grades + 1] - below[np.arange(50), grades]).mean() + 0.5e-4 * (weights**2).sum()
+
+    weights, cuts = toxicity.fit_ordinal(owner, column, value, grades, 4, steps=4000, rate=0.01)
+    best = loss(weights, cuts)
+    for k in range(4):
+        assert loss(weights + 0.05 * np.eye(4)[k], cuts) > best < loss(weights - 0.05 * np.eye(4)[k], cuts)
+    for k in range(3):
+        assert loss(weights, cuts + 0.05 * np.eye(3)[k]) > best < loss(weights, cuts - 0.05 * np.eye(3)[k])
+
+
 def test_toxicity_without_both_classes(spark):
     docs = documents(spark, [(1, "a b"), (2, "c")])
     for labels in ([], [(1, 0)], [(1, 1)]):
