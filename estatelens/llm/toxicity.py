@@ -77,7 +77,8 @@ class Model:
 def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most `rows` labelled ids (a document with several labels counts as toxic if one says so); labels other than 0
     and 1 are none."""
-    given = labels.where("doc_id is not null and cast(toxic as int) in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    toxic = F.col("toxic").try_cast("int")
+    given = labels.where(F.col("doc_id").isNotNull() & toxic.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(toxic).alias("toxic"))
     return given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
