@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import conversations, decontam, encoding, flatids, licenses, linededup, media, pii, runs, simhash, tokencounts, toxicity
+from estatelens.llm import conversations, decontam, encoding, flatids, licenses, linededup, media, pii, quality, runs, simhash, tokencounts, toxicity
 from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
 from estatelens.storage import shared_dir
@@ -59,6 +59,11 @@ def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatids.read_ids(spark, folder)
 
 
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs)).drop("text")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(table(spark, sf_dir, "documents"), changed=True)
 
@@ -68,7 +73,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op4_license_templates, op5_toxicity, op6_line_dedup, op7_token_counts, op8_personal_data, op9_simhash, op10_flat_ids, op12_periodic_runs, op13_conversation_repair)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_media_columns, op3_decontamination, op4_license_templates, op5_toxicity, op6_line_dedup, op7_token_counts, op8_personal_data, op9_simhash, op10_flat_ids, op11_weak_supervision, op12_periodic_runs, op13_conversation_repair)
 }
 
 
