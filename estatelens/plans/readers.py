@@ -6,7 +6,6 @@ A file holds a bounded number of rows, so their number grows with the tables.
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,7 +17,8 @@ from estatelens.functions import text as T
 from estatelens.operators import extract as X
 from estatelens.plans.base import Inputs, Registry
 from estatelens.sources import adapters, exports, files, workbook, xml_sections
-from estatelens.storage import shared_dir
+from estatelens.sources.ranges import WHOLE, located
+from estatelens.storage import checkpointed, scratch
 from estatelens.streaming.intake import stream_intake
 
 query = Registry()
@@ -34,7 +34,7 @@ def packed(name: str, text: str) -> bytes:
     """A file's bytes: its text, for .xlsx, .docx and .zip inside the ZIP that such a file is."""
     members = {
         ".xlsx": {"xl/workbook.xml": _BOOK, "xl/_rels/workbook.xml.rels": _LINKS, "xl/worksheets/s1.xml": _SHEET % text}, ".docx": {"word/document.xml": _DOCUMENT % text},
-        ".zip": {name.rsplit("/", 1)[-1][:-4] + ".json": text},
+        ".zip": {name.rsplit("/", 1)[-1][:-4] + ("" if name.endswith(".xml.zip") else ".json"): text},
     }.get(name[name.rfind(".") :])
     if members is None:
         return text.encode()
@@ -47,12 +47,10 @@ def packed(name: str, text: str) -> bytes:
 
 def written(i: Inputs, made: DataFrame) -> str:
     """Write the files (name, content text or binary) into a new folder that all executors share; returns its path."""
-    folder = f"{shared_dir(i.spark)}/files-{uuid.uuid4().hex}"
+    folder = scratch(i.spark, "files")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        where, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        where, path = located(folder)
         for batch in batches:
             for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 full = f"{path}/{name}"
@@ -80,19 +78,25 @@ def number(name: str) -> Column:
     return F.regexp_extract(name, r"(\d+)\.\w+$", 1).cast("long")
 
 
-def tree(i: Inputs) -> DataFrame:
+def tree(i: Inputs, whole: int = WHOLE) -> DataFrame:
     body = joined(i.sources, blocks("id", 50), "id", F.col("content"))
     name = F.concat(F.lit("a/b c/g"), F.col("k").cast("string"), F.when(F.col("k") % 2 == 0, ".abap").otherwise(".md"))
     content = F.when(F.col("k") % 3 == 0, F.concat(F.encode("body", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("body", "UTF-8"))
-    return files.scan_files(i.spark, written(i, body.select(name.alias("name"), content.alias("content"))))
+    return files.scan_files(i.spark, written(i, body.select(name.alias("name"), content.alias("content"))), whole)
 
 
 _TREE = ", g AS (SELECT id // 50 AS k, string_agg(content, chr(10) ORDER BY id) AS body FROM sources GROUP BY 1), n AS (SELECT *, concat('a/b c/g', k, CASE WHEN k % 2 = 0 THEN '.abap' ELSE '.md' END) AS rel_path FROM g)"
 
 
-@query(_TREE + " SELECT rel_path, octet_length(encode(body)) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS size_bytes, CASE WHEN k % 3 = 0 THEN NULL ELSE sha256(body) END AS sha256, CASE WHEN k % 2 = 0 THEN 'abap_source' ELSE 'documentation' END AS category FROM n", "sources")
+@query(_TREE + " SELECT rel_path, octet_length(encode(body)) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS size_bytes, CASE WHEN k % 3 = 0 THEN sha256(encode(body) || unhex('FF')) ELSE sha256(encode(body)) END AS sha256, CASE WHEN k % 2 = 0 THEN 'abap_source' ELSE 'documentation' END AS category FROM n", "sources")
 def s1_scan_files(i):
-    return tree(i).select("rel_path", "size_bytes", F.when(number("rel_path") % 3 != 0, F.col("sha256")).alias("sha256"), "category")
+    return tree(i).select("rel_path", "size_bytes", "sha256", "category")
+
+
+@query(_TREE + " SELECT rel_path, octet_length(encode(body)) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS size_bytes, CASE WHEN k % 3 = 0 THEN sha256(encode(body) || unhex('FF')) ELSE sha256(encode(body)) END AS sha256, true AS content_left_out FROM n", "sources")
+def s1_scan_large_files(i):
+    """Every file read as a stream, as files of more than WHOLE bytes are."""
+    return tree(i, 0).select("rel_path", "size_bytes", "sha256", F.col("content").isNull().alias("content_left_out"))
 
 
 @query(_TREE + " SELECT rel_path, CASE WHEN k % 3 = 0 THEN concat(body, chr(65533)) ELSE body END AS content FROM n", "sources")
@@ -103,8 +107,8 @@ def s2_read_source_text(i):
 _XML = "p AS (SELECT p_partkey // 100 AS k, * FROM part)"
 
 
-def xml_rows(i: Inputs) -> DataFrame:
-    """Sections of 100 parts a file: a known one of all, another of every second, one that is not known."""
+def xml_files(i: Inputs) -> DataFrame:
+    """(k, content): sections of 100 parts a file, a known one of all, another of every second, one that is not known."""
     part = i.table("part")
 
     def section(name: str, rows: DataFrame, row: Column) -> DataFrame:
@@ -116,16 +120,33 @@ def xml_rows(i: Inputs) -> DataFrame:
     other = section("OTHER", part.where("p_partkey % 3 = 0"), F.format_string('<A B="%s&#0;"/>', F.col("p_size").cast("string")))
     whole = joined(known.unionByName(second).unionByName(other), F.col("k"), "name", F.col("body"), "")
     content = F.concat(F.lit('<?xml version="1.0"?><ROOT>\n'), "body", F.lit("</ROOT>"))
-    folder = written(i, whole.select(F.concat(F.lit("x"), F.col("k").cast("string"), F.lit(".xml")).alias("name"), content.alias("content")))
-    return xml_sections.read_sectioned_xml(i.spark, folder)
+    return whole.select("k", content.alias("content"))
+
+
+def xml_rows(i: Inputs, suffix: Column | None = None) -> DataFrame:
+    name = F.concat(F.lit("x"), F.col("k").cast("string"), F.lit(".xml") if suffix is None else suffix)
+    return xml_sections.read_sectioned_xml(i.spark, written(i, xml_files(i).select(name.alias("name"), "content")))
 
 
-@query(f"""WITH {_XML} SELECT k, 'REPOSITORY_OBJECTS' AS section, row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1 AS row_index, concat_ws('|', 'Z & ' || p_partkey, p_type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END) AS seen FROM p
+_XML_ROWS = f"""WITH {_XML} SELECT k, 'REPOSITORY_OBJECTS' AS section, row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1 AS row_index, concat_ws('|', 'Z & ' || p_partkey, p_type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END) AS seen FROM p
 UNION ALL SELECT k, 'WHERE_USED_TABLE', row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1, concat('I', p_partkey) FROM p WHERE p_partkey % 2 = 0
-UNION ALL SELECT k, 'OTHER', row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1, CAST(p_size AS VARCHAR) FROM p WHERE p_partkey % 3 = 0""")
-def s4_sectioned_xml(i):
+UNION ALL SELECT k, 'OTHER', row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1, CAST(p_size AS VARCHAR) FROM p WHERE p_partkey % 3 = 0"""
+
+
+def seen_rows(found: DataFrame) -> DataFrame:
     seen = F.concat_ws("|", *(F.try_element_at("attrs", F.lit(a)) for a in ("OBJ_NAME", "OBJECT", "DEVCLASS", "INCLUDE", "B")))
-    return xml_rows(i).select(number("file").alias("k"), "section", "row_index", seen.alias("seen"))
+    return found.select(F.regexp_extract("file", r"x(\d+)\.xml[^/]*$", 1).cast("long").alias("k"), "section", "row_index", seen.alias("seen"))
+
+
+@query(_XML_ROWS)
+def s4_sectioned_xml(i):
+    return seen_rows(xml_rows(i))
+
+
+@query(_XML_ROWS)
+def s4_sectioned_xml_of_zips(i):
+    """Every second file inside a ZIP."""
+    return seen_rows(xml_rows(i, F.when(F.col("k") % 2 == 0, ".xml.zip").otherwise(".xml")))
 
 
 @query(f"""WITH {_XML}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1 AS n FROM p), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1 AS n FROM p WHERE p_partkey % 2 = 0)
@@ -152,25 +173,38 @@ def cells(*values: Column) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.lit(f'<c r="{chr(65 + n)}'), F.col("r").cast("string"), F.lit('" t="inlineStr"><is><t>'), v, F.lit("</t></is></c>")), F.lit("")) for n, v in enumerate(values)))
 
 
-def sheet(i: Inputs, rows: DataFrame, key: str, headers: list[str], *values: Column) -> DataFrame:
+def sheet(i: Inputs, rows: DataFrame, key: str, headers: list[str], *values: Column, large: int = workbook.LARGE) -> DataFrame:
     """A workbook for each key of rows (key, r from 2 on), read back."""
     head = F.lit('<row r="1">' + "".join(f'<c r="{chr(65 + n)}1" t="inlineStr"><is><t>{h}</t></is></c>' for n, h in enumerate(headers)) + "</row>")
     body = joined(rows, F.col(key), "r", F.concat(F.lit('<row r="'), F.col("r").cast("string"), F.lit('">'), cells(*values), F.lit("</row>")), "")
     folder = written(i, body.select(F.concat(F.lit("w"), F.col("k").cast("string"), F.lit(".xlsx")).alias("name"), F.concat(head, "body").alias("content")))
-    return workbook.read_findings_sheet(i.spark, folder)
+    return workbook.read_findings_sheet(i.spark, folder, large=large)
 
 
-def finding_sheets(i: Inputs) -> DataFrame:
+def finding_sheets(i: Inputs, large: int = workbook.LARGE) -> DataFrame:
     rows = i.table("events").select(F.expr("event_id div 500").alias("k"), (F.col("event_id") % 500 + 2).cast("int").alias("r"), "event_id", "event_type", "user_id")
     name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" Z"), F.col("user_id").cast("string"), F.lit(" ")))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 300).cast("int")), "dd.MM.yyyy")
-    return sheet(i, rows, "k", ["Priority", " Check  Title", "Object name", "First Found On", "OWN", "Priority"], F.lit("9"), F.col("event_type"), name, day, F.lit("m"), F.when(F.col("event_id") % 5 == 0, "high").otherwise((F.col("event_id") % 4).cast("string")))
+    return sheet(i, rows, "k", ["Priority", " Check  Title", "Object name", "First Found On", "OWN", "Priority"], F.lit("9"), F.col("event_type"), name, day, F.lit("m"), F.when(F.col("event_id") % 5 == 0, "high").otherwise((F.col("event_id") % 4).cast("string")), large=large)
 
 
-@query("SELECT event_id // 500 AS k, CAST(event_id % 500 + 2 AS INT) AS row_number, concat_ws('|', '9', event_type, CASE WHEN event_id % 3 = 0 THEN concat(' Z', user_id, ' ') ELSE '-' END, strftime(DATE '2024-01-01' + CAST(event_id % 300 AS INT), '%d.%m.%Y'), 'm', CASE WHEN event_id % 5 = 0 THEN 'high' ELSE CAST(event_id % 4 AS VARCHAR) END) AS seen FROM events")
-def s3_findings_sheet(i):
+_SHEET_ROWS = ("SELECT event_id // 500 AS k, CAST(event_id % 500 + 2 AS INT) AS row_number, concat_ws('|', '9', event_type, CASE WHEN event_id % 3 = 0 THEN concat(' Z', user_id, ' ') ELSE '-' END, strftime(DATE '2024-01-01' + CAST(event_id % 300 AS INT), '%d.%m.%Y'), 'm', CASE WHEN event_id % 5 = 0 THEN 'high' ELSE CAST(event_id % 4 AS VARCHAR) END) AS seen FROM events")
+
+
+def seen_cells(rows: DataFrame) -> DataFrame:
     seen = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("-"))), "|")
-    return finding_sheets(i).select(number("file").alias("k"), "row_number", seen.alias("seen"))
+    return rows.select(number("file").alias("k"), "row_number", seen.alias("seen"))
+
+
+@query(_SHEET_ROWS)
+def s3_findings_sheet(i):
+    return seen_cells(finding_sheets(i))
+
+
+@query(_SHEET_ROWS)
+def s3_large_findings_sheet(i):
+    """The same sheets laid out and cut at their rows, as those of more than LARGE bytes are."""
+    return seen_cells(finding_sheets(i, 0))
 
 
 @query("SELECT DISTINCT event_id // 500 AS k, 4 AS n_recognized, 'OWN' AS unknown, 17 AS n_missing, 'FULL' AS status FROM events")
@@ -283,19 +317,54 @@ def s13_readiness_manifest(i):
     return exports.readiness_manifest(documents_read(i)).select(number("file").alias("k"), "kind", "n")
 
 
-_FORMATS = {
-    0: ("x.xml", "<ROOT>\n<SECTION>\n<ROW A='1'/>", "sectioned_xml"), 1: ("k.json", '{"dataSet": {}}', "kpi_chunks"), 2: ("HANA_sizing.txt", "any", "sizing_report"), 3: ("notes.txt", "see SIZING RESULTS IN GiB", "sizing_report"),
-    4: ("plain.txt", "nothing", None), 5: ("flat.json", "{}", None),
-}
-
-
-@query("SELECT p_partkey AS id, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{v[2]}'" for k, v in _FORMATS.items() if v[2]) + " END AS format FROM part")
+def export_files(i: Inputs) -> DataFrame:
+    """(name, content): exports of a hundred parts each in all formats, XML bare and in ZIPs, and files that nobody reads."""
+    part = i.table("part")
+    text = F.col("p_partkey").cast("string")
+
+    def of(prefix: str, suffix: Column, rows: DataFrame, before: Column, after: Column) -> DataFrame:
+        k = F.col("k").cast("string")
+        return rows.select(F.concat(F.lit(prefix), k, suffix).alias("name"), F.concat(before, "body", after).alias("content"))
+
+    def lines(line: Column, between: str = "") -> DataFrame:
+        return joined(part, blocks("p_partkey", 100), "p_partkey", line, between)
+
+    r = (F.col("p_partkey") % 100 + 2).cast("string")
+    cell = F.concat(F.lit('<row r="'), r, F.lit('">'), *(F.concat(F.lit(f'<c r="{c}'), r, F.lit('" t="inlineStr"><is><t>'), v, F.lit("</t></is></c>")) for c, v in (("A", text), ("B", F.lit("T")), ("C", F.lit("Unused")), ("D", F.lit("Customer")))), F.lit("</row>"))
+    head = '<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{h}</t></is></c>' for c, h in zip("ABCD", ("OBJECT NAME", "OBJECT TYPE", "USAGE LEVEL", "ORIGIN"), strict=True)) + "</row>"
+    xml = lines(F.concat(F.lit('<R NAME="P'), text, F.lit('"/>')))
+    rule = "-" * 20
+    made = [
+        of("x/p", F.when(F.col("k") % 2 == 0, ".xml").otherwise(".xml.zip"), xml, F.lit("<ROOT>\n<PROGRAMS>\n"), F.lit("</PROGRAMS></ROOT>")),
+        of("u/usage", F.lit(".xlsx"), lines(cell), F.lit(head), F.lit("")),
+        of("k/c", F.when(F.col("k") % 2 == 0, ".json").otherwise(".zip"), lines(F.concat(F.lit('["'), text, F.lit('"]')), ", "), F.lit('{"dataSet": {"keyFigureId": "F", "header": ["A"], "data": ['), F.lit("]}}")),
+        of("s/hana_sizing", F.lit(".txt"), lines(F.concat(F.lit("| TAB_"), text, F.lit("   1,5 |")), "\n"), F.lit(f"{rule}\n| Table  Size |\n| {rule} |\n"), F.lit("\n" + rule)),
+        of("r/readiness", F.lit(".docx"), lines(F.concat(F.lit("<w:tr><w:tc><w:p><w:r><w:t>T"), text, F.lit("</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc></w:tr>"))), F.lit("<w:tbl><w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{h}</w:t></w:r></w:p></w:tc>" for h in ("Table", "Size in GiB")) + "</w:tr>"), F.lit("</w:tbl>")),
+        of("n/see", F.lit(".txt"), lines(text, "\n"), F.lit("see SIZING RESULTS IN GiB "), F.lit("")),
+        of("n/note", F.lit(".txt"), lines(text, "\n"), F.lit("nothing "), F.lit("")),
+        of("n/flat", F.lit(".json"), lines(text), F.lit("{} "), F.lit("")),
+    ]
+    whole = made[0]
+    for more in made[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+_EXPORTS = """f AS (SELECT DISTINCT p_partkey // 100 AS k FROM part), named AS (
+SELECT concat('x/p', k, CASE WHEN k % 2 = 0 THEN '.xml' ELSE '.xml.zip' END) AS name, 'sectioned_xml' AS format, k FROM f UNION ALL SELECT concat('u/usage', k, '.xlsx'), 'usage_sheet', k FROM f
+UNION ALL SELECT concat('k/c', k, CASE WHEN k % 2 = 0 THEN '.json' ELSE '.zip' END), 'kpi_chunks', k FROM f UNION ALL SELECT concat('s/hana_sizing', k, '.txt'), 'sizing_report', k FROM f
+UNION ALL SELECT concat('r/readiness', k, '.docx'), 'readiness_docx', k FROM f UNION ALL SELECT concat('n/see', k, '.txt'), 'sizing_report', k FROM f UNION ALL SELECT concat('n/note', k, '.txt'), NULL, k FROM f UNION ALL SELECT concat('n/flat', k, '.json'), NULL, k FROM f)"""
+
+
+def short_name(column: str) -> Column:
+    """The last folder and the name of a path."""
+    return F.regexp_extract(column, r"([^/]+/[^/]+)$", 1)
+
+
+@query(f"WITH {_EXPORTS} SELECT name, format FROM named")
 def s14_detect_format(i):
-    name, content = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, (n, c, _) in _FORMATS.items():
-        name, content = (F.when(F.col("p_partkey") % 6 == k, v).otherwise(old) for v, old in ((n, name), (c, content)))
-    made = i.table("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), F.lit("_"), name).alias("rel_path"), F.encode(content, "UTF-8").alias("content"))
-    return files.detect_format(made).select("id", "format")
+    scanned = files.scan_files(i.spark, written(i, export_files(i)))
+    return files.detect_format(scanned).select(F.col("rel_path").alias("name"), "format")
 
 
 _PAGES = "p AS (SELECT p_partkey AS id, p_partkey // 4 AS k, p_partkey % 4 AS j, p_size FROM part)"
@@ -323,7 +392,7 @@ def listings(i: Inputs) -> DataFrame:
 
 @query("SELECT p_partkey AS id, p_size % 4 AS assessment_id, CASE WHEN p_size % 4 = 1 THEN 'second' ELSE 'first' END AS run FROM part WHERE p_size % 4 <> 1 OR p_partkey % 2 = 0")
 def s16_write_snapshot(i):
-    folder = f"{shared_dir(i.spark)}/snapshot-{uuid.uuid4().hex}"
+    folder = scratch(i.spark, "snapshot")
     rows = i.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("assessment_id"), F.lit("first").alias("run"))
     files.write_snapshot(rows, folder)
     files.write_snapshot(rows.where("assessment_id = 1 and id % 2 = 0").withColumn("run", F.lit("second")), folder)
@@ -341,7 +410,7 @@ def x11_source_snippet(i):
 @query("""WITH u AS (SELECT CAST(user_id AS VARCHAR) AS name, concat('k', event_id % 2000) AS fp, event_id FROM events)
 SELECT DISTINCT fp AS record_fingerprint, CASE WHEN event_id % 2000 % 3 = 0 THEN 'MATCHED_HEURISTIC' ELSE 'UNMATCHED' END AS status FROM u""")
 def st1_stream_intake(i):
-    folder = f"{shared_dir(i.spark)}/intake-{uuid.uuid4().hex}"
+    folder = scratch(i.spark, "intake")
     rows = i.table("events").select((F.col("event_id") % 2000).alias("n"), F.expr("event_id div 700").alias("batch"))
     made = rows.select(F.lit(1).alias("assessment_id"), (F.col("n") % 3).cast("int").alias("dataset_id"), F.concat(F.lit("k"), F.col("n").cast("string")).alias("record_fingerprint"), F.concat(F.lit("o"), (F.col("n") % 3).cast("string")).alias("object_name"), F.lit(None).cast("string").alias("object_type"), "batch")
     objects = i.spark.range(1).select(F.lit(1).alias("assessment_id"), F.lit(1).cast("long").alias("id"), F.lit("O0").alias("object_name"), F.lit("class").alias("object_type"))
@@ -352,41 +421,80 @@ def st1_stream_intake(i):
     return i.spark.read.parquet(f"{folder}/out/correlations").select("record_fingerprint", "status")
 
 
-def mixed_folder(i: Inputs) -> str:
-    """Sizing reports and JSON chunks of a hundred parts each, and notes that nobody reads, in one folder."""
-    part = i.table("part")
-    rows = joined(part, blocks("p_partkey", 100), "p_partkey", F.concat(F.lit("| TAB_"), F.col("p_partkey").cast("string"), F.lit("   1,5 |")))
-    text = F.concat(F.lit("-" * 20 + "\n| Table  Size |\n| " + "-" * 12 + " |\n"), "body", F.lit("\n" + "-" * 20))
-    k = F.col("k").cast("string")
-    sizing = rows.select(F.concat(F.lit("s/sizing"), k, F.lit(".txt")).alias("name"), text.alias("content"))
-    chunk = rows.select(F.concat(F.lit("k/c"), k, F.lit(".json")).alias("name"), F.concat(F.lit('{"dataSet": {"keyFigureId": "F", "header": ["A"], "data": [["'), k, F.lit('"], ["2"]]}}')).alias("content"))
-    notes = rows.select(F.concat(F.lit("n/note"), k, F.lit(".txt")).alias("name"), F.lit("nothing").alias("content"))
-    return written(i, sizing.unionByName(chunk).unionByName(notes))
-
-
-@query("SELECT format, count(*) AS n FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest(['sizing_report', 'kpi_chunks', NULL]) AS format FROM part) GROUP BY 1")
+@query(f"WITH {_EXPORTS} SELECT name, format FROM named")
 def e1_detect(i):
-    return adapters.detect(i.spark, mixed_folder(i)).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+    """By the first and last bytes alone, as of files of more than WHOLE bytes."""
+    return adapters.detect(i.spark, written(i, export_files(i)), 0).select(short_name("rel_path").alias("name"), "format")
 
 
-@query("SELECT format, count(*) AS n_files, count(*) AS n_distinct FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest(['sizing_report', 'kpi_chunks']) AS format FROM part) GROUP BY 1")
+@query(f"WITH {_EXPORTS} SELECT name, format FROM named WHERE format IS NOT NULL")
 def e1_plan_batches(i):
-    planned = adapters.plan_batches(i.spark, mixed_folder(i), 2)
-    each = planned.select("format", F.explode("files").alias("file"))
-    return each.groupBy("format").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("file").alias("n_distinct"))
+    planned = adapters.plan_batches(i.spark, written(i, export_files(i)), 2)
+    return planned.select("format", F.explode("files").alias("file")).select(short_name("file").alias("name"), "format")
+
+
+_RECORDS = """r AS (SELECT p_partkey AS p, p_partkey // 100 AS k, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS n FROM part), made AS (
+SELECT concat('x/p', k, CASE WHEN k % 2 = 0 THEN '.xml' ELSE '.xml.zip' END) AS name, 'sectioned_xml' AS format, k, 'panaya_program' AS record_type, concat('PROGRAMS:', n) AS source_key, concat('P', p) AS object_name FROM r
+UNION ALL SELECT concat('u/usage', k, '.xlsx'), 'usage_sheet', k, 'panaya_usage_object', concat('usage_row:', p % 100), CAST(p AS VARCHAR) FROM r
+UNION ALL SELECT concat('k/c', k, CASE WHEN k % 2 = 0 THEN '.json' ELSE '.zip' END), 'kpi_chunks', k, 'signavio_kpi_observation', concat('c', k, '.json:', n), NULL FROM r
+UNION ALL SELECT concat('s/hana_sizing', k, '.txt'), 'sizing_report', k, 'hana_sizing_table_metric', concat('box-0:row-', n), concat('TAB_', p) FROM r
+UNION ALL SELECT concat('r/readiness', k, '.docx'), 'readiness_docx', k, 'readiness_check_table_volume', concat('table-0:row-', n), concat('T', p) FROM r)"""
+
+
+def imports(i: Inputs) -> str:
+    """Two runs: exports of even numbers, then all of them; the second run is stopped in its first batch and taken up again."""
+    every = export_files(i)
+    odd = F.regexp_extract("name", r"(\d+)\.", 1).cast("long") % 2 == 1
+    first, later, target = written(i, every.where(~odd)), written(i, every.where(odd)), scratch(i.spark, "imports")
+    adapters.import_all(i.spark, first, target)
+    stopping = adapters.ADAPTERS | {"kpi_chunks": adapters.Adapter(_stopped, adapters.ADAPTERS["kpi_chunks"].manifest)}
+    try:
+        adapters.import_all(i.spark, [first, later], target, stopping)
+    except KeyboardInterrupt:
+        pass
+    adapters.import_all(i.spark, [first, later], target)
+    return target
+
+
+def _stopped(spark, path):
+    raise KeyboardInterrupt
+
+
+def of_data_sets(i: Inputs, target: str) -> DataFrame:
+    names = adapters.ledger(i.spark, target).select("dataset_id", short_name("file").alias("name"), "format", "run", "state")
+    return adapters.imported(i.spark, target).join(names, "dataset_id")
+
+
+@query(f"WITH {_RECORDS} SELECT name, format, CAST(k % 2 + 1 AS INT) AS run, record_type, source_key, object_name FROM made")
+def e1_import_all(i):
+    """Every record of every file of every format, once, after a second run that was stopped and taken up again."""
+    return of_data_sets(i, imports(i)).select("name", "format", "run", "record_type", "source_key", "object_name")
+
+
+@query(f"WITH {_EXPORTS} SELECT name, format, 1 AS run, CASE WHEN format IN ('sizing_report', 'usage_sheet') THEN 'PLANNED' ELSE 'DONE' END AS state FROM named WHERE format IS NOT NULL")
+def e1_ledger(i):
+    """What the ledger says of a run that was stopped when it came to the sizing reports."""
+    target = scratch(i.spark, "imports")
+    stopping = adapters.ADAPTERS | {"sizing_report": adapters.Adapter(_stopped, adapters.ADAPTERS["sizing_report"].manifest)}
+    try:
+        adapters.import_all(i.spark, written(i, export_files(i)), target, stopping)
+    except KeyboardInterrupt:
+        pass
+    return adapters.ledger(i.spark, target).select(short_name("file").alias("name"), "format", "run", "state")
 
 
-@query("""SELECT 'first' AS run, 'signavio_kpi_observation' AS record_type, concat('c', k, '.json:', n) AS source_key FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest([0, 1]) AS n FROM part) WHERE k % 2 = 0
-UNION ALL SELECT 'second', 'signavio_kpi_observation', concat('c', k, '.json:', n) FROM (SELECT DISTINCT p_partkey // 100 AS k, unnest([0, 1]) AS n FROM part) WHERE k % 2 = 1""")
+@query(f"""WITH {_RECORDS} SELECT CASE WHEN k % 2 = 0 THEN 'first' ELSE 'second' END AS run, record_type, source_key, object_name FROM made WHERE format = 'usage_sheet'""")
 def e1_import_batch(i):
-    folder = mixed_folder(i)
+    """A batch of every second sheet, then all sheets: keys that are equal in several files stay apart."""
+    rows = export_files(i).where("name like 'u/%'")
+    folder = written(i, rows)
     empty = i.spark.createDataFrame([], ", ".join(f"{c} string" for c in adapters.RECORD))
-    every = adapters.import_batch(i.spark, f"{folder}/k", "kpi_chunks", empty)
-    first = every.where(F.regexp_extract("source_key", r"^c(\d+)", 1).cast("long") % 2 == 0)
-    second = adapters.import_batch(i.spark, f"{folder}/k", "kpi_chunks", first)
-    return first.select(F.lit("first").alias("run"), "record_type", "source_key").unionByName(second.select(F.lit("second").alias("run"), "record_type", "source_key"))
+    first = checkpointed(adapters.import_batch(i.spark, [f"{folder}/u/usage*[02468].xlsx"], "usage_sheet", empty))
+    second = adapters.import_batch(i.spark, f"{folder}/u", "usage_sheet", first)
+    kept = ("record_type", "source_key", "object_name")
+    return first.select(F.lit("first").alias("run"), *kept).unionByName(second.select(F.lit("second").alias("run"), *kept))
 
 
 @query("SELECT 'hana_sizing_table_metric' AS record_type, count(*) AS n FROM part")
 def e1_inspect(i):
-    return adapters.inspect(i.spark, f"{mixed_folder(i)}/s", "sizing_report")
+    return adapters.inspect(i.spark, f"{written(i, export_files(i))}/s", "sizing_report")

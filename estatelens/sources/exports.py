@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -14,59 +13,36 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.text import last_wins, record_fingerprint, strip_all
 from estatelens.operators.extract import lines_of
-from estatelens.sources.files import decoded
+from estatelens.sources import archives
+from estatelens.sources.ranges import listed
 
 CHUNK = "dataSet struct<serviceName:string,serviceDescr:string,serviceType:string,keyFigureId:string,timestamp:string,completed:string,header:array<string>,data:array<array<string>>>"
 
 
-def read_kpi_members(spark: SparkSession, path: str) -> DataFrame:
-    """member, text, error of every JSON and XML file: members of ZIPs, or files of a directory.
+def read_kpi_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, member, text, error of every JSON and XML file: members of ZIPs, or files of a directory.
 
-    A ZIP that can't be read gives one row with its name and the error, a damaged member one with its own.
+    A ZIP's directory is read first and its members are dealt over tasks by their place in it, so no archive is a row or a
+    task. A ZIP that can't be read gives one row with its name and the error, a damaged member one with its own.
     """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for file, content in zip(rows["path"], rows["content"], strict=True):
-                name = file.rsplit("/", 1)[-1]
-                if content[:4] == b"PK\x03\x04":
-                    yield from (pd.DataFrame({"member": [m], "text": [t], "error": [e]}) for m, t, e in _zip_members(name, content))
-                elif name.lower().endswith((".json", ".xml")):
-                    yield pd.DataFrame({"member": [name], "text": [content.decode("utf-8", "replace")], "error": [None]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "member string, text string, error string")
-
-
-def _zip_members(name: str, content: bytes) -> Iterator[tuple[str, str | None, str | None]]:
-    """(member, text, error) of a ZIP's JSON and XML members."""
-    try:
-        box = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as error:
-        yield name, None, f"not a ZIP: {error}"
-        return
-    with box:
-        for inside in box.infolist():
-            if inside.filename.lower().endswith((".json", ".xml")):
-                try:
-                    yield inside.filename, box.read(inside).decode("utf-8", "replace"), None
-                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as error:
-                    yield inside.filename, None, f"unreadable member: {error}"
+    found = archives.list_members(listed(spark, path), (".json", ".xml"), (".json", ".xml"))
+    return archives.read_texts(archives.dealt(found)).withColumn("member", F.coalesce("member", F.substring_index("file", "/", -1)))
 
 
 def read_kpi_chunks(members: DataFrame) -> DataFrame:
-    """member, row_index, key_figure_id, service_name, service_descr, service_type, timestamp, header, cells, payload (map of
+    """file, member, row_index, key_figure_id, service_name, service_descr, service_type, timestamp, header, cells, payload (map of
     header to value), warning.
 
     One row for each data row of a chunk; a JSON member without a data set, and a file or member that can't be read, gives
     one row with a warning. Of equal header names the last wins in the payload.
     """
-    parsed = members.where(F.lower("member").endswith(".json") & F.col("error").isNull()).select("member", F.from_json("text", CHUNK).alias("c")).select("member", "c.dataSet")
+    parsed = members.where(F.lower("member").endswith(".json") & F.col("error").isNull()).select("file", "member", F.from_json("text", CHUNK).alias("c")).select("file", "member", "c.dataSet")
     texts = {"key_figure_id": "keyFigureId", "service_name": "serviceName", "service_descr": "serviceDescr", "service_type": "serviceType", "timestamp": "timestamp"}
-    good = parsed.where("dataSet is not null").select("member", *(F.col(f"dataSet.{c}").alias(n) for n, c in texts.items()), "dataSet.header", F.posexplode("dataSet.data").alias("row_index", "cells"))
-    rows = good.select("member", "row_index", *texts, "header", "cells", last_wins(F.transform("header", lambda h, i: F.struct(h.alias("key"), F.get(F.col("cells"), i).alias("value")))).alias("payload"), F.lit(None).cast("string").alias("warning"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("member", "warning")]
-    bad = parsed.where("dataSet is null").select("member", *empty, F.concat(F.lit("no dataSet in "), "member").alias("warning"))
-    broken = members.where("error is not null").select("member", *empty, F.concat_ws(": ", "member", "error").alias("warning"))
+    good = parsed.where("dataSet is not null").select("file", "member", *(F.col(f"dataSet.{c}").alias(n) for n, c in texts.items()), "dataSet.header", F.posexplode("dataSet.data").alias("row_index", "cells"))
+    rows = good.select("file", "member", "row_index", *texts, "header", "cells", last_wins(F.transform("header", lambda h, i: F.struct(h.alias("key"), F.get(F.col("cells"), i).alias("value")))).alias("payload"), F.lit(None).cast("string").alias("warning"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("file", "member", "warning")]
+    bad = parsed.where("dataSet is null").select("file", "member", *empty, F.concat(F.lit("no dataSet in "), "member").alias("warning"))
+    broken = members.where("error is not null").select("file", "member", *empty, F.concat_ws(": ", "member", "error").alias("warning"))
     return rows.unionByName(bad).unionByName(broken)
 
 
@@ -77,7 +53,7 @@ def kpi_records(chunks: DataFrame, assessment_id: int | None = None, dataset_id:
     payload = F.create_map(*(x for c in kept for x in (F.lit(c), F.col(c))), F.lit("header"), F.to_json("header"), F.lit("row"), F.to_json("cells"))
     return chunks.where("warning is null").select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("signavio_kpi_observation").alias("record_type"), F.lit("PROCESS_KPI").alias("capability"),
-        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), F.lit(None).cast("string").alias("object_name"), F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("string").alias("package_name"), payload.alias("payload"),
+        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), F.lit(None).cast("string").alias("object_name"), F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("string").alias("package_name"), payload.alias("payload"), "file",
     )
 
 
@@ -154,7 +130,7 @@ def sizing_metadata(files: DataFrame, most: int = 50) -> DataFrame:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_document_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_document_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, table_index, row_index (-1 for the header row), cells, error of every table of word-processor documents.
 
     A file that is no such document gives one row with its error and nothing else; one without tables gives none.
@@ -167,7 +143,7 @@ def read_document_tables(spark: SparkSession, path: str) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content)) as box:
                         root = ElementTree.fromstring(box.read("word/document.xml")).find(f"{_W}body")
                     found, error = ([] if root is None else root.findall(f"{_W}tbl")), None
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, NotImplementedError, RuntimeError, EOFError) as problem:
+                except (*archives.DAMAGE, ElementTree.ParseError) as problem:
                     found, error = [], f"not a document: {problem}"
                 out = []
                 for t, table in enumerate(found):
@@ -178,7 +154,7 @@ def read_document_tables(spark: SparkSession, path: str) -> DataFrame:
                     out.append((file, None, None, None, error))
                 yield pd.DataFrame(out, columns=["file", "table_index", "row_index", "cells", "error"]).astype({"table_index": "Int32", "row_index": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, table_index int, row_index int, cells array<string>, error string")
+    return listed(spark, path).select("path", "content").mapInPandas(work, "file string, table_index int, row_index int, cells array<string>, error string")
 
 
 def table_kind(headers: Column) -> Column:
@@ -206,5 +182,5 @@ def parse_readiness_tables(tables: DataFrame, assessment_id: int | None = None,
     return rows.select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.concat(F.lit("readiness_check_"), "kind").alias("record_type"),
         F.when(F.col("kind") == "table_volume", "USAGE_SIGNAL").otherwise("S4_CONVERSION_SIGNAL").alias("capability"), key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"),
-        F.when((F.col("kind") == "table_volume") & first.rlike("^[A-Z0-9_/]{2,30}$"), first).alias("object_name"), F.lit(None).cast("string").alias("object_type"), last_wins(entries).alias("payload"),
+        F.when((F.col("kind") == "table_volume") & first.rlike("^[A-Z0-9_/]{2,30}$"), first).alias("object_name"), F.lit(None).cast("string").alias("object_type"), last_wins(entries).alias("payload"), "file",
     )

@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import classify_path
+from estatelens.sources.ranges import PEEK, WHOLE, read_files, walked
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, size_bytes, mtime, sha256, category and content of every file below root.
+def scan_files(spark: SparkSession, root: str, whole: int = WHOLE) -> DataFrame:
+    """rel_path, size_bytes, mtime, sha256, category and content of every file below root, hidden and empty ones included.
 
-    An empty tree gives no rows. Spark reads a file whole, so files of more than 2 GB are for the readers of their format.
+    An empty tree gives no rows, a missing one raises OSError. Files may have any size: they are hashed as streams, and the
+    content of those of more than `whole` bytes is null. A file that can't be read has neither hash nor content.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "/" + re.sub(r"^[a-z]+:(//[^/]*)?", "", root).strip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), r"\+", "%2B")
-    path = F.coalesce(F.try_url_decode(path), path)
-    rel = F.replace(F.substring_index(path, base, -1), F.lit("\\"), F.lit("/"))
-    return raw.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), classify_path(rel).alias("category"), "content")
+    base = "/" + re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", root).strip("/") + "/"
+    rel = F.replace(F.substring_index(F.regexp_replace("path", r"^[a-z0-9+.-]+:(//[^/]*)?", ""), base, -1), F.lit("\\"), F.lit("/"))
+    read = read_files(walked(spark, root), whole)
+    return read.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "sha256", classify_path(rel).alias("category"), "content")
 
 
 def decoded(content: Column) -> Column:
@@ -35,10 +35,12 @@ def read_source_text(files: DataFrame) -> DataFrame:
 
 def detect_format(files: DataFrame) -> DataFrame:
     """Add `format`, judged by name and first bytes: sectioned_xml, usage_sheet, kpi_chunks, sizing_report,
-    readiness_docx, or null. files: rel_path, content (bytes). A ZIP's member names stand in its directory, at its end."""
-    low, head = F.lower("rel_path"), decoded(F.substring("content", 1, 65536))
-    names = F.decode(F.substring("content", -65536, 65536), "ISO-8859-1")
-    is_zip = F.hex(F.substring("content", 1, 4)) == "504B0304"
+    readiness_docx, or null. files: rel_path, and head and tail (the first and last bytes, as `peeked` reads them) or content.
+    A ZIP's member names stand in its directory, at its end."""
+    first, last = (F.col("head"), F.col("tail")) if "head" in files.columns else (F.substring("content", 1, PEEK), F.substring("content", -PEEK, PEEK))
+    low, head = F.lower("rel_path"), decoded(first)
+    names = F.decode(last, "ISO-8859-1")
+    is_zip = F.hex(F.substring(first, 1, 4)) == "504B0304"
     found = (
         F.when(low.endswith(".docx") & (low.contains("readiness") | is_zip & names.contains("word/document.xml")), "readiness_docx")
         .when(low.endswith(".xlsx") & is_zip, "usage_sheet").when(low.endswith(".txt") & (low.contains("sizing") | head.rlike("(?i)SIZING RESULTS IN GiB|HDB_SIZING|HANA_SIZING")), "sizing_report")

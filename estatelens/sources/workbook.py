@@ -8,11 +8,14 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.functions.text import blank_to_null, last_wins, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint
+from estatelens.functions.text import blank_to_null, last_wins, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint, strip_all
+from estatelens.sources import archives
+from estatelens.sources.ranges import listed, opened
+from estatelens.storage import checkpointed
 
 #: Known headers and their fields (fixed values).
 ALIASES = {
@@ -41,71 +44,230 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _sheet_rows(box: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+def _cells(row: ElementTree.Element) -> Iterator[tuple[int, str | None, int | None]]:
+    """(column, text, number of the shared string instead) of a row's cells."""
+    for k, cell in enumerate(row.iter(f"{_M}c")):
+        at = _column(cell.get("r", "")) if cell.get("r") else k
+        value, kind = cell.find(f"{_M}v"), cell.get("t")
+        text = _texts(cell) if kind == "inlineStr" else None if value is None else value.text
+        yield (at, None, int(text)) if kind == "s" and text else (at, text, None)
+
+
+def _sheet_rows(box: zipfile.ZipFile, part: str, shared: list[str] | _FirstStrings) -> Iterator[tuple[int, list[str | None]]]:
     """(1-based row number, cells as text) of every row of a sheet, streamed."""
     with box.open(part) as stream:
         for _, row in ElementTree.iterparse(stream):
             if row.tag != f"{_M}row":
                 continue
             cells: list[str | None] = []
-            for k, cell in enumerate(row.iter(f"{_M}c")):
-                at = _column(cell.get("r", "")) if cell.get("r") else k
-                value, kind = cell.find(f"{_M}v"), cell.get("t")
-                text = _texts(cell) if kind == "inlineStr" else None if value is None else value.text
-                text = shared[int(text)] if kind == "s" and text else text
+            for at, text, number in _cells(row):
                 cells += [None] * (at + 1 - len(cells))
-                cells[at] = text
+                cells[at] = text if number is None else shared[number]
             yield int(row.get("r", 0)), cells
             row.clear()
 
 
-def read_workbook(content: bytes, sheet: str | None = None) -> Iterator[tuple[int, list[str], list[str | None]]]:
-    """(row number, headers, cells) of the named sheet, else the one called `data`, else the first with a header; blank
-    rows are skipped. Raises ValueError if the bytes are no workbook."""
-    try:
-        box = zipfile.ZipFile(io.BytesIO(content))
-        book, links = ElementTree.fromstring(box.read("xl/workbook.xml")), ElementTree.fromstring(box.read("xl/_rels/workbook.xml.rels"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
-        raise ValueError(f"not a workbook: {error}") from error
+#: What a damaged workbook raises.
+DAMAGE = (*archives.DAMAGE, ValueError, IndexError, ElementTree.ParseError)
+#: A workbook whose sheet and strings unpack to more bytes is not read by one task but laid out and cut at its rows.
+LARGE = 64 << 20
+_STRINGS = "xl/sharedStrings.xml"
+
+
+class _FirstStrings:
+    """The shared strings of a workbook, read as far as they are asked for."""
+
+    def __init__(self, box: zipfile.ZipFile) -> None:
+        self.known: list[str] = []
+        self.more = iter(()) if _STRINGS not in box.namelist() else (_texts(x) for _, x in ElementTree.iterparse(box.open(_STRINGS)) if x.tag == f"{_M}si")
+
+    def __getitem__(self, k: int) -> str:
+        while len(self.known) <= k:
+            self.known.append(next(self.more, None) or "")
+        return self.known[k]
+
+
+def _chosen_sheet(box: zipfile.ZipFile, sheet: str | None) -> str | None:
+    """The part of the named sheet, else of the one called `data`, else of the first with a header; null if all are empty."""
+    book, links = ElementTree.fromstring(box.read("xl/workbook.xml")), ElementTree.fromstring(box.read("xl/_rels/workbook.xml.rels"))
     targets = {x.get("Id"): x.get("Target", "").lstrip("/") for x in links}
     parts = {x.get("name", ""): (t if (t := targets[x.get(f"{_R}id")]).startswith("xl/") else f"xl/{t}") for x in book.iter(f"{_M}sheet")}
-    shared = [_texts(x) for x in ElementTree.fromstring(box.read("xl/sharedStrings.xml")).iter(f"{_M}si")] if "xl/sharedStrings.xml" in box.namelist() else []
-    names = [sheet] if sheet else [*(n for n in parts if n.lower() == "data"), *(n for n in parts if n.lower() != "data")]
-    for name in names:
-        headers: list[str] | None = None
-        for number, cells in _sheet_rows(box, parts[name], shared):
-            if not any(c and c.strip() for c in cells):
-                continue
-            if headers is None:
-                headers = ["None" if c is None else c for c in cells]
-                continue
-            yield number, headers, [*cells, *[None] * (len(headers) - len(cells))][: len(headers)]
-        if headers is not None:
-            return
+    if sheet is not None and sheet not in parts:
+        raise ValueError(f"no sheet {sheet!r}")
+    first = _FirstStrings(box)
+    names = [sheet] if sheet is not None else [*(n for n in parts if n.lower() == "data"), *(n for n in parts if n.lower() != "data")]
+    return next((parts[n] for n in names if any(_filled(cells) for _, cells in _sheet_rows(box, parts[n], first))), None)
+
+
+def _filled(cells: list[str | None]) -> bool:
+    return any(c and c.strip() for c in cells)
+
+
+def _in_table(rows: Iterator[tuple[int, list[str | None]]]) -> Iterator[tuple[int, list[str], list[str | None]]]:
+    """(row number, headers, cells) after the first row that is not blank, which is the header; blank rows are skipped."""
+    headers: list[str] | None = None
+    for number, cells in rows:
+        if not _filled(cells):
+            continue
+        if headers is None:
+            headers = ["None" if c is None else c for c in cells]
+            continue
+        yield number, headers, [*cells, *[None] * (len(headers) - len(cells))][: len(headers)]
+
+
+def read_workbook(content: bytes, sheet: str | None = None) -> Iterator[tuple[int, list[str], list[str | None]]]:
+    """(row number, headers, cells) of the named sheet, else the one called `data`, else the first with a header; blank
+    rows are skipped. Raises one of DAMAGE if the bytes are no workbook or damaged."""
+    with zipfile.ZipFile(io.BytesIO(content)) as box:
+        part = _chosen_sheet(box, sheet)
+        if part is not None:
+            yield from _in_table(_sheet_rows(box, part, _shared(box)))
+
+
+def _shared(box: zipfile.ZipFile) -> list[str]:
+    return [_texts(x) for x in ElementTree.fromstring(box.read(_STRINGS)).iter(f"{_M}si")] if _STRINGS in box.namelist() else []
+
 
+_PLAN = {"file": pa.string(), "part": pa.string(), "offset": pa.int64(), "packed": pa.int64(), "size": pa.int64(), "strings_offset": pa.int64(), "strings_packed": pa.int64(), "error": pa.string()}
 
-def read_findings_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """file, row_number (as in the sheet), headers, cells (arrays of text), error: one task reads a workbook.
 
-    A file that is no workbook gives one row with its error; a workbook without rows gives none.
+def _planned(files: DataFrame, sheet: str | None) -> DataFrame:
+    """The sheet to read of each workbook and where it and the shared strings lie; a row with an error for what is none.
+
+    Workbooks without rows give no row. Only the directory, the list of sheets and a sheet's first filled row are read.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "row_number", "headers", "cells", "error"]
-        for rows in batches:
-            for file, content in zip(rows["path"], rows["content"], strict=True):
-                held: list[tuple] = []
-                try:
-                    for number, headers, cells in read_workbook(content, sheet):
-                        held.append((file, number, headers, cells, None))
-                        if len(held) == 5000:
-                            yield pd.DataFrame(held, columns=names)
-                            held = []
-                except ValueError as error:
-                    held.append((file, None, None, None, str(error)))
-                yield pd.DataFrame(held, columns=names)
+    def of(path: str) -> list[tuple]:
+        try:
+            with opened(path) as file, zipfile.ZipFile(file) as box:
+                part = _chosen_sheet(box, sheet)
+                if part is None:
+                    return []
+                inside, strings = box.getinfo(part), box.getinfo(_STRINGS) if _STRINGS in box.namelist() else None
+                size = inside.file_size + (strings.file_size if strings else 0)
+                return [(path, part, inside.header_offset, inside.compress_size, size, strings and strings.header_offset, strings and strings.compress_size, None)]
+        except DAMAGE as error:
+            return [(path, *[None] * 6, f"not a workbook: {error}")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield archives.made([row for path in batch["path"].to_pylist() for row in of(path)], _PLAN)
+
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in _PLAN.items())
+    return checkpointed(files.select("path").mapInArrow(work, schema))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, row_number int, headers array<string>, cells array<string>, error string")
+
+_ROWS = {"file": pa.string(), "row_number": pa.int32(), "headers": pa.list_(pa.string()), "cells": pa.list_(pa.string()), "error": pa.string()}
+_ROWS_SQL = "file string, row_number int, headers array<string>, cells array<string>, error string"
+
+
+def read_findings_sheet(spark: SparkSession, path: str | list[str], sheet: str | None = None, large: int = LARGE) -> DataFrame:
+    """file, row_number (as in the sheet), headers, cells (arrays of text), error of the workbooks at a path.
+
+    Workbooks whose sheet and strings unpack to at most `large` bytes are dealt over tasks whole. Of larger ones both are
+    written into the shared folder, cut there at rows and strings in ranges, and joined by the strings' numbers. A workbook
+    that is damaged or lacks the named sheet gives one row with its error (after the rows before the damage, if it lies
+    inside the sheet); one without rows gives none.
+    """
+    plan = _planned(listed(spark, path).select("path", "length"), sheet)
+    small = plan.where(F.coalesce("size", F.lit(0)) <= large)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held: list[tuple] = [] if row["error"] is None else [(row["file"], None, None, None, row["error"])]
+                try:
+                    with opened(row["file"]) as file, zipfile.ZipFile(file) as box:
+                        for number, headers, cells in _in_table(_sheet_rows(box, row["part"], _shared(box))) if row["error"] is None else ():
+                            held.append((row["file"], number, headers, cells, None))
+                            if len(held) == 5000:
+                                yield archives.made(held, _ROWS)
+                                held = []
+                except DAMAGE as error:
+                    if row["error"] is None:
+                        held.append((row["file"], None, None, None, f"damaged workbook: {error}"))
+                yield archives.made(held, _ROWS)
+
+    total = small.agg(F.sum("packed")).first()[0] or 0
+    found = small.repartitionByRange(max(1, -(-total // archives.TASK_BYTES)), "file").mapInArrow(work, _ROWS_SQL)
+    big = plan.where(F.col("size") > large)
+    return found if big.isEmpty() else found.unionByName(_large_rows(spark, big))
+
+
+def _pieces(spark: SparkSession, plan: DataFrame, part: Column, offset: str, packed: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(file, block, pos, piece: what follows each `<tag`) of a part of the planned workbooks, and (file, error) of damaged ones."""
+    members = plan.where(F.col(offset).isNotNull()).select("file", part.alias("member"), F.col(offset).alias("offset"), F.col(packed).alias("packed"), F.lit(None).cast("string").alias("error"))
+    folder, laid = archives.laid_out(spark, archives.one_a_task(members), "sheet")
+    good = laid.where("error is null").select("file", "name")
+    errors = laid.where("error is not null").select("file", "error")
+    if good.isEmpty():
+        return spark.createDataFrame([], "file string, block long, pos long, piece string"), errors
+    name = F.substring_index("_metadata.file_path", "/", -1)
+    raw = spark.read.option("lineSep", f"<{tag}").text(folder)
+    pieces = raw.select(name.alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("piece"))
+    # what stands before the first one, and longer names that begin like the tag, are no pieces
+    return pieces.where(F.col("piece").rlike(r"^[\s/>]")).join(good, "name").drop("name"), errors
+
+
+def _element(tag: str, piece: str) -> ElementTree.Element:
+    """The element that a piece begins with; ParseError if it is not whole. Prefixes of attributes are declared around it."""
+    end = piece.find(f"</{tag}>")
+    close = piece.find(">") + 1
+    text = piece[:close] if piece[:close].endswith("/>") else piece[: end + len(tag) + 3] if end >= 0 else piece
+    prefixes = " ".join(f'xmlns:{p}="urn:{p}"' for p in {*re.findall(r"[\s<]([A-Za-z_][\w.-]*):", text)} - {"xml", "xmlns"})
+    return ElementTree.fromstring(f'<x xmlns="{_M[1:-1]}" {prefixes}><{tag}{text}</x>')[0]
+
+
+_CELLS = {"file": pa.string(), "block": pa.int64(), "pos": pa.int64(), "row_number": pa.int32(), "cells": pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string()), ("shared", pa.int64())])), "error": pa.string()}
+
+
+def _large_rows(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """The rows of read_findings_sheet of large workbooks: no task holds a sheet or its strings."""
+    rows, broken = _pieces(spark, plan, F.col("part"), "offset", "packed", "row")
+    strings, unreadable = _pieces(spark, plan, F.lit(_STRINGS), "strings_offset", "strings_packed", "si")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for file, block, pos, piece in zip(*(batch[c].to_pylist() for c in ("file", "block", "pos", "piece")), strict=True):
+                try:
+                    row = _element("row", piece)
+                    own = {at: {"at": at, "text": text, "shared": k} for at, text, k in _cells(row)}
+                    made.append((file, block, pos, int(row.get("r", 0)), [*own.values()], None))
+                except DAMAGE as error:
+                    made.append((file, block, pos, None, None, f"damaged row: {error}"))
+            yield archives.made(made, _CELLS)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for piece in batch["piece"].to_pylist():
+                try:
+                    made.append(_texts(_element("si", piece)))
+                except DAMAGE:
+                    made.append(None)
+            yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], batch["pos"], pa.array(made, pa.string())], names=["file", "block", "pos", "text"])
+
+    parsed = checkpointed(rows.select("file", "block", "pos", "piece").mapInArrow(cells, "file string, block long, pos long, row_number int, cells array<struct<at:int,text:string,shared:long>>, error string"))
+    listed_ = checkpointed(strings.select("file", "block", "pos", "piece").mapInArrow(texts, "file string, block long, pos long, text string"))
+    sizes = listed_.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    bases = sizes.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("pos")) - 1
+    known = listed_.withColumn("n", inside).join(bases, ["file", "block"]).select("file", (F.col("base") + F.col("n")).alias("shared"), F.col("text").alias("found"))
+    each = parsed.where("error is null").select("file", "block", "pos", "row_number", F.explode_outer("cells").alias("c")).select("file", "block", "pos", "row_number", "c.at", "c.text", "c.shared")
+    own = each.where("shared is null").select("file", "block", "pos", "row_number", "at", "text")
+    met = each.where("shared is not null").join(known, ["file", "shared"], "left").select("file", "block", "pos", "row_number", "at", F.col("found").alias("text"))
+    whole = own.unionByName(met).groupBy("file", "block", "pos", "row_number").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "text")))).alias("m"))
+    width = F.coalesce(F.array_max(F.map_keys("m")) + 1, F.lit(0))
+    lines = whole.select("file", "block", "pos", "row_number", F.transform(F.slice(F.sequence(F.lit(0), width), 1, width), lambda k: F.try_element_at(F.col("m"), k)).alias("cells"))
+    filled = checkpointed(lines.where(F.exists("cells", lambda c: strip_all(c) != "")))
+    place = F.struct("block", "pos")
+    heads = filled.groupBy("file").agg(F.min(place).alias("top"), F.min_by(F.transform("cells", lambda c: F.coalesce(c, F.lit("None"))), place).alias("headers"))
+    n = F.size("headers")
+    below = filled.join(heads, "file").where(F.struct("block", "pos") > F.col("top"))
+    rows_ = below.select("file", "row_number", "headers", F.transform("headers", lambda h, k: F.get(F.col("cells"), k)).alias("cells"), F.lit(None).cast("string").alias("error"))
+    errors = broken.unionByName(unreadable).select("file", F.concat(F.lit("damaged workbook: "), "error").alias("error")).unionByName(parsed.where("error is not null").select("file", "error")).groupBy("file").agg(F.min("error").alias("error"))
+    return rows_.unionByName(errors.select("file", F.lit(None).cast("int").alias("row_number"), *(F.lit(None).cast("array<string>").alias(c) for c in ("headers", "cells")), "error"))
 
 
 def map_headers(rows: DataFrame) -> DataFrame:
@@ -169,7 +331,7 @@ def read_usage_report(rows: DataFrame, assessment_id: int | None = None, dataset
 
     return based.select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), F.lit("panaya_usage_object").alias("record_type"), F.lit("USAGE_SIGNAL").alias("capability"),
-        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), cell("OBJECT NAME").alias("object_name"), cell("OBJECT TYPE").alias("object_type"), cell("PACKAGE").alias("package_name"), payload.alias("payload"),
+        key.alias("source_key"), record_fingerprint(key).alias("record_fingerprint"), cell("OBJECT NAME").alias("object_name"), cell("OBJECT TYPE").alias("object_type"), cell("PACKAGE").alias("package_name"), payload.alias("payload"), "file",
     )
 
 

@@ -6,14 +6,12 @@ depth, its section and its place there, comes from running sums inside a range a
 
 from __future__ import annotations
 
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import record_fingerprint, sanitize_xml
+from estatelens.sources import archives
+from estatelens.sources.ranges import listed, plain
 
 #: Known sections and what their rows hold (fixed values): capability, record type, and the attributes of name, type and package.
 SECTIONS = {
@@ -29,35 +27,21 @@ SECTIONS = {
 CONFIG = "section string, capability string, record_type string, name_attr string, type_attr string, package_attr string"
 
 
-def _tags(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, pos, tag: everything that follows a `<`, in file order inside a block."""
-    if path.lower().endswith(".zip"):
-        return _zip_tags(spark, path)
-    raw = spark.read.option("lineSep", "<").text(path)
+def _tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, block, pos, tag: everything that follows a `<`, in file order inside a block; file is a URL."""
+    raw = spark.read.option("lineSep", "<").option("recursiveFileLookup", True).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("tag"))
 
 
-def _zip_tags(spark: SparkSession, path: str) -> DataFrame:
-    """A ZIP can't be read in ranges: one task streams the largest XML member."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for rows in batches:
-            for file, content in zip(rows["path"], rows["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as box:
-                    inside = max((x for x in box.infolist() if x.filename.lower().endswith(".xml")), key=lambda x: x.file_size, default=None)
-                    if inside is None:
-                        continue
-                    held, pos = b"", 0
-                    with box.open(inside) as stream:
-                        while data := stream.read(1 << 22):
-                            *whole, held = (held + data).split(b"<")
-                            yield pd.DataFrame({"file": file, "block": 0, "pos": range(pos, pos + len(whole)), "tag": [x.decode("utf-8", "replace") for x in whole]})
-                            pos += len(whole)
-                    yield pd.DataFrame({"file": [file], "block": [0], "pos": [pos], "tag": [held.decode("utf-8", "replace")]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, block long, pos long, tag string")
+def _largest_members(spark: SparkSession, archives_: DataFrame) -> tuple[str, DataFrame]:
+    """The largest XML member of each archive as a file that can be read in ranges: the folder, and file, name, error."""
+    found = archives.list_members(archives_, (".xml",))
+    every = archives_.select(F.col("path").alias("file")).join(found, "file", "left")
+    size = F.struct(F.col("size"), -F.col("offset"))
+    best = every.groupBy("file").agg(F.max_by(F.struct("member", "offset", "packed", "size", "error"), size).alias("m"), F.max("error").alias("broken"))
+    error = F.coalesce("broken", F.when(F.col("m.member").isNull(), "no XML member"))
+    folder, laid = archives.laid_out(spark, archives.one_a_task(best.select("file", "m.member", "m.offset", "m.packed", "m.size", error.alias("error"))), "xml")
+    return folder, laid.select("file", "name", "error")
 
 
 def _attributes(tag: Column) -> Column:
@@ -75,14 +59,35 @@ def _replaced(values: Column, ref: str, sign: str) -> Column:
     return F.transform(values, lambda v: F.replace(v, F.lit(ref), F.lit(sign)))
 
 
-def read_sectioned_xml(spark: SparkSession, path: str, sections: list[str] | None = None, max_per_section: int | None = None) -> DataFrame:
-    """file, section, row_index (from 0 inside its section of the file), attrs (map) of every element at depth 3.
+def read_sectioned_xml(spark: SparkSession, path: str | list[str], sections: list[str] | None = None, max_per_section: int | None = None) -> DataFrame:
+    """file, section, row_index (from 0 inside its section of the file), attrs (map), error of every element at depth 3.
 
     Bytes that XML forbids, raw or as references, are dropped before a tag is read. Only the named sections are
-    returned if any are named; max_per_section keeps the first rows of each. An empty file gives no rows.
+    returned if any are named; max_per_section keeps the first rows of each. An empty file gives no rows. Of a ZIP the
+    largest XML member is read: one task writes it into the shared folder, whence it is read in ranges like other files.
+    A ZIP that is damaged or has no such member gives one row with its error and nothing else.
     """
+    files = listed(spark, path).select("path", "length")
+    packed = files.where(F.lower("path").endswith(".zip"))
+    none = F.lit(None).cast("string")
+    if packed.isEmpty():
+        return _rows(_tags(spark, path), sections, max_per_section).withColumns({"file": plain(F.col("file")), "error": none})
+    folder, laid = _largest_members(spark, packed)
+    name = F.substring_index("file", "/", -1)
+    inside = _rows(_tags(spark, folder).withColumn("file", name), sections, max_per_section)
+    named = inside.withColumnRenamed("file", "name").join(laid.where("error is null").select("file", "name"), "name").select("file", "section", "row_index", "attrs", none.alias("error"))
+    broken = laid.where("error is not null").select("file", none.alias("section"), F.lit(None).cast("long").alias("row_index"), F.lit(None).cast("map<string,string>").alias("attrs"), "error")
+    out = named.unionByName(broken)
+    if packed.count() == files.count():
+        return out
+    bare = _tags(spark, path).where(~F.lower("file").endswith(".zip"))
+    return out.unionByName(_rows(bare, sections, max_per_section).withColumns({"file": plain(F.col("file")), "error": none}))
+
+
+def _rows(found: DataFrame, sections: list[str] | None, max_per_section: int | None) -> DataFrame:
+    """file, section, row_index, attrs of the tags of files."""
     tag = sanitize_xml(F.col("tag"))
-    clean = _tags(spark, path).select("file", "block", "pos", tag.alias("tag")).where(F.col("tag").rlike(r"^/?[A-Za-z_]"))
+    clean = found.select("file", "block", "pos", tag.alias("tag")).where(F.col("tag").rlike(r"^/?[A-Za-z_]"))
     name = F.regexp_extract("tag", r"^/?([\w:.-]+)", 1)
     delta = F.when(F.col("tag").startswith("/"), -1).when(F.col("tag").rlike(r"^[^>]*/>"), 0).otherwise(1)
     tags = clean.select("file", "block", "pos", "tag", name.alias("name"), delta.alias("delta"))
@@ -118,12 +123,13 @@ def curate_sections(rows: DataFrame, assessment_id: int | None = None, dataset_i
     key = F.concat_ws(":", "section", F.col("row_index").cast("string"))
     return known.select(
         F.lit(assessment_id).cast("long").alias("assessment_id"), F.lit(dataset_id).cast("long").alias("dataset_id"), "record_type", "capability", key.alias("source_key"),
-        record_fingerprint(key).alias("record_fingerprint"), attr("name_attr").alias("object_name"), attr("type_attr").alias("object_type"), attr("package_attr").alias("package_name"), F.col("attrs").alias("payload"),
+        record_fingerprint(key).alias("record_fingerprint"), attr("name_attr").alias("object_name"), attr("type_attr").alias("object_type"), attr("package_attr").alias("package_name"), F.col("attrs").alias("payload"), "file",
     )
 
 
 def section_manifest(rows: DataFrame) -> DataFrame:
     """section, n_rows, attributes (sorted names), capability (null if the section is not a known one)."""
+    rows = rows.where("section is not null")
     counts = rows.groupBy("section").agg(F.count(F.lit(1)).alias("n_rows"))
     names = rows.select("section", F.explode(F.map_keys("attrs")).alias("a")).groupBy("section").agg(F.array_sort(F.collect_set("a")).alias("attributes"))
     return counts.join(names, "section", "left").join(F.broadcast(config(rows.sparkSession).select("section", "capability")), "section", "left")

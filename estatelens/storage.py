@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,13 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that a job wrote into the shared folder and has no more use for; one that is gone is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder for what is read again in this session; it goes when the session's JVM ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    where.mkdirs(path)
+    where.deleteOnExit(path)
+    return folder

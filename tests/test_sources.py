@@ -127,8 +127,8 @@ def test_adapters(spark, tmp_path):
     empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in adapters.RECORD))
     first = adapters.import_batch(spark, str(tmp_path), "kpi_chunks", empty)
     assert first.count() == 2 and adapters.import_batch(spark, str(tmp_path), "kpi_chunks", first).count() == 0
-    own = {"mine": adapters.Adapter(lambda s, p: s.createDataFrame([("r", "c", "k", "f", "o")], empty.schema), lambda s, p: s.range(1))}
-    assert adapters.import_batch(spark, "", "mine", empty, own).count() == 1 and adapters.inspect(spark, "", "mine", own).count() == 1
+    own = {"mine": adapters.Adapter(lambda s, p: s.createDataFrame([("r", "c", "k", "f", "o", "file:/x")], ", ".join(f"{c} string" for c in (*adapters.RECORD[1:], "file"))), lambda s, p: s.range(1))}
+    assert adapters.import_batch(spark, "", "mine", empty, own, spark.createDataFrame([("file:/x", "d")], "file string, dataset_id string")).count() == 1 and adapters.inspect(spark, "", "mine", own).count() == 1
     with pytest.raises(ValueError, match="no adapter"):
         adapters.inspect(spark, "", "other")
 
