@@ -47,6 +47,32 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def update_components(labels: DataFrame, nodes: DataFrame, added: DataFrame, removed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after a change, from the labels before it: what connected_components(nodes, edges) gives.
+
+    added and removed are the edges that came and went, edges all there are now; ends that are missing from `nodes` are
+    left out (an edge between other nodes links nothing). A component that lost no edge and no node stays one node of the
+    graph that is walked, with its label; only the others fall apart into their nodes and take their edges with them. So the
+    rounds follow the change; of the rest a label is looked up once.
+    """
+    known = nodes.select("node").distinct()
+    lost_ends = removed.select(F.explode(F.array("src", "dst")).alias("node")).join(labels, "node").select("component")
+    lost_nodes = labels.join(known, "node", "left_anti").select("component")
+    broken = checkpointed(lost_ends.unionByName(lost_nodes).where("component is not null").distinct())
+    loose = labels.join(broken, "component", "left_semi").select("node")
+    new = known.join(labels.select("node"), "node", "left_anti")
+    single = loose.unionByName(new).where("node is not null").join(known, "node", "left_semi").distinct()
+    # the graph's nodes: loose and new ones themselves, all others by their labels
+    stands = checkpointed(labels.join(broken, "component", "left_anti").select("node", F.col("component").alias("stand")).unionByName(single.select("node", F.col("node").alias("stand"))))
+    inner = edges.join(single.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(edges.join(single.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns))
+    links = added.select("src", "dst").unionByName(inner.select("src", "dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    ends = links.join(stands.select(F.col("node").alias("src"), F.col("stand").alias("_a")), "src").join(stands.select(F.col("node").alias("dst"), F.col("stand").alias("_b")), "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
+    met = checkpointed(ends.where("src <> dst").distinct())
+    moved = connected_components(met.select(F.explode(F.array("src", "dst")).alias("node")), met).select(F.col("node").alias("stand"), F.col("component").alias("_to"))
+    out = stands.join(moved, "stand", "left").select("node", F.coalesce("_to", "stand").alias("component"))
+    return out.unionByName(known.where("node is null").select("node", F.lit(None).cast(labels.schema["component"].dataType).alias("component")))
+
+
 def resolve_dependencies(deps: DataFrame, objects: DataFrame) -> DataFrame:
     """Dependencies with target_id: by canonical key if the target is typed, else the smallest id of that upper-case name
     in the assessment. Unresolved and self dependencies go.
@@ -75,23 +101,57 @@ def package_links(objects: DataFrame, findings: DataFrame, correlations: DataFra
     return members.join(anchors, ["assessment_id", "package_name"]).where("id <> src").select("src", F.col("id").alias("dst"), "package_name")
 
 
+def cluster_links(objects: DataFrame, deps: DataFrame, packages: DataFrame) -> DataFrame:
+    """src, dst, signal_type, description, dependency_id: the resolved dependencies and the package stars."""
+    resolved = resolve_dependencies(deps, objects).select(F.col("source_object_id").alias("src"), F.col("target_id").alias("dst"), F.lit("DEPENDENCY").alias("signal_type"), F.concat_ws(" ", "dep_type", "target_name").alias("description"), F.col("id").alias("dependency_id"))
+    return resolved.unionByName(packages.select("src", "dst", F.lit("SHARED_PACKAGE").alias("signal_type"), F.col("package_name").alias("description"), F.lit(None).cast("long").alias("dependency_id")))
+
+
 def build_clusters(objects: DataFrame, deps: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, signals): id, cluster_id of every object, and every link inside a cluster.
 
     Links are the resolved dependencies and the package stars; a cluster's id is its smallest object. Signals keep
     parallel links and are numbered pair by pair in the order in which a pair was first linked, dependencies before packages.
     """
-    resolved = resolve_dependencies(deps, objects).select(F.col("source_object_id").alias("src"), F.col("target_id").alias("dst"), F.lit("DEPENDENCY").alias("signal_type"), F.concat_ws(" ", "dep_type", "target_name").alias("description"), F.col("id").alias("dependency_id"))
-    stars = packages.select("src", "dst", F.lit("SHARED_PACKAGE").alias("signal_type"), F.col("package_name").alias("description"), F.lit(None).cast("long").alias("dependency_id"))
-    links = resolved.unionByName(stars)
+    links = cluster_links(objects, deps, packages)
     parts = connected_components(objects.select(F.col("id").alias("node")), links).select(F.col("node").alias("id"), F.col("component").alias("cluster_id"))
+    return parts, cluster_signals(links, parts)
+
+
+def cluster_signals(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every link inside a cluster (id, cluster_id), numbered as build_clusters says."""
     inside = links.join(parts.withColumnRenamed("id", "src"), "src")
     pair = [F.least("src", "dst"), F.greatest("src", "dst")]
     turn = F.struct((F.col("signal_type") != "DEPENDENCY").alias("late"), F.coalesce("dependency_id", F.lit(0).cast("long")).alias("d"), F.col("description").alias("p"))
     placed = inside.withColumns({"_a": pair[0], "_b": pair[1], "_turn": turn})
     firsts = placed.groupBy("_a", "_b").agg(F.min("_turn").alias("_first"))
     signals = numbered(placed.join(firsts, ["_a", "_b"]), "cluster_id", ["_first", "_a", "_b", "_turn"])
-    return parts, signals.select("cluster_id", "position", "signal_type", "src", "dst", "description", "dependency_id")
+    return signals.select("cluster_id", "position", "signal_type", "src", "dst", "description", "dependency_id")
+
+
+def update_clusters(before: tuple[DataFrame, DataFrame], links_before: DataFrame, objects: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, signals) of build_clusters after a rerun, from those before it; links are those of cluster_links then and now.
+
+    Clusters none of whose links and objects came or went keep members and signals as they are; the others are walked and
+    numbered anew.
+    """
+    members, signals = before
+    known = links.join(objects.select(F.col("id").alias("src")), "src", "left_semi").join(objects.select(F.col("id").alias("dst")), "dst", "left_semi").select(*links.columns)
+    # links are counted, since parallel ones may be equal
+    diff = links_before.withColumn("_n", F.lit(-1)).unionByName(known.withColumn("_n", F.lit(1))).groupBy(*links.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    changed = checkpointed(diff)
+    labels = members.select(F.col("id").alias("node"), F.col("cluster_id").alias("component"))
+    nodes = objects.select(F.col("id").alias("node"))
+    # an edge is gone if none of the links between its ends is left
+    ends = ["src", "dst"]
+    removed = changed.where("_n < 0").select(*ends).distinct().join(known.select(*ends), ends, "left_anti")
+    parts = checkpointed(update_components(labels, nodes, changed.where("_n > 0").select(*ends), removed, known.select(*ends)))
+    touched = changed.select(F.explode(F.array(*ends)).alias("node")).unionByName(labels.join(nodes, "node", "left_anti").select("node"))
+    old = checkpointed(labels.join(touched.distinct(), "node", "left_semi").select("component").distinct())
+    again = labels.join(old, "component", "left_semi").select("node").unionByName(nodes.join(labels, "node", "left_anti")).distinct()
+    renewed = checkpointed(parts.join(again, "node", "left_semi").select(F.col("node").alias("id"), F.col("component").alias("cluster_id")))
+    kept = signals.join(old.withColumnRenamed("component", "cluster_id"), "cluster_id", "left_anti").select(*signals.columns)
+    return parts.select(F.col("node").alias("id"), F.col("component").alias("cluster_id")), kept.unionByName(cluster_signals(known, renewed))
 
 
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -118,9 +178,7 @@ def assign_applications(clusters: DataFrame, objects: DataFrame, apps: DataFrame
     A cluster that touches a USER_RENAMED or MERGED application is left out. The others, by ascending id, take the
     application with which they share most members (ties: smaller id) if that is at least half of them and no
     earlier cluster took it; else they are new, with an id made from the cluster. clusters: id, cluster_id; objects:
-    id, assessment_id, application_id. At most two applications can be wanted by a cluster, and settling them in rounds
-    gives what one cluster after another would take: each asks for its best wish left, an application keeps the first
-    cluster that asks, and the others go on to their next wish, until nobody is sent away.
+    id, assessment_id, application_id. At most two applications can be wanted by a cluster.
     """
     members = clusters.join(objects.select("id", "assessment_id", "application_id"), "id")
     kept = apps.where("status in ('USER_RENAMED', 'MERGED')").select(F.col("id").alias("application_id"))
@@ -131,22 +189,40 @@ def assign_applications(clusters: DataFrame, objects: DataFrame, apps: DataFrame
     shared = free.join(known, "application_id", "left_semi").groupBy("assessment_id", "cluster_id", "application_id").agg(F.count(F.lit(1)).alias("n"))
     wanted = checkpointed(shared.join(sizes, ["assessment_id", "cluster_id"]).where("n * 2 >= size"))  # two a cluster at most
     choice = Window.partitionBy("assessment_id", "cluster_id").orderBy(F.desc("n"), "application_id")
-    wishes = checkpointed(wanted.withColumn("wish", F.row_number().over(choice)).select("assessment_id", "cluster_id", "application_id", "wish"))
-    asking = wishes.where("wish = 1")
-    while True:
-        first = checkpointed(asking.groupBy("application_id").agg(F.min(F.struct("cluster_id", "assessment_id")).alias("taker")))
-        settled = checkpointed(asking.join(first, "application_id").withColumn("_stays", F.struct("cluster_id", "assessment_id") == F.col("taker")))
-        claims = settled.where("_stays").select("assessment_id", "cluster_id", "application_id", "wish")
-        sent_away = settled.where("not _stays").select("assessment_id", "cluster_id", F.col("wish").alias("_last"))
-        if sent_away.isEmpty():
-            break
-        further = wishes.join(sent_away, ["assessment_id", "cluster_id"]).where("wish = _last + 1").drop("_last")
-        asking = claims.unionByName(further)
-    claims = claims.drop("wish")
+    wishes = wanted.withColumn("wish", F.row_number().over(choice)).groupBy("assessment_id", "cluster_id")
+    claims = _settle_claims(wishes.agg(*(F.max(F.when(F.col("wish") == k, F.col("application_id"))).alias(c) for k, c in ((1, "one"), (2, "two")))))
     every = sizes.join(claims, ["assessment_id", "cluster_id"], "left")
     return every.select("assessment_id", "cluster_id", F.coalesce("application_id", F.xxhash64("assessment_id", "cluster_id")).alias("application_id"), F.col("application_id").isNull().alias("is_new"))
 
 
+def _settle_claims(wishes: DataFrame) -> DataFrame:
+    """(assessment_id, cluster_id, application_id) of the clusters (assessment_id, cluster_id, one, two) that get one of their
+    wishes, as if they took turns by cluster_id.
+
+    An application keeps the smallest of all that come to ask. Of those that ask it first only the smallest, its holder, can
+    stay; the others go on to their second wish at once. A holder goes on if a smaller cluster comes to its application,
+    and is then one that comes to the next: so holders form chains, along which it counts whether the one before is sent
+    away and smaller. Whether a chain's cause reaches an application is found by pointer doubling, in rounds that grow with the
+    logarithm of the longest chain.
+    """
+    who = F.struct("cluster_id", "assessment_id")
+    asking = checkpointed(wishes.select(who.alias("who"), "one", "two"))
+    held = checkpointed(asking.groupBy(F.col("one").alias("app")).agg(F.min("who").alias("holder"), F.min_by("two", "who").alias("next")))
+    sent = asking.join(held, F.col("one") == F.col("app")).where("who <> holder and two is not null").groupBy(F.col("two").alias("app")).agg(F.min("who").alias("comes"))
+    sent = checkpointed(sent)
+    following = held.select(F.col("app").alias("_app"), F.col("holder").alias("_holder"))
+    chain = held.join(sent, "app", "left").join(following, F.col("next") == F.col("_app"), "left")
+    state = checkpointed(chain.select("app", F.coalesce(F.col("comes") < F.col("holder"), F.lit(False)).alias("leaves"), F.when(F.col("holder") < F.col("_holder"), F.col("next")).alias("to")))
+    while not state.where("to is not null").isEmpty():
+        reached = state.where("leaves and to is not null").select(F.col("to").alias("app"), F.lit(True).alias("_reached")).distinct()
+        hop = state.where("to is not null").select(F.col("app").alias("to"), F.col("to").alias("_next"))
+        joined = state.join(reached, "app", "left").join(hop, "to", "left")
+        state = checkpointed(joined.select("app", (F.col("leaves") | F.coalesce("_reached", F.lit(False))).alias("leaves"), F.col("_next").alias("to")))
+    left = held.join(state.where("leaves").select("app"), "app", "left_semi").where("next is not null").select(F.col("next").alias("app"), F.col("holder").alias("comes"))
+    takers = held.select("app", F.col("holder").alias("comes")).unionByName(sent).unionByName(left).groupBy("app").agg(F.min("comes").alias("taker"))
+    return takers.select("taker.assessment_id", "taker.cluster_id", F.col("app").alias("application_id"))
+
+
 def drop_empty_applications(apps: DataFrame, objects: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(applications, embeddings) without applications that have no members and are neither renamed nor merged."""
     used = objects.where("application_id is not null").select(F.col("application_id").alias("id")).distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from estatelens import graph as G
 from estatelens.operators import reports as R
 from estatelens.plans.base import Registry
+from estatelens.storage import checkpointed
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -49,6 +50,18 @@ def g2_connected_components(i):
     return G.connected_components(i.table("part").select(F.col("p_partkey").alias("node")), i.edges)
 
 
+@query("SELECT p_partkey AS node, (SELECT min(x.p_partkey) FROM part x WHERE x.p_partkey // 7 = part.p_partkey // 7) AS component FROM part")
+def g2_update_components(i):
+    """From a state in which other parts were linked and a third of the present links were missing."""
+    nodes, edges = i.table("part").select(F.col("p_partkey").alias("node")), i.edges
+    came, went = edges.where("src % 3 = 0"), i.sql("SELECT p_partkey AS src, p_partkey + 7 AS dst FROM part WHERE p_partkey % 35 = 3 AND p_partkey + 7 IN (SELECT p_partkey FROM part)")
+    old_nodes = nodes.where("node % 10 <> 4").unionByName(nodes.where("node % 10 = 4").select((-F.col("node") - 1).alias("node")))
+    before = edges.where("src % 3 <> 0").unionByName(went).join(old_nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(old_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    labels = checkpointed(G.connected_components(old_nodes, before))
+    added = came.unionByName(edges.where("src % 10 = 4 or dst % 10 = 4")).distinct()
+    return G.update_components(labels, nodes, added, went, edges)
+
+
 #: Packages from findings on every part, and from records of which two in three are matched.
 _PACKAGES = "SELECT p_partkey AS id, concat(p_brand, p_type, CAST(p_size AS VARCHAR)) AS package_name FROM part"
 _PACKAGED = "SELECT l_partkey AS id, concat('DAY ', CAST(CAST(l_shipdate AS DATE) AS VARCHAR), l_linestatus, CAST(floor(l_quantity) AS INT)) AS package_name FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_linenumber = 1"
@@ -93,13 +106,27 @@ two AS (SELECT DISTINCT a.x, b.y FROM near a JOIN near b ON a.y = b.x), four AS
 parts AS (SELECT r.id, (SELECT min(q.id) FROM four f JOIN runs q ON q.run = f.y WHERE f.x = r.run) AS cluster_id FROM runs r)"""
 
 
-@query(_CLUSTERS + """, inside AS (SELECT l.*, p.cluster_id, least(l.src, l.dst) AS a, greatest(l.src, l.dst) AS b, signal_type <> 'DEPENDENCY' AS late, coalesce(dependency_id, 0) AS d FROM links l JOIN parts p ON p.id = l.src),
+_SIGNALS = _CLUSTERS + """, inside AS (SELECT l.*, p.cluster_id, least(l.src, l.dst) AS a, greatest(l.src, l.dst) AS b, signal_type <> 'DEPENDENCY' AS late, coalesce(dependency_id, 0) AS d FROM links l JOIN parts p ON p.id = l.src),
 firsts AS (SELECT a, b, min((late, d, description)) AS first FROM inside GROUP BY 1, 2)
-SELECT i.cluster_id, row_number() OVER (PARTITION BY i.cluster_id ORDER BY f.first, i.a, i.b, (late, d, description)) AS position, signal_type, src, dst, description, dependency_id FROM inside i JOIN firsts f ON f.a = i.a AND f.b = i.b""")
+SELECT i.cluster_id, row_number() OVER (PARTITION BY i.cluster_id ORDER BY f.first, i.a, i.b, (late, d, description)) AS position, signal_type, src, dst, description, dependency_id FROM inside i JOIN firsts f ON f.a = i.a AND f.b = i.b"""
+
+
+@query(_SIGNALS)
 def g3_cluster_signals(i):
     return G.build_clusters(chain_objects(i), chain_deps(i), local_packages(i))[1].withColumn("description", F.regexp_replace("description", "^INCLUDE k", "INCLUDE K"))
 
 
+@query(_SIGNALS)
+def g3_update_clusters(i):
+    """The signals after a rerun: before it, a tenth of the links was missing and as many others were there."""
+    objects, links = chain_objects(i), G.cluster_links(chain_objects(i), chain_deps(i), local_packages(i))
+    others = links.where("src % 11 = 5").select("src", (F.expr("src div 35 * 35") + 34).alias("dst"), "signal_type", F.lit("gone").alias("description"), "dependency_id").where("src <> dst").join(objects.select(F.col("id").alias("dst")), "dst", "left_semi").select(*links.columns)
+    old = links.where("src % 10 <> 7").unionByName(others)
+    parts = checkpointed(G.connected_components(objects.select(F.col("id").alias("node")), old).select(F.col("node").alias("id"), F.col("component").alias("cluster_id")))
+    before = parts, checkpointed(G.cluster_signals(old, parts))
+    return G.update_clusters(before, old, objects, links)[1].withColumn("description", F.regexp_replace("description", "^INCLUDE k", "INCLUDE K"))
+
+
 @query(_CLUSTERS + ", s AS (SELECT p.cluster_id, count(*) AS n_signals FROM links l JOIN parts p ON p.id = l.src GROUP BY 1) SELECT m.cluster_id, count(*) AS n_members, max(s.n_signals) AS n_signals FROM parts m LEFT JOIN s ON s.cluster_id = m.cluster_id GROUP BY 1")
 def g3_build_clusters(i):
     members, signals = G.build_clusters(chain_objects(i), chain_deps(i), local_packages(i))

@@ -1,6 +1,6 @@
 import random
 
-from estatelens import graph
+from estatelens import graph, storage
 from estatelens.operators import dashboard
 
 
@@ -81,6 +81,68 @@ def test_claims_in_rounds_as_one_after_another(spark):
     assert {x["cluster_id"]: None if x["is_new"] else x["application_id"] for x in found.collect()} == wanted
 
 
+def test_long_chain_of_claims_in_few_rounds(spark, monkeypatch):
+    """Cluster 0 takes application 0, so 1 is sent on to 1 and sends 2 on, and so forth; another chain is broken off, a ring closes."""
+    n, calls = 3000, []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: calls.append(1) or storage.checkpointed(df))
+    chain = [(1, 0, 0, None), *((1, k, k - 1, k) for k in range(1, n))]
+    ring = [(1, 5000 + k, 9000 + k, 9000 + (k + 1) % 10) for k in range(10)] + [(1, 4999, 9003, None)]
+    wishes = chain + ring + [(1, 6000, 9100, 9101), (1, 6001, 9100, 9101), (1, 6002, 9101, 9102), (1, 5999, 9102, None)]
+    taken, wanted = {}, {}
+    for _, c, one, two in sorted(wishes, key=lambda w: w[1]):
+        got = next((a for a in (one, two) if a is not None and a not in taken), None)
+        taken[got] = c
+        wanted[c] = got
+    found = graph._settle_claims(spark.createDataFrame(wishes, "assessment_id long, cluster_id long, one long, two long"))
+    assert {r["cluster_id"]: r["application_id"] for r in found.collect()} == {c: a for c, a in wanted.items() if a is not None}
+    assert len(calls) < 20
+
+
+def frame(spark, edges):
+    return spark.createDataFrame(list(edges), "src long, dst long")
+
+
+def test_updated_components_equal_full_runs(spark):
+    r = random.Random(9)
+    nodes, edges = set(range(60)), {(r.randrange(60), r.randrange(60)) for _ in range(35)}
+    as_nodes = lambda: spark.createDataFrame([(n,) for n in nodes], "node long")
+    labels = storage.checkpointed(graph.connected_components(as_nodes(), frame(spark, edges)))
+    for _ in range(2):
+        gone = set(r.sample(sorted(edges), 6))
+        come = {(r.randrange(70), r.randrange(70)) for _ in range(6)} - edges
+        nodes = (nodes - set(r.sample(sorted(nodes), 3))) | {n for e in come for n in e if n >= 60}
+        edges = {e for e in (edges - gone) | come if e[0] in nodes and e[1] in nodes}
+        labels = storage.checkpointed(graph.update_components(labels, as_nodes(), frame(spark, come & edges), frame(spark, gone), frame(spark, edges)))
+        assert dict(map(tuple, labels.collect())) == union_find(nodes, edges)
+    same = graph.update_components(labels, as_nodes(), frame(spark, []), frame(spark, []), frame(spark, edges))
+    assert dict(map(tuple, same.collect())) == union_find(nodes, edges)
+
+
+def test_updated_clusters_equal_full_runs(spark):
+    r = random.Random(2)
+    ids = list(range(1, 50))
+    links = [(r.choice(ids), r.choice(ids), r.choice(("DEPENDENCY", "SHARED_PACKAGE")), f"d{k % 3}", k) for k in range(40)]
+    links = [(a, b, t, d, k if t == "DEPENDENCY" else None) for a, b, t, d, k in links if a != b]
+    schema = "src long, dst long, signal_type string, description string, dependency_id long"
+    as_links = lambda rows: spark.createDataFrame(rows, schema)
+    as_objects = lambda: spark.createDataFrame([(n,) for n in ids], "id long")
+
+    def full(rows):
+        parts = graph.connected_components(as_objects().withColumnRenamed("id", "node"), as_links(rows)).selectExpr("node as id", "component as cluster_id")
+        return parts, graph.cluster_signals(as_links(rows), parts)
+
+    before = tuple(map(storage.checkpointed, full(links)))
+    for turn in range(2):
+        old = links
+        ids = [n for n in ids if n not in r.sample(ids, 2)] + [100 + turn]
+        links = [x for x in old if r.random() < 0.9 and x[0] in ids and x[1] in ids] + [(100 + turn, r.choice(ids[:-1]), "DEPENDENCY", "new", 1000 + turn)]
+        after = tuple(map(storage.checkpointed, graph.update_clusters(before, as_links(old), as_objects(), as_links(links))))
+        wanted = full(links)
+        for got, want in zip(after, wanted, strict=True):
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        before = after
+
+
 def test_numbered_counts_within_groups(spark):
     rows = [(k % 3 if k % 50 else None, (k * 37) % 500) for k in range(500)]
     found = graph.numbered(spark.createDataFrame(rows, "g int, o int"), "g", ["o"]).collect()
