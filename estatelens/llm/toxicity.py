@@ -74,18 +74,19 @@ class Model:
         return np.diff(np.concatenate((ends, below, ends + 1), axis=1), axis=1)
 
 
-def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled ids (a document with several labels counts as toxic if one says so); labels other than 0
-    and 1 are none."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, toxic, text) of at most `rows` labelled documents, those with the smallest hashes of id and text.
+
+    A document with several labels counts as toxic if one says so; labels other than 0 and 1 are none. Texts that share an
+    id are documents of their own, repeated rows are one. Keys are chosen first, so no more than `rows` texts are moved.
+    """
     toxic = F.col("toxic").try_cast("int")
     given = labels.where(F.col("doc_id").isNotNull() & toxic.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(toxic).alias("toxic"))
-    return given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, toxic, text) of the sampled documents."""
-    chosen = F.broadcast(sample_labels(labels, rows))  # at most `rows` rows of two integers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    chosen = keyed.select("doc_id", "mark").join(given, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(rows)
+    held = F.broadcast(checkpointed(chosen))  # at most `rows` rows of three numbers
+    return keyed.join(held, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "toxic", "text")
 
 
 def choose_features(texts: DataFrame, most: int = MAX_FEATURES) -> tuple[list[str], np.ndarray, list[int]]:
