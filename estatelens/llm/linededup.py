@@ -9,7 +9,7 @@ in the corpus goes, but for its first occurrence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,11 @@ def runs(words: list[int]) -> set[tuple[int, int]]:
     return found
 
 
-def units(text: str, held: bytes | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+#: The hash of a unit's bytes; tests pass one that clashes.
+Digest = Callable[[bytes], int]
+
+
+def units(text: str, held: bytes | None = None, unit_hash: Digest = xxhash.xxh64_intdigest) -> Iterator[tuple[int, int, int, bytes]]:
     """(hash, first line, line after the last, bytes) of all that may be found repeated in a document.
 
     A unit is a chunk of two lines with words or of a long line, or a minimal run. With `held`, the bits of a filter,
@@ -86,18 +90,24 @@ def units(text: str, held: bytes | None = None) -> Iterator[tuple[int, int, int,
     mask = (1 << FILTER_BITS - 3) - 1
     for a, b in runs(words).union((a, b) for a, b in cut if words[a] >= LONG_WORDS or sum(map(bool, words[a:b])) > 1):
         unit = coded[a] if b - a == 1 else b"\n".join(coded[a:b])
-        h = digest(unit)
+        h = unit_hash(unit)
         if held is None or held[h >> 3 & mask] >> (h & 7) & 1:
             yield h, a, b, unit
 
 
-TYPES = {"hash": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "first": pa.int32(), "last": pa.int32(), "unit": pa.binary()}
-SQL_TYPES = {"hash": "long", "doc_id": "long", "mark": "long", "first": "int", "last": "int", "unit": "binary"}
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
 
+TYPES = {"hash": pa.int64(), "check": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "first": pa.int32(), "last": pa.int32(), "unit": pa.binary()}
+SQL_TYPES = {"hash": "long", "check": "long", "doc_id": "long", "mark": "long", "first": "int", "last": "int", "unit": "binary"}
 
-def _unit_rows(docs: DataFrame, names: list[str], held: Broadcast | None = None) -> DataFrame:
+
+def _unit_rows(docs: DataFrame, names: list[str], held: Broadcast | None = None, unit_hash: Digest = xxhash.xxh64_intdigest) -> DataFrame:
     """The named columns of the units of docs; with `held` of those that pass its bit filter."""
 
+    checking = "check" in names
+
     def made(columns: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[n], TYPES[n]) for n in names], names=names)
 
@@ -107,8 +117,8 @@ def _unit_rows(docs: DataFrame, names: list[str], held: Broadcast | None = None)
             columns, size = {n: [] for n in names}, 0
             for doc_id, mark, text in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
                 text = text.as_py() or ""
-                for h, a, b, unit in units(text, bits):
-                    row = {"hash": h - (1 << 64) if h >> 63 else h, "doc_id": doc_id, "mark": mark, "first": a, "last": b, "unit": unit}
+                for h, a, b, unit in units(text, bits, unit_hash):
+                    row = {"hash": _signed(h), "check": _signed(xxhash.xxh64_intdigest(unit, 1)) if checking else 0, "doc_id": doc_id, "mark": mark, "first": a, "last": b, "unit": unit}
                     for n, column in columns.items():
                         column.append(row[n])
                 size += len(text)
@@ -120,9 +130,9 @@ def _unit_rows(docs: DataFrame, names: list[str], held: Broadcast | None = None)
     return docs.mapInArrow(work, ", ".join(f"{n} {SQL_TYPES[n]}" for n in names))
 
 
-def repeated_bits(docs: DataFrame) -> bytes:
+def repeated_bits(docs: DataFrame, unit_hash: Digest = xxhash.xxh64_intdigest) -> bytes:
     """The bit filter of the unit hashes that occur more than once; its size is fixed, whatever the corpus'."""
-    twice = _unit_rows(docs, ["hash"]).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = _unit_rows(docs, ["hash"], None, unit_hash).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     at = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     slots = twice.select(F.shiftright(at, 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -131,15 +141,16 @@ def repeated_bits(docs: DataFrame) -> bytes:
     return found.tobytes()
 
 
-def repeated_units(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """(hash, first_doc) of the units with more than one occurrence; first_doc is the (doc_id, mark) that comes first.
+def repeated_units(docs: DataFrame, held: Broadcast, unit_hash: Digest = xxhash.xxh64_intdigest) -> DataFrame:
+    """(hash, check, first_doc) of the units with more than one occurrence; first_doc is the (doc_id, mark) that comes first.
 
-    Units are grouped by their hash and their bytes; a hash that stands for different bytes is left out, so nothing is
-    removed on the word of a hash alone. A hash that occurs once can't be repeated, so what `held` stops is no loss.
+    Units are grouped by their bytes and known afterwards by two hashes of 64 bits together, so units whose first hash is the
+    same stay apart; should both be the same for different bytes, the unit is left out, and nothing goes on the word of
+    hashes alone. A hash that occurs once can't be repeated, so what `held` stops is no loss.
     """
-    alike = _unit_rows(docs, ["hash", "doc_id", "mark", "unit"], held).groupBy("hash", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark")).alias("first_doc"))
-    by_hash = alike.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first_doc").alias("first_doc"))
-    return by_hash.where("n > 1 and texts = 1").select("hash", "first_doc")
+    alike = _unit_rows(docs, ["hash", "check", "doc_id", "mark", "unit"], held, unit_hash).groupBy("hash", "check", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark")).alias("first_doc"))
+    by_hash = alike.groupBy("hash", "check").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first_doc").alias("first_doc"))
+    return by_hash.where("n > 1 and texts = 1").select("hash", "check", "first_doc")
 
 
 def kept_lines(text: str, spans: list[dict]) -> tuple[str, int, int]:
@@ -149,13 +160,14 @@ def kept_lines(text: str, spans: list[dict]) -> tuple[str, int, int]:
     Blank lines with nothing but removed lines (or the text's end) on both sides go with them.
     """
     lines = text.split("\n")
-    stays: dict[int, int] = {}
+    stays: dict[tuple[int, int], int] = {}
     for s in spans:
         if s["own"]:
-            stays[s["hash"]] = min(s["first"], stays.get(s["hash"], s["first"]))
+            unit = s["hash"], s["check"]
+            stays[unit] = min(s["first"], stays.get(unit, s["first"]))
     gone = bytearray(len(lines))
     for s in spans:
-        if stays.get(s["hash"]) != s["first"]:
+        if stays.get((s["hash"], s["check"])) != s["first"]:
             gone[s["first"] : s["last"]] = b"\1" * (s["last"] - s["first"])
     at = 0
     while (at := gone.find(1, at)) >= 0:
@@ -176,7 +188,7 @@ def kept_lines(text: str, spans: list[dict]) -> tuple[str, int, int]:
     return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), len(lines), sum(gone)
 
 
-def dedup_lines(df: DataFrame) -> DataFrame:
+def dedup_lines(df: DataFrame, unit_hash: Digest = xxhash.xxh64_intdigest) -> DataFrame:
     """df with repeated chunks and runs cut out of `text`, and the counts n_lines and n_removed; calling it counts hashes.
 
     Of all occurrences of a unit the one in the smallest doc_id stays (null before all others), and there the first.
@@ -187,12 +199,13 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    mark = F.xxhash64(F.col("text").cast("string"))
+    # rows without an id have marks of another seed, so no id is mistaken for none
+    mark = F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64(F.lit(1), F.col("text").cast("string"))).otherwise(F.xxhash64(F.col("text").cast("string")))
     docs = df.select(key.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
     own = (F.struct("doc_id", "mark") == F.col("first_doc")).alias("own")
-    held = df.sparkSession.sparkContext.broadcast(repeated_bits(docs))
-    found = _unit_rows(docs, ["hash", "doc_id", "mark", "first", "last"], held).join(repeated_units(docs, held), "hash")
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("hash", "first", "last", own)).alias("_spans"))
+    held = df.sparkSession.sparkContext.broadcast(repeated_bits(docs, unit_hash))
+    found = _unit_rows(docs, ["hash", "check", "doc_id", "mark", "first", "last"], held, unit_hash).join(repeated_units(docs, held, unit_hash), ["hash", "check"])
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("hash", "check", "first", "last", own)).alias("_spans"))
     # the row travels as one struct, so no column of df can clash with a helper's
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), key.alias("key"), mark.alias("mark"))
     joined = rows.join(spans, (F.col("key") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("row", "_spans")
