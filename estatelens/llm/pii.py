@@ -30,14 +30,19 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Kinds of spans: credentials come after the base kinds.
 ALL_KINDS = [*KINDS, "secret"]
 TOKEN = r"(?<!\S)\S*(?:[0-9]|(?:AKIA|ASIA)[A-Z]{16})\S*"
-#: Seeds of credentials (fixed values): what is assigned to such a name, and key ids of such a form.
-SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api[_-]?key")
+#: Seeds of credentials (fixed values): what is assigned to such a name, and key ids of such a form. Other names under which
+#: credentials stand, `token` among them, are for the graph to find.
+SECRET_NAMES = ("password", "passwd", "pwd", "secret")
 SECRET_FORMS = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"
 #: Alphabets of long random strings, as patterns beside the lexical ones.
 SHAPES = {
     "s:hex": r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}$", "s:key": r"^(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,}$",
     "s:mixed": r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_+/-]{20,}=*$",
+    "s:long": r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})$",
 }
+#: A seed pattern: so far a long hexadecimal string is trusted to be a credential before the graph says more. Alone it
+#: vouches for nothing, commit hashes look the same.
+SEED_PATTERN, TRUST = "s:long", 0.6
 #: Context that a match has at either side, in characters.
 BEFORE, AFTER = 60, 40
 ROUNDS = 4
@@ -120,7 +125,7 @@ def _tokens(pieces: Column, names: tuple[str, ...]) -> Column:
     def one(x: Column) -> Column:
         lead = F.regexp_extract(x["hit"], r"^(?:[\p{L}\p{N}_.-]*[=:]+)?[\"'(\[{<]*", 0)
         rest = F.substr(x["hit"], F.length(lead) + 1)
-        value = F.regexp_replace(rest, r"[.,;:!?\"')\]}>]+$", "")
+        value = F.regexp_replace(rest, r"(?<=[\p{L}\p{N}=+/_-])[\"')\]}>.,;:!?][^\p{L}\p{N}]*+$", "")
 
         def named(before: Column) -> Column:
             letters = value.rlike("[A-Za-z]") & (F.length(value) >= 8)
@@ -160,16 +165,21 @@ def discover(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
 
     found: column `found` of mentions(). A pattern's confidence for a kind is the sum of its distinct instances'
     scores over their number plus one; an unseen instance scores 1 - product of (1 - confidence) over its patterns. The
-    rounds are fixed. Instances are accepted at `accept` if two patterns at least are confident (0.5) and surround two seeds
-    each; for credentials one of the two has to stand before them, or has to be a confident one of three instances or more
+    rounds are fixed. SEED_PATTERN has a confidence of TRUST for credentials at least and counts as one with two seeds; a
+    pattern of one instance alone links nothing and is left out. Instances are accepted at `accept` if two patterns at least
+    are confident (0.5) and surround two seeds each; for credentials one of the two has to stand before them, or has to be a confident one of three instances or more
     that ends in an assignment (`token =`), seeds or none.
     """
     each = found.select(F.explode("found").alias("m")).select("m.instance", "m.kind", F.explode("m.patterns").alias("pattern"))
     edges = checkpointed(each.groupBy("instance", "pattern").agg(*(F.max(F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0))).alias(k) for k in ALL_KINDS)).withColumn("seed", F.greatest(*ALL_KINDS) > 0))
+    met = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pattern")
+    edges = checkpointed(edges.join(met, "pattern", "left_semi"))
     linked, open_edges = edges, edges.where("not seed").select("instance", "pattern")
+    trusted = F.col("pattern") == SEED_PATTERN
     for _ in range(rounds):
         # written first, so that a pattern of very many instances is dealt over several tasks of the join
         confidence = checkpointed(linked.groupBy("pattern").agg(*((F.sum(k) / (F.count(F.lit(1)) + 1)).alias(f"c_{k}") for k in ALL_KINDS), F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")))
+        confidence = confidence.withColumns({"c_secret": F.when(trusted, F.greatest("c_secret", F.lit(TRUST))).otherwise(F.col("c_secret")), "seeds": F.when(trusted, F.greatest("seeds", F.lit(2))).otherwise(F.col("seeds"))})
         scored = open_edges.join(confidence, "pattern")
         seeded = [F.count_if((F.col("seeds") >= 2) & (F.col(f"c_{k}") >= 0.5)).alias(f"b_{k}") for k in ALL_KINDS]
         assigned = F.count_if(F.col("pattern").rlike("^[lk]:.*[=:]$") & (F.col("n") >= 3) & (F.col("c_secret") >= 0.5)).alias("assigned")
@@ -183,8 +193,8 @@ def discover(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
 
 
 def find_personal_data(docs: DataFrame, names: tuple[str, ...] = SECRET_NAMES) -> DataFrame:
-    """doc_id, counts per base kind, base_sha256, spans, n_secret and n_spans of every row, base matches and what was found
-    beside them together.
+    """doc_id, counts per base kind, base_sha256, spans, n_secret, n_spans and n_discovered of every row, base matches and what
+    was found beside them together; n_discovered counts the spans that the graph vouches for and no seed.
 
     Spans are kind:start:end in code points, end exclusive, by kind (base kinds first, then secret) and then start. Null
     text counts as empty. Repeated rows repeat; nulls in doc_id stay. An empty table gives an empty result. `names` are
@@ -195,8 +205,9 @@ def find_personal_data(docs: DataFrame, names: tuple[str, ...] = SECRET_NAMES) -
     ids = ["doc_id", "text_hash"]
     seen = held.select(*ids, F.explode(F.filter("found", lambda m: m["kind"].isNull())).alias("m")).select(*ids, "m.instance", "m.start", "m.end").distinct()
     known = held.select(*ids, F.explode(F.filter("found", lambda m: m["kind"] == "secret")).alias("m")).select(*ids, "m.kind", "m.start", "m.end").distinct()
-    added = seen.join(discover(held), "instance").select(*ids, "kind", "start", "end").unionByName(known)
-    new = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
+    vouched = seen.join(discover(held), "instance").select(*ids, "kind", "start", "end", F.lit(1).alias("graph"))
+    added = vouched.unionByName(known.withColumn("graph", F.lit(0))).groupBy(*ids, "kind", "start", "end").agg(F.min("graph").alias("graph"))
+    new = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"), F.sum("graph").alias("n_discovered"))
     joined = held.drop("found").join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left")
     joined = joined.withColumn("new", F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
 
@@ -212,6 +223,7 @@ def find_personal_data(docs: DataFrame, names: tuple[str, ...] = SECRET_NAMES) -
     return joined.select(
         "doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, found)).alias("spans"),
         F.size(F.filter("new", _of_kind("secret"))).cast("long").alias("n_secret"), (F.size(base) + F.size("new")).cast("long").alias("n_spans"),
+        F.coalesce("n_discovered", F.lit(0).cast("long")).alias("n_discovered"),
     )
 
 
