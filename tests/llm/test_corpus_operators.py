@@ -8,8 +8,9 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import xxhash
-from estatelens.llm import decontam, linededup, simhash, toxicity
+from estatelens.llm import decontam, linededup, shingles, simhash, toxicity
 from pyspark.sql import functions as F
 from texts import documents, rows
 
@@ -419,3 +420,65 @@ def test_pipeline(spark, tmp_path):
     assert sum(repeated in (x["text"] or "") for x in docs.collect()) == 1
     assert sum(i % 5 == 0 for i in rows_out if i < 600) <= 6 and sum(i % 5 != 0 for i in rows_out if i < 600) >= 470
     assert all(len(x["token_ids"]) == x["n_tokens"] for x in rows_out.values())
+
+
+def test_sample_of_labels_is_bounded_by_texts_not_ids(spark):
+    docs = documents(spark, [(k % 2, f"text {k}") for k in range(500)] + [(0, "text 0")] * 50 + [(5, "other")])
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (1, 0, 0), (5, 1, 7), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_texts(docs, labels, 20).count() == 20
+    every = toxicity.labelled_texts(docs, labels, 10_000).collect()
+    assert len(every) == 500 and {(r["doc_id"], r["toxic"]) for r in every} == {(0, 1), (1, 0)} and len({r["text"] for r in every}) == 500
+
+
+def near_copies():
+    r = random.Random(12)
+    data = []
+    for k in range(40):
+        own = [f"w{r.randrange(10_000)}" for _ in range(60)]
+        data += [(10 * k + c, " ".join(own[: 60 - c])) for c in range(3)]
+    return [*data, (1000, ""), (1001, None), (1002, data[0][1]), (None, data[4][1])]
+
+
+def test_near_duplicates_with_clashing_hashes(spark, monkeypatch):
+    """Hashes of which several texts share each: the second hash keeps the texts apart, the rows kept stay the same."""
+    docs = documents(spark, near_copies())
+    wanted = sorted(map(tuple, shingles.keep_one(docs).collect()), key=repr)
+    monkeypatch.setattr(shingles, "_hash", lambda text: (F.xxhash64(text) % 7).cast("long"))
+    assert sorted(map(tuple, shingles.keep_one(docs).collect()), key=repr) == wanted and len(wanted) == 41
+
+
+def brute_line_dedup(data):
+    """What may go: every line of 20 words or more, or run of lines that reaches them, that stands elsewhere before."""
+    seen, out = set(), {}
+    for i, text in sorted(data):
+        lines = text.split("\n")
+        own, gone = set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= 20 and lines[a].split() and lines[b - 1].split():
+                    run = "\n".join(lines[a:b])
+                    if run in seen or run in own:
+                        gone |= set(range(a, b))
+                    own.add(run)
+        seen |= own
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_line_dedup_equals_brute_force(spark, clash):
+    """Documents of fresh lines and shared passages: exactly the repeats go, also where hashes of 64 bits clash."""
+    r = random.Random(31)
+    fresh = lambda n: " ".join(f"f{r.randrange(10**9)}" for _ in range(n))
+    passages = [[fresh(r.randrange(4, 25)) for _ in range(r.randrange(3, 9))] for _ in range(12)]
+    passages = [p for p in passages if sum(len(x.split()) for x in p) >= 20]
+    data = []
+    for k in range(60):
+        lines = []
+        for _ in range(r.randrange(1, 4)):
+            lines += [fresh(r.randrange(3, 30)) for _ in range(r.randrange(1, 4))]
+            lines += r.choice(passages) if r.random() < 0.6 else []
+        data.append((k, "\n".join([*lines, fresh(5)])))
+    unit_hash = (lambda unit: xxhash.xxh64_intdigest(unit) % 64) if clash else xxhash.xxh64_intdigest
+    got = {x["doc_id"]: x["text"].split("\n") for x in linededup.dedup_lines(documents(spark, data), unit_hash).collect()}
+    assert got == brute_line_dedup(data)
