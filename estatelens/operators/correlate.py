@@ -67,6 +67,43 @@ def recorrelate(findings: DataFrame, objects: DataFrame) -> DataFrame:
     return new.where(changed).drop("_old_status", "_old_target")
 
 
+def changed_names(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(assessment_id, key_name): the upper-case names under which other objects are found now than before.
+
+    Compared are the lookups by name and type, a row a name, so that neither side's objects meet; what is found by the
+    name alone follows from them.
+    """
+    keys = ["assessment_id", "key_name", "key_object_type", "n", "target_id"]
+    signed = object_lookup(before, "object_type").withColumn("_n", F.lit(-1)).unionByName(object_lookup(now, "object_type").withColumn("_n", F.lit(1)))
+    return signed.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0").select("assessment_id", "key_name").distinct()
+
+
+def _named(records: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """The records with one of the names (left_semi) or without (left_anti); those that name nothing have none of them."""
+    key = F.nullif(F.upper(strip_all(F.col("object_name"))), F.lit(""))
+    spread = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))
+    keyed = records.withColumn("_key", F.coalesce(key, spread))
+    wanted = names.select(F.col("assessment_id").alias("_a"), F.col("key_name").alias("_k"))
+    return keyed.join(wanted, (F.col("assessment_id") == F.col("_a")) & (F.col("_key") == F.col("_k")), how).drop("_key")
+
+
+def update_correlations(correlated: DataFrame, added: DataFrame, before: DataFrame, now: DataFrame, **settings) -> DataFrame:
+    """What correlate(all records, now) gives, from what it gave with the objects before: records whose names are found
+    otherwise now, and the added ones, are settled again; all others keep what they have and meet no lookup.
+
+    correlated: records with target_id, status, method and rationale; added: new records. settings are those of correlate.
+    """
+    found = ("target_id", "status", "method", "rationale")
+    names = changed_names(before, now)
+    again = _named(correlated, names, "left_semi").drop(*found).unionByName(added, allowMissingColumns=True)
+    return _named(correlated, names, "left_anti").unionByName(correlate(again, now, **settings).select(*correlated.columns))
+
+
+def recorrelate_names(findings: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """recorrelate for findings that are settled with the objects before: only those with a changed name are looked at."""
+    return recorrelate(_named(findings, changed_names(before, now), "left_semi"), now)
+
+
 def propagate_targets(technical: DataFrame, changed: DataFrame) -> DataFrame:
     """Derived findings with the new target of the finding they came from, where that has changed."""
     moved = changed.select(F.col("id").alias("_id"), F.col("target_id").alias("_target"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.text import is_custom_object, strip_all
 from estatelens.operators.changes import latest_per_key
+from estatelens.operators.search import narrowed
 
 MATCHED = ("MATCHED_EXACT", "MATCHED_HEURISTIC")
 HIGH = ("HIGH", "CRITICAL")
@@ -41,9 +42,13 @@ def like(q: str | None, *columns: str) -> Column:
     return F.lit(True) if not q else found
 
 
-def filter_objects(drilldown: DataFrame, object_type: str | None = None, recommendation: str | None = None, custom_only: bool = False, high_impact: bool = False, application_id: int | None = None, usage_level: str | None = None, q: str | None = None, assessment_id: int | None = None) -> DataFrame:
-    """Rows of the object list that pass all given filters; recommendation UNCLASSIFIED means null."""
-    rows = of(drilldown, assessment_id).where(like(q, "object_name", "description") if "description" in drilldown.columns else like(q, "object_name"))
+def filter_objects(drilldown: DataFrame, object_type: str | None = None, recommendation: str | None = None, custom_only: bool = False, high_impact: bool = False, application_id: int | None = None, usage_level: str | None = None, q: str | None = None, assessment_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Rows of the object list that pass all given filters; recommendation UNCLASSIFIED means null.
+
+    index, here and in the other filters: a search.text_index of the ids and the columns that are searched, which picks the
+    rows that the text is looked for in; the result is the same without.
+    """
+    rows = narrowed(of(drilldown, assessment_id), "id", q, index).where(like(q, "object_name", "description") if "description" in drilldown.columns else like(q, "object_name"))
     for column, value in (("object_type", object_type), ("application_id", application_id), ("usage_level", usage_level)):
         rows = rows if value is None else rows.where(F.col(column) == value)
     if recommendation is not None:
@@ -52,25 +57,25 @@ def filter_objects(drilldown: DataFrame, object_type: str | None = None, recomme
     return rows.where(F.col("technical_risk").isin(*HIGH)) if high_impact else rows
 
 
-def filter_findings(findings: DataFrame, runs: DataFrame, priority: int | None = None, object_id: int | None = None, q: str | None = None, assessment_id: int | None = None) -> DataFrame:
+def filter_findings(findings: DataFrame, runs: DataFrame, priority: int | None = None, object_id: int | None = None, q: str | None = None, assessment_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Findings of the current run by priority, object, and text over title, message and name."""
     run = current_atc_run(runs, assessment_id).select(F.col("id").alias("run_id"))
-    rows = findings.join(run, "run_id", "left_semi").where(like(q, "check_title", "check_message", "object_name"))
+    rows = narrowed(findings, "id", q, index).join(run, "run_id", "left_semi").where(like(q, "check_title", "check_message", "object_name"))
     rows = rows if priority is None else rows.where(F.col("priority") == priority)
     return rows if object_id is None else rows.where(F.col("target_id") == object_id)
 
 
-def filter_rules(rules: DataFrame, object_id: int | None = None, include_merged: bool = False, rule_type: str | None = None, q: str | None = None, assessment_id: int | None = None) -> DataFrame:
+def filter_rules(rules: DataFrame, object_id: int | None = None, include_merged: bool = False, rule_type: str | None = None, q: str | None = None, assessment_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Rules without the merged ones (unless asked for), by object, type, and text over condition and action."""
-    rows = of(rules, assessment_id).where(like(q, "condition", "action"))
+    rows = narrowed(of(rules, assessment_id), "id", q, index).where(like(q, "condition", "action"))
     rows = rows if include_merged else rows.where("status <> 'MERGED'")
     rows = rows if object_id is None else rows.where(F.col("sap_object_id") == object_id)
     return rows if rule_type is None else rows.where(F.col("rule_type") == rule_type)
 
 
-def filter_applications(apps: DataFrame, objects: DataFrame, assessments: DataFrame, include_merged: bool = False, recommendation: str | None = None, q: str | None = None, assessment_id: int | None = None) -> DataFrame:
+def filter_applications(apps: DataFrame, objects: DataFrame, assessments: DataFrame, include_merged: bool = False, recommendation: str | None = None, q: str | None = None, assessment_id: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Applications that have members and are not merged (all, with include_merged), by recommendation and text."""
-    rows = of(apps, assessment_id).where(like(q, "name", "domain", "description"))
+    rows = narrowed(of(apps, assessment_id), "id", q, index).where(like(q, "name", "domain", "description"))
     if not include_merged:
         rows = rows.where("status <> 'MERGED'").join(objects.select(F.col("application_id").alias("id")).distinct(), "id", "left_semi")
     given = assessments.select(F.col("application_id").alias("id"), "recommendation")
@@ -91,9 +96,9 @@ def usage_rows(correlations: DataFrame, records: DataFrame) -> DataFrame:
     return matched_only(correlations).select("record_id", F.col("target_id").alias("object_id")).join(used, "record_id").select("object_id", "usage_level")
 
 
-def list_assessments(assessments: DataFrame, clients: DataFrame, client_id: int | None = None, name: str | None = None) -> DataFrame:
+def list_assessments(assessments: DataFrame, clients: DataFrame, client_id: int | None = None, name: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Assessments with their client's name, by client and text, newest id first."""
-    rows = assessments.where(like(name, "name")).join(clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id", "left")
+    rows = narrowed(assessments, "id", name, index).where(like(name, "name")).join(clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id", "left")
     return (rows if client_id is None else rows.where(F.col("client_id") == client_id)).orderBy(F.desc("id"))
 
 

@@ -37,6 +37,29 @@ def j2_correlate_findings(i):
     return C.correlate_findings(i.records, i.objects).select("id", "target_id", "status")
 
 
+def earlier_objects(i: Inputs):
+    """Other objects than now: some missing, some renamed, some more."""
+    kept = i.objects.where("id % 7 <> 3").withColumn("object_name", F.when(F.col("id") % 11 == 5, F.concat("object_name", F.lit(" old"))).otherwise(F.col("object_name")))
+    return kept.unionByName(i.objects.where("id % 13 = 2").withColumn("id", F.col("id") + 5_000_000))
+
+
+@query(_EVIDENCE + "SELECT id, dataset_id, target_id, status, method FROM matched", "objects records")
+def j1_update_correlations(i):
+    """The correlations after a change of objects and with new records, from those before."""
+    old = C.correlate(i.records.where("line % 5 <> 0"), earlier_objects(i))
+    return C.update_correlations(old, i.records.where("line % 5 = 0"), earlier_objects(i), i.objects).select("id", "dataset_id", "target_id", "status", "method")
+
+
+@query(_FINDING + """, before AS (SELECT id, CASE WHEN id % 11 = 5 THEN concat(object_name, ' old') ELSE object_name END AS object_name, object_type, assessment_id FROM objects WHERE id % 7 <> 3 UNION ALL SELECT id + 5000000, object_name, object_type, assessment_id FROM objects WHERE id % 13 = 2),
+e0 AS (SELECT assessment_id, upper(object_name) AS n, upper(object_type) AS t, count(*) AS c, min(id) AS target FROM before GROUP BY 1, 2, 3), m0 AS (SELECT assessment_id, upper(object_name) AS n, count(*) AS c, min(id) AS target FROM before GROUP BY 1, 2),
+old AS (SELECT k.id, CASE WHEN k.n IS NULL THEN 'UNMATCHED' WHEN e.c = 1 THEN 'MATCHED_EXACT' WHEN e.c > 1 THEN 'AMBIGUOUS' WHEN m.c = 1 THEN 'MATCHED_HEURISTIC' WHEN m.c > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS status,
+  CASE WHEN e.c = 1 THEN e.target WHEN e.c IS NULL AND m.c = 1 THEN m.target END AS target_id FROM keyed k LEFT JOIN e0 e ON k.assessment_id = e.assessment_id AND k.n = e.n AND k.t = e.t LEFT JOIN m0 m ON k.assessment_id = m.assessment_id AND k.n = m.n)
+SELECT a.id, a.target_id, a.status FROM matched a JOIN old o ON o.id = a.id WHERE NOT (a.status IS NOT DISTINCT FROM o.status AND a.target_id IS NOT DISTINCT FROM o.target_id)""", "objects records")
+def j3_recorrelate_names(i):
+    old = C.correlate_findings(i.records, earlier_objects(i))
+    return C.recorrelate_names(old, earlier_objects(i), i.objects).select("id", "target_id", "status")
+
+
 @query(_FINDING + "SELECT id, target_id, status FROM matched WHERE id % 4 <> 0 AND NOT (status IS NOT DISTINCT FROM 'UNMATCHED' AND target_id IS NULL)", "objects records")
 def j3_recorrelate(i):
     new = C.correlate_findings(i.records, i.objects)

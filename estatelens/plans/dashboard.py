@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from estatelens.operators import dashboard as D
 from estatelens.operators import reports as R
+from estatelens.operators.search import write_text_index
 from estatelens.plans.base import Registry
+from estatelens.storage import scratch
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -52,6 +54,35 @@ def f7_filter_applications(i):
     return D.filter_applications(i.apps, i.parts, i.assessments, recommendation="UNCLASSIFIED").select("id", "recommendation")
 
 
+def indexed(i, rows, *columns):
+    """A trigram index of the columns, written and read back."""
+    folder = scratch(i.spark, "index")
+    write_text_index(rows, folder, "id", *columns)
+    return i.spark.read.parquet(folder)
+
+
+@query(_OWN + " SELECT id FROM own WHERE recommendation = 'MODERNIZAR' AND technical_risk IN ('HIGH', 'CRITICAL') AND regexp_matches(upper(object_name), '^[ZY/]') AND object_name ILIKE '%wid%'", "parts assessments")
+def f4_filter_indexed_objects(i):
+    index = indexed(i, i.parts, "object_name")
+    return D.filter_objects(drilldown(i), recommendation="MODERNIZAR", high_impact=True, custom_only=True, q="wid", index=index).select("id")
+
+
+@query(_RUN + " SELECT id FROM cur WHERE check_title ILIKE '%alue 1_2%' OR check_message ILIKE '%alue 1_2%' OR object_name ILIKE '%alue 1_2%'", "findings")
+def f5_filter_indexed_findings(i):
+    index = indexed(i, i.findings, "check_title", "check_message", "object_name")
+    return D.filter_findings(i.findings, i.runs, q="alue 1_2", index=index).select("id")
+
+
+@query("SELECT id FROM rules WHERE status <> 'MERGED' AND (condition ILIKE '% the %' OR action ILIKE '% the %')", "rules")
+def f6_filter_indexed_rules(i):
+    return D.filter_rules(i.rules, q=" the ", index=indexed(i, i.rules, "condition", "action")).select("id")
+
+
+@query("SELECT DISTINCT a.id, s.recommendation FROM apps a JOIN parts p ON p.application_id = a.id LEFT JOIN assessments s ON s.application_id = a.id WHERE a.status <> 'MERGED' AND a.description ILIKE '%brand#1%'", "apps parts assessments")
+def f7_filter_indexed_applications(i):
+    return D.filter_applications(i.apps, i.parts, i.assessments, q="Brand#1", index=indexed(i, i.apps, "name", "domain", "description")).select("id", "recommendation")
+
+
 @query("SELECT assessment_id, object_type, count(*) AS n FROM parts GROUP BY 1, 2", "parts")
 def a2_objects_by_type(i):
     return D.objects_by_type(i.parts)

@@ -103,13 +103,31 @@ def v9_uses_process_evidence(i):
     return cited(i).select("id", E.uses_process_evidence(refs).alias("uses"))
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (
+_NEAREST = """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS entity_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS score FROM q, embeddings e),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s) SELECT query_id, entity_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def v3_cosine_topk(i):
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s) SELECT query_id, entity_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+
+def searched(i):
     rows = i.table("embeddings").select(F.lit(1).alias("assessment_id"), F.lit("ROW").alias("entity_type"), F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector"))
-    asked = rows.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "assessment_id", "vector")
-    return vectors.cosine_topk(asked, rows, 5).select("query_id", "entity_id", F.round("score", 6).alias("score"))
+    return rows.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "assessment_id", "vector"), rows
+
+
+@query(_NEAREST)
+def v3_cosine_topk(i):
+    return vectors.cosine_topk(*searched(i), 5).select("query_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+@query(_NEAREST)
+def v3_search_cells(i):
+    return vectors.search_cells(*searched(i), 5)[0].select("query_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 1 AS assessment_id, 0 AS too_few, count(*) FILTER (WHERE vec_id % 100 = 0) AS asked FROM embeddings")
+def v3_opened_cells(i):
+    """How many queries there are, and whether any opened fewer cells than one."""
+    report = vectors.search_cells(*searched(i), 5)[1]
+    return report.select("assessment_id", F.when(F.col("opened") * F.col("cells") < F.col("pairs"), 1).otherwise(0).alias("too_few"), (F.col("pairs") / F.col("cells")).cast("long").alias("asked"))
 
 
 def understandings(i):
@@ -136,14 +154,24 @@ def v1_embeddable_entities(i):
     return vectors.embeddable_entities(understandings(i), i.apps, i.rules, observed(i), links).select("entity_type", "entity_id", "content_hash")
 
 
-@query(_ENTITIES + """, o AS (SELECT entity_id, content_text FROM e WHERE entity_type = 'OBJECT')
-SELECT entity_id, CAST(length(content_text) AS DOUBLE) AS first, CAST(length(replace(content_text, ' ', '')) AS DOUBLE) AS second FROM o""", "objects records apps rules")
+@query(_ENTITIES + """, words AS (SELECT entity_type, entity_id, unnest(list_filter(string_split(lower(regexp_replace(content_text, '\\s+', ' ', 'g')), ' '), x -> x <> '')) AS w FROM e),
+c AS (SELECT entity_type, entity_id, CAST(length(w) % 4 AS INT) AS slot, CAST(ascii(w) AS DOUBLE) AS value FROM words)
+SELECT e.entity_type, e.entity_id, coalesce(sum(value) FILTER (WHERE slot = 0), 0) AS v0, coalesce(sum(value) FILTER (WHERE slot = 1), 0) AS v1, coalesce(sum(value) FILTER (WHERE slot = 2), 0) AS v2, coalesce(sum(value) FILTER (WHERE slot = 3), 0) AS v3
+FROM e LEFT JOIN c ON c.entity_type = e.entity_type AND c.entity_id = e.entity_id GROUP BY 1, 2""", "objects records apps rules")
 def v2_embed(i):
-    def model(texts):
-        return [[float(len(t)), float(len(t.replace(" ", "")))] for t in texts]
+    """All four kinds of entities, by a model that counts a word's first character at the place of its length."""
 
-    entities = vectors.embeddable_entities(understandings(i), i.apps.where("false"), i.rules.where("false"), observed(i).where("false"), matched(i).select(F.col("id").alias("record_id"), "status"))
-    return vectors.embed(entities, model).select("entity_id", F.get("vector", 0).cast("double").alias("first"), F.get("vector", 1).cast("double").alias("second"))
+    def model(texts):
+        out = []
+        for text in texts:
+            vector = [0.0] * 4
+            for word in text.lower().split():
+                vector[len(word) % 4] += ord(word[0])
+            out.append(vector)
+        return out
+
+    entities = vectors.embeddable_entities(understandings(i), i.apps, i.rules, observed(i), matched(i).select(F.col("id").alias("record_id"), "status"))
+    return vectors.embed(entities, model).select("entity_type", "entity_id", *(F.get("vector", k).cast("double").alias(f"v{k}") for k in range(4)))
 
 
 _CLUSTERED = _EVIDENCE + """, member AS (SELECT s_suppkey AS object_id, CAST(s_suppkey % 9 AS BIGINT) AS cluster_id FROM supplier),
