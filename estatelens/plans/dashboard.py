@@ -141,6 +141,15 @@ def a13_object_catalog(i):
     return D.object_catalog(drilldown(i), full_limit=0).drop("entity_id").withColumn("names", F.array_join("names", ","))
 
 
+@query(_OWN + """, g AS (SELECT assessment_id, concat_ws(' — ', coalesce(b.name, '-'), coalesce(recommendation, 'UNCLASSIFIED')) AS label, object_name, o.id FROM own o LEFT JOIN (SELECT id, name FROM apps) b ON b.id = o.application_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY assessment_id, label ORDER BY object_name, id) AS rn, count(*) OVER (PARTITION BY assessment_id) AS size FROM g)
+SELECT assessment_id, 'group' AS kind, label, count(*) AS n, string_agg(object_name, ',' ORDER BY rn) FILTER (WHERE rn <= 15) AS names, CAST(NULL AS BIGINT) AS entity_id FROM r WHERE size > 666 GROUP BY 1, 3
+UNION ALL SELECT assessment_id, 'object', object_name, 1, object_name, id FROM r WHERE size <= 666""", "parts assessments apps")
+def a13_object_catalog_full(i):
+    """Assessments of at most 666 objects object by object, the others in groups."""
+    return D.object_catalog(drilldown(i), full_limit=666).withColumn("names", F.array_join("names", ","))
+
+
 def drilldown(i):
     usage = i.sql("SELECT l_partkey AS object_id, CASE WHEN l_returnflag = 'R' THEN 'Unused' ELSE 'Normally Used' END AS usage_level FROM lineitem")
     return D.object_drilldown(i.parts, i.apps, i.assessments, i.findings, usage, runs=i.runs)
@@ -159,12 +168,19 @@ def a7_unused_custom(i):
     return D.unused_custom(usage, i.parts)
 
 
-@query("""SELECT 1 AS assessment_id,
+_SUMMARY = """SELECT 1 AS assessment_id,
   (SELECT count(*) FROM parts p JOIN files f ON p.source_file_id = f.id WHERE f.scan_id = (SELECT max(scan_id) FROM files)) AS objects_analyzed,
   (SELECT count(*) FROM apps WHERE status <> 'MERGED') AS customizations_identified, (SELECT count(*) FROM findings WHERE priority = 1) AS critical_findings,
   (SELECT count(*) FROM parts p JOIN files f ON p.source_file_id = f.id JOIN assessments a ON a.application_id = p.application_id WHERE f.scan_id = (SELECT max(scan_id) FROM files) AND a.technical_risk IN ('HIGH', 'CRITICAL')) AS high_impact_objects,
-  (SELECT count(*) FROM rules WHERE status = 'CANDIDATE') AS business_rules_identified, false AS is_stale""", "parts files apps findings assessments rules")
+  (SELECT count(*) FROM rules WHERE status = 'CANDIDATE') AS business_rules_identified, false AS is_stale"""
+
+
+@query(_SUMMARY, "parts files apps findings assessments rules")
 def a1_dashboard_summary(i):
+    return summary(i)
+
+
+def summary(i):
     objects = i.parts.withColumn("assessment_id", F.lit(1))
     scans = small_scans(i)
     runs = scans.select(F.col("id"), F.col("id").alias("source_scan_id"), F.lit("source_processing").alias("kind"))
@@ -234,17 +250,17 @@ def r8_upgrade_risk(i):
 m AS (SELECT application_id, object_name, row_number() OVER (PARTITION BY application_id ORDER BY object_name, id) AS rn FROM own1 WHERE application_id IS NOT NULL),
 g AS (SELECT concat_ws(' — ', coalesce(name, '-'), coalesce(recommendation, 'UNCLASSIFIED')) AS label, object_name, id FROM own1),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY object_name, id) AS rn FROM g)
-SELECT 'SUMMARY' AS ref_id, 'DASHBOARD' AS source_type, CAST(NULL AS BIGINT) AS entity_id, concat('objects_total=', count(*), ', objects_custom=', count(*) FILTER (WHERE regexp_matches(upper(object_name), '^[ZY/]'))) AS summary FROM own1
+SELECT 'SUMMARY' AS ref_id, 'DASHBOARD' AS source_type, CAST(NULL AS BIGINT) AS entity_id, concat_ws(', ', concat('objects_analyzed=', objects_analyzed), concat('customizations_identified=', customizations_identified), concat('critical_findings=', critical_findings), concat('high_impact_objects=', high_impact_objects), concat('business_rules_identified=', business_rules_identified), 'is_stale=false') AS summary FROM (""" + _SUMMARY + """)
 UNION ALL SELECT concat('CATEGORY-', coalesce(recommendation, 'UNCLASSIFIED')), 'CATEGORY', NULL, concat(coalesce(recommendation, 'UNCLASSIFIED'), ': ', CAST(count(*) AS VARCHAR)) FROM own1 GROUP BY recommendation
 UNION ALL SELECT 'ATC', 'ATC_SUMMARY', NULL, string_agg(concat(p, '=', CAST(n AS VARCHAR)), ', ' ORDER BY p) FROM (SELECT coalesce(CAST(priority AS VARCHAR), 'none') AS p, count(*) AS n FROM cur GROUP BY 1)
 UNION ALL SELECT concat('APP-', a.id), 'APPLICATION', a.id, concat_ws(' | ', a.name, max(x.names), CASE WHEN max(x.n) > 40 THEN concat('+', max(x.n) - 40) END) FROM apps a LEFT JOIN (SELECT application_id, count(*) AS n, string_agg(object_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 40) AS names FROM m GROUP BY 1) x ON x.application_id = a.id WHERE a.status <> 'MERGED' GROUP BY a.id, a.name
 UNION ALL SELECT concat('TF-', CAST(id AS VARCHAR)), 'TECHNICAL_FINDING', id, concat_ws(': ', check_title, check_message) FROM (SELECT * FROM findings WHERE priority = 1 ORDER BY id DESC LIMIT 5)
 UNION ALL SELECT concat('OBJECT-', id), 'OBJECT_LIST', id, object_name FROM own1 WHERE (SELECT count(*) FROM own1) <= 1500
-UNION ALL SELECT concat('GROUP-', label), 'OBJECT_LIST', NULL, concat(label, ': ', string_agg(object_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 15), ' of ', count(*)) FROM r WHERE (SELECT count(*) FROM own1) > 1500 GROUP BY label""", "findings parts assessments apps")
+UNION ALL SELECT concat('GROUP-', label), 'OBJECT_LIST', NULL, concat(label, ': ', string_agg(object_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 15), ' of ', count(*)) FROM r WHERE (SELECT count(*) FROM own1) > 1500 GROUP BY label""", "findings parts assessments apps files rules")
 def a16_assessment_catalog(i):
     rows = drilldown(i).withColumn("assessment_id", F.lit(1))
     technical = D.derive_technical_findings(i.findings).withColumn("id", F.col("atc_finding_id"))
-    return D.assessment_catalog(D.count_custom(rows), rows, i.apps, i.findings, i.runs, technical).select("ref_id", "source_type", "entity_id", "summary")
+    return D.assessment_catalog(summary(i), rows, i.apps, i.findings, i.runs, technical).select("ref_id", "source_type", "entity_id", "summary")
 
 
 @query("SELECT s_suppkey AS id, n_name AS client_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey = 3 OR s_name ILIKE '%07%'")

@@ -154,7 +154,7 @@ def v1_embeddable_entities(i):
     return vectors.embeddable_entities(understandings(i), i.apps, i.rules, observed(i), links).select("entity_type", "entity_id", "content_hash")
 
 
-@query(_ENTITIES + """, words AS (SELECT entity_type, entity_id, unnest(list_filter(string_split(lower(regexp_replace(content_text, '\\s+', ' ', 'g')), ' '), x -> x <> '')) AS w FROM e),
+@query(_ENTITIES + """, words AS (SELECT entity_type, entity_id, unnest(list_filter(string_split(lower(regexp_replace(content_text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM e),
 c AS (SELECT entity_type, entity_id, CAST(length(w) % 4 AS INT) AS slot, CAST(ascii(w) AS DOUBLE) AS value FROM words)
 SELECT e.entity_type, e.entity_id, coalesce(sum(value) FILTER (WHERE slot = 0), 0) AS v0, coalesce(sum(value) FILTER (WHERE slot = 1), 0) AS v1, coalesce(sum(value) FILTER (WHERE slot = 2), 0) AS v2, coalesce(sum(value) FILTER (WHERE slot = 3), 0) AS v3
 FROM e LEFT JOIN c ON c.entity_type = e.entity_type AND c.entity_id = e.entity_id GROUP BY 1, 2""", "objects records apps rules")

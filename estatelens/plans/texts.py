@@ -89,12 +89,13 @@ ends AS (SELECT l.doc_id, upto FROM l WHERE regexp_matches(line, '(?i)^\s*END(ME
 @query(f"""WITH RECURSIVE {_LINES},
 cuts AS (SELECT doc_id, CAST(0 AS HUGEINT) AS pos, 0 AS n FROM t WHERE length(text) > 600
   UNION ALL SELECT c.doc_id, min(e.upto), c.n + 1 FROM cuts c JOIN ends e ON e.doc_id = c.doc_id AND e.upto - c.pos >= 600 GROUP BY c.doc_id, c.pos, c.n),
-last AS (SELECT doc_id, max(n) AS n, max(pos) AS pos FROM cuts GROUP BY 1)
-SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL WHEN length(t.text) <= 600 THEN 1 ELSE last.n + CASE WHEN last.pos < length(t.text) THEN 1 ELSE 0 END END AS n_chunks FROM t LEFT JOIN last ON t.doc_id = last.doc_id""")
+parts AS (SELECT c.doc_id, c.n, CAST(c.pos AS BIGINT) AS a, CAST(coalesce(d.pos, length(t.text)) AS BIGINT) AS b FROM cuts c JOIN t ON t.doc_id = c.doc_id LEFT JOIN cuts d ON d.doc_id = c.doc_id AND d.n = c.n + 1)
+SELECT p.doc_id, p.n AS chunk, sha256(substring(t.text, p.a + 1, p.b - p.a)) AS chunk_sha256 FROM parts p JOIN t ON t.doc_id = p.doc_id WHERE p.a < p.b
+UNION ALL SELECT doc_id, 0, sha256(text) FROM t WHERE length(text) <= 600""")
 def x9_chunk_source(i):
     text = F.regexp_replace("text", r"(?m)^An", "ENDMETHOD. An")
-    chunks = i.table("documents").select("doc_id", X.chunk_source(text, 600).alias("c"))
-    return chunks.select("doc_id", F.when(F.col("c").isNotNull(), F.size("c")).alias("n_chunks"))
+    chunks = i.table("documents").select("doc_id", F.posexplode(X.chunk_source(text, 600)).alias("chunk", "c"))
+    return chunks.select("doc_id", "chunk", F.sha2("c", 256).alias("chunk_sha256"))
 
 
 def _any_of(stems):
@@ -198,11 +199,11 @@ cuts AS (SELECT doc_id, CAST(0 AS HUGEINT) AS pos, 0 AS k FROM size WHERE n > 30
   UNION ALL SELECT c.doc_id, min(e.upto), c.k + 1 FROM cuts c JOIN ends e ON e.doc_id = c.doc_id AND e.upto - c.pos >= 300 GROUP BY c.doc_id, c.pos, c.k),
 edges AS (SELECT c.doc_id, least(c.pos, s.n) AS pos FROM cuts c JOIN size s ON s.doc_id = c.doc_id WHERE c.k > 0 UNION SELECT doc_id, n FROM size),
 kept AS (SELECT s.doc_id, s.n, coalesce(max(e.pos) FILTER (WHERE e.pos <= 900), min(e.pos)) AS pos FROM size s JOIN edges e ON e.doc_id = s.doc_id GROUP BY 1, 2)
-SELECT doc_id AS object_id, CAST(pos AS BIGINT) AS n_excerpt, pos < n AS is_truncated FROM kept""")
+SELECT k.doc_id AS object_id, sha256(substring(coalesce(t.text, ''), 1, CAST(pos AS BIGINT))) AS excerpt_sha256, pos < n AS is_truncated FROM kept k JOIN t ON t.doc_id = k.doc_id""")
 def x10_code_excerpt_budget(i):
     held = files(i).withColumn("content", F.regexp_replace("content", r"(?m)^An", "ENDMETHOD. An"))
     objects = held.select("id", F.col("id").alias("source_file_id"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"))
-    return X.code_excerpt(objects, held, budget=900, most=300).select("object_id", F.length("excerpt").cast("long").alias("n_excerpt"), "is_truncated")
+    return X.code_excerpt(objects, held, budget=900, most=300).select("object_id", F.sha2("excerpt", 256).alias("excerpt_sha256"), "is_truncated")
 
 
 @query("SELECT p_partkey, regexp_matches(upper(n), '^[ZY/]') AS is_custom FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('z', p_name) WHEN 1 THEN concat('/', p_name) WHEN 2 THEN concat('Y', p_name) ELSE p_name END AS n FROM part)")
