@@ -308,6 +308,38 @@ def brute_spans(text):
     return found
 
 
+def test_licenses_equal_plain_matching(spark):
+    """Labels and score of short texts against regular expressions tried at every place and length."""
+    r = random.Random(14)
+    templates = [x for x in licenses.TEMPLATES if len(licenses.words(x[1])) < 30]
+    patterns = [(label, as_regex(markup)) for label, markup in templates]
+    data = []
+    for k in range(60):
+        parts = [" ".join(r.choice(["the", "cc", "by", "nc", "license", "version", "2", "under", "mit"]) for _ in range(r.randrange(6))) for _ in range(2)]
+        inside = licenses.words(filled(r.choice(templates)[1], r))
+        if r.random() < 0.4:
+            inside[r.randrange(len(inside))] = "other"
+        data.append((k, " ".join([parts[0], *inside, parts[1]])))
+    phrases = {tuple(p.split()): label for p, label in licenses.PHRASES.items()}
+    for row in licenses.scan_licenses(documents(spark, data), templates).collect():
+        found = licenses.words(row["text"])
+        n, covered, labels = len(found), set(), set()
+        for words, label in phrases.items():
+            for a in range(n - len(words) + 1):
+                if tuple(found[a : a + len(words)]) == words:
+                    labels.add(label)
+                    covered |= set(range(a, a + len(words)))
+        for label, pattern in patterns:
+            a = 0
+            while a < n:
+                end = next((b for b in range(n, a, -1) if pattern.fullmatch("".join(w + " " for w in found[a:b]))), None)
+                if end:
+                    labels.add(label)
+                    covered |= set(range(a, end))
+                a = end or a + 1
+        assert (row["labels"], row["score"]) == (",".join(sorted(labels)), round(len(covered) / n, 9) if n else 0.0), row["text"]
+
+
 def test_personal_data_base(spark):
     wanted = []
     for i, t in rows():
