@@ -297,6 +297,18 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def findings_after(findings: DataFrame, last: tuple[int | None, int, int] | None, limit: int = 50) -> DataFrame:
+    """The page of findings, in findings_order, that follows the one whose last row has this (priority, source_row_number, id).
+
+    What comes before is filtered out where it is read, so a deep page gathers no more rows than the first one.
+    """
+    if last is not None:
+        after = F.col("priority").isNull() if last[0] is None else F.col("priority").isNull() | (F.col("priority") >= last[0])
+        place = F.struct(F.col("priority").isNull(), F.coalesce("priority", F.lit(0)).cast("long"), F.col("source_row_number").cast("long"), F.col("id").cast("long"))
+        findings = findings.where(after & (place > F.struct(F.lit(last[0] is None), F.lit(last[0] or 0).cast("long"), F.lit(last[1]).cast("long"), F.lit(last[2]).cast("long"))))
+    return page(findings, findings_order(), limit=limit)
+
+
 def derive_technical_findings(findings: DataFrame) -> DataFrame:
     """One derived finding for each: severity by priority (1, 2, 3: HIGH, MEDIUM, LOW; else INFO), type, title, details."""
     severity = F.when(F.col("priority") == 1, "HIGH").when(F.col("priority") == 2, "MEDIUM").when(F.col("priority") == 3, "LOW").otherwise("INFO")

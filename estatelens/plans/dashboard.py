@@ -216,6 +216,16 @@ def w7_findings_page(i):
     return D.page(i.findings, D.findings_order(), offset=100).select("id", "priority")
 
 
+@query("SELECT id, priority FROM findings ORDER BY priority ASC NULLS LAST, source_row_number, id LIMIT 50 OFFSET 100", "findings")
+def w7_findings_after(i):
+    """The third page, found from the last row of the second one."""
+    last = None
+    for _ in range(2):
+        rows = D.findings_after(i.findings, last).select("priority", "source_row_number", "id").collect()
+        last = tuple(rows[-1])
+    return D.findings_after(i.findings, last).select("id", "priority")
+
+
 @query("SELECT id FROM rules ORDER BY confidence DESC, id LIMIT 40", "rules")
 def w8_rules_page(i):
     return D.page(i.rules, D.rules_order(), limit=40).select("id")

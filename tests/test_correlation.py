@@ -1,4 +1,4 @@
-from estatelens.operators import changes, correlate
+from estatelens.operators import dashboard, changes, correlate
 
 OBJECTS = [(1, 1, "ZCL_EXACT", "class"), (1, 2, "ZCL_HEUR", "class"), (1, 3, "ZCL_DUP", "report"), (1, 4, "ZCL_DUP", "class"), (2, 5, "ZCL_MISSING", "class")]
 RECORDS = [
@@ -77,3 +77,14 @@ def test_curation_follows_the_log(spark):
     assert (rows[1]["status"], rows[1]["merged_into_id"], rows[1]["name"]) == ("MERGED", 2, "app1")
     assert (rows[2]["status"], rows[2]["merged_into_id"], rows[2]["name"]) == ("MERGED", 3, "Two") and rows[3]["status"] == "CANDIDATE"
     assert dict(map(tuple, got_objects.collect())) == {10: 3, 11: 3, 12: None, 13: 1}
+
+
+def test_pages_by_key_are_pages_by_number(spark):
+    rows = [(k, None if k % 3 == 0 else k % 4, k % 7) for k in range(60)]
+    findings = spark.createDataFrame(rows, "id long, priority int, source_row_number long")
+    wanted = sorted(rows, key=lambda x: (x[1] is None, x[1] or 0, x[2], x[0]))
+    got, last = [], None
+    while page := [tuple(x) for x in dashboard.findings_after(findings, last, 7).select("id", "priority", "source_row_number").collect()]:
+        got += page
+        last = (page[-1][1], page[-1][2], page[-1][0])
+    assert got == wanted
