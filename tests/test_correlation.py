@@ -1,4 +1,4 @@
-from estatelens.operators import dashboard, changes, correlate
+from estatelens.operators import changes, correlate, dashboard
 
 OBJECTS = [(1, 1, "ZCL_EXACT", "class"), (1, 2, "ZCL_HEUR", "class"), (1, 3, "ZCL_DUP", "report"), (1, 4, "ZCL_DUP", "class"), (2, 5, "ZCL_MISSING", "class")]
 RECORDS = [
