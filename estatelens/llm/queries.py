@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from estatelens.llm import conversations, decontam, encoding, flatids, licenses, linededup, media, pii, quality, runs, simhash, tokencounts, toxicity
 from estatelens.llm.common import table
 from estatelens.llm.sql import ORACLES
-from estatelens.storage import shared_dir
+from estatelens.storage import scratch
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/flat-ids-{uuid.uuid4().hex}"
+    folder = scratch(spark, "flat-ids")
     docs = table(spark, sf_dir, "documents")
     flatids.write_ids(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return flatids.read_ids(spark, folder)
