@@ -135,6 +135,14 @@ def _with_inserts(costs: list[int], moves: list[tuple[str, int]]) -> Node:
 END = _with_inserts([0 if q in (START, AFTER_ASSISTANT) else _FAR for q in STATES], [("", q) for q in STATES])
 
 
+def _after_keeping(initial: int, state: int) -> int | None:
+    """The state after a turn of this initial (place in INITIALS) is kept; null where the grammar doesn't allow it."""
+    if initial == _NO_INITIAL:
+        return state
+    allowed = {(0, START): AFTER_SYSTEM, (2, AFTER_USER): AFTER_ASSISTANT} | {(1, q): AFTER_USER for q in STATES if q != AFTER_USER}
+    return allowed.get((initial, state))
+
+
 @cache  # costs are relative to the smallest, so there are few of them whatever the conversations
 def _settled(sign: int, below: tuple[int, ...]) -> Node:
     """The node of a turn before a node with costs `below`: least cost and first edit (its initial, the state after it) by state."""
@@ -144,7 +152,7 @@ def _settled(sign: int, below: tuple[int, ...]) -> Node:
         ways = [(DELETE + below[q], "D", q)]
         if fault not in (BLANK, DUPLICATE):
             extra = FAULTY if fault == TRUNCATED else 0
-            kept = {0: AFTER_SYSTEM if q == START else None, 1: AFTER_USER if q != AFTER_USER else None, 2: AFTER_ASSISTANT if q == AFTER_USER else None, _OTHER: None, _NO_INITIAL: q}[initial]
+            kept = _after_keeping(initial, q)
             if kept is not None:
                 ways.append((extra + below[kept], "K", kept))
             ways.append((REROLE + extra + below[NEXT_STATE[q]], "R", NEXT_STATE[q]))
