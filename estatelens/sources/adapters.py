@@ -120,7 +120,7 @@ def imported(spark: SparkSession, target: str) -> DataFrame:
     """The records (RECORD) of all batches that are done; what a stopped batch left behind is not read."""
     rows = _written(spark, f"{target}/records", ", ".join(f"{c} string" for c in RECORD) + ", run int, format string, batch int")
     done = _written(spark, f"{target}/done", "run int, format string, batch int").distinct()
-    return rows.join(F.broadcast(done), ["run", "format", "batch"], "left_semi").select(*RECORD)  # a row for each batch of files
+    return rows.join(done, ["run", "format", "batch"], "left_semi").select(*RECORD)
 
 
 def import_all(spark: SparkSession, path: Paths, target: str, adapters: dict[str, Adapter] | None = None, batch_bytes: int = 16 << 30, batch_files: int = 10_000) -> int:

@@ -7,7 +7,6 @@ import shutil
 import pytest
 from estatelens.operators import correlate, dashboard, search
 from estatelens.streaming.intake import stream_intake
-from pyspark.sql import functions as F
 
 SIGNS = ["ab", "Ab", "b c", "%", "_", "é", "É", "x\ny", "ZZ", "\U0001f600", "\\"]
 
