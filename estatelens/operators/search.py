@@ -7,15 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estatelens.functions.arrays import let
+
 #: The index is written in so many folders by gram, so that a search reads those of its grams.
 FOLDERS = 64
 
 
 def _grams(text: Column) -> Column:
-    """The distinct runs of three characters of a text, lower-cased."""
-    signs = F.split(F.lower(text), "")
-    ends = F.transform(F.slice(signs, 3, F.greatest(F.size(signs) - 2, F.lit(0))), lambda c, k: F.concat(F.get(signs, k), F.get(signs, k + 1), c))
-    return F.array_distinct(ends)
+    """The distinct runs of three characters of a text, lower-cased. The text is split once, not for each of its characters."""
+
+    def runs(signs: Column) -> Column:
+        return F.transform(F.slice(signs, 3, F.greatest(F.size(signs) - 2, F.lit(0))), lambda c, k: F.concat(F.get(signs, k), F.get(signs, k + 1), c))
+
+    return F.array_distinct(let(F.split(F.lower(text), ""), runs))
 
 
 def _folder(gram: Column) -> Column:

@@ -58,3 +58,10 @@ def test_keys_are_remembered_without_the_history(spark, tmp_path):
     shutil.rmtree(target / "records" / "batch_id=0")  # what was taken in is not read again
     assert put("2.json", "y", "z", None) == ["'z'"] and put("3.json", "x", "z") == ["'z'"]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_index_splits_a_text_once(spark):
+    """Not once for each of its characters, which made the work grow with the square of a text."""
+    index = search.text_index(spark.createDataFrame([(1, "abcd" * 5000, "xyz")], "id long, a string, b string"), "id", "a", "b")
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert {x["gram"] for x in index.collect()} == {"abc", "bcd", "cda", "dab", "xyz"}
