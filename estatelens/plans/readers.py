@@ -52,7 +52,8 @@ def written(i: Inputs, made: DataFrame) -> str:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = located(folder)
         for batch in batches:
-            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+            for name, content in zip(batch["name"], batch["content"], strict=True):  # one by one, so a batch's texts are not held twice
+                name, content = name.as_py(), content.as_py()
                 full = f"{path}/{name}"
                 where.create_dir(full.rsplit("/", 1)[0], recursive=True)
                 with where.open_output_stream(full) as out:
@@ -64,8 +65,8 @@ def written(i: Inputs, made: DataFrame) -> str:
 
 
 def joined(rows: DataFrame, key: Column, order: str, line: Column, between: str = "\n") -> DataFrame:
-    """(k, body): the lines of each key in order."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"])
+    """(k, body): the lines of each key in order (by sort_array, since array_sort compares through a lambda)."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"])
     return rows.groupBy(key.alias("k")).agg(F.array_join(listed, between).alias("body"))
 
 
@@ -241,7 +242,7 @@ def s9_usage_manifest(i):
 def kpi_members(i: Inputs) -> DataFrame:
     """Chunks of a hundred orders' lines as JSON files, every third in a ZIP; flat chunks and system data beside them."""
     lines = i.table("lineitem").select(F.expr("l_orderkey div 100").alias("k"), F.struct(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("o"), F.array(F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("row"))
-    data = lines.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "row"))), lambda x: x["row"]).alias("data"))
+    data = lines.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "row"))), lambda x: x["row"]).alias("data"))
     chunk = F.struct(F.lit("svc").alias("serviceName"), F.concat(F.lit("KFFI"), (F.col("k") % 7).cast("string")).alias("keyFigureId"), F.array(F.lit("BELNR"), F.lit("BELNR"), F.lit("VALUE")).alias("header"), "data")
     name = F.concat(F.lit("c"), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, ".zip").otherwise(".json"))
     made = data.select(name.alias("name"), F.to_json(F.struct(chunk.alias("dataSet"))).alias("content"))

@@ -71,6 +71,8 @@ def _sheet_rows(box: zipfile.ZipFile, part: str, shared: list[str] | _FirstStrin
 DAMAGE = (*archives.DAMAGE, ValueError, IndexError, ElementTree.ParseError)
 #: A workbook whose sheet and strings unpack to more bytes is not read by one task but laid out and cut at its rows.
 LARGE = 64 << 20
+#: A task parses about so many unpacked bytes of smaller workbooks.
+PARSED_BYTES = 16 << 20
 _STRINGS = "xl/sharedStrings.xml"
 
 
@@ -188,8 +190,8 @@ def read_findings_sheet(spark: SparkSession, path: str | list[str], sheet: str |
                         held.append((row["file"], None, None, None, f"damaged workbook: {error}"))
                 yield archives.made(held, _ROWS)
 
-    total = small.agg(F.sum("packed")).first()[0] or 0
-    found = small.repartitionByRange(max(1, -(-total // archives.TASK_BYTES)), "file").mapInArrow(work, _ROWS_SQL)
+    total = small.agg(F.sum("size")).first()[0] or 0  # unpacked: a sheet packs to a tenth or less, and what is parsed is what takes time
+    found = small.repartitionByRange(max(1, -(-total // PARSED_BYTES)), "file").mapInArrow(work, _ROWS_SQL)
     big = plan.where(F.col("size") > large)
     return found if big.isEmpty() else found.unionByName(_large_rows(spark, big))
 
