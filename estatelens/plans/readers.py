@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,9 @@ def packed(name: str, text: str) -> bytes:
     return out.getvalue()
 
 
-def written(i: Inputs, made: DataFrame) -> str:
-    """Write the files (name, content text or binary) into a new folder that all executors share; returns its path."""
-    folder = scratch(i.spark, "files")
+def written(i: Inputs, made: DataFrame, folder: str | None = None) -> str:
+    """Write the files (name, content text or binary) into a folder that all executors share, else a new one; returns its path."""
+    folder = folder or scratch(i.spark, "files")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = located(folder)
@@ -64,6 +65,38 @@ def written(i: Inputs, made: DataFrame) -> str:
     return folder
 
 
+def written_lines(i: Inputs, lines: DataFrame, made: Callable[[int, str], tuple[str, str]], between: str = "\n") -> str:
+    """Write files of which k is the number and line a line, as made(k, the lines joined) gives name and text; returns their new folder.
+
+    lines: k, line, with the rows of a file one after the other and in order. A task holds one file and a batch of lines.
+    """
+    folder = scratch(i.spark, "files")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = located(folder)
+        key, held, n = None, [], 0
+
+        def write() -> None:
+            if held:
+                name, text = made(key, between.join(held))
+                with where.open_output_stream(f"{path}/{name}") as out:
+                    out.write(packed(name, text))
+
+        for batch in batches:
+            runs = pc.run_end_encode(batch["k"])
+            parts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *runs.run_ends.to_pylist()], pa.int32()), batch["line"]), between)
+            for k, part in zip(runs.values.to_pylist(), parts.to_pylist(), strict=True):
+                if k != key:
+                    write()
+                    key, held, n = k, [], n + 1
+                held.append(part)
+        write()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    lines.select("k", "line").mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def joined(rows: DataFrame, key: Column, order: str, line: Column, between: str = "\n") -> DataFrame:
     """(k, body): the lines of each key in order (by sort_array, since array_sort compares through a lambda)."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"])
@@ -241,14 +274,18 @@ def s9_usage_manifest(i):
 
 def kpi_members(i: Inputs) -> DataFrame:
     """Chunks of a hundred orders' lines as JSON files, every third in a ZIP; flat chunks and system data beside them."""
-    lines = i.table("lineitem").select(F.expr("l_orderkey div 100").alias("k"), F.struct(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("o"), F.array(F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("row"))
-    data = lines.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "row"))), lambda x: x["row"]).alias("data"))
-    chunk = F.struct(F.lit("svc").alias("serviceName"), F.concat(F.lit("KFFI"), (F.col("k") % 7).cast("string")).alias("keyFigureId"), F.array(F.lit("BELNR"), F.lit("BELNR"), F.lit("VALUE")).alias("header"), "data")
-    name = F.concat(F.lit("c"), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, ".zip").otherwise(".json"))
-    made = data.select(name.alias("name"), F.to_json(F.struct(chunk.alias("dataSet"))).alias("content"))
-    flat = data.where("k % 5 = 0").select(F.concat(F.lit("flat"), F.col("k").cast("string"), F.lit(".json")).alias("name"), F.lit('{"flat": 1}').alias("content"))
+    lines = i.table("lineitem").select(F.expr("l_orderkey div 100").alias("k"), *(F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    row = F.to_json(F.array("l_orderkey", "l_suppkey", "l_partkey"))
+    # sorted by the shuffle: sort_array would compare the lines' structs one by one
+    ordered = lines.repartition("k").sortWithinPartitions("k", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("k", row.alias("line"))
+
+    def chunk(k: int, rows: str) -> tuple[str, str]:
+        return f"c{k}{'.json' if k % 3 else '.zip'}", f'{{"dataSet":{{"serviceName":"svc","keyFigureId":"KFFI{k % 7}","header":["BELNR","BELNR","VALUE"],"data":[{rows}]}}}}'
+
+    folder = written_lines(i, ordered, chunk, ",")
+    flat = lines.select("k").where("k % 5 = 0").distinct().select(F.concat(F.lit("flat"), F.col("k").cast("string"), F.lit(".json")).alias("name"), F.lit('{"flat": 1}').alias("content"))
     system = i.table("nation").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string"), F.lit(".xml")).alias("name"), F.concat(F.lit("<x><item><KEY>K"), F.col("n_nationkey").cast("string"), F.lit("</KEY><VALUE>"), "n_name", F.lit("</VALUE></item></x>")).alias("content"))
-    return exports.read_kpi_members(i.spark, written(i, made.unionByName(flat).unionByName(system)))
+    return exports.read_kpi_members(i.spark, written(i, flat.unionByName(system), folder))
 
 
 _CHUNKS = "WITH l AS (SELECT l_orderkey // 100 AS k, l_orderkey AS a, l_suppkey AS b, l_partkey AS c, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) - 1 AS n FROM lineitem)"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.sources.ranges import located, opened
+from estatelens.sources.ranges import located, opened, spread
 from estatelens.storage import checkpointed, scratch
 
 #: What a damaged, encrypted or unknown archive or member raises.
@@ -62,7 +62,7 @@ def list_members(files: DataFrame, suffixes: tuple[str, ...], loose: tuple[str,
             for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True):
                 yield made(list(of(path, length)), _MEMBERS)
 
-    return files.select("path", "length").mapInArrow(work, _MEMBERS_SQL)
+    return spread(files.select("path", "length")).mapInArrow(work, _MEMBERS_SQL)
 
 
 def dealt(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -72,10 +72,12 @@ def dealt(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return known.repartitionByRange(max(1, -(-total // task_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
 
 
-def one_a_task(members: DataFrame, most: int = 10_000) -> DataFrame:
-    """members for tasks that stream one each, as far as there are no more than `most` tasks."""
+def one_a_task(members: DataFrame, most: int = 10_000, task_bytes: int = 4 << 20) -> DataFrame:
+    """members for tasks that stream one each; small ones share tasks of about task_bytes packed bytes, and there are no more than `most` tasks."""
     known = checkpointed(members)
-    return known.repartitionByRange(min(most, max(1, known.count())), "file", "member")
+    total, n = known.agg(F.sum("packed"), F.count(F.lit(1))).first()
+    spread_ = max(-(-(total or 0) // task_bytes), known.sparkSession.sparkContext.defaultParallelism)
+    return known.repartitionByRange(max(1, min(most, n, spread_)), "file", "member")
 
 
 class _Archives:

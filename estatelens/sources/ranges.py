@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from typing import BinaryIO
 from urllib.parse import quote
@@ -25,7 +26,26 @@ def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, length, modificationTime and content of all files at or below a path, several or a glob; Spark reads the
     content of those files only whose content is asked for, and filters on the length before. It leaves out empty files and
     such whose names begin with a dot or underscore; `walked` does not."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    with few_listing_tasks(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession, most: int = 64) -> Iterator[None]:
+    """While it lasts, readers list many paths in `most` tasks; Spark would start a task for each path, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def spread(files: DataFrame, each: int = 500) -> DataFrame:
+    """files (path and others, without content) dealt over tasks of about `each`: Spark packs some thirty small files into a
+    task, so few that starting its Python worker would take longer than the work."""
+    return files.repartition(max(1, -(-files.count() // each)))
 
 
 def plain(file_path: Column) -> Column:
@@ -171,5 +191,5 @@ def peeked(spark: SparkSession, path: str | list[str], whole: int = WHOLE) -> Da
             heads, tails = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], names=[*batch.schema.names, "head", "tail"])
 
-    large = files.where(F.col("length") > whole).select("path", "length").mapInArrow(work, "path string, length long, head binary, tail binary")
+    large = spread(files.where(F.col("length") > whole).select("path", "length")).mapInArrow(work, "path string, length long, head binary, tail binary")
     return small.unionByName(large)
