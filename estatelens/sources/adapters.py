@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from estatelens.operators.changes import new_rows
 from estatelens.sources import exports, workbook, xml_sections
 from estatelens.sources.files import decoded, detect_format
-from estatelens.sources.ranges import WHOLE, hashed, listed, peeked
+from estatelens.sources.ranges import WHOLE, hashed, listed, peeked, spread
 from estatelens.storage import checkpointed
 
 #: Columns that the records of every format share; what else a reader gives is left to its own callers. dataset_id is the
@@ -63,7 +63,7 @@ def data_sets(spark: SparkSession, path: Paths, whole: int = WHOLE) -> DataFrame
     """(file, size_bytes, dataset_id, error) of the files at a path; what can't be read has an error and no id."""
     files = listed(spark, path)
     small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
-    large = hashed(files.where(F.col("length") > whole).select("path", "length"))
+    large = hashed(spread(files.where(F.col("length") > whole).select("path", "length"), 1))
     return small.unionByName(large).select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.col("sha256").alias("dataset_id"), "error")
 
 

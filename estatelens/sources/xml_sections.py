@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.text import record_fingerprint, sanitize_xml
 from estatelens.sources import archives
-from estatelens.sources.ranges import listed, plain
+from estatelens.sources.ranges import few_listing_tasks, listed, plain
 
 #: Known sections and what their rows hold (fixed values): capability, record type, and the attributes of name, type and package.
 SECTIONS = {
@@ -29,7 +29,8 @@ CONFIG = "section string, capability string, record_type string, name_attr strin
 
 def _tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block, pos, tag: everything that follows a `<`, in file order inside a block; file is a URL."""
-    raw = spark.read.option("lineSep", "<").option("recursiveFileLookup", True).text(path)
+    with few_listing_tasks(spark):
+        raw = spark.read.option("lineSep", "<").option("recursiveFileLookup", True).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("tag"))
 
 
