@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.text import blank_to_null, last_wins, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint, strip_all
 from estatelens.sources import archives
-from estatelens.sources.ranges import listed, opened
+from estatelens.sources.ranges import listed, opened, spread
 from estatelens.storage import checkpointed
 
 #: Known headers and their fields (fixed values).
@@ -30,13 +31,15 @@ ALIASES = {
 USAGE_SIGNATURE = ("OBJECT NAME", "OBJECT TYPE", "USAGE LEVEL", "ORIGIN")
 BLANK = "(vazio)"
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_T = f"{_M}t"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _texts(node: ElementTree.Element) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_M}t"))
+    return "".join([t.text or "" for t in node.iter(_T)])
 
 
+@lru_cache
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]*", ref)[0]:
@@ -47,9 +50,9 @@ def _column(ref: str) -> int:
 def _cells(row: ElementTree.Element) -> Iterator[tuple[int, str | None, int | None]]:
     """(column, text, number of the shared string instead) of a row's cells."""
     for k, cell in enumerate(row.iter(f"{_M}c")):
-        at = _column(cell.get("r", "")) if cell.get("r") else k
-        value, kind = cell.find(f"{_M}v"), cell.get("t")
-        text = _texts(cell) if kind == "inlineStr" else None if value is None else value.text
+        ref, kind = cell.get("r"), cell.get("t")
+        at = _column(ref.rstrip("0123456789")) if ref else k
+        text = _texts(cell) if kind == "inlineStr" else cell.findtext(f"{_M}v") or None
         yield (at, None, int(text)) if kind == "s" and text else (at, text, None)
 
 
@@ -57,20 +60,36 @@ def _sheet_rows(box: zipfile.ZipFile, part: str, shared: list[str] | _FirstStrin
     """(1-based row number, cells as text) of every row of a sheet, streamed."""
     with box.open(part) as stream:
         for _, row in ElementTree.iterparse(stream):
-            if row.tag != f"{_M}row":
-                continue
-            cells: list[str | None] = []
-            for at, text, number in _cells(row):
-                cells += [None] * (at + 1 - len(cells))
-                cells[at] = text if number is None else shared[number]
-            yield int(row.get("r", 0)), cells
-            row.clear()
+            if row.tag == f"{_M}row":
+                yield _row(row, shared)
+                row.clear()
+
+
+def _row(row: ElementTree.Element, shared: list[str] | _FirstStrings) -> tuple[int, list[str | None]]:
+    cells: list[str | None] = []
+    for at, text, number in _cells(row):
+        cells += [None] * (at + 1 - len(cells))
+        cells[at] = text if number is None else shared[number]
+    return int(row.get("r", 0)), cells
+
+
+def _every_row(box: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+    """_sheet_rows, of a small sheet by parsing it at once, which takes a fraction of the time; a damaged one is streamed up to the damage."""
+    root = None
+    if box.getinfo(part).file_size <= AT_ONCE:
+        try:
+            root = ElementTree.fromstring(box.read(part))
+        except DAMAGE:
+            pass
+    yield from _sheet_rows(box, part, shared) if root is None else (_row(row, shared) for row in root.iter(f"{_M}row"))
 
 
 #: What a damaged workbook raises.
 DAMAGE = (*archives.DAMAGE, ValueError, IndexError, ElementTree.ParseError)
 #: A workbook whose sheet and strings unpack to more bytes is not read by one task but laid out and cut at its rows.
 LARGE = 64 << 20
+#: A sheet of at most so many bytes is parsed at once.
+AT_ONCE = 4 << 20
 #: A task parses about so many unpacked bytes of smaller workbooks.
 PARSED_BYTES = 16 << 20
 _STRINGS = "xl/sharedStrings.xml"
@@ -123,7 +142,7 @@ def read_workbook(content: bytes, sheet: str | None = None) -> Iterator[tuple[in
     with zipfile.ZipFile(io.BytesIO(content)) as box:
         part = _chosen_sheet(box, sheet)
         if part is not None:
-            yield from _in_table(_sheet_rows(box, part, _shared(box)))
+            yield from _in_table(_every_row(box, part, _shared(box)))
 
 
 def _shared(box: zipfile.ZipFile) -> list[str]:
@@ -156,7 +175,7 @@ def _planned(files: DataFrame, sheet: str | None) -> DataFrame:
             yield archives.made([row for path in batch["path"].to_pylist() for row in of(path)], _PLAN)
 
     schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in _PLAN.items())
-    return checkpointed(files.select("path").mapInArrow(work, schema))
+    return checkpointed(spread(files.select("path"), 100).mapInArrow(work, schema))
 
 
 _ROWS = {"file": pa.string(), "row_number": pa.int32(), "headers": pa.list_(pa.string()), "cells": pa.list_(pa.string()), "error": pa.string()}
@@ -180,7 +199,7 @@ def read_findings_sheet(spark: SparkSession, path: str | list[str], sheet: str |
                 held: list[tuple] = [] if row["error"] is None else [(row["file"], None, None, None, row["error"])]
                 try:
                     with opened(row["file"]) as file, zipfile.ZipFile(file) as box:
-                        for number, headers, cells in _in_table(_sheet_rows(box, row["part"], _shared(box))) if row["error"] is None else ():
+                        for number, headers, cells in _in_table(_every_row(box, row["part"], _shared(box))) if row["error"] is None else ():
                             held.append((row["file"], number, headers, cells, None))
                             if len(held) == 5000:
                                 yield archives.made(held, _ROWS)
@@ -216,7 +235,7 @@ def _element(tag: str, piece: str) -> ElementTree.Element:
     end = piece.find(f"</{tag}>")
     close = piece.find(">") + 1
     text = piece[:close] if piece[:close].endswith("/>") else piece[: end + len(tag) + 3] if end >= 0 else piece
-    prefixes = " ".join(f'xmlns:{p}="urn:{p}"' for p in {*re.findall(r"[\s<]([A-Za-z_][\w.-]*):", text)} - {"xml", "xmlns"})
+    prefixes = " ".join(f'xmlns:{p}="urn:{p}"' for p in {*re.findall(r"[\s<]([A-Za-z_][\w.-]*):", text)} - {"xml", "xmlns"}) if ":" in text else ""
     return ElementTree.fromstring(f'<x xmlns="{_M[1:-1]}" {prefixes}><{tag}{text}</x>')[0]
 
 
@@ -277,16 +296,17 @@ def map_headers(rows: DataFrame) -> DataFrame:
     REJECTED for unreadable files and such without rows. Several headers may mean one field; a null header is unknown."""
     spark = rows.sparkSession
     known = spark.createDataFrame(list(ALIASES.items()), "alias string, field string")
-    each = rows.where("headers is not null").select("file", F.explode("headers").alias("header")).distinct()
-    joined = each.withColumn("header", F.coalesce("header", F.lit(""))).distinct().join(F.broadcast(known), normalize_header(F.col("header")) == F.col("alias"), "left")
+    # the rows are gone through once: a file without headers stays as a row with none
+    headed = rows.select("file", "headers").distinct().withColumn("headed", F.coalesce(F.size("headers") > 0, F.lit(False)))
+    each = headed.select("file", "headed", F.explode_outer("headers").alias("header"))
+    joined = each.withColumn("header", F.when(F.col("headed"), F.coalesce("header", F.lit("")))).distinct().join(F.broadcast(known), normalize_header(F.col("header")) == F.col("alias"), "left")
     found = joined.groupBy("file").agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("field").isNotNull(), F.struct("header", "field"))))).alias("recognized"),
-        F.array_sort(F.collect_list(F.when(F.col("field").isNull(), F.col("header")))).alias("unknown"), F.collect_set("field").alias("_found"),
+        F.array_sort(F.collect_list(F.when(F.col("field").isNull(), F.col("header")))).alias("unknown"), F.collect_set("field").alias("_found"), F.max("headed").alias("_headed"),
     )
     found = found.withColumn("missing", F.array_sort(F.array_except(F.array(*map(F.lit, sorted(ALIASES.values()))), "_found")))
-    files = rows.select("file").distinct().join(found, "file", "left")
-    status = F.when(F.col("_found").isNull(), "REJECTED").when(F.array_contains("_found", "object_name_raw"), "FULL").otherwise("PARTIAL")
-    return files.withColumn("status", status).drop("_found")
+    status = F.when(~F.col("_headed"), "REJECTED").when(F.array_contains("_found", "object_name_raw"), "FULL").otherwise("PARTIAL")
+    return found.select("file", *(F.when(F.col("_headed"), F.col(c)).alias(c) for c in ("recognized", "unknown", "missing")), status.alias("status"))
 
 
 def row_payload(headers: Column, cells: Column) -> Column:

@@ -52,3 +52,16 @@ def test_many_paths_are_listed_in_few_tasks(spark, many):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert files.count() == 400
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_headers_are_mapped_in_one_pass(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        passes.add(1)
+        yield pa.RecordBatch.from_pylist([{"file": "a", "headers": ["Object Name", None, "x"], "error": None}, {"file": "a", "headers": ["Object Name", None, "x"], "error": None}, {"file": "b", "headers": None, "error": "e"}, {"file": "c", "headers": [], "error": None}])
+
+    rows = spark.range(1, numPartitions=1).mapInArrow(work, "file string, headers array<string>, error string")
+    found = {r["file"]: (r["recognized"], r["unknown"], r["missing"] and len(r["missing"]), r["status"]) for r in workbook.map_headers(rows).collect()}
+    assert found == {"a": ({"Object Name": "object_name_raw"}, ["", "x"], 20, "FULL"), "b": (None, None, None, "REJECTED"), "c": (None, None, None, "REJECTED")}
+    assert passes.value == 1
