@@ -40,3 +40,15 @@ def test_queries_on_late_orders(spark, folder, name):
         assert {(r["detail_id"], r["issue_id"]) for r in rows} == {(wanted(order, 2), wanted(order, 1)) for order in ORDERS}
     else:
         assert rows
+
+
+#: Other queries that read lines' ids, of these three tables.
+READERS_OF_IDS = (
+    "a8_usage_level_per_object", "f8_matched_only", "f9_usage_rows", "g3_cluster_signals", "g3_update_clusters", "j1_update_correlations", "j2_correlate_findings", "j3_recorrelate", "j3_recorrelate_names", "j4_propagate_targets",
+    "v8_split_pools",
+)
+
+
+@pytest.mark.parametrize("name", READERS_OF_IDS)
+def test_other_queries_end_on_late_orders(spark, folder, name):
+    catalog.QUERIES[name](spark, folder).collect()
