@@ -52,3 +52,26 @@ READERS_OF_IDS = (
 @pytest.mark.parametrize("name", READERS_OF_IDS)
 def test_other_queries_end_on_late_orders(spark, folder, name):
     catalog.QUERIES[name](spark, folder).collect()
+
+
+FAR = (6, 23_611_832_417, 60_000_000_003, 10**15 + 1, 10**17 + 4)
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """Tables of which a copy's keys lie far from another's: a key times 2 * 10^11 outgrows 64 bits before it is shifted."""
+    path = str(tmp_path_factory.mktemp("far"))
+    lines = [(order, 10 + order % 7, order % 5, line, float(2 + line), 901.25 * line, "ARN"[line % 3], "OF"[line % 2], datetime(2024, 1, line)) for order in FAR for line in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(n, f"Supplier#{n:09d}") for n in range(5)], "s_suppkey long, s_name string").write.parquet(f"{path}/supplier.parquet")
+    return path
+
+
+def test_ids_of_keys_that_lie_far_apart(spark, far):
+    found = {(r["order_id"], r["line"]): r["id"] for r in Inputs(spark, far).records.collect()}
+    assert found == {(order, line): wanted(order, line) for order in FAR for line in range(1, 8)}
+
+
+@pytest.mark.parametrize("name", ["a8_usage_level_per_object", "j1_update_correlations", "j4_propagate_targets", "j8_object_evidence", "j10_details_to_parent"])
+def test_queries_on_keys_that_lie_far_apart(spark, far, name):
+    assert catalog.QUERIES[name](spark, far).collect()
