@@ -8,10 +8,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions import text as T
@@ -61,10 +62,23 @@ def written(i: Inputs, made: DataFrame, folder: str | None = None) -> str:
                     out.write(content if isinstance(content, bytes) else packed(name, content))
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
-    made.select("name", "content").mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    with small_batches(i.spark):
+        made.select("name", "content").mapInArrow(work, "n long").agg(F.sum("n")).collect()
     return folder
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 100) -> Iterator[None]:
+    """While it lasts, Python gets `most` rows at a time, not 10,000: of rows that hold a whole file a batch would be hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written_lines(i: Inputs, lines: DataFrame, made: Callable[[int, str], tuple[str, str]], between: str = "\n") -> str:
     """Write files of which k is the number and line a line, as made(k, the lines joined) gives name and text; returns their new folder.
 

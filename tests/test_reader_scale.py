@@ -65,3 +65,23 @@ def test_headers_are_mapped_in_one_pass(spark):
     found = {r["file"]: (r["recognized"], r["unknown"], r["missing"] and len(r["missing"]), r["status"]) for r in workbook.map_headers(rows).collect()}
     assert found == {"a": ({"Object Name": "object_name_raw"}, ["", "x"], 20, "FULL"), "b": (None, None, None, "REJECTED"), "c": (None, None, None, "REJECTED")}
     assert passes.value == 1
+
+
+def test_files_are_written_from_small_batches(spark, tmp_path):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    class Made:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            def sizes(batches):
+                for batch in batches:
+                    yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+            seen.extend(r["n"] for r in spark.range(1000, numPartitions=1).mapInArrow(sizes, "n long").collect())
+            return spark.range(1).select(F.col("id").alias("n"))
+
+    before = spark.conf.get(name)
+    readers.written(Inputs(spark, str(tmp_path)), Made())
+    assert sum(seen) == 1000 and max(seen) <= 100 and spark.conf.get(name) == before
