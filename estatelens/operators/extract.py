@@ -1,6 +1,6 @@
 """Objects and dependencies from source text.
 
-Only marker lines leave a file's row: its text is never shuffled.
+Objects are found inside a file's row, so neither its text nor its lines are shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import html
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
 import pandas as pd
@@ -25,12 +25,13 @@ ATTRIBUTES = "struct<methods:array<string>,superclass:string,importing:array<str
 FIELDS = [f.split(":") for f in ATTRIBUTES[7:-1].split(",")]
 CLASS_DEF, METHOD, ENDCLASS, INHERITS = r"(?iU)^\s*CLASS\s+(\w+)\s+DEFINITION", r"(?iU)^\s*METHODS?\s*:?\s*(\w+)", r"(?iU)^\s*ENDCLASS\s*\.", r"(?iU)INHERITING\s+FROM\s+(\w+)"
 FUNCTION, ENDFUNCTION = r"(?iU)^\s*FUNCTION\s+(\w+)\s*\.", r"(?iU)^\s*ENDFUNCTION\s*\."
+REPORT, TABLES = r"(?iU)^\s*(?:REPORT|PROGRAM)\s+(\w+)", r"(?iU)^\s*TABLES\s*:\s*(.+)\."
 PARAMETER, SECTION = r'(?iU)^\*"\s+VALUE\((\w+)\)\s+TYPE\s+(\S+)', r'(?iU)^\*"\s+(IMPORTING|EXPORTING)'
 
 
 def lines_of(content: Column) -> Column:
     """A text's lines without their ends; a last line end starts no further line, an empty text has none."""
-    cut = F.split(F.regexp_replace(content, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+    cut = let(F.split(content, LINE_END, -1), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(cut)
 
 
@@ -38,35 +39,55 @@ def _attributes(**given: Column) -> Column:
     return F.struct(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS))
 
 
-def _markers(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """file_id, line_no (from 1) and line of the lines that match any pattern."""
-    numbered = F.transform(lines_of(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+def _between(content: Column, start: str, end: str, made: Callable[[Column, Column, Column], Column]) -> Column:
+    """What `made` makes of each stretch of a text's lines that ends with an end line and begins with the first start line
+    since the end line before: of its lines, the number of the first (from 1) and that of the last. Other lines go.
 
-    def wanted(x: Column) -> Column:
-        found = x["line"].rlike(patterns[0])
-        for p in patterns[1:]:
-            found = found | x["line"].rlike(p)
-        return found
+    All of it stays in the text's row: a stretch is a slice of the row's lines. A text without an end is not cut into lines.
+    """
+
+    def stretches(lines: Column) -> Column:
+        def each(ends: Column) -> Column:
+            def own(e: Column, k: Column) -> Column:
+                before = F.coalesce(F.get(ends, k - 1), F.lit(0))
+                first = F.array_position(F.transform(F.slice(lines, before + 1, e - before), lambda x: x.rlike(start)), True).cast("int")
+                return let(first, lambda n: F.when(n > 0, let(before + n, lambda a: made(F.slice(lines, a, e - a + 1), a, e))))
+
+            return F.array_compact(F.transform(ends, own))
+
+        return let(F.array_compact(F.transform(lines, lambda x, k: F.when(x.rlike(end), k + 1))), each)
+
+    return F.when(content.rlike(end.replace(r"^\s*", "")), let(lines_of(content), stretches))
+
+
+def _matches(lines: Column, pattern: str) -> Column:
+    """In upper case what the pattern's first group is in those lines that it matches."""
+    return F.transform(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda v: v != ""), lambda v: F.upper(v))
 
-    return files.select(F.col("id").alias("file_id"), F.explode(F.filter(numbered, wanted)).alias("m")).select("file_id", "m.line_no", "m.line")
 
+def _filled(values: Column) -> Column:
+    return let(values, lambda v: F.when(F.size(v) > 0, v))
 
-def _islands(markers: DataFrame, start: str, end: str) -> DataFrame:
-    """Markers with their island (stretch up to an end line) and the island's first start line; those before it go."""
-    order = Window.partitionBy("file_id").orderBy("line_no")
-    cut = markers.withColumns({"is_end": F.col("line").rlike(end), "is_start": F.col("line").rlike(start)})
-    cut = cut.withColumn("island", F.coalesce(F.sum(F.col("is_end").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = Window.partitionBy("file_id", "island")
-    cut = cut.withColumn("line_start", F.min(F.when(F.col("is_start"), F.col("line_no"))).over(whole))
-    return cut.where("line_no >= line_start")
 
+def _object(kind: str, name: Column, line_start: Column, line_end: Column, attributes: Column) -> Column:
+    return F.struct(F.lit(kind).alias("object_type"), name.alias("object_name"), line_start.alias("line_start"), line_end.alias("line_end"), attributes.alias("attributes"))
 
-def _listed(value: Column, order: str = "line_no") -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order), value.alias("v"))))), lambda x: x["v"])
 
+def _objects(files: DataFrame, found: Column) -> DataFrame:
+    # explode would have Spark filter the files by `found` first, and so find it twice
+    rows = files.select(F.col("id").alias("file_id"), F.explode_outer(found).alias("o")).where("o is not null")
+    return rows.select("file_id", "o.object_type", "o.object_name", "o.line_start", "o.line_end", "o.attributes")
 
-def _first_match(pattern: str) -> Column:
-    return F.upper(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")))
+
+def _classes(content: Column) -> Column:
+    def made(lines: Column, a: Column, e: Column) -> Column:
+        def of(own: Column) -> Column:
+            attributes = _attributes(methods=_matches(F.slice(own, 2, F.size(own)), METHOD), superclass=F.get(_matches(own, INHERITS), 0))
+            return _object("class", F.upper(F.regexp_extract(own[0], CLASS_DEF, 1)), a, e, attributes)
+
+        return let(lines, of)
+
+    return _between(content, CLASS_DEF, ENDCLASS, made)
 
 
 def class_objects(files: DataFrame) -> DataFrame:
@@ -74,48 +95,63 @@ def class_objects(files: DataFrame) -> DataFrame:
 
     A deferred definition opens a class as well, and everything up to the next ENDCLASS belongs to it.
     """
-    held = _islands(_markers(files, [CLASS_DEF, METHOD, ENDCLASS, INHERITS]), CLASS_DEF, ENDCLASS)
-    later = F.col("line_no") > F.col("line_start")
-    found = held.groupBy("file_id", "island", "line_start").agg(
-        F.max(F.when(F.col("line_no") == F.col("line_start"), _first_match(CLASS_DEF))).alias("object_name"), F.min(F.when(later & F.col("is_end"), F.col("line_no"))).alias("line_end"),
-        _listed(F.when(later, _first_match(METHOD))).alias("methods"), F.min_by(_first_match(INHERITS), F.when(_first_match(INHERITS).isNotNull(), F.col("line_no"))).alias("superclass"),
-    ).where("line_end is not null")
-    return found.select("file_id", F.lit("class").alias("object_type"), "object_name", "line_start", "line_end", _attributes(methods=F.col("methods"), superclass=F.col("superclass")).alias("attributes"))
+    return _objects(files, _classes(F.col("content")))
+
+
+def _functions(content: Column) -> Column:
+    def parameters(own: Column, name: str) -> Column:
+        at = F.transform(F.transform(own, lambda x: F.upper(F.regexp_extract(x, SECTION, 1))), lambda s, k: F.when(s != "", F.struct(s.alias("section"), (k + 1).alias("k"))))
+
+        def listed(sections: Column) -> Column:
+            def part(x: Column, k: Column) -> Column:
+                upto = F.coalesce(F.get(sections, k + 1)["k"], F.size(own) + 1)
+                return F.when(x["section"] == name, F.slice(own, x["k"] + 1, upto - x["k"] - 1))
+
+            lines = F.filter(F.flatten(F.array_compact(F.transform(sections, part))), lambda x: x.rlike(PARAMETER))
+            return F.transform(lines, lambda x: F.concat(F.regexp_extract(x, PARAMETER, 1), F.lit(":"), F.regexp_extract(x, PARAMETER, 2)))
+
+        return _filled(let(F.array_compact(at), listed))
+
+    def made(lines: Column, a: Column, e: Column) -> Column:
+        def of(own: Column) -> Column:
+            attributes = _attributes(importing=parameters(own, "IMPORTING"), exporting=parameters(own, "EXPORTING"))
+            return _object("function_module", F.upper(F.regexp_extract(own[0], FUNCTION, 1)), a, e, attributes)
+
+        return let(lines, of)
+
+    return _between(content, FUNCTION, ENDFUNCTION, made)
 
 
 def function_objects(files: DataFrame) -> DataFrame:
     """Function modules with their VALUE parameters (NAME:TYPE) of the importing and exporting sections."""
-    held = _islands(_markers(files, [FUNCTION, ENDFUNCTION, PARAMETER, SECTION]), FUNCTION, ENDFUNCTION)
-    order = Window.partitionBy("file_id", "island").orderBy("line_no")
-    own = held.withColumn("section", F.last(F.nullif(F.upper(F.regexp_extract("line", SECTION, 1)), F.lit("")), ignorenulls=True).over(order))
-    later = (F.col("line_no") > F.col("line_start")) & F.col("line").rlike(PARAMETER) & ~F.col("line").rlike(SECTION)
-    parameter = F.concat(F.regexp_extract("line", PARAMETER, 1), F.lit(":"), F.regexp_extract("line", PARAMETER, 2))
-    lists = {n.lower(): _listed(F.when(later & (F.col("section") == n), parameter)).alias(n.lower()) for n in ("IMPORTING", "EXPORTING")}
-    found = own.groupBy("file_id", "island", "line_start").agg(
-        F.max(F.when(F.col("line_no") == F.col("line_start"), _first_match(FUNCTION))).alias("object_name"),
-        F.min(F.when((F.col("line_no") > F.col("line_start")) & F.col("is_end"), F.col("line_no"))).alias("line_end"), *lists.values(),
-    ).where("line_end is not null")
-    filled = {n: F.when(F.size(n) > 0, F.col(n)) for n in lists}
-    return found.select("file_id", F.lit("function_module").alias("object_type"), "object_name", "line_start", "line_end", _attributes(**filled).alias("attributes"))
+    return _objects(files, _functions(F.col("content")))
 
 
-def report_objects(files: DataFrame) -> DataFrame:
-    """Reports: the first REPORT or PROGRAM line; TABLES, so_ and p_ names after it; the end is the last line."""
-    head = r"(?iU)^\s*(?:REPORT|PROGRAM)\s+(\w+)"
-    held = files.select(F.col("id").alias("file_id"), lines_of(F.col("content")).alias("lines"))
-    at = F.array_position(F.transform("lines", lambda x: x.rlike(head)), True)
-    own = held.withColumn("line_start", at.cast("int")).where("line_start > 0").withColumn("after", F.expr("slice(lines, line_start + 1, size(lines))"))
-    tables = F.flatten(F.transform(F.filter("after", lambda x: x.rlike(r"(?iU)^\s*TABLES\s*:\s*(.+)\.")), lambda x: F.transform(F.split(F.regexp_extract(x, r"(?iU)^\s*TABLES\s*:\s*(.+)\.", 1), ","), lambda t: F.upper(strip_all(t)))))
-
-    def names(prefix: str) -> Column:
-        hits = F.flatten(F.transform("after", lambda x: F.regexp_extract_all(x, F.lit(rf"(?iU)\b{prefix}_(\w+)\b"), F.lit(1))))
+def _reports(content: Column) -> Column:
+    def names(after: Column, prefix: str) -> Column:
+        hits = F.flatten(F.transform(after, lambda x: F.regexp_extract_all(x, F.lit(rf"(?iU)\b{prefix}_(\w+)\b"), F.lit(1))))
         return F.array_distinct(F.transform(hits, lambda n: F.concat(F.lit(f"{prefix.upper()}_"), F.upper(n))))
 
-    parts = {"tables": tables, "select_options": names("so"), "parameters": names("p")}
-    listed = own.withColumns(parts)
-    filled = {n: F.when(F.size(n) > 0, F.col(n)) for n in parts}
-    name = F.upper(F.regexp_extract(F.element_at("lines", F.col("line_start")), head, 1))
-    return listed.select("file_id", F.lit("report").alias("object_type"), name.alias("object_name"), "line_start", F.size("lines").alias("line_end"), _attributes(**filled).alias("attributes"))
+    def tables(after: Column) -> Column:
+        return F.flatten(F.transform(F.filter(after, lambda x: x.rlike(TABLES)), lambda x: F.transform(F.split(F.regexp_extract(x, TABLES, 1), ","), lambda t: F.upper(strip_all(t)))))
+
+    def of(lines: Column) -> Column:
+        def begun(start: Column) -> Column:
+            def found(after: Column) -> Column:
+                attributes = _attributes(tables=_filled(tables(after)), select_options=_filled(names(after, "so")), parameters=_filled(names(after, "p")))
+                return _object("report", F.upper(F.regexp_extract(F.element_at(lines, start), REPORT, 1)), start, F.size(lines), attributes)
+
+            return F.when(start > 0, let(F.slice(lines, start + 1, F.size(lines)), found))
+
+        return let(F.array_position(F.transform(lines, lambda x: x.rlike(REPORT)), True).cast("int"), begun)
+
+    # a text that holds no such words is not cut into lines
+    return F.when(content.rlike(REPORT.replace(r"^\s*", "")), F.array_compact(F.array(let(lines_of(content), of))))
+
+
+def report_objects(files: DataFrame) -> DataFrame:
+    """Reports: the first REPORT or PROGRAM line; TABLES, so_ and p_ names after it; the end is the last line."""
+    return _objects(files, _reports(F.col("content")))
 
 
 def ddic_objects(files: DataFrame) -> DataFrame:
@@ -157,10 +193,12 @@ def extract_objects(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("rel_path", r"\.([^./\\]*)$", 1))
     is_ddic = (F.col("category") == "ddic") | ext.isin("tabl", "doma", "dtel", "stru", "type")
     source = files.where(~is_ddic).where(F.col("category") == "abap_source")
-    leads = F.col("content").rlike(r"(?iU)^\s*(?:REPORT|PROGRAM) ")
-    reports = report_objects(source.where(leads)).withColumn("turn", F.lit(1)).unionByName(report_objects(source.where(~leads)).withColumn("turn", F.lit(3)))
-    ranked = class_objects(source).withColumn("turn", F.lit(0)).unionByName(function_objects(source).withColumn("turn", F.lit(2))).unionByName(reports)
-    best = ranked.withColumn("_best", F.min("turn").over(Window.partitionBy("file_id"))).where("turn = _best").drop("turn", "_best")
+    leads, content = F.col("content").rlike(r"(?iU)^\s*(?:REPORT|PROGRAM) "), F.col("content")
+    # step by step, so that a text is looked through only for what may still count
+    own = source.select("id", "content", _classes(content).alias("_found"))
+    for more in (F.when(leads, _reports(content)), _functions(content), _reports(content)):
+        own = own.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(more))
+    best = _objects(own, F.col("_found"))
     return best.unionByName(ddic_objects(files.where(is_ddic)))
 
 
