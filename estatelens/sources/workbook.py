@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estatelens.functions.arrays import let
 from estatelens.functions.text import blank_to_null, last_wins, normalize_date, normalize_header, normalize_priority, record_fingerprint, row_fingerprint, strip_all
 from estatelens.sources import archives
 from estatelens.sources.ranges import listed, opened, spread
@@ -31,7 +32,7 @@ ALIASES = {
 USAGE_SIGNATURE = ("OBJECT NAME", "OBJECT TYPE", "USAGE LEVEL", "ORIGIN")
 BLANK = "(vazio)"
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_T = f"{_M}t"
+_T, _C, _V = f"{_M}t", f"{_M}c", f"{_M}v"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
@@ -47,12 +48,19 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _inline(cell: ElementTree.Element) -> str:
+    """_texts of a cell, without a walk if it holds a single text, as most do."""
+    if len(cell) == 1 and len(cell[0]) == 1 and cell[0][0].tag == _T and not len(cell[0][0]):
+        return cell[0][0].text or ""
+    return _texts(cell)
+
+
 def _cells(row: ElementTree.Element) -> Iterator[tuple[int, str | None, int | None]]:
     """(column, text, number of the shared string instead) of a row's cells."""
-    for k, cell in enumerate(row.iter(f"{_M}c")):
+    for k, cell in enumerate(row.iter(_C)):
         ref, kind = cell.get("r"), cell.get("t")
         at = _column(ref.rstrip("0123456789")) if ref else k
-        text = _texts(cell) if kind == "inlineStr" else cell.findtext(f"{_M}v") or None
+        text = _inline(cell) if kind == "inlineStr" else cell.findtext(_V) or None
         yield (at, None, int(text)) if kind == "s" and text else (at, text, None)
 
 
@@ -68,8 +76,12 @@ def _sheet_rows(box: zipfile.ZipFile, part: str, shared: list[str] | _FirstStrin
 def _row(row: ElementTree.Element, shared: list[str] | _FirstStrings) -> tuple[int, list[str | None]]:
     cells: list[str | None] = []
     for at, text, number in _cells(row):
-        cells += [None] * (at + 1 - len(cells))
-        cells[at] = text if number is None else shared[number]
+        value = text if number is None else shared[number]
+        if at == len(cells):
+            cells.append(value)
+        else:
+            cells += [None] * (at + 1 - len(cells))
+            cells[at] = value
     return int(row.get("r", 0)), cells
 
 
@@ -333,7 +345,10 @@ def normalize_finding_rows(rows: DataFrame) -> DataFrame:
 
 def is_usage_report(headers: Column) -> Column:
     """Whether a header row holds the whole signature, in any order and among others."""
-    upper = F.transform(headers, lambda h: F.upper(normalize_header(h)))
+    return _signed(F.transform(headers, lambda h: F.upper(normalize_header(h))))
+
+
+def _signed(upper: Column) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, USAGE_SIGNATURE)), upper)) == 0
 
 
@@ -359,7 +374,18 @@ def read_usage_report(rows: DataFrame, assessment_id: int | None = None, dataset
 
 def usage_report_manifest(rows: DataFrame) -> DataFrame:
     """field, value, n: value counts of ORIGIN, USAGE LEVEL, OBJECT TYPE and MODULE (blank: `(vazio)`), and field ROWS."""
-    based = _usage_payload(rows)
-    fields = ("ORIGIN", "USAGE LEVEL", "OBJECT TYPE", "MODULE")
-    pairs = F.array(F.struct(F.lit("ROWS").alias("field"), F.lit("").alias("value")), *(F.struct(F.lit(f).alias("field"), F.coalesce(blank_to_null(F.try_element_at("payload", F.lit(f))), F.lit(BLANK)).alias("value")) for f in fields))
-    return based.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs(upper: Column) -> Column:
+        def pair(field: str) -> Column:
+            # of equal headers the last wins
+            at = let(F.array_position(F.reverse(upper), field), lambda n: F.when(n > 0, F.size(upper) - n).cast("int"))
+            return F.struct(F.lit(field).alias("field"), F.get(F.col("cells"), at).alias("value"))
+
+        found = F.array(F.struct(F.lit("ROWS").alias("field"), F.lit(None).cast("string").alias("value")), *map(pair, ("ORIGIN", "USAGE LEVEL", "OBJECT TYPE", "MODULE")))
+        return F.when(_signed(upper), found)
+
+    # headers are gone through once a row (explode would have Spark filter the rows by them first), cells are trimmed once a value
+    each = let(F.transform("headers", lambda h: F.upper(normalize_header(h))), pairs)
+    raw = rows.select(F.explode_outer(each).alias("p")).where("p is not null").groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    value = F.when(F.col("field") == "ROWS", "").otherwise(F.coalesce(blank_to_null(F.col("value")), F.lit(BLANK)))
+    return raw.select("field", value.alias("value"), "n").groupBy("field", "value").agg(F.sum("n").alias("n"))

@@ -36,3 +36,18 @@ def test_finding_rows_are_normalized_without_lambda_sorts_and_vain_parses(spark)
     assert "array_sort" not in lines._jdf.queryExecution().analyzed().toString()
     heads = ["  Check  \t Title　", "\n", "OWN", " a\x1cB ", None]
     assert [r["h"] for r in spark.createDataFrame([(h,) for h in heads], "h string").select(text.normalize_header(F.col("h")).alias("h")).collect()] == ["check title", "", "own", "a\x1cb", None]
+
+
+def test_usage_manifest_goes_through_headers_once(spark):
+    heads = ["origin", "Object  Name", "OBJECT TYPE", "Usage Level", "ORIGIN", None]
+    rows = spark.createDataFrame([("a", heads, ["x", "Z1", " T ", None, " own ", "y"]), ("a", heads, ["x", "Z2", "T", "　", "own", "y"]), ("b", heads[:3], ["x", "Z", "T"]), ("c", None, None)], "file string, headers array<string>, cells array<string>")
+    found = workbook.usage_report_manifest(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert {(r["field"], r["value"]): r["n"] for r in found.collect()} == {("ROWS", ""): 2, ("ORIGIN", "own"): 2, ("OBJECT TYPE", "T"): 2, ("USAGE LEVEL", "(vazio)"): 2, ("MODULE", "(vazio)"): 2}
+
+
+def test_texts_of_cells_with_and_without_runs(spark, tmp_path):
+    rows = '<row r="1"><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="B1" t="inlineStr"><is><t>b</t></is></c><c r="D1" t="inlineStr"><is><t>d</t></is></c></row><row r="2"><c r="B2" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c><c r="A2" t="inlineStr"><is><t/></is></c><c r="C2"><v>3</v></c><c r="D2" t="inlineStr"><is/></c></row>'
+    (tmp_path / "w.xlsx").write_bytes(readers.packed("w.xlsx", rows))
+    (row,) = workbook.read_findings_sheet(spark, str(tmp_path)).collect()
+    assert (row["headers"], row["cells"]) == (["a", "b", "None", "d"], ["", "xy", "3", ""])
