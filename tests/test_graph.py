@@ -2,6 +2,8 @@ import random
 
 from estatelens import graph, storage
 from estatelens.operators import dashboard
+from estatelens.plans import graphs
+from pyspark.sql import functions as F
 
 
 def union_find(nodes, edges):
@@ -143,6 +145,20 @@ def test_updated_clusters_equal_full_runs(spark):
         before = after
 
 
+def test_graph_jobs_broadcast_no_table(spark, monkeypatch):
+    # numbering joins a row for each partition, which may be broadcast
+    monkeypatch.setattr(graph, "numbered", lambda df, group, order: df.withColumn("position", F.lit(1)))
+    name, found = "spark.sql.maxBroadcastTableSize", {}
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1b")  # whatever is broadcast fails
+    try:
+        for query in ("g1_package_links", "g2_connected_components", "g2_update_components", "g3_cluster_signals", "g3_update_clusters"):
+            found[query] = sorted(map(repr, graphs.QUERIES[query](spark, "/root/testdata/sf0.001").collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert all(found.values()) and found["g2_update_components"] == found["g2_connected_components"] and found["g3_update_clusters"] == found["g3_cluster_signals"]
+
+
 def test_numbered_counts_within_groups(spark):
     rows = [(k % 3 if k % 50 else None, (k * 37) % 500) for k in range(500)]
     found = graph.numbered(spark.createDataFrame(rows, "g int, o int"), "g", ["o"]).collect()
