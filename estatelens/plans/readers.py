@@ -514,7 +514,7 @@ def _stopped(spark, path):
 
 def of_data_sets(i: Inputs, target: str) -> DataFrame:
     names = adapters.ledger(i.spark, target).select("dataset_id", short_name("file").alias("name"), "format", "run", "state")
-    return adapters.imported(i.spark, target).join(names, "dataset_id")
+    return adapters.imported(i.spark, target).join(names.hint("merge"), "dataset_id")
 
 
 @query(f"WITH {_RECORDS} SELECT name, format, CAST(k % 2 + 1 AS INT) AS run, record_type, source_key, object_name FROM made")

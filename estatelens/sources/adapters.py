@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from estatelens.operators.changes import new_rows
 from estatelens.sources import exports, workbook, xml_sections
 from estatelens.sources.files import decoded, detect_format
-from estatelens.sources.ranges import WHOLE, hashed, listed, peeked, spread
+from estatelens.sources.ranges import WHOLE, hashed, listed, peeked, spread, surveyed
 from estatelens.storage import checkpointed
 
 #: Columns that the records of every format share; what else a reader gives is left to its own callers. dataset_id is the
@@ -94,8 +94,9 @@ def import_batch(spark: SparkSession, path: Paths, fmt: str, existing: DataFrame
     """
     made = _adapter(fmt, adapters).records(spark, path)
     known = (data_sets(spark, path) if sets is None else sets).where("dataset_id is not null").select("file", "dataset_id")
-    named = made.select("file", *(c for c in RECORD if c != "dataset_id")).join(known, "file").select(*RECORD)
-    return new_rows(existing, named, KEYS, [F.asc("source_key"), F.asc_nulls_last("object_name")])
+    # the files, whose paths the driver has anyway, are sent to the records; Spark takes records for the smaller side
+    own = made.select("file", *(c for c in RECORD if c != "dataset_id")).join(F.broadcast(known), "file").select(*RECORD)
+    return new_rows(existing, own, KEYS, [F.asc("source_key"), F.asc_nulls_last("object_name")])
 
 
 LEDGER = "file string, size_bytes long, dataset_id string, format string, batch int, run int"
@@ -133,9 +134,11 @@ def import_all(spark: SparkSession, path: Paths, target: str, adapters: dict[str
     Formats without adapter stay in the ledger of no run.
     """
     before = ledger(spark, target)
-    formats = detect(spark, path).where(F.col("format").isin(*(ADAPTERS if adapters is None else adapters))).withColumnRenamed("rel_path", "file")
-    found = data_sets(spark, path).where("dataset_id is not null").join(formats, "file").groupBy("dataset_id").agg(F.min(F.struct("file", "size_bytes", "format")).alias("f"))
-    fresh = found.join(before.select("dataset_id"), "dataset_id", "left_anti").select("f.file", "f.size_bytes", "dataset_id", "f.format")
+    seen = detect_format(surveyed(spark, path).withColumnRenamed("path", "rel_path")).where("error is null")
+    read = seen.where(F.col("format").isin(*(ADAPTERS if adapters is None else adapters))).select(F.col("sha256").alias("dataset_id"), F.col("rel_path").alias("file"), F.col("length").alias("size_bytes"), "format")
+    found = checkpointed(read.groupBy("dataset_id").agg(F.min(F.struct("file", "size_bytes", "format")).alias("f")))
+    # merged, since a ledger of very many files is no table for the driver, however small its packed files are
+    fresh = found.join(before.select("dataset_id").hint("merge"), "dataset_id", "left_anti").select("f.file", "f.size_bytes", "dataset_id", "f.format")
     run = (before.agg(F.max("run")).first()[0] or 0) + 1
     parts = F.greatest(F.sum("size_bytes") / batch_bytes, F.count(F.lit(1)) / batch_files)
     planned = checkpointed(_dealt(fresh, "dataset_id", parts).withColumn("run", F.lit(run)).select(*before.columns[:-1]))

@@ -117,6 +117,89 @@ def walked(spark: SparkSession, root: str, most_tasks: int = 1000) -> DataFrame:
         level = inside.where("folder").select("path").repartition(min(most_tasks, n))
 
 
+def named(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path and length of the files that `listed` gives, but folders are walked in tasks: the driver, which holds every file that
+    Spark lists, then holds none. Globs, single files and file systems that pyarrow has not are left to Spark."""
+    walks, rest = [], []
+    for one in [path] if isinstance(path, str) else path:
+        full = _qualified(spark, one)
+        (walks if _is_folder(full) else rest).append(full)
+    found = []
+    for root in walks:
+        files = walked(spark, root).where("length > 0").withColumn("below", F.expr(f"substring(path, {len(root.rstrip('/')) + 2})"))
+        hidden = F.exists(F.split("below", "/"), lambda x: x.startswith(".") | x.endswith("._COPYING_") | x.startswith("_") & ~x.contains("="))
+        found.append(files.where(~hidden).select("path", "length"))
+    if rest:
+        found.append(listed(spark, rest).select("path", "length"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path (or glob) with scheme and host, as `listed` gives it."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(held).toString()
+
+
+def _is_folder(path: str) -> bool:
+    if re.search(r"[\[\]{}*?\\]", path):  # a glob
+        return False
+    try:
+        where, at = located(path)
+        return where.get_file_info(at).type.name == "Directory"
+    except OSError:
+        return False
+
+
+def _reachable(path: str) -> bool:
+    try:
+        return bool(located(path))
+    except OSError:
+        return False
+
+
+def surveyed(spark: SparkSession, path: str | list[str], whole: int = WHOLE) -> DataFrame:
+    """path, length, sha256, head and tail (the first and last PEEK bytes) of the files that `listed` gives, and error, in which
+    case the three are null. Every file is read once, in tasks; what pyarrow can't reach is read by Spark, up to `whole` bytes."""
+    roots = [_qualified(spark, one) for one in ([path] if isinstance(path, str) else path)]
+    near, far = [x for x in roots if _reachable(x)], [x for x in roots if not _reachable(x)]
+    found = [_ends(named(spark, near))] if near else []
+    if far:
+        files = listed(spark, far)
+        small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, PEEK).alias("head"), F.substring("content", -PEEK, PEEK).alias("tail"), F.lit(None).cast("string").alias("error"))
+        found += [small, _ends(files.where(F.col("length") > whole))]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _ends(files: DataFrame, task_bytes: int = 128 << 20, each: int = 1000) -> DataFrame:
+    """files (path, length) as `surveyed` gives them, read as streams by tasks of about task_bytes and `each` files."""
+    types = {"path": pa.string(), "length": pa.int64(), "sha256": pa.string(), "head": pa.binary(), "tail": pa.binary(), "error": pa.string()}
+
+    def of(path: str) -> tuple:
+        digest, head, tail = hashlib.sha256(), b"", b""
+        try:
+            for block in streamed(path):
+                digest.update(block)
+                head += block[: PEEK - len(head)]
+                tail = (tail + block)[-PEEK:]
+        except OSError as problem:
+            return None, None, None, str(problem)
+        return digest.hexdigest(), head, tail, None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for k, (path, length) in enumerate(zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True), 1):
+                rows.append((path, length, *of(path)))
+                size += len(rows[-1][3] or b"") + len(rows[-1][4] or b"")
+                if size >= _BLOCK or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+                    rows, size = [], 0
+
+    total, n = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+    dealt = files.select("path", "length").repartition(max(1, -(-(total or 0) // task_bytes), -(-n // each)))
+    return dealt.mapInArrow(work, "path string, length long, sha256 string, head binary, tail binary, error string")
+
+
 def read_files(files: DataFrame, whole: int = WHOLE, task_bytes: int = 128 << 20) -> DataFrame:
     """files (path, length and others) with sha256, content and error. Files are read as streams and dealt over tasks of about
     task_bytes; the content of more than `whole` bytes is null, and so is all but the error of a file that can't be read."""

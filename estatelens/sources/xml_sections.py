@@ -76,7 +76,7 @@ def read_sectioned_xml(spark: SparkSession, path: str | list[str], sections: lis
     folder, laid = _largest_members(spark, packed)
     name = F.substring_index("file", "/", -1)
     inside = _rows(_tags(spark, folder).withColumn("file", name), sections, max_per_section)
-    named = inside.withColumnRenamed("file", "name").join(laid.where("error is null").select("file", "name"), "name").select("file", "section", "row_index", "attrs", none.alias("error"))
+    named = inside.withColumnRenamed("file", "name").join(F.broadcast(laid.where("error is null").select("file", "name")), "name").select("file", "section", "row_index", "attrs", none.alias("error"))
     broken = laid.where("error is not null").select("file", none.alias("section"), F.lit(None).cast("long").alias("row_index"), F.lit(None).cast("map<string,string>").alias("attrs"), "error")
     out = named.unionByName(broken)
     if packed.count() == files.count():

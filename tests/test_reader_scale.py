@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from estatelens.plans import readers
 from estatelens.plans.base import Inputs
-from estatelens.sources import archives, ranges, workbook
+from estatelens.sources import adapters, archives, ranges, workbook
 from pyspark.sql import functions as F
 
 
@@ -85,3 +85,47 @@ def test_files_are_written_from_small_batches(spark, tmp_path):
     before = spark.conf.get(name)
     readers.written(Inputs(spark, str(tmp_path)), Made())
     assert sum(seen) == 1000 and max(seen) <= 100 and spark.conf.get(name) == before
+
+
+def test_folders_are_walked_for_the_files_that_spark_lists(spark, tmp_path):
+    for name in ("a.txt", "b c%20+d.txt", "x/y/e.txt", "x/.hidden/f.txt", "_g.txt", "_h=1/i.txt", "x/.j", "_metadata", "k._COPYING_", "other/l.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.txt").write_text("")
+    root = str(tmp_path)
+    for path in (root, f"file://{root}/", [f"{root}/x", f"{root}/other"], [f"{root}/x", f"{root}/a.txt"], f"{root}/*.txt"):
+        want = sorted(map(tuple, ranges.listed(spark, path).select("path", "length").collect()))
+        assert want and sorted(map(tuple, ranges.named(spark, path).collect())) == want
+    seen = {r["path"].rsplit("/", 1)[-1]: r for r in ranges.surveyed(spark, root).collect()}
+    for r in ranges.listed(spark, root).withColumn("sha256", F.sha2("content", 256)).collect():
+        found = seen[r["path"].rsplit("/", 1)[-1]]
+        assert (found["sha256"], bytes(found["head"]), bytes(found["tail"]), found["error"]) == (r["sha256"], bytes(r["content"]), bytes(r["content"]), None)
+
+
+def test_imports_keep_records_and_lists_of_files_from_the_driver(spark, tmp_path, monkeypatch):
+    rule, asked, plans, written = "-" * 20, [], [], adapters.import_batch
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/sizing.txt").write_text("\n".join([rule, "| Table  Size |", f"| {rule} |", *(f"| TAB_{n}   1,5 |" for n in range(200)), rule]))
+    (tmp_path / "in/a.xml").write_text("<ROOT>\n<PROGRAMS>\n" + "".join(f'<R NAME="P{n}"/>' for n in range(200)) + "</PROGRAMS></ROOT>")
+
+    def planned(*args):
+        plans.append(written(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(adapters, "import_batch", planned)
+    for where in (ranges, adapters):
+        monkeypatch.setattr(where, "listed", lambda spark, path, listed=ranges.listed: (asked.append(path), listed(spark, path))[1])
+    assert adapters.import_all(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 2
+    assert adapters.imported(spark, str(tmp_path / "out")).count() == 400
+    assert asked and all(isinstance(path, list) for path in asked)  # the batch's files, not the folder
+    for records in plans:  # files are sent to the records, not records to the files
+        assert "BuildLeft" not in records._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_that_only_spark_reaches_are_surveyed(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("sizing")
+    (tmp_path / "b.txt").write_text("more than six bytes")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.surveyed.link./in", f"file://{tmp_path}")
+    far, near = (sorted((r["length"], r["sha256"], r["head"], r["tail"]) for r in ranges.surveyed(spark, path).collect()) for path in ("viewfs://surveyed/in", str(tmp_path)))
+    assert far == near and len(far) == 2
+    assert [bool(r["error"]) for r in ranges.surveyed(spark, "viewfs://surveyed/in", 6).orderBy("path").collect()] == [False, True]
